@@ -113,7 +113,7 @@ def word_hash(word: str) -> int:
     return int(word_hashes(np.frombuffer(word.encode(), np.uint8))[0][0])
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
+def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Runs of rows of a batch with about ``most`` bytes of text each.
 
     Yields (first row, one past the last, byte offsets of the rows, the bytes);

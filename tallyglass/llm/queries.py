@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, html, packing, warc
+from tallyglass.llm import chat, decontam, html, jaccard_join, langid, packing, pii, toxicity, warc
 from tallyglass.llm.common import saved, table
 
 
@@ -13,6 +13,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))
+                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+     e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+     c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k, any_value(a.n) AS n, any_value(b.n) AS m
+           FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY 1, 2),
+     l AS MATERIALIZED (SELECT i, j FROM c WHERE 100 * k >= 90 * (n + m - k)),
+     r AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+     m AS (SELECT i, min(j) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN m ON m.i = s.doc_id"""
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -58,6 +75,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id"""
 
 
+def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -66,9 +100,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_ngram_jaccard_join,
         op3_warc_archive,
         op4_chat_examples,
+        op5_pii_sanitisation,
+        op7_toxicity,
+        op8_language_id,
+        op9_decontamination,
         op10_main_text,
     )
 }
-SQL = {"op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL}
+SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL}

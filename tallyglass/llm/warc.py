@@ -32,7 +32,7 @@ SKIP = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bytes of payload that one archive holds about; it bounds what a task keeps.
+#: Bytes of records that a task keeps until an archive's dictionary is built.
 ARCHIVE_BYTES = 8 << 20
 #: Bytes of an archive's records its dictionary is built from, at most, and the dictionary's own size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
@@ -78,14 +78,30 @@ def build_dictionary(records: list[bytes]):
         return None
 
 
-def compressed(records: list[bytes]):
-    """The frames of one archive: the dictionary's, then each record's."""
+def compressed(records, archive_bytes: int):
+    """The frames of one archive: the dictionary's, then each record's.
+
+    The dictionary is built from the first ``archive_bytes`` of records; later ones use it
+    as they come, so no more than that is kept.
+    """
     import zstandard
 
-    built = build_dictionary(records)
+    held, size = [], 0
+    records = iter(records)
+    for r in records:
+        held.append(r)
+        size += len(r)
+        if size >= archive_bytes:
+            break
+    if not held:
+        return
+    built = build_dictionary(held)
     content = built.as_bytes() if built else b""
     yield struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content
     packer = zstandard.ZstdCompressor(level=3, dict_data=built, write_content_size=True)
+    for r in held:
+        yield packer.compress(r)
+    del held
     for r in records:
         yield packer.compress(r)
 
@@ -121,56 +137,45 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
     """Write ``pages`` (page_id, url, html) as archives below ``path``.
 
     Of records with equal payloads of ``min_bytes`` at least, that with the smallest
-    page_id is the response and the others revisit it. Page ids are dealt to archives
-    by hash, so that neither one host nor one payload fills an archive.
+    page_id is the response and the others revisit it. Which do is found on ids and
+    digests alone; payloads move once at most, dealt by id and digest, so neither one
+    host nor one payload fills an archive. Each partition is one archive.
     """
     rows = with_digest(pages)
-    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    n = max(1, -(-size // archive_bytes))
-    big = F.octet_length("payload") >= min_bytes
-    first = rows.filter(big).groupBy(F.col("sha1").alias("_sha1")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
-    marked = rows.join(first, (F.col("sha1") == F.col("_sha1")) & big, "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
-    archive_of = F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int").alias("archive")
-    dealt = marked.select("page_id", "url", "payload", "sha1", refers, archive_of)
+    ids = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "sha1")
+    first = ids.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+    later = ids.join(first, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    later = later.select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), F.col("first_id").alias("refers_to")).distinct()
+    marked = rows.join(later, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left").select("page_id", "url", "payload", "sha1", "refers_to")
+
+    def records(batches):
+        for b in batches:
+            for page, url, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to"))):
+                target = "".join(url.split()) or "about:blank"
+                fields = [
+                    (b"WARC-Type", b"response" if refers is None else b"revisit"),
+                    (b"WARC-Record-ID", b"<urn:page:%s>" % (b"" if page is None else str(page).encode())),
+                    (b"WARC-Date", b"1970-01-01T00:00:00Z"),
+                    (b"WARC-Target-URI", target.encode()),
+                    (b"WARC-Payload-Digest", b"sha1:" + base64.b32encode(bytes.fromhex(digest))),
+                    (b"WARC-Payload-Length", str(len(payload)).encode()),
+                ]
+                if refers is not None:
+                    fields += [(b"WARC-Profile", PROFILE), (b"WARC-Refers-To", b"<urn:page:%d>" % refers)]
+                yield record(fields, payload if refers is None else b"")
 
     def run(batches):
-        def lots():
-            held: list[bytes] = []
-            now = None
-            for b in batches:
-                for page, url, payload, digest, refers, archive in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "archive"))):
-                    if archive != now and held:
-                        yield held
-                        held = []
-                    now = archive
-                    target = "".join(url.split()) or "about:blank"
-                    fields = [
-                        (b"WARC-Type", b"response" if refers is None else b"revisit"),
-                        (b"WARC-Record-ID", b"<urn:page:%s>" % (b"" if page is None else str(page).encode())),
-                        (b"WARC-Date", b"1970-01-01T00:00:00Z"),
-                        (b"WARC-Target-URI", target.encode()),
-                        (b"WARC-Payload-Digest", b"sha1:" + base64.b32encode(bytes.fromhex(digest))),
-                        (b"WARC-Payload-Length", str(len(payload)).encode()),
-                    ]
-                    if refers is not None:
-                        fields += [(b"WARC-Profile", PROFILE), (b"WARC-Refers-To", b"<urn:page:%d>" % refers)]
-                    held.append(record(fields, payload if refers is None else b""))
-            if held:
-                yield held
-
-        for held in lots():
-            out, size = [], 0
-            for frame in compressed(held):
-                out.append(frame)
-                size += len(frame)
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                    out, size = [], 0
+        out, size = [], 0
+        for frame in compressed(records(batches), archive_bytes):
+            out.append(frame)
+            size += len(frame)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+                out, size = [], 0
+        if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    ready = dealt.repartition(n, "archive").sortWithinPartitions("archive", "page_id")
-    frame_rows = ready.mapInArrow(run, "frame binary")
+    frame_rows = marked.mapInArrow(run, "frame binary")
     frame_rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SKIP).text(path)
 
 
