@@ -5,15 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROWS_PER_TABLE = 4096
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,10 +37,6 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 def fold(name: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4 (2 marks the held-out rows)."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % 4
@@ -144,22 +138,6 @@ def flat_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def lines_up(batches, size: int = ROWS_PER_TABLE):
-    """Row tuples gathered by ``batches`` (an iterable of lists) in lots of ``size``."""
-    out: list = []
-    for rows in batches:
-        out += rows
-        if len(out) >= size:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
-def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
 class Bits:
     """A set of 64-bit numbers as a bit table of fixed size: it may say yes falsely, never no falsely."""
 
@@ -194,7 +172,7 @@ def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64) -
         some = [i for i in range(parts) if chunks[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=["region", "bits"])
 
-    def merge(key, batches):
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for x in b.column("bits"):
