@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm import chat, decontam, html, jaccard_join, langid, packing, pii, toxicity, warc
+import corpus_pipeline
+from tallyglass.llm import chat, decontam, fingerprint, html, jaccard_join, langid, packing, pii, toxicity, warc
 from tallyglass.llm.common import saved, table
 
 
@@ -80,6 +81,10 @@ def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -104,10 +109,11 @@ QUERIES = {
         op3_warc_archive,
         op4_chat_examples,
         op5_pii_sanitisation,
+        op6_document_fingerprints,
         op7_toxicity,
         op8_language_id,
         op9_decontamination,
         op10_main_text,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL}
