@@ -82,25 +82,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, byte starts and byte ends of the runs without ASCII white space.
+def word_hashes(data: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, byte starts and byte ends of the runs without ASCII white space; A-Z count as a-z.
 
     ``data``: UTF-8 bytes as uint8. Equal words have equal hashes; different words
-    of a corpus of n words collide with probability about n**2 / 2**65.
+    of a corpus of n words collide with probability about n**2 / 2**65. With ``stem``,
+    the hashes are those of each word's first ``stem`` bytes.
     """
     none = np.zeros(0, np.int64)
     if not len(data):
         return np.zeros(0, np.uint64), none, none
-    if lower:
-        data = _LOWER[data]
+    data = _LOWER[data]
     solid = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
     starts, ends = edge[0::2], edge[1::2]
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix64(h + (ends - starts).astype(np.uint64)), starts, ends
+    upto = np.minimum(ends, starts + stem) if stem else ends
+    h = (total[upto] - total[starts]) * inverse[starts]
+    return mix64(h + (upto - starts).astype(np.uint64)), starts, ends
 
 
 def word_hash(word: str) -> int:
