@@ -1,0 +1 @@
+"""Queries by name; importing the modules registers them."""

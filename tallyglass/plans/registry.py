@@ -26,12 +26,12 @@ def query(name: str, sql: str | None = None):
 @query(
     "order_month_profile",
     """SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS orders,
-              sum(o_totalprice) AS total FROM orders GROUP BY 1""",
+              round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
 def order_month_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and their value by month."""
     return (
         spark.read.parquet(f"{sf_dir}/orders.parquet")
         .groupBy(F.trunc("o_orderdate", "MM").alias("month"))
-        .agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
+        .agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     )
