@@ -165,7 +165,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(terms, "term", 20))
 
     def run(batches):
-        table, hashes = bits.value, {}
+        table = bits.value
         count: Counter = Counter()
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -250,12 +250,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     scanned = saved(scan(docs))
     listed = spans(docs, scanned=scanned).filter("spans <> ''").select("row", "spans")
     numbered = docs.withColumn("_row", _row())
+    names, schema = docs.columns, docs.schema
     joined_rows = numbered.join(listed.withColumnRenamed("row", "_r").withColumnRenamed("spans", "_spans"), F.col("_row") == F.col("_r"), "left")
 
     def run(batches):
         for b in batches:
             texts = [t if s is None or t is None else rewrite(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
             i = b.schema.get_field_index("text")
-            yield b.set_column(i, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield b.set_column(i, "text", pa.array(texts, pa.string())).select(names)
 
-    return joined_rows.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return joined_rows.select(*names, "_spans").mapInArrow(run, schema)
