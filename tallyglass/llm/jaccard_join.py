@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import Bits, flat_lists, gathered_bits, mix64, saved, text_chunks, word_hashes
+from tallyglass.llm.common import Bits, flat_lists, fresh, gathered_bits, mix64, saved, text_chunks, word_hashes
 
 #: Shingles of a world that one task searches at once; about 64 bytes each in memory.
 WORLD_SHINGLES = 1_000_000
@@ -154,24 +154,31 @@ def candidates(sets: DataFrame, bound: Bound) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node (values of ``a``) and label of each node of the two-sided graph ``edges`` (a, b).
+    """node (values of ``a``) and label, the component's smallest node, of the two-sided graph ``edges`` (a, b).
 
-    Labels are the smallest node reached so far; each round passes them over ``b`` and
-    then follows label to label. Every round is written to the shared folder.
+    Each value of ``b`` first ties its nodes to the smallest of them, so that many shared
+    values of the same nodes become one link. On these links, large-star and small-star
+    rounds alternate until nothing changes; every round is written to the shared folder.
     """
-    edges = saved(edges.select(F.col(a).alias("node"), F.col(b).alias("via")).distinct())
-    labels = edges.groupBy("via").agg(F.min("node").alias("low"))
-    labels = saved(edges.join(labels, "via").groupBy("node").agg(F.min("low").alias("label")))
-    while True:
-        low = edges.join(labels, "node").groupBy("via").agg(F.min("label").alias("low"))
-        near = edges.join(low, "via").groupBy("node").agg(F.min("low").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = near.join(jump, "next").join(labels, "node").select("node", "label", F.least("next", "far").alias("new"))
-        new = saved(new)
-        changed = new.filter("new < label").limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+    edges = saved(edges.select(F.col(a).alias("node"), F.col(b).alias("via")))
+    low = edges.groupBy("via").agg(F.min("node").alias("low"))
+    links = saved(edges.join(low, "via").filter("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct())
+    print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = print_of(links)
+    while before[0]:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = saved(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        links = saved(small.filter("u <> v").distinct())
+        after = print_of(links)
+        if after == before:
+            break
+        before = after
+    alone = edges.select("node").distinct().join(links.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left")
+    return alone.select("node", F.coalesce("label", "node").alias("label"))
 
 
 class Groups:
@@ -382,5 +389,6 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
     Rows with the same id as the one that stays, and rows without an id, stay.
     """
-    gone = groups(docs, width, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(saved(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = groups(docs, width, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(saved(gone), F.col("doc_id") == F.col(name), "left_anti")
