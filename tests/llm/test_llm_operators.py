@@ -279,8 +279,8 @@ def test_emails_are_the_patterns_matches(text):
 
 
 def test_base_spans():
-    text = "a.b@c.de 1.2.3.4 256.1.1.1 4111-1111 1111 1111 4111111111111112 +1 (234) 555-0000 +12"
-    assert [(k, text[a:z]) for k, a, z in pii.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111-1111 1111 1111"), ("phone", "+1 (234) 555-0000")] or "4111" in text
+    text = "a.b@c.de 1.2.3.4; 256.1.1.1; 4111-1111 1111 1111; 4111111111111112; +1 (234) 555-0000; +12"
+    assert [(k, text[a:z]) for k, a, z in pii.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111-1111 1111 1111"), ("phone", "+1 (234) 555-0000")]
 
 
 def test_revealing_terms_are_found(spark):
