@@ -37,6 +37,16 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def fold(name: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 4 (2 marks the held-out rows)."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % 4
@@ -67,7 +77,7 @@ _POWER: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     if len(_POWER[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         inverse = pow(_BASE, -1, 1 << 64)
         for k, base in enumerate((_BASE, inverse)):
             out = np.full(size, base, np.uint64)
@@ -108,7 +118,7 @@ def word_hash(word: str) -> int:
     return int(word_hashes(np.frombuffer(word.encode(), np.uint8))[0][0])
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
+def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000):
     """Runs of rows of a batch with about ``most`` bytes of text each.
 
     Yields (first row, one past the last, byte offsets of the rows, the bytes);
@@ -132,6 +142,13 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20
         first = last
 
 
+def slices(batches, rows: int = 512):
+    """The batches in smaller ones, so that a task's Python objects are of few rows at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def flat_lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """Lists of ``counts`` consecutive values."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fold, fold_of
+from tallyglass.llm.common import fold, fold_of, slices
 
 #: Labelled rows of each language that the model is fitted on, at most (about).
 ROWS_PER_LANGUAGE = 1500
 GRAMS = (4, 3, 2, 1)
 WORD = re.compile(r"[^\W\d_]+")
 #: Unknown words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 UNDETERMINED = "und"
 
 
@@ -50,7 +50,7 @@ class Model:
         self.tables: dict[str, dict[str, int]] = {}
         self.logs: dict[str, np.ndarray] = {}
         for kind, table in counts.items():
-            m = np.array(list(table.values()), np.float64).reshape(-1, len(languages))
+            m = np.array(list(table.values()), np.float64).reshape(len(table), len(languages))
             self.tables[kind] = dict(zip(table, range(len(table))))
             self.logs[kind] = np.log((m + 0.1) / (m.sum(0) + 0.1 * (len(m) + 1))).astype(np.float32)
 
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
 
     def count(batches):
         by: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 for w, n in Counter(WORD.findall(text.lower())).items():
                     by[lang, "word", w] += n
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         if "one" not in holder:
             holder["one"] = Scorer(sent.value)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("doc_id").to_pylist()
             found = [one(holder["one"], t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +179,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     def run(batches):
         scorer = holder.setdefault("one", None) or Scorer(sent.value)
         holder["one"] = scorer
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for text in b.column("text").to_pylist():
                 words = WORD.findall(text.lower()) if text else []

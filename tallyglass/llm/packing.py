@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import saved
+from tallyglass.llm.common import saved, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -120,29 +120,28 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity:
 
     def run(batches):
         enc = encoder(*(vocabulary or public_vocabulary()))
-        for batch in batches:
+        for batch in slices(batches, 64):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(ids), 64):
-                out: list[list] = [[], [], [], [], []]
-                raws = []
-                for doc, raw in zip(ids[at : at + 64], enc.encode_all([t or "" for t in texts[at : at + 64]])):
-                    raw += end
-                    n = len(raw) // 4
-                    start, piece = 0, 0
-                    while start < n:
-                        length = (n - start) % capacity or capacity if not start else capacity
-                        part = raw[start * 4 : (start + length) * 4]
-                        for c, v in zip(out, (doc, piece, start, length, zlib.crc32(part))):
-                            c.append(v)
-                        if with_ids:
-                            raws.append(np.frombuffer(part, "<i4"))
-                        start, piece = start + length, piece + 1
-                arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    arrays.append(pa.array(raws, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+            out: list[list] = [[], [], [], [], []]
+            raws = []
+            for doc, raw in zip(ids, enc.encode_all([t or "" for t in texts])):
+                raw += end
+                n = len(raw) // 4
+                start, piece = 0, 0
+                while start < n:
+                    length = (n - start) % capacity or capacity if not start else capacity
+                    part = raw[start * 4 : (start + length) * 4]
+                    for c, v in zip(out, (doc, piece, start, length, zlib.crc32(part))):
+                        c.append(v)
+                    if with_ids:
+                        raws.append(np.frombuffer(part, "<i4"))
+                    start, piece = start + length, piece + 1
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                arrays.append(pa.array(raws, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

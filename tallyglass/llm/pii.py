@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import gathered_bits, saved, word_hash, word_hashes
+from tallyglass.llm.common import fresh, gathered_bits, saved, slices, word_hash, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "term_removed")
@@ -129,32 +129,37 @@ def scan(docs: DataFrame) -> DataFrame:
     def code(word: str) -> int:
         h = hashes.get(word)
         if h is None:
-            if len(hashes) > 300_000:
+            if len(hashes) > 100_000:
                 hashes.clear()
             h = hashes[word] = signed(word_hash(word))
         return h
 
+    names = ["entity", "term", "passage", "start", "end"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
     def run(batches):
-        for b in batches:
-            rows = []
+        for b in slices(batches):
+            rows, near, upto = [], [], [0]
             for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
                 spans = base_spans(text)
-                near = []
                 for a, z, inside in passages(text, spans) if spans else ():
                     line = text[a:z]
                     passage = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
-                    words = [(code(m[0].lower()), a + m.start(), a + m.end()) for m in WORD.finditer(line) if not any(s[1] < a + m.end() and a + m.start() < s[2] for s in inside)]
+                    words = [(code(m[0].lower()), a + m.start(), a + m.end()) for m in WORD.finditer(line)]
                     starts, told = [x for _, x, _ in words], set()
                     for k, x, y in inside:
                         e, i = entity(k, text[x:y]), bisect_left(starts, x)
-                        told.update((e, *w) for w in words[max(0, i - WINDOW) : i + WINDOW])
-                    near += [{"entity": e, "term": t, "passage": passage, "start": x, "end": y} for e, t, x, y in sorted(told)]
+                        told.update((e, t, passage, p, q) for t, p, q in words[max(0, i - WINDOW) : i + WINDOW] if not any(s[1] < q and p < s[2] for s in inside))
+                    near += sorted(told)
+                upto.append(len(near))
                 n = Counter(k for k, _, _ in spans)
-                rows.append((doc, row, *(n[k] for k in KINDS), joined(spans), text.count("\n") + 1, near))
-            types = [pa.int64()] * 6 + [pa.string(), pa.int64(), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("passage", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))]
-            names = ["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "n_lines", "evidence"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, types)], names=names)
+                rows.append((doc, row, *(n[k] for k in KINDS), joined(spans), text.count("\n") + 1))
+            evidence = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*near) if near else [()] * 5, kinds)], names=names)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, [pa.int64()] * 6 + [pa.string(), pa.int64()])]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), evidence)], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "n_lines", "evidence"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, BASE)
@@ -167,11 +172,11 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def run(batches):
         table = bits.value
         count: Counter = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column("text").to_pylist():
                 for line in (text or "").lower().split("\n"):
                     count.update(set(WORD.findall(line)))
-            if len(count) > 400_000:
+            if len(count) > 150_000:
                 yield from out(count, table)
                 count = Counter()
         yield from out(count, table)
@@ -247,16 +252,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     The texts without any span pass through untouched.
     """
+    row, mine, found = fresh(docs, "_row", "_mine", "_spans")
     scanned = saved(scan(docs))
-    listed = spans(docs, scanned=scanned).filter("spans <> ''").select("row", "spans")
-    numbered = docs.withColumn("_row", _row())
+    listed = spans(docs, scanned=scanned).filter("spans <> ''").select(F.col("row").alias(mine), F.col("spans").alias(found)).dropDuplicates([mine])
+    numbered = docs.withColumn(row, _row())
+    joined_rows = numbered.join(listed, F.col(row) == F.col(mine), "left")
     names, schema = docs.columns, docs.schema
-    joined_rows = numbered.join(listed.withColumnRenamed("row", "_r").withColumnRenamed("spans", "_spans"), F.col("_row") == F.col("_r"), "left")
 
     def run(batches):
-        for b in batches:
-            texts = [t if s is None or t is None else rewrite(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
+        for b in slices(batches):
+            texts = [t if s is None or t is None else rewrite(t, s) for t, s in zip(b.column("text").to_pylist(), b.column(found).to_pylist())]
             i = b.schema.get_field_index("text")
             yield b.set_column(i, "text", pa.array(texts, pa.string())).select(names)
 
-    return joined_rows.select(*names, "_spans").mapInArrow(run, schema)
+    return joined_rows.select(*names, found).mapInArrow(run, schema)
