@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.columns import average_rank
-from tallyglass.operators.panel import running_drawdown, underwater_length
+from tallyglass.operators.panel import forward_filled, running_drawdown, underwater_length
 
 PERIODS = 12
 
@@ -198,8 +198,6 @@ def cost_sensitivity(gross: DataFrame, turn: DataFrame, levels: list[float]) ->
 
 def by_regime(net: DataFrame, stress: DataFrame) -> DataFrame:
     """Metrics on calm (below .5) and stressed days; ``stress`` (date, probability) stands until the next. (O-45, O-100)"""
-    from tallyglass.operators.panel import forward_filled
-
     filled = forward_filled(net.select("date").distinct(), stress, "probability").filter("probability IS NOT NULL")
     r = net.join(filled, "date").withColumn("regime", F.when(F.col("probability") < 0.5, "calm").otherwise("stress"))
     scale = F.sqrt(F.lit(float(PERIODS)))

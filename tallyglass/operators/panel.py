@@ -172,7 +172,6 @@ def latest_before(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     Both sides are series of dates (one row each), merged in one window.
     """
     both = left.select("date", F.lit(1).alias("ask"), F.lit(None).cast("double").alias(value)).unionByName(right.select("date", F.lit(0).alias("ask"), F.col(value).cast("double").alias(value)))
-    w = Window.orderBy("date").rangeBetween(Window.unboundedPreceding, -1)
     numbered = both.withColumn("day", F.unix_date("date"))
     w = Window.orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
     return numbered.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("ask = 1").select("date", value)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import prior
-from tallyglass.operators import backtest, forecast, panel, risk
-from tallyglass.plans.backtest_queries import METRICS_SQL, NET_SQL
+from tallyglass.operators import forecast, panel, risk
+from tallyglass.plans.backtest_queries import NET_SQL
 from tallyglass.plans.backtest_queries import _net as net_of
 from tallyglass.plans.panel_queries import LONG, MIDDLE, MARKET_SQL, returns, rounded
 from tallyglass.plans.registry import query
@@ -170,8 +170,6 @@ def naive_diagnostics(spark, sf_dir):
 )
 def grid_selection(spark, sf_dir):
     """Candidate strengths in one job; ties go to the least intervention. (O-103, O-164)"""
-    from pyspark.sql import Window
-
     net = net_of(spark, sf_dir)[1]
     wide = net.groupBy("date").agg(F.max(F.when(F.col("strategy") == "equal", F.col("net"))).alias("a"), F.max(F.when(F.col("strategy") == "diagonal", F.col("net"))).alias("b"))
     grid = wide.withColumn("strength", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0, 2.0)))))
