@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import saved
 
 SAMPLES, DIGITS = 64, 4
-LEVELS = 256
+LEVELS = 64
 
 
 def gamma_quantile(p: float) -> float:
@@ -51,7 +51,8 @@ class Draws:
     """The tables of draws, as columns."""
 
     def __init__(self):
-        self.r = F.array(*(F.lit(gamma_quantile((i + 0.5) / LEVELS)) for i in range(LEVELS)))
+        r = [gamma_quantile((i + 0.5) / LEVELS) for i in range(LEVELS)]
+        self.r, self.per_r = F.array(*map(F.lit, r)), F.array(*(F.lit(1 / x) for x in r))
         edge = [math.log(gamma_quantile(i / LEVELS)) for i in range(1, LEVELS)]
         edge.append(math.log(gamma_quantile(1 - 0.1 / LEVELS)))  # the upper end never wins
         self.top = edge[0]
@@ -62,15 +63,16 @@ class Draws:
         """The packed draw of a term (a 64-bit hash) with a weight for sample k; the smallest wins."""
         h = F.xxhash64(term, F.lit(k))
         part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask))
-        r = F.get(self.r, part(8, LEVELS - 1).cast("int"))
-        level, within = part(16, LEVELS - 1).cast("int"), part(24, 0xFFFF) / F.lit(65536.0)
-        tail = F.lit(self.top) + F.lit(0.5) * F.log((part(24, 0xFFFF) + F.lit(1.0)) / F.lit(65537.0))
+        unit = F.lit(2.0**-16)
+        spoke = part(8, LEVELS - 1).cast("int")
+        level, within = part(16, LEVELS - 1).cast("int"), part(24, 0xFFFF) * unit
+        tail = F.lit(self.top) + F.lit(0.5) * F.log(within + F.lit(2.0**-17))
         ln_c = F.when(level == 0, tail).otherwise(F.get(self.low, level) + F.get(self.step, level) * within)
-        b = part(40, 0xFFFF) / F.lit(65536.0)
-        t = F.floor(log_weight / r + b)
-        ln_a = ln_c - r * (t - b + F.lit(1.0))
+        b = part(40, 0xFFFF) * unit
+        t = F.floor(log_weight * F.get(self.per_r, spoke) + b)
+        ln_a = ln_c - F.get(self.r, spoke) * (t - b + F.lit(1.0))
         order = ((ln_a + F.lit(1024.0)) * F.lit(float(1 << 20))).cast("long")  # positive, below 2**31
-        identity = F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF))
+        identity = h.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit(0xFFFFFFFF))  # t is small: no overflow
         return F.shiftleft(order, 32).bitwiseOR(identity)
 
 
@@ -128,11 +130,13 @@ def compare_edits(docs: DataFrame, chars_per_part: int = 4_000_000) -> DataFrame
     cut = F.expr("concat(substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT)), part)")
     edited = moved.select("key", "text").join(donors.repartition(parts, "key"), "key").select("key", "text", cut.alias("edited"))
     two = edited.select("key", F.posexplode(F.array("text", "edited")).alias("v", "text"))
-    found = saved(fingerprints(two, "key", "v"))
-    digests = saved(edited.select("key", F.sha2("edited", 256).alias("edited_sha256")))
-    none = F.lit("0" * (SAMPLES * DIGITS))
+    found = fingerprints(two, "key", "v")
     by_key = found.groupBy("key").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("f0"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("f1"))
-    whole = order.join(digests, "key").join(by_key, "key", "left").select("key", "next_key", "n_chars", "edited_sha256", F.coalesce("f0", none).alias("f0"), F.coalesce("f1", none).alias("f1"))
+    # one query for both, so that the texts are shuffled once; all of it is dealt by key
+    none = F.lit("0" * (SAMPLES * DIGITS))
+    digests = edited.select("key", F.sha2("edited", 256).alias("edited_sha256"))
+    told = saved(digests.join(by_key, "key", "left").select("key", "edited_sha256", F.coalesce("f0", none).alias("f0"), F.coalesce("f1", none).alias("f1")))
+    whole = order.join(told, "key").select("key", "next_key", "n_chars", "edited_sha256", "f0", "f1")
     near = whole.select(F.col("key").alias("next_key"), F.col("f0").alias("fn"))
     out = ids.select("key", "doc_id").join(whole.join(near, "next_key"), "key")
     return out.select(
