@@ -146,7 +146,9 @@ def candidates(sets: DataFrame, bound: Bound) -> DataFrame:
 
     postings = sets.select("rep", "n", F.explode("sent").alias("shingle"))
     often = postings.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(often, "shingle").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "shingle")).alias("shared"))
+    # dealt by set before they are listed: single rows are smaller than partial lists
+    kept = postings.join(often, "shingle").select("rep", F.col("n").cast("int"), F.col("df").cast("int"), "shingle").repartition("rep")
+    shared = kept.groupBy("rep").agg(F.max("n").cast("long").alias("n"), F.collect_list(F.struct("df", "shingle")).alias("shared"))
     enough = shared.filter(F.size("shared") >= least(F.col("n")))
     return enough.select("rep", "n", F.expr("transform(array_sort(shared), x -> x.shingle)").alias("shared"), least(F.col("n")).alias("level")).select(
         "rep", "n", F.expr("slice(shared, 1, CAST(size(shared) - level + 1 AS INT))").alias("shared")
@@ -274,20 +276,27 @@ def search_world(values: np.ndarray, sizes: np.ndarray, bound: Bound, fresh: np.
     return groups.label
 
 
-def search_worlds(members: DataFrame, bound: Bound, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
-    """rep and group of all ``members`` (world, rep, n, shingles); group is the smallest linked rep found.
+def deal(worlds: DataFrame, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
+    """``worlds`` (world, rep, check, n) with the tasks that each set takes part in.
 
     Worlds that are too large are dealt into blocks by hash and searched by pairs of
-    blocks; the pairs' groups are then joined.
+    blocks. Only ids and sizes are looked at; the shingles come to the tasks afterwards.
     """
-    sizes = members.groupBy("world").agg(F.sum("n").alias("weight"))
+    sizes = worlds.groupBy("world").agg(F.sum("n").alias("weight"))
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("weight") / F.lit(world_shingles))).cast("int")
-    dealt = members.join(sizes.select("world", blocks.alias("blocks")), "world")
+    dealt = worlds.join(sizes.select("world", blocks.alias("blocks")), "world")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("block", block).withColumn("other", other)
     key = F.struct("world", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    dealt = dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "world", key.alias("key"), (F.col("blocks") > 1).alias("many"), "block", "rep", "n", "shingles")
+    return dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), key.alias("key"), (F.col("blocks") > 1).alias("many"), "block", "rep", "check")
+
+
+def search_worlds(dealt: DataFrame, bound: Bound) -> DataFrame:
+    """rep and group of all rows of ``deal`` with their shingles; group is the smallest linked rep found.
+
+    Each task's sets are searched together; the groups of pairs of blocks are then joined.
+    """
 
     def run(batches):
         held: list[tuple] = []
@@ -373,8 +382,8 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack
     found = saved(candidates(sets.select("rep", "n", "sent"), bound))
     worlds = components(found.select("rep", F.explode("shared").alias("shingle")), "rep", "shingle")
     worlds = saved(worlds.select(F.col("node").alias("rep"), F.col("label").alias("world")).join(sets.select("rep", "check", "id", "n"), "rep"))
-    members = full_sets(docs, worlds.select("id"), width).join(worlds, ["rep", "check"]).select("world", "rep", "n", "shingles").dropDuplicates(["rep"])
-    linked = saved(search_worlds(members, bound, world_shingles))
+    members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, world_shingles), ["rep", "check"]).drop("check")
+    linked = saved(search_worlds(members, bound).distinct())
     lows = linked.join(sets.select("rep", "low"), "rep").groupBy("grp").agg(F.min("low").alias("component"), F.count("*").alias("m")).filter("m > 1")
     named = linked.join(lows, "grp").select("rep", "component", F.lit(True).alias("linked"))
     ids = sets.select(F.col("rep").alias("digest"), F.col("check").alias("digest2"), "rep", "low").join(named, "rep", "left")
