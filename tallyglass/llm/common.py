@@ -31,10 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends here."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
+    return saved_at(df)[0]
+
+
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``saved``, and where, for ``forget``."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``saved_at`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

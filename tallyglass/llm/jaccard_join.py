@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import Bits, flat_lists, fresh, gathered_bits, mix64, saved, text_chunks, word_hashes
+from tallyglass.llm.common import Bits, flat_lists, forget, fresh, gathered_bits, mix64, saved, saved_at, text_chunks, word_hashes
 
 #: Shingles of a world that one task searches at once; about 64 bytes each in memory.
 WORLD_SHINGLES = 1_000_000
@@ -375,11 +375,16 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack
     Within, a different set goes by its digest.
     """
     bound = Bound(num, den, slack)
-    signed = saved(signatures(docs, width, bound))
+    spark = docs.sparkSession
+    full, full_place = saved_at(signatures(docs, width, bound))
+    signed = saved(full.drop("sent"))
     low = F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("low")
-    known = signed.filter("n > 0").groupBy("digest", "digest2").agg(low, F.min_by(F.struct("id", "n", "sent"), "id").alias("s"))
-    sets = saved(known.select(F.col("digest").alias("rep"), F.col("digest2").alias("check"), "low", "s.id", "s.n", "s.sent"))
-    found = saved(candidates(sets.select("rep", "n", "sent"), bound))
+    known = full.filter("n > 0").groupBy("digest", "digest2").agg(low, F.min_by(F.struct("id", "n", "sent"), "id").alias("s"))
+    with_sent, sets_place = saved_at(known.select(F.col("digest").alias("rep"), F.col("digest2").alias("check"), "low", "s.id", "s.n", "s.sent"))
+    forget(spark, full_place)  # what was sent lies in the sets now
+    found = saved(candidates(with_sent.select("rep", "n", "sent"), bound))
+    sets = saved(with_sent.drop("sent"))
+    forget(spark, sets_place)
     worlds = components(found.select("rep", F.explode("shared").alias("shingle")), "rep", "shingle")
     worlds = saved(worlds.select(F.col("node").alias("rep"), F.col("label").alias("world")).join(sets.select("rep", "check", "id", "n"), "rep"))
     members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, world_shingles), ["rep", "check"]).drop("check")
