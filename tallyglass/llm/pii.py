@@ -2,19 +2,20 @@
 
 Base spans (e-mail, IP, card, phone) are found by fixed patterns in whole texts; each
 span's value is a protected entity. A term is a risk where it tells too much about an
-entity: with counts over the corpus's passages (lines),
+entity: with n(...) the number of lines of the corpus that have it and N that of all lines,
 
     PMI(entity; term) = log2( n(entity, term) * N / (n(entity) * n(term)) )
     IC(entity)        = log2( N / n(entity) )
 
-the term discloses the share PMI / IC of the entity's information. Terms in a passage
-of an entity whose share reaches ``generalise_at`` are generalised, those that reach
-``remove_at`` are removed. A pair counts only with ``support`` different passages: a
-passage that is copied across documents is one piece of evidence.
+the term discloses the share PMI / IC of the entity's information. A whole line is the unit
+of all counts. Terms whose share reaches ``generalise_at`` are generalised, those that reach
+``remove_at`` are removed, wherever they stand in a document that has the entity. A pair
+counts only if meeting so often by chance is no likelier than ``chance`` (a bound of the
+Poisson tail with n(entity) n(term) / N lines expected), so an entity of one line has terms too.
 
-Counts cover all documents. n(term) is counted only for terms that have support with
-some entity; a bit table of fixed size tells the tasks which words to count, and an
-exact join drops the rest.
+A pair meets in n(entity) lines at most, so only a term with n(term) <= N (n(entity) / N) **
+generalise_at can reach the threshold; bit tables of fixed size tell the tasks which words to
+count and to pair, and exact joins drop the rest.
 
 Defined cases: a null text is empty and has no spans. Repeated rows each get their own
 spans; ids are passed through. An empty table gives an empty result.
@@ -23,8 +24,8 @@ spans; ids are passed through. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fresh, gathered_bits, saved, slices, word_hash, word_hashes
+from tallyglass.llm.common import Bits, fresh, gathered_bits, saved, slices, word_hash, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "term_removed")
@@ -45,7 +46,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{2,}")
 DIGIT = re.compile(r"[0-9]")
 
-SUPPORT, GENERALISE_AT, REMOVE_AT, WINDOW = 3, 0.75, 0.95, 20
+CHANCE, GENERALISE_AT, REMOVE_AT = 0.001, 0.75, 0.95
+#: Pairs of entity and term that a task hands on at once.
+PAIRS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -111,55 +114,63 @@ def passages(text: str, spans) -> list[tuple[int, int, list]]:
     return [(a, z, v) for (a, z), v in out.items()]
 
 
-BASE = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, n_lines long, evidence array<struct<entity:long,term:long,passage:long,start:int,end:int>>"
+BASE = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, n_lines long, marked string, passages array<struct<entities:array<long>,terms:array<long>>>"
 
 
 def _row():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row for each document: base spans and counts, lines, and the words that stand near entities.
+_CODES: dict[str, int] = {}
 
-    ``row`` tells documents apart by id and text; evidence is that within ``WINDOW`` words of
-    an entity in its line.
-    """
-    hashes: dict[str, int] = {}
 
-    def code(word: str) -> int:
-        h = hashes.get(word)
-        if h is None:
-            if len(hashes) > 100_000:
-                hashes.clear()
-            h = hashes[word] = signed(word_hash(word))
-        return h
+def code(word: str) -> int:
+    h = _CODES.get(word)
+    if h is None:
+        if len(_CODES) > 100_000:
+            _CODES.clear()
+        h = _CODES[word] = signed(word_hash(word))
+    return h
+
+
+def terms(text: str, a: int, z: int, spans) -> list[tuple[int, int, int]]:
+    """(term, start, end) of each word of ``text`` from a to z that touches none of the ``spans``."""
+    out, k = [], 0
+    taken = sorted((s[1], s[2]) for s in spans)
+    reach = 0  # the end of the spans that begin before the word does
+    for m in WORD.finditer(text, a, z):
+        p, q = m.span()
+        while k < len(taken) and taken[k][0] < q:
+            reach = max(reach, taken[k][1])
+            k += 1
+        if reach <= p:
+            out.append((code(m[0].lower()), p, q))
+    return out
 
-    names = ["entity", "term", "passage", "start", "end"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+def scan(docs: DataFrame) -> DataFrame:
+    """One row for each document: base spans and counts, lines, and what stands in the lines of entities.
+
+    ``row`` tells documents apart by id and text; ``marked`` is the text of a document with
+    spans. ``passages`` has the different entities and terms of each line with an entity.
+    """
+    line = pa.list_(pa.struct([("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64()))]))
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.int64(), pa.string(), line]
+    names = [x.split()[0] for x in BASE.split(", ")]
 
     def run(batches):
         for b in slices(batches):
-            rows, near, upto = [], [], [0]
+            rows = []
             for doc, row, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
                 spans = base_spans(text)
+                near = []
                 for a, z, inside in passages(text, spans) if spans else ():
-                    line = text[a:z]
-                    passage = int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
-                    words = [(code(m[0].lower()), a + m.start(), a + m.end()) for m in WORD.finditer(line)]
-                    starts, told = [x for _, x, _ in words], set()
-                    for k, x, y in inside:
-                        e, i = entity(k, text[x:y]), bisect_left(starts, x)
-                        told.update((e, t, passage, p, q) for t, p, q in words[max(0, i - WINDOW) : i + WINDOW] if not any(s[1] < q and p < s[2] for s in inside))
-                    near += sorted(told)
-                upto.append(len(near))
+                    told = {t for t, _, _ in terms(text, a, z, inside)}
+                    near.append({"entities": sorted({entity(k, text[x:y]) for k, x, y in inside}), "terms": sorted(told)})
                 n = Counter(k for k, _, _ in spans)
-                rows.append((doc, row, *(n[k] for k in KINDS), joined(spans), text.count("\n") + 1))
-            evidence = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*near) if near else [()] * 5, kinds)], names=names)
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, [pa.int64()] * 6 + [pa.string(), pa.int64()])]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), evidence)], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_spans", "n_lines", "evidence"]
-            )
+                rows.append((doc, row, *(n[k] for k in KINDS), joined(spans), text.count("\n") + 1, text if spans else None, near))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 10, kinds)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, BASE)
@@ -192,37 +203,101 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def _known(table: np.ndarray) -> Bits:
+    bits = Bits.__new__(Bits)
+    bits.log2, bits.table = int(math.log2(len(table))) + 3, table
+    return bits
+
+
+def met(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
+    """entity, term: one row for each line with both, for the terms of ``wanted`` (term) and a few more."""
+    bits = scanned.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "term").table)
+
+    def run(batches):
+        known = _known(bits.value)
+        for b in batches:
+            for lines in b.column("passages").to_pylist():
+                for line in lines:
+                    t = np.array(line["terms"], np.int64)
+                    t, e = t[known.has(t.view(np.uint64))], np.array(line["entities"], np.int64)
+                    step = max(1, PAIRS // max(1, len(t)))
+                    for at in range(0, len(e) if len(t) else 0, step):
+                        some = e[at : at + step]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(t))), pa.array(np.tile(t, len(some)))], names=["entity", "term"])
+
+    return scanned.filter("base_spans <> ''").select("passages").mapInArrow(run, "entity long, term long")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """entity, term, share for each pair of a term that tells too much about an entity."""
-    near = scanned.select("row", F.explode("evidence").alias("e")).select("row", "e.entity", "e.term", "e.passage", F.col("e.start").alias("at"))
-    lines = near.groupBy("entity", "term", "passage", "row").agg(F.lit(1).alias("one")).groupBy("entity", "term", "passage").agg(F.count("*").alias("copies"))
-    pairs = lines.groupBy("entity", "term").agg(F.count("*").alias("passages"), F.sum("copies").alias("n_both")).filter(F.col("passages") >= support)
-    pairs = saved(pairs)
-    entities = near.select("entity", "passage", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = scanned.agg(F.sum("n_lines")).first()[0] or 1
-    counts = term_counts(docs, pairs)
-    told = pairs.join(counts, "term").join(entities, "entity")
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    share = pmi / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    return told.filter(F.col("n_entity") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
-
-
-def spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, scanned: DataFrame | None = None) -> DataFrame:
+    lines = scanned.select(F.explode("passages").alias("p"))
+    entities = saved(lines.select(F.explode("p.entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
+    total = float(scanned.agg(F.sum("n_lines")).first()[0] or 1)
+    most = entities.agg(F.max("n_entity")).first()[0] or 1
+    near = saved(lines.select(F.explode("p.terms").alias("term")).distinct())
+    counts = saved(term_counts(docs, near).filter(F.col("n_term") <= total * (most / total) ** generalise_at * (1 + 1e-9)))
+    pairs = met(scanned, counts).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    told = pairs.join(counts, "term").join(entities, "entity").withColumn("n_term", F.greatest("n_term", "n_both"))
+    expected = F.col("n_entity") * F.col("n_term") / F.lit(total)
+    share = F.log2(F.col("n_both") / expected) / F.log2(F.lit(total) / F.col("n_entity"))
+    # log of a bound of the chance of n_both lines or more: the Poisson term (Stirling below n!) and a geometric series
+    k = F.col("n_both")
+    tail = k * (1 + F.log(expected / k)) - expected - 0.5 * F.log(2 * math.pi * k) - F.log(1 - expected / (k + 1))
+    sure = (F.col("n_both") > expected) & (tail <= math.log(chance))
+    return told.filter((F.col("n_entity") < total) & sure).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
+
+
+def _parsed(listed: str) -> list[tuple[str, int, int]]:
+    return [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in listed.split(",") if s)]
+
+
+def _told(marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, term, share of the disclosing ``pairs`` whose entity and term both stand in a document of ``marked``."""
+    bits = marked.sparkSession.sparkContext.broadcast(gathered_bits(pairs, "term").table)
+
+    def run(batches):
+        known = _known(bits.value)
+        for b in slices(batches):
+            for row, listed, text in zip(b.column("row").to_pylist(), b.column("base_spans").to_pylist(), b.column("marked").to_pylist()):
+                spans = _parsed(listed)
+                t = np.array(sorted({t for t, _, _ in terms(text, 0, len(text), spans)}), np.int64)
+                t = t[known.has(t.view(np.uint64))]
+                e = np.array(sorted({entity(k, text[x:y]) for k, x, y in spans}), np.int64)
+                step = max(1, PAIRS // max(1, len(t)))
+                for at in range(0, len(e) if len(t) else 0, step):
+                    some = e[at : at + step]
+                    n = len(some) * len(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(np.repeat(some, len(t))), pa.array(np.tile(t, len(some)))], names=["row", "entity", "term"])
+
+    both = marked.select("row", "base_spans", "marked").mapInArrow(run, "row long, entity long, term long")
+    return both.join(pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+
+
+def spans(docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, scanned: DataFrame | None = None) -> DataFrame:
     """doc_id, row, n_email ... n_phone, base_spans, spans of every document.
 
-    ``spans`` has the base spans, then kind ``term`` (to generalise) and ``term_removed``.
+    ``spans`` has the base spans, then every place of a disclosing term in the document, of
+    kind ``term`` (to generalise) and ``term_removed``.
     """
     scanned = saved(scan(docs)) if scanned is None else scanned
-    pairs = disclosing(docs, scanned, support, generalise_at)
-    near = scanned.select("row", F.explode("evidence").alias("e")).select("row", "e.entity", "e.term", F.col("e.start").alias("at"), F.col("e.end").alias("to"))
-    found = near.join(pairs, ["entity", "term"]).groupBy("row", "at", "to").agg(F.max("share").alias("share"))
-    kind = F.when(F.col("share") >= remove_at, F.lit(1)).otherwise(F.lit(0))
-    each = F.struct(kind.alias("k"), F.col("at"), F.col("to"))
-    more = found.groupBy("row").agg(F.array_sort(F.collect_list(each)).alias("_more"))
-    names = F.array(*map(F.lit, TERM_KINDS))
-    text = F.array_join(F.transform("_more", lambda s: F.concat_ws(":", names[s["k"]], s["at"].cast("string"), s["to"].cast("string"))), ",")
-    out = scanned.drop("evidence", "n_lines").join(more, "row", "left")
-    return out.withColumn("spans", F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.when(F.col("_more").isNotNull(), text))).drop("_more")
+    pairs = saved(disclosing(docs, scanned, chance, generalise_at))
+    marked = scanned.filter("base_spans <> ''").drop("passages", "n_lines")
+    told = _told(marked, pairs).withColumn("removed", F.col("share") >= remove_at)
+    each = told.groupBy("row").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
+    names = ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base_spans"]
+
+    def run(batches):
+        for b in slices(batches):
+            found = []
+            for listed, text, pairs in zip(b.column("base_spans").to_pylist(), b.column("marked").to_pylist(), b.column("told").to_pylist()):
+                kind = {x["term"]: TERM_KINDS[x["removed"]] for x in pairs or ()}
+                places = [(kind[t], p, q) for t, p, q in (terms(text, 0, len(text), _parsed(listed)) if kind else ()) if t in kind]
+                found.append(joined(_parsed(listed) + sorted(places, key=lambda s: (TERM_KINDS.index(s[0]), s[1]))))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, pa.string())], names=[*names, "spans"])
+
+    schema = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
+    with_terms = marked.join(each, "row", "left").select(*names, "marked", "told").mapInArrow(run, schema)
+    return scanned.filter("base_spans = ''").select(*names, F.lit("").alias("spans")).unionByName(with_terms)
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -300,6 +300,19 @@ def test_revealing_terms_are_found(spark):
     assert all(clean[100 + k] == text[100 + k] for k in range(300))
 
 
+def test_terms_of_an_entity_in_one_line_are_masked_in_the_whole_document(spark):
+    rng = random.Random(6)
+    line = f"mail q@z.org {prose(rng, 40)} Vexomir {prose(rng, 5)}"
+    rows = [(1, f"{line}\n{prose(rng, 10)} vexomir again", "en")]
+    rows += [(10 + k, "\n".join(prose(rng, 30) for _ in range(10)), "en") for k in range(500)]
+    docs = frame(spark, rows)
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    terms = [rows[0][1][int(a) : int(z)] for kind, a, z in (s.split(":") for s in found[1].split(",")) if kind in pii.TERM_KINDS]
+    assert terms.count("Vexomir") == 1 and terms.count("vexomir") == 1 and "the" not in terms
+    assert all(found[10 + k] == "" for k in range(500))
+    assert "vexomir" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1].lower()
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.find(odd).count() == 12
     out = pii.sanitise(odd)
