@@ -17,6 +17,8 @@ result. Other columns of the input are not looked at, whatever their names.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -71,8 +73,26 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def encode_with(self, texts: list[str], added: dict[str, int]) -> list[bytes]:
+        """``encode_all``, but each string of ``added`` is a token with the given id, as in the ``tokenizers`` file."""
+        if not added:
+            return self.encode_all(texts)
+        special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+        parts, upto, between = [], [0], []
+        for text in texts:
+            at = 0
+            for m in special.finditer(text):
+                parts.append(text[at : m.start()])
+                between.append(np.array([added[m[0]]], "<u4").tobytes())
+                at = m.end()
+            parts.append(text[at:])
+            between.append(b"")
+            upto.append(len(parts))
+        ids = self.encode_all(parts)
+        return [b"".join(x for k in range(a, z) for x in (ids[k], between[k])) for a, z in zip(upto, upto[1:])]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        """Little-endian 32-bit ids of each text; strings that look like added tokens are text."""
         split = [t.split(" ") for t in texts]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
@@ -109,22 +129,34 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def public_added_tokens() -> dict[str, int]:
+    """Added tokens of the installed vocabulary's ``tokenizers`` file, and their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of each piece.
 
     ``vocabulary``: path of a rank file and the splitting pattern. It is read on the
-    workers; None takes the installed public one.
+    workers; None takes the installed public one, with its added tokens.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
         enc = encoder(*(vocabulary or public_vocabulary()))
+        added = {} if vocabulary else public_added_tokens()
         for batch in slices(batches, 64):
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             out: list[list] = [[], [], [], [], []]
             raws = []
-            for doc, raw in zip(ids, enc.encode_all([t or "" for t in texts])):
+            for doc, raw in zip(ids, enc.encode_with([t or "" for t in texts], added)):
                 raw += end
                 n = len(raw) // 4
                 start, piece = 0, 0

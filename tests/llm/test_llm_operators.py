@@ -57,6 +57,15 @@ def test_words_are_encoded_as_the_tokenizer_does():
     assert got == [e.ids for e in exact.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_get_their_ids(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    exact = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a b <|endoftext|> c <|endoftext|><|endoftext|>d e", "no <|endoftext| >", " x  <|endoftext|>  y\n"]
+    got = {r["doc_id"]: r["ids"] for r in packing.pieces(frame(spark, [(k, t, "en") for k, t in enumerate(texts)]), with_ids=True).collect()}
+    assert [got[k] for k in range(len(texts))] == [exact.encode(t, add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plan_places_every_piece_once(counts):
