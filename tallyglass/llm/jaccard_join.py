@@ -108,15 +108,23 @@ def digests_of(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_id().alias("id"), _key().alias("key"), F.col("text").cast("string").alias("text"))
 
 
-SIGNATURES = "id long, n long, digest long, digest2 long, sent array<long>"
+SIGNATURES = "id long, key long, n long, digest long, digest2 long, sent array<long>"
 
 
 def signatures(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
-    """doc_id, size and 128-bit digest of each set, and its first shingles by hash."""
+    """doc_id, hash of the text, size and 128-bit digest of each set, and its first shingles by hash."""
 
     def run(batches):
         for b in batches:
@@ -128,7 +136,7 @@ def signatures(docs: DataFrame, width: int, bound: Bound) -> DataFrame:
                 k = np.where(n > 0, bound.sent(n), 0)
                 at = np.repeat(begin - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(first, last - first), pa.array(n), *map(pa.array, digests), flat_lists(value[at].view(np.int64), k)], names=["id", "n", "digest", "digest2", "sent"]
+                    [*(b.column(c).slice(first, last - first) for c in ("id", "key")), pa.array(n), *map(pa.array, digests), flat_lists(value[at].view(np.int64), k)], names=["id", "key", "n", "digest", "digest2", "sent"]
                 )
 
     return _texts(docs).mapInArrow(run, SIGNATURES)
@@ -368,11 +376,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "rep long, check long, shingles array<long>")
 
 
-def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack: float = 1.0, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+def _grouped(docs: DataFrame, width: int, num: int, den: int, slack: float = 1.0, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
+    """id, key, n, component_id, grp of every row: ``grp`` tells components apart, also those that share ids.
 
-    ``component_id`` is the smallest doc_id that links reach, the document's own included.
-    Within, a different set goes by its digest.
+    Within, a different set goes by its digest; ``grp`` is null for the empty set.
     """
     bound = Bound(num, den, slack)
     spark = docs.sparkSession
@@ -390,19 +397,37 @@ def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack
     members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, world_shingles), ["rep", "check"]).drop("check")
     linked = saved(search_worlds(members, bound).distinct())
     lows = linked.join(sets.select("rep", "low"), "rep").groupBy("grp").agg(F.min("low").alias("component"), F.count("*").alias("m")).filter("m > 1")
-    named = linked.join(lows, "grp").select("rep", "component", F.lit(True).alias("linked"))
+    named = linked.join(lows, "grp").select("rep", "component", "grp", F.lit(True).alias("linked"))
     ids = sets.select(F.col("rep").alias("digest"), F.col("check").alias("digest2"), "rep", "low").join(named, "rep", "left")
-    ids = ids.select("digest", "digest2", F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component_id"))
+    ids = ids.select("digest", "digest2", F.coalesce("grp", "rep").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component_id"))
+    out = signed.select("id", "key", "n", "digest", "digest2").join(ids, ["digest", "digest2"], "left")
+    return out.select("id", "key", "n", "component_id", F.when(F.col("n") > 0, F.col("grp")).alias("grp"))
+
+
+def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack: float = 1.0, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id that links reach, the document's own included.
+    """
     own = F.when(F.col("id") != NO_ID, F.col("id"))
-    out = signed.select("id", "n", "digest", "digest2").join(ids, ["digest", "digest2"], "left")
+    out = _grouped(docs, width, num, den, slack, world_shingles)
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group does: that with the smallest id.
+    """The rows of ``docs`` that stay when one row of each group does: that with the smallest id, null ids last.
 
-    Rows with the same id as the one that stays, and rows without an id, stay.
+    Rows count, not ids: rows with the same id and different texts are told apart by the
+    texts' hashes, and of rows with the same id and text one stays. Rows of the empty set all stay.
     """
-    (name,) = fresh(docs, "_gone")
-    gone = groups(docs, width, num, den).filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(saved(gone), F.col("doc_id") == F.col(name), "left_anti")
+    there, mine, number, key, again = fresh(docs, "_gone", "_mine", "_number", "_key", "_again")
+    rows = saved(_grouped(docs, width, num, den).filter("grp IS NOT NULL").groupBy("grp", "id", "key").agg(F.count("*").alias("m")))
+    order = F.struct(F.col("id") == NO_ID, F.col("id"), F.col("key"))
+    first = rows.groupBy("grp").agg(F.min(order).alias("first"), F.sum("m").alias("all")).filter(F.col("all") > 1)
+    stays = (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))
+    listed = rows.join(first, "grp").withColumn("stays", stays).filter("NOT stays OR m > 1").select(F.col("id").alias(there), F.col("key").alias(mine), F.col("stays").alias(again))
+    listed = saved(listed)
+    keyed = docs.withColumn(number, _id()).withColumn(key, _key())
+    same = (F.col(number) == F.col(there)) & (F.col(key) == F.col(mine))
+    once = keyed.join(listed.filter(F.col(again)), same, "left_semi").dropDuplicates([number, key])
+    return keyed.join(listed, same, "left_anti").unionByName(once).select(docs.columns)

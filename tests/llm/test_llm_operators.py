@@ -179,6 +179,14 @@ def test_groups_of_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in jaccard_join.one_of_each(odd).collect()} == {1, 2, 3, 4, 5, 6, 8, None}
 
 
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    x, y, z, w = (prose(rng, 40) for _ in range(4))
+    rows = [(3, x, "en"), (5, x, "en"), (5, y, "en"), (6, z, "en"), (6, z, "en"), (None, w, "en"), (None, w, "en"), (None, y, "en"), (5, x.upper(), "en"), (None, None, None), (None, None, None)]
+    left = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(frame(spark, rows)).collect()), key=str)
+    assert left == sorted([(3, x), (5, y), (6, z), (None, w), (None, None), (None, None)], key=str)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=20), min_size=1, max_size=12))
 def test_world_search_equals_pairs(sets):
