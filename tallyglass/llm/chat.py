@@ -9,10 +9,11 @@ The template of a turn is ``<|role|>\\n text <|end|>\\n``. Control strings in ro
 texts are escaped by a backslash after their first character, and backslashes are
 doubled; ``unescape`` undoes both.
 
-Since every example of a conversation is a prefix of its last one, ``examples`` keeps
-each formatted turn once, as segments with running offsets; ``render`` gives the texts
-of whole examples. The segments need memory for one turn only, however long a
-conversation is.
+``segments`` formats each turn once, with running offsets. ``expand`` makes the examples
+from them, each with its whole text, while a conversation streams through in order: a task
+holds the running prefix of one conversation. The examples' size grows with the square of
+a conversation's turns, as prefix-target expansion has it. ``digests`` writes them and
+works on what it reads back.
 
 Defined cases: a null text or role is empty. Rows are ordered by turn (nulls first),
 then role and text, so ties have one order; repeated rows are turns of their own. Rows
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.llm.common import shared_folder, slices
+
 # Control strings that texts must not contain as they are.
 CONTROL = re.compile(r"\\|<(?=\||/?s>|<SYS>>|</SYS>>)|\[(?=/?INST\])")
 ESCAPED = re.compile(r"\\(\\)?")
@@ -129,39 +132,108 @@ def render(segment_rows: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.expr("substring(_all, 1, CAST(end AS INT))")).drop("_all")
 
 
+EXAMPLES = "conv_id long, example long, last boolean, text string, loss_start long, loss_end long"
+#: Code points of examples that a task holds before it hands them on, and bytes of a row group of written ones.
+HELD_CHARS, GROUP_BYTES = 4_000_000, 8 << 20
+
+
+def expand(segment_rows: DataFrame) -> DataFrame:
+    """One row for each example with its whole text and the span of its reply (null without a target)."""
+    names = [x.split()[0] for x in EXAMPLES.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        now, started, prefix, out, held = None, False, "", [], 0
+        for b in batches:
+            for conv, formatted, a, z, example, last in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "example", "last"))):
+                if not started or conv != now:
+                    now, started, prefix = conv, True, ""
+                prefix += formatted
+                if example is not None:
+                    out.append((conv, example, last, prefix, a, z))
+                    held += len(prefix)
+                if held >= HELD_CHARS or len(out) >= 2048:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if out:
+            yield batch_of(out)
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    ordered = segment_rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end", "example", "last").mapInArrow(run, EXAMPLES)
+
+
+def written(example_rows: DataFrame) -> DataFrame:
+    """``example_rows`` written to the shared folder, in row groups small enough to read long texts, and read back."""
+    path = shared_folder(example_rows.sparkSession)
+    example_rows.write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+    return example_rows.sparkSession.read.schema(example_rows.schema).parquet(path)
+
+
+READ = "conv_id long, example long, n_turns long, chars long, reply string, turns_sha256 string, upto array<binary>"
+
+
+def read_examples(example_rows: DataFrame) -> DataFrame:
+    """What each example's text tells: its turns, code points, unescaped reply and the digest of its turns.
+
+    ``upto``, of a conversation's last example only: the digest after each turn.
+    """
+    names = [x.split()[0] for x in READ.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary())]
+
+    def run(batches):
+        for b in slices(batches, 64):
+            out = []
+            for conv, example, last, text, a, z in zip(*(c.to_pylist() for c in b.columns)):
+                turns, upto, n = hashlib.sha256(), [], 0
+                for role, said in parse(text):
+                    turns.update(f"{role}\n{said}\n".encode())
+                    n += 1
+                    if last:
+                        upto.append(turns.digest())
+                out.append((conv, example, n, len(text), None if a is None else unescape(text[a:z]), turns.hexdigest(), upto if last else None))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    return example_rows.select("conv_id", "example", "last", "text", "loss_start", "loss_end").mapInArrow(run, READ)
+
+
 def digests(segment_rows: DataFrame) -> DataFrame:
-    """What a reader gets back from formatted segments, by conversation.
+    """What a reader gets back from the written examples, by conversation.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn),
     loss_chars and loss_sha256 (the unescaped text under the loss masks, in order),
-    formatted_chars (code points of all examples). Turns are parsed from the formatted
-    text and masks cut from it; a conversation passes through in order, turn by turn.
+    formatted_chars (code points of all examples). All is read from the examples' texts:
+    the turns from the last one, each reply by its mask. An example whose turns are not
+    those that the last one begins with is an error.
     """
+    return fold(read_examples(written(expand(segment_rows))))
+
+
+def fold(read_rows: DataFrame) -> DataFrame:
+    """``digests`` of the rows of ``read_examples``."""
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(batches):
         now, started, done = None, False, []
         for b in batches:
-            for conv, formatted, start, a, z, example in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "start", "loss_start", "loss_end", "example"))):
+            for conv, _, turns, size, reply, sha, upto in zip(*(c.to_pylist() for c in b.columns)):
                 if not started or conv != now:
-                    if started:
-                        done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
-                    now, started, n, chars, total = conv, True, 0, 0, 0
-                    turns, loss = hashlib.sha256(), hashlib.sha256()
-                for role, text in parse(formatted):
-                    turns.update(f"{role}\n{text}\n".encode())
-                    n += 1
-                if a is not None:
-                    reply = unescape(formatted[a - start : z - start])
+                    now, started, chars, total, loss, seen = conv, True, 0, 0, hashlib.sha256(), []
+                if reply is not None:
                     loss.update(reply.encode())
                     chars += len(reply)
-                if example is not None:
-                    total += start + len(formatted)
+                total += size
+                seen.append((turns, sha))
+                if upto is not None:
+                    if any(n < 1 or n > len(upto) or upto[n - 1].hex() != s for n, s in seen):
+                        raise ValueError(f"conversation {conv}: an example is no prefix of the last one")
+                    done.append((conv, turns, sha, chars, loss.hexdigest(), total))
                 if len(done) >= 2048:
                     yield batch_of(done)
                     done = []
-        if started:
-            done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), total))
         if done:
             yield batch_of(done)
 
@@ -170,5 +242,4 @@ def digests(segment_rows: DataFrame) -> DataFrame:
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in out.split(", ")])
 
-    ordered = segment_rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    return ordered.select("conv_id", "formatted", "start", "loss_start", "loss_end", "example").mapInArrow(run, out)
+    return read_rows.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(run, out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyglass.llm import chat, decontam, fingerprint, html, jaccard_join, langid, packing, pii, toxicity, warc
-from tallyglass.llm.common import saved, table
+from tallyglass.llm.common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.digests(saved(chat.segments(rows.unionByName(probe))))
+    return chat.digests(chat.segments(rows.unionByName(probe)))
 
 
 

@@ -286,6 +286,24 @@ def test_examples_and_digests(spark):
     assert chat.digests(chat.segments(df.limit(0))).count() == 0
 
 
+def test_digests_are_read_from_whole_examples(spark):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"{c} says {k} <|end|>") for c in (1, 2) for k in range(7)]
+    made = chat.expand(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert len(made) == 8
+    for r in made:
+        want = [(role, t) for c, k, role, t in rows if c == r["conv_id"] and k <= (6 if r["last"] else 2 * r["example"] + 1)]
+        assert chat.parse(r["text"]) == want
+        assert r["loss_start"] is None if r["last"] else chat.unescape(r["text"][r["loss_start"] : r["loss_end"]]) == want[-1][1]
+    wrong = [r.asDict() | ({"text": r["text"].replace("1 says 0", "1 says 9")} if (r["conv_id"], r["example"]) == (1, 1) else {}) for r in made]
+    for given, fails in ((made, False), ([tuple(r.values()) for r in wrong], True)):
+        back = chat.fold(chat.read_examples(spark.createDataFrame(given, chat.EXAMPLES)))
+        if fails:
+            with pytest.raises(Exception, match="no prefix"):
+                back.collect()
+        else:
+            assert {r["conv_id"]: r["formatted_chars"] for r in back.collect()} == {c: sum(len(r["text"]) for r in made if r["conv_id"] == c) for c in (1, 2)}
+
+
 # personal data
 
 
