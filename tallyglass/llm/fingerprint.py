@@ -16,13 +16,15 @@ logarithm. The order of a and the sample's identity are packed in one number (up
 the order, lower bits a hash of term and t), whose minimum finds both; each text needs one
 pass of plain sums and minima, within whole-stage code.
 
-A fingerprint is a string of hexadecimal digits, ``DIGITS`` for each sample; the likeness
-of two is the share of equal samples, less the share that meets by chance.
+A fingerprint has ``BYTES`` bytes for each sample and is told as hexadecimal digits; the
+likeness of two is the share of equal samples, less the share that meets by chance.
 
 Defined cases: a null text is empty; texts without words have the fingerprint of no
-term (all zeros) and are alike among themselves. Rows with equal ids are kept apart by
-their text; equal rows are one for the neighbour order and are returned each. Ids are
-ordered as numbers, a null id last. An empty table gives an empty result.
+term (all zeros) and are alike among themselves. Rows with equal ids are kept apart by a
+64-bit hash of their text; equal rows are one for the neighbour order and are returned
+each. Ids are ordered as numbers, a null id last, and equal ids by that hash. An empty
+table gives an empty result. Very long texts are exploded into their words row by row.
+Columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ from pyspark.sql import functions as F
 
 from tallyglass.llm.common import saved
 
-SAMPLES, DIGITS = 64, 4
-LEVELS = 64
+SAMPLES, BYTES = 64, 2
+LEVELS = 256
+#: Stands for a null id within the operator.
+NO_ID = -(1 << 63)
+#: Hexadecimal digits of a digest that one number takes.
+_PIECE = 15
 
 
 def gamma_quantile(p: float) -> float:
@@ -64,11 +70,11 @@ class Draws:
         h = F.xxhash64(term, F.lit(k))
         part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask))
         unit = F.lit(2.0**-16)
-        spoke = part(8, LEVELS - 1).cast("int")
-        level, within = part(16, LEVELS - 1).cast("int"), part(24, 0xFFFF) * unit
+        spoke = part(48, LEVELS - 1).cast("int")
+        level, within = part(56, LEVELS - 1).cast("int"), part(16, 0xFFFF) * unit
         tail = F.lit(self.top) + F.lit(0.5) * F.log(within + F.lit(2.0**-17))
         ln_c = F.when(level == 0, tail).otherwise(F.get(self.low, level) + F.get(self.step, level) * within)
-        b = part(40, 0xFFFF) * unit
+        b = part(32, 0xFFFF) * unit
         t = F.floor(log_weight * F.get(self.per_r, spoke) + b)
         ln_a = ln_c - F.get(self.r, spoke) * (t - b + F.lit(1.0))
         order = ((ln_a + F.lit(1024.0)) * F.lit(float(1 << 20))).cast("long")  # positive, below 2**31
@@ -77,38 +83,51 @@ class Draws:
 
 
 def fingerprints(texts: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and fingerprint of each row of ``texts`` (keys, text); texts without words are left out.
+    """``keys``, fingerprint and digest (SHA-256), both binary, of each row of ``texts`` (keys, text, digested).
 
-    All steps group by the keys: rows that are dealt by one of them are not shuffled.
+    Only rows that ask for it (``digested``) have a digest; texts without words have no
+    fingerprint. The digest travels as one more term of its text, which no text can hold
+    since it begins with a space. So the texts are read once, and all steps group by the
+    keys: rows that are dealt by some of them are not shuffled.
     """
     draws = Draws()
-    words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''").select(*keys, F.xxhash64("w").alias("term"))
-    weighted = words.groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log(F.col("n").cast("double")).alias("lw"))
-    least = weighted.groupBy(*keys).agg(*(F.min(draws.sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 4 * DIGITS) - 1)))), DIGITS, "0") for k in range(samples)]
-    return least.select(*keys, F.concat(*digits).alias("fingerprint"))
+    own = F.when(F.col("digested"), F.array(F.concat(F.lit(" "), F.sha2("text", 256)))).otherwise(F.array().cast("array<string>"))
+    words = texts.select(*keys, F.explode(F.concat(F.split(F.lower("text"), r"\s+"), own)).alias("w")).filter("w <> ''")
+    mark = F.when(F.col("w").startswith(" "), F.substring("w", 2, 64)).alias("mark")
+    weighted = words.select(*keys, F.xxhash64("w").alias("term"), mark).groupBy(*keys, "term", "mark").agg(F.count("*").alias("n"))
+    weighted = weighted.select(*keys, "term", "mark", F.when(F.col("mark").isNull(), F.log(F.col("n").cast("double"))).alias("lw"))
+    lowest = [F.min(draws.sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)]
+    pieces = range(0, 64, _PIECE)
+    digest = [F.max(F.conv(F.substring("mark", at + 1, _PIECE), 16, 10).cast("long")).alias(f"d{at}") for at in pieces]
+    least = weighted.groupBy(*keys).agg(*lowest, *digest)
+    print_ = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 8 * BYTES) - 1))), 2 * BYTES, "0") for k in range(samples)]
+    digits = [F.lpad(F.hex(f"d{at}"), min(_PIECE, 64 - at), "0") for at in pieces]
+    return least.select(*keys, F.unhex(F.concat(*print_)).alias("fingerprint"), F.unhex(F.concat(*digits)).alias("digest"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
-    """The share of equal samples of two fingerprints, corrected for equality by chance; 0 to 1."""
-    same = sum((F.when(F.substring(a, 1 + k * DIGITS, DIGITS) == F.substring(b, 1 + k * DIGITS, DIGITS), 1).otherwise(0) for k in range(samples)), F.lit(0))
-    chance = 16.0**-DIGITS
+    """The share of equal samples of two binary fingerprints, corrected for equality by chance; 0 to 1."""
+    same = sum((F.when(F.substring(a, 1 + k * BYTES, BYTES) == F.substring(b, 1 + k * BYTES, BYTES), 1).otherwise(0) for k in range(samples)), F.lit(0))
+    chance = 256.0**-BYTES
     return F.greatest(F.lit(0.0), (same / F.lit(float(samples)) - F.lit(chance)) / F.lit(1 - chance))
 
 
 def with_next(keys: DataFrame, parts: int) -> DataFrame:
-    """``keys`` (key, doc_id, n_chars) with next_key: that of the next row by descending doc_id; after the last, the first.
+    """``keys`` (id, h, n_chars) with next_id, next_h: of the next row by descending id; after the last, the first.
 
-    Rows are dealt by ranges of doc_id; only each range's first key crosses to its neighbour.
+    Rows are dealt by ranges of id; only each range's first key crosses to its neighbour. The
+    window over those heads has ``parts`` rows, one for some hundred thousand documents.
     """
-    ranged = saved(keys.repartitionByRange(parts, F.col("doc_id").desc_nulls_last(), F.col("key")).withColumn("part", F.spark_partition_id()))
-    within = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "key")
-    rows = ranged.withColumn("_next", F.lead("key").over(within))
-    heads = ranged.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), (-F.col("doc_id")).alias("d"), "key")).alias("h")).select("part", F.col("h.key").alias("head"))
-    order = Window.orderBy("part")  # one row for each range
+    down = [F.col("id").desc(), F.col("h")]
+    ranged = saved(keys.repartitionByRange(parts, *down).withColumn("part", F.spark_partition_id()))
+    within = Window.partitionBy("part").orderBy(*down)
+    rows = ranged.withColumn("_next", F.lead(F.struct("id", "h")).over(within))
+    heads = ranged.groupBy("part").agg(F.max_by(F.struct("id", "h"), F.struct("id", (-F.col("h").cast("decimal(20,0)")).alias("d"))).alias("head"))
+    order = Window.orderBy("part")
     first = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tails = heads.select("part", F.coalesce(F.lead("head").over(order), first).alias("head"))
-    return rows.join(tails, "part").select("key", "doc_id", "n_chars", F.coalesce("_next", "head").alias("next_key"))
+    following = F.coalesce("_next", "head")
+    return rows.join(tails, "part").select("id", "h", "n_chars", following["id"].alias("next_id"), following["h"].alias("next_h"))
 
 
 def compare_edits(docs: DataFrame, chars_per_part: int = 4_000_000) -> DataFrame:
@@ -116,35 +135,38 @@ def compare_edits(docs: DataFrame, chars_per_part: int = 4_000_000) -> DataFrame
 
     The edited text replaces the last floor(n / 3) of n code points by the first as many
     (or all) of the next document. Texts move once, and the thirds that neighbours need;
-    both versions are fingerprinted where they lie.
+    both versions are fingerprinted and digested where they lie, in one pass.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))), "text").alias("key"), "doc_id", "text")
-    ids = saved(rows.select("key", "doc_id", F.length("text").alias("n_chars")))
-    parts = max(1, -(-(ids.agg(F.sum("n_chars")).first()[0] or 0) // chars_per_part))
-    order = saved(with_next(ids.dropDuplicates(["key"]), max(1, parts // 8)))
-    asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
-    moved = rows.select("key", "text").repartition(parts, "key").join(asked.repartition(parts, "key"), "key").dropDuplicates(["key"])
-    donors = moved.select(F.col("asker").alias("key"), F.expr("substring(text, 1, need)").alias("part"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    ids = saved(rows.select("id", "h", "doc_id", F.length("text").cast("long").alias("n_chars")))
+    size = ids.agg(F.sum("n_chars").alias("chars"), F.count("*").alias("rows")).first()
+    parts = max(1, -(-(size["chars"] or 0) // chars_per_part))
+    order = saved(with_next(ids.select("id", "h", "n_chars").dropDuplicates(["id", "h"]), max(1, size["rows"] // 200_000)))
+    texts = rows.select("id", "h", "text").repartition(parts, "id", "h")
+    if order.count() < size["rows"]:  # equal rows are one here
+        texts = texts.dropDuplicates(["id", "h"])
+    asked = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
+    given = texts.join(asked.repartition(parts, "id", "h").hint("shuffle_hash"), ["id", "h"])
+    given = given.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.expr("substring(text, 1, need)").alias("part"))
     cut = F.expr("concat(substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT)), part)")
-    edited = moved.select("key", "text").join(donors.repartition(parts, "key"), "key").select("key", "text", cut.alias("edited"))
-    two = edited.select("key", F.posexplode(F.array("text", "edited")).alias("v", "text"))
-    found = fingerprints(two, "key", "v")
-    by_key = found.groupBy("key").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("f0"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("f1"))
-    # one query for both, so that the texts are shuffled once; all of it is dealt by key
-    none = F.lit("0" * (SAMPLES * DIGITS))
-    digests = edited.select("key", F.sha2("edited", 256).alias("edited_sha256"))
-    told = saved(digests.join(by_key, "key", "left").select("key", "edited_sha256", F.coalesce("f0", none).alias("f0"), F.coalesce("f1", none).alias("f1")))
-    whole = order.join(told, "key").select("key", "next_key", "n_chars", "edited_sha256", "f0", "f1")
-    near = whole.select(F.col("key").alias("next_key"), F.col("f0").alias("fn"))
-    out = ids.select("key", "doc_id").join(whole.join(near, "next_key"), "key")
+    edited = texts.join(given.repartition(parts, "id", "h").hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", cut.alias("edited"))
+    two = edited.select("id", "h", F.posexplode(F.array("text", "edited")).alias("v", "text")).withColumn("digested", F.col("v") == 1)
+    found = fingerprints(two, "id", "h", "v")
+    version = lambda c, v: F.max(F.when(F.col("v") == v, F.col(c)))
+    none = F.unhex(F.lit("00" * (SAMPLES * BYTES)))
+    told = found.groupBy("id", "h").agg(F.coalesce(version("fingerprint", 0), none).alias("f0"), F.coalesce(version("fingerprint", 1), none).alias("f1"), version("digest", 1).alias("sha"))
+    told = saved(told)
+    near = told.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("f0").alias("fn"))
+    next_ = order.select("id", "h", "next_id", "next_h").join(near, ["next_id", "next_h"]).select("id", "h", "fn")
+    out = ids.join(told, ["id", "h"]).join(next_, ["id", "h"])
+    shown = lambda c: F.lower(F.hex(c))
     return out.select(
         "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
-        "edited_sha256",
-        F.col("f0").alias("fingerprint"),
-        F.col("f1").alias("edited_fingerprint"),
+        "n_chars",
+        shown("sha").alias("edited_sha256"),
+        shown("f0").alias("fingerprint"),
+        shown("f1").alias("edited_fingerprint"),
         likeness(F.col("f0"), F.col("f1")).alias("near_edited"),
         likeness(F.col("f0"), F.col("fn")).alias("near_next"),
     )
