@@ -499,14 +499,146 @@ def test_decontamination_of_odd_rows(spark, odd, none):
 # main text
 
 
+STOPS = frozenset("the of and to in a is".split())
+LONG = "The cat sat in the house of the man and the dog went to the park in the rain of the day. " * 3
+
+
 def test_main_text_rules():
-    stops = frozenset("the of and to in a is".split())
-    long = "The cat sat in the house of the man and the dog went to the park in the rain of the day. " * 3
-    page = f"<head><title>t</title><body><div class='nav-bar'><a href=/>x</a></div><h2>Head</h2><p>{long}<p>Short &amp; sweet.<p>{long}<div>Buy now</div><footer>f</footer>"
-    assert html.main_text(page, stops) == "\n".join(["Head", long.strip(), "Short & sweet.", long.strip()])
+    page = f"<head><title>t</title><body><div class='nav-bar'><a href=/>x</a></div><h2>Head</h2><p>{LONG}<p>Short &amp; sweet.<p>{LONG}<div>Buy now</div><footer>f</footer>"
+    assert html.main_text(page, STOPS) == "\n\n".join(["Head", LONG.strip(), "Short & sweet.", LONG.strip()])
     article = "<nav>n</nav><article><header><h1>T</h1></header><p>one<br>two <a href=x>three</a><div class=ad>x</div><script>var a='</p>'</script><ul><li>i<li>j</ul><section class='comments'>c</section></article><aside>s</aside>"
-    assert html.main_text(article, frozenset()) == "T\none two three\ni\nj"
-    assert html.main_text(None, stops) == "" and html.main_text("<", stops) == html.main_text("<", stops)
+    assert html.main_text(article, frozenset()) == "T\n\none two three\n\ni\n\nj"
+    assert html.main_text(None, STOPS) == "" and html.main_text("<", STOPS) == html.main_text("<", STOPS)
+
+
+def test_a_teaser_article_does_not_settle_the_page():
+    page = f"<article><p>teaser</p></article><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(page, STOPS) == LONG.strip() + "\n\n" + LONG.strip()
+    page = f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG}</p></div>"  # the larger part: a prior
+    assert html.main_text(page, STOPS) == LONG.strip() + "\n\n" + LONG.strip()
+
+
+def plain_blocks(page):
+    """Blocks of a well-formed page by the standard parser: (text, share of linked letters, boilerplate, in an article, heading)."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.out, self.now = [], [], []
+
+        def end_block(self):
+            text = " ".join("".join(t for t, _ in self.now).split())
+            if text:
+                linked = sum(len("".join(t.split())) for t, link in self.now if link)
+                tags = [t for t, _ in self.open]
+                boiler = any(t in ("nav", "footer", "aside") or c == "ad" for t, c in self.open)
+                self.out.append((text, linked / len(text.replace(" ", "")), boiler, "article" in tags, any(t in ("h1", "h2") for t in tags)))
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag != "a" and tag != "b":
+                self.end_block()
+            self.open.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            if tag != "a" and tag != "b":
+                self.end_block()
+            self.open.pop()
+
+        def handle_data(self, data):
+            self.now.append((data, any(t == "a" for t, _ in self.open)))
+
+    w = Walk()
+    w.feed(page)
+    w.end_block()
+    return w.out
+
+
+def plain_main_text(page, stops):
+    """The two passes, straight from their definition."""
+    found = plain_blocks(page)
+
+    def label(x, main):
+        text, density, boiler, _, heading = x
+        if boiler or density > (0.5 if main else 0.2):
+            return "bad"
+        if len(text) < 70:
+            return "bad" if density and not main else "near" if heading else "short"
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        share = sum(w in stops for w in words) / max(1, len(words))
+        return ("good" if len(text) > 200 else "near") if share >= 0.2 else "near" if share >= 0.1 or main else "bad"
+
+    def settle(labels, edge):
+        out = []
+        for i, x in enumerate(labels):
+            left = next((y for y in labels[:i][::-1] if y in ("good", "bad")), edge)
+            right = next((y for y in labels[i + 1 :] if y in ("good", "bad")), edge)
+            out.append(x if x in ("good", "bad") else left if left == right else "good" if x == "near" else "bad")
+        return out
+
+    labels = [label(x, x[3]) for x in found]
+    inside = sum(len(x[0]) for x, y in zip(found, labels) if x[3] and y != "bad")
+    outside = sum(len(x[0]) for x, y in zip(found, labels) if not x[3] and y == "good")
+    if inside and inside >= outside:
+        run = 0
+        runs = []
+        for k, x in enumerate(found):
+            run += k > 0 and x[3] != found[k - 1][3]
+            runs.append(run)
+        for r in set(runs):
+            own = [k for k in range(len(found)) if runs[k] == r and found[k][3] and not found[k][2]]
+            for k, y in zip(own, settle([labels[k] for k in own], "good")):
+                labels[k] = y
+        labels = [y if x[3] or y == "bad" else "short" for x, y in zip(found, labels)]
+    else:
+        labels = [label(x, False) for x in found]
+    return "\n\n".join(x[0] for x, y in zip(found, settle(labels, "bad")) if y == "good")
+
+
+def test_extraction_equals_the_plain_two_passes():
+    rng = random.Random(5)
+    junk = "xq zzv wkj ptt vvn".split()
+
+    def piece(inside):
+        words = [rng.choice(rng.choice([sorted(STOPS), WORDS, junk])) for _ in range(rng.choice([1, 4, 15, 30, 60]))]
+        if rng.random() < 0.4:
+            k = rng.randrange(len(words))
+            words[k:] = [f"<a href='x'>{' '.join(words[k:])}</a>"]
+        text = " ".join(words)
+        kind = rng.choice(["p", "p", "p", "h2", "li", "div class='ad'", "aside"])
+        return f"<{kind}>{text}</{kind.split()[0]}>"
+
+    kept = 0
+    for _ in range(300):
+        parts = [piece(False) for _ in range(rng.randrange(6))]
+        if rng.random() < 0.7:
+            parts.append("<article><h1>A title</h1>" + "".join(piece(True) for _ in range(rng.randrange(7))) + "</article>")
+        parts += [piece(False) for _ in range(rng.randrange(4))]
+        page = "<html><body><nav><a href='/'>home</a></nav>" + "".join(parts) + "<footer>f</footer></body></html>"
+        assert html.main_text(page, STOPS) == plain_main_text(page, STOPS)
+        kept += bool(html.main_text(page, STOPS))
+    assert kept > 100
+
+
+def test_extraction_of_very_long_and_broken_pages_takes_linear_time():
+    import time
+
+    begin = time.time()
+    for t in ('<a "' * 250_000, "<b>" * 330_000, "</b>" * 250_000, "<b></i>" * 140_000, "<div>" * 200_000, "<p><a>" * 160_000, "<html " * 160_000, '<a href="x>' * 90_000 + "<p>hi</p>"):
+        html.main_text(t, STOPS)
+    assert time.time() - begin < 60
+    assert html.main_text("<div>" * 100_000 + f"<p>{LONG}", STOPS) == LONG.strip()
+
+
+def test_stop_words_go_by_the_language_of_the_page(spark):
+    en, fr = "the cat and the dog and the house " * 8, "le chat et le chien et le lit " * 8
+    pages = [(k, "u", f"<html lang='en'><p>{en}</p>") for k in range(30)] + [(100, "u", f"<html lang=fr-FR><p>{fr}</p>"), (101, "u", f"<p>{fr}</p>"), (102, "u", f"<html lang=en><p>{fr}</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    stops = html.stop_words(df, share=0.1)
+    assert stops.by_language["fr"] == {"le", "et", "chat", "chien", "lit"} and "the" in stops.by_language["en"]
+    got = {r["page_id"]: r["text"] for r in html.extract(df, stops).collect()}
+    assert got[0] == en.strip() and got[100] == got[101] == fr.strip() and got[102] == ""
 
 
 def test_extraction_of_odd_pages(spark):
