@@ -124,6 +124,14 @@ def word_hashes(data: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray
     return mix64(h + (upto - starts).astype(np.uint64)), starts, ends
 
 
+def hash_spans(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of ``code`` (uint64) from ``starts`` to ``ends``: equal for equal runs."""
+    power, inverse = _powers(len(code) + 1)
+    total = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix64((code + np.uint64(1)) * np.uint64(_BASE)) * power[: len(code)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hash(word: str) -> int:
     return int(word_hashes(np.frombuffer(word.encode(), np.uint8))[0][0])
 

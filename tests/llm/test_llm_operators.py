@@ -437,10 +437,64 @@ def test_languages_are_told_apart(spark):
     assert all(r["lang_pred"] == ("fr" if r["doc_id"] % 2 else "en") for r in got)
 
 
-def test_unknown_words_back_off_to_ngrams():
-    model = langid.Model({"word": {"the": [5, 0]}, "4": {"<quu": [0, 7]}, "1": {"q": [1, 9], "z": [8, 1]}}, ["en", "xx"])
-    assert model.backoff("quux").argmax() == 1 and model.backoff("zzz").argmax() == 0
-    assert not model.backoff("日").any()
+def plain_languages(rows):
+    """lang_pred and score of each row by dictionaries, word by word."""
+    letters = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t).split()
+    grams = lambda w, n: list(w) if n == 1 else [f"|{w}|"[i : i + n] for i in range(len(w) + 3 - n)]
+    learned = [(t, lang) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 4 != 2]
+    languages = sorted({lang for _, lang in learned})
+    counts = {kind: {lang: Counter() for lang in languages} for kind in (0, 1, 2, 3, 4)}
+    for t, lang in learned:
+        for w in letters(t):
+            counts[0][lang][w] += 1
+            for n in (1, 2, 3, 4):
+                counts[n][lang].update(grams(w, n))
+    every = {kind: set().union(*c.values()) for kind, c in counts.items()}
+
+    def logs(kind, key):
+        return np.array([np.log((counts[kind][x][key] + 0.1) / (counts[kind][x].total() + 0.1 * (len(every[kind]) + 1))) for x in languages])
+
+    def word(w):
+        if w in every[0]:
+            return logs(0, w)
+        for n in (4, 3, 2, 1):
+            known = [g for g in grams(w, n) if g in every[n]]
+            if known:
+                return np.mean([logs(n, g) for g in known], 0)
+        return np.zeros(len(languages))
+
+    out = {}
+    for i, t, _ in rows:
+        words = letters(t or "")
+        total = sum(map(word, words), np.zeros(len(languages)))
+        best = int(total.argmax())
+        out[i] = (languages[best], 1 / np.exp((total - total[best]) / np.sqrt(len(words))).sum()) if words else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_the_plain_backoff(spark):
+    rng = random.Random(14)
+    french = "le la de et les été un une où que qui dans pour pas sur avec est au par plus cœur".split()
+    rows = []
+    for k in range(120):
+        own = french if k % 2 else WORDS
+        words = [rng.choice(own) + rng.choice(["", "", "s", "ère" if k % 2 else "ing"]) for _ in range(rng.randrange(9))] + rng.choice([[], ["Zzyx"], ["ΛΌΓΟΝ", "日本"], ["supercali" * 20], ["42", "—½"]])
+        rows.append((k, rng.choice([" ", ", ", "\n"]).join(words), rng.choice(["fr" if k % 2 else "en", None])))
+    want = plain_languages(rows)
+    got = langid.identify(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+
+
+def test_words_are_runs_of_letters_at_any_width():
+    texts = ["Ünïcode 日本語 x1y", "", "𝒜bc — ½ ñ", "éé"]
+    data = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    w = langid.Words(np.frombuffer(b"".join(data), np.uint8), offsets)
+    assert ["".join(map(chr, w.code[a:z])) for a, z in zip(w.start, w.end)] == ["ünïcode", "日本語", "x", "y", "𝒜bc", "ñ", "éé"]
+    assert w.owner.tolist() == [0, 0, 0, 0, 2, 2, 3]
 
 
 def test_language_of_odd_rows(odd, none):
