@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import saved
 
 SAMPLES, BYTES = 64, 2
-LEVELS = 256
+LEVELS = 128
 #: Stands for a null id within the operator.
 NO_ID = -(1 << 63)
 #: Hexadecimal digits of a digest that one number takes.
@@ -53,17 +53,22 @@ def gamma_quantile(p: float) -> float:
     return low
 
 
+def numbers(values: list[float]) -> Column:
+    """A constant array, written as one string so that plans stay small."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 class Draws:
     """The tables of draws, as columns."""
 
     def __init__(self):
         r = [gamma_quantile((i + 0.5) / LEVELS) for i in range(LEVELS)]
-        self.r, self.per_r = F.array(*map(F.lit, r)), F.array(*(F.lit(1 / x) for x in r))
+        self.r, self.per_r = numbers(r), numbers([1 / x for x in r])
         edge = [math.log(gamma_quantile(i / LEVELS)) for i in range(1, LEVELS)]
         edge.append(math.log(gamma_quantile(1 - 0.1 / LEVELS)))  # the upper end never wins
         self.top = edge[0]
-        self.low = F.array(*map(F.lit, [edge[0], *edge[:-1]]))
-        self.step = F.array(*map(F.lit, [0.0, *(b - a for a, b in zip(edge, edge[1:]))]))
+        self.low = numbers([edge[0], *edge[:-1]])
+        self.step = numbers([0.0, *(b - a for a, b in zip(edge, edge[1:]))])
 
     def sample(self, term: Column, log_weight: Column, k: int) -> Column:
         """The packed draw of a term (a 64-bit hash) with a weight for sample k; the smallest wins."""
@@ -83,26 +88,20 @@ class Draws:
 
 
 def fingerprints(texts: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys``, fingerprint and digest (SHA-256), both binary, of each row of ``texts`` (keys, text, digested).
+    """``keys``, fingerprint (binary) and last, of each row of ``texts`` (keys, text, number).
 
-    Only rows that ask for it (``digested``) have a digest; texts without words have no
-    fingerprint. The digest travels as one more term of its text, which no text can hold
-    since it begins with a space. So the texts are read once, and all steps group by the
-    keys: rows that are dealt by some of them are not shuffled.
+    Rows with ``number`` are no texts but hexadecimal numbers, which come back as ``last``: so
+    digests can travel along with their texts, which are read once. Texts without words are
+    left out. All steps group by the keys: rows that are dealt by some of them are not shuffled.
     """
     draws = Draws()
-    own = F.when(F.col("digested"), F.array(F.concat(F.lit(" "), F.sha2("text", 256)))).otherwise(F.array().cast("array<string>"))
-    words = texts.select(*keys, F.explode(F.concat(F.split(F.lower("text"), r"\s+"), own)).alias("w")).filter("w <> ''")
-    mark = F.when(F.col("w").startswith(" "), F.substring("w", 2, 64)).alias("mark")
-    weighted = words.select(*keys, F.xxhash64("w").alias("term"), mark).groupBy(*keys, "term", "mark").agg(F.count("*").alias("n"))
-    weighted = weighted.select(*keys, "term", "mark", F.when(F.col("mark").isNull(), F.log(F.col("n").cast("double"))).alias("lw"))
-    lowest = [F.min(draws.sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples)]
-    pieces = range(0, 64, _PIECE)
-    digest = [F.max(F.conv(F.substring("mark", at + 1, _PIECE), 16, 10).cast("long")).alias(f"d{at}") for at in pieces]
-    least = weighted.groupBy(*keys).agg(*lowest, *digest)
-    print_ = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 8 * BYTES) - 1))), 2 * BYTES, "0") for k in range(samples)]
-    digits = [F.lpad(F.hex(f"d{at}"), min(_PIECE, 64 - at), "0") for at in pieces]
-    return least.select(*keys, F.unhex(F.concat(*print_)).alias("fingerprint"), F.unhex(F.concat(*digits)).alias("digest"))
+    words = texts.select(*keys, "number", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''")
+    term = F.when(F.col("number"), F.conv("w", 16, 10).cast("long")).otherwise(F.xxhash64("w"))
+    weighted = words.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log(F.col("n").cast("double")).alias("lw"))
+    lowest = (F.min(draws.sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples))
+    least = weighted.groupBy(*keys).agg(*lowest, F.max("term").alias("last"))
+    digits = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 8 * BYTES) - 1))), 2 * BYTES, "0") for k in range(samples)]
+    return least.select(*keys, F.unhex(F.concat(*digits)).alias("fingerprint"), "last")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -151,11 +150,14 @@ def compare_edits(docs: DataFrame, chars_per_part: int = 4_000_000) -> DataFrame
     given = given.select(F.col("to_id").alias("id"), F.col("to_h").alias("h"), F.expr("substring(text, 1, need)").alias("part"))
     cut = F.expr("concat(substring(text, 1, length(text) - CAST(floor(length(text) / 3) AS INT)), part)")
     edited = texts.join(given.repartition(parts, "id", "h").hint("shuffle_hash"), ["id", "h"]).select("id", "h", "text", cut.alias("edited"))
-    two = edited.select("id", "h", F.posexplode(F.array("text", "edited")).alias("v", "text")).withColumn("digested", F.col("v") == 1)
-    found = fingerprints(two, "id", "h", "v")
-    version = lambda c, v: F.max(F.when(F.col("v") == v, F.col(c)))
+    places = range(1, 65, _PIECE)
+    pieces = [F.substring(F.sha2("edited", 256), at, _PIECE) for at in places]
+    both = edited.select("id", "h", F.posexplode(F.array("text", "edited", *pieces)).alias("v", "text")).withColumn("number", F.col("v") > 1)
+    found = fingerprints(both, "id", "h", "v")
+    of = lambda v, c: F.max(F.when(F.col("v") == v, F.col(c)))
     none = F.unhex(F.lit("00" * (SAMPLES * BYTES)))
-    told = found.groupBy("id", "h").agg(F.coalesce(version("fingerprint", 0), none).alias("f0"), F.coalesce(version("fingerprint", 1), none).alias("f1"), version("digest", 1).alias("sha"))
+    sha = F.concat(*(F.lpad(F.hex(of(v, "last")), min(_PIECE, 65 - at), "0") for v, at in enumerate(places, 2)))
+    told = found.groupBy("id", "h").agg(F.coalesce(of(0, "fingerprint"), none).alias("f0"), F.coalesce(of(1, "fingerprint"), none).alias("f1"), F.unhex(sha).alias("sha"))
     told = saved(told)
     near = told.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("f0").alias("fn"))
     next_ = order.select("id", "h", "next_id", "next_h").join(near, ["next_id", "next_h"]).select("id", "h", "fn")
