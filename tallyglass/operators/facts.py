@@ -1,24 +1,40 @@
 """Operators on dated facts that are known from a later day on (bitemporal data).
 
-A fact (issuer, metric, value, start, end, filed, accn, priority, form) is available from
-the first business day after its filing. Nothing that was filed later may change what a
-snapshot of an earlier day shows.
+A fact (issuer, metric, concept, value, start, end, filed, accn, priority, form) is available
+from the first business day after its filing. Nothing that was filed later may change what a
+snapshot of an earlier day shows. A metric can be told by several concepts, of which that of
+the lowest priority number is preferred.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import finite, guarded_ratio, next_business_day
+from tallyglass.functions.columns import finite, guarded_ratio, missing_share, next_business_day, signed_rank
 
 # Fixed values.
 FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A")
 ANNUAL_FORMS = ("10-K", "10-K/A")
-FLOWS = ("revenue", "income", "cash_flow", "capex")
+FLOWS = ("revenue", "income", "operating_income", "cash_flow", "capex")
 YEAR = (330, 400)
 MAX_AGE = 550
-KEYS = ("issuer", "metric", "start", "end", "filed", "accn", "priority", "form")
+LAST_FILINGS = 20
+KEYS = ("issuer", "concept", "start", "end", "filed", "accn")
+#: Metrics whose latest yearly end is the annual end, and what is read at either end.
+ANNUAL = ("revenue", "income", "cash_flow")
+AT_ANNUAL_END = ("assets", "income", "cash_flow", "revenue", "operating_income", "capex")
+AT_BALANCE_END = ("assets", "equity", "cash", "liabilities", "current_assets", "current_liabilities")
+#: The ratios of the quality score by domain; -1 where less is better.
+DOMAINS = {
+    "profitability": {"roa": 1, "operating_margin": 1},
+    "balance_sheet": {"equity_share": 1, "cash_share": 1, "leverage": -1},
+    "cash_generation": {"cash_flow_to_assets": 1, "accruals": -1, "free_cash_flow": 1},
+    "liquidity": {"current_ratio": 1},
+}
+RATIOS = tuple(k for domain in DOMAINS.values() for k in domain)
 
 
 def with_duration(facts: DataFrame) -> DataFrame:
@@ -41,10 +57,11 @@ def before_cutoff(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def unambiguous(facts: DataFrame) -> DataFrame:
     """Exact repeats become one; keys that still have several values are left out. (O-61)
 
-    One aggregation: the least and the greatest value of a key tell both.
+    One aggregation: the least and the greatest value of a key tell both. Of repeats under
+    several forms the first by name stays.
     """
-    grouped = facts.groupBy(*KEYS, "duration").agg(F.min("value").alias("value"), F.max("value").alias("_high"))
-    return grouped.filter("value = _high").drop("_high")
+    kept = [F.min(c).alias(c) for c in ("metric", "priority", "form", "duration", "value")]
+    return facts.groupBy(*KEYS).agg(*kept, F.max("value").alias("_high")).filter("value = _high").drop("_high")
 
 
 def available(facts: DataFrame) -> DataFrame:
@@ -65,9 +82,12 @@ def rejections(facts: DataFrame) -> DataFrame:
     return invalid.unionByName(per_key.filter("lo <> hi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("ambiguous").alias("reason"), "n"))
 
 
-def _order():
-    """Which fact of a metric is taken: the latest end, then low priority, early filing, high accession."""
-    return F.struct(F.col("end"), (-F.col("priority")).alias("p"), (-F.unix_date("filed")).alias("f"), F.col("accn"))
+def _order() -> Column:
+    """Which fact of a metric is taken: the latest end, the preferred concept, the last filing, the high accession."""
+    return F.struct("end", (-F.col("priority")).alias("p"), "filed", "accn", "start", "value")
+
+
+_months = lambda c: F.year(c) * 12 + F.month(c)
 
 
 def visible(facts: DataFrame, formations: DataFrame, max_age: int = MAX_AGE) -> DataFrame:
@@ -77,9 +97,9 @@ def visible(facts: DataFrame, formations: DataFrame, max_age: int = MAX_AGE) ->
     of age, so a fact meets the formations of its lifetime and no others: rows grow with
     the facts, not with facts times dates.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    lived = facts.withColumn("_month", F.explode(F.sequence(month("available"), F.greatest(month("available"), month(F.date_add("end", max_age))))))
-    dated = formations.withColumn("_month", month("date"))
+    last = F.greatest(_months("available"), _months(F.date_add("end", max_age)))
+    lived = facts.withColumn("_month", F.explode(F.sequence(_months("available"), last)))
+    dated = formations.withColumn("_month", _months("date"))
     return lived.join(dated, "_month").filter((F.col("available") <= F.col("information")) & (F.col("end") >= F.date_sub("date", max_age))).drop("_month")
 
 
@@ -89,54 +109,128 @@ def picks(seen: DataFrame) -> DataFrame:
     return out.select("issuer", "date", "metric", "x.end", "x.value", "x.filed", "x.available")
 
 
-def snapshots(seen: DataFrame) -> DataFrame:
-    """Ratios by issuer and date, with the two periods they come from. (O-39, O-117 to O-121)
+def matched(seen: DataFrame) -> DataFrame:
+    """By issuer and date both ends, and the picks (value, filed, available, end) at them: a_ and b_ metrics. (O-39)
 
     Flows and their denominator are those of the annual end, balances those of the latest
     end of assets.
     """
-    flow, balance = ("revenue", "income", "cash_flow"), "assets"
     by = Window.partitionBy("issuer", "date")
-    marked = seen.withColumn("annual_end", F.max(F.when(F.col("metric").isin(*flow), F.col("end"))).over(by)).withColumn("balance_end", F.max(F.when(F.col("metric") == balance, F.col("end"))).over(by))
-    value = lambda metric, end: F.max_by(F.when((F.col("metric") == metric) & (F.col("end") == F.col(end)), F.col("value")), F.when((F.col("metric") == metric) & (F.col("end") == F.col(end)), _order()))
-    wide = marked.groupBy("issuer", "date").agg(
+    end_of = lambda metrics: F.max(F.when(F.col("metric").isin(*metrics), F.col("end"))).over(by)
+    marked = seen.withColumn("annual_end", end_of(ANNUAL)).withColumn("balance_end", end_of(["assets"]))
+
+    def pick(metric: str, end: str) -> Column:
+        here = (F.col("metric") == metric) & (F.col("end") == F.col(end))
+        return F.max_by(F.when(here, F.struct("value", "filed", "available", "end")), F.when(here, _order()))
+
+    return marked.groupBy("issuer", "date", "information").agg(
         F.max("annual_end").alias("annual_end"),
         F.max("balance_end").alias("balance_end"),
-        *(value(m, "annual_end").alias(f"a_{m}") for m in ("assets", *flow, "capex")),
-        *(value(m, "balance_end").alias(f"b_{m}") for m in ("assets", "liabilities", "equity")),
-        F.count_distinct("accn").alias("known_filings"),
+        *(pick(m, "annual_end").alias(f"a_{m}") for m in AT_ANNUAL_END),
+        *(pick(m, "balance_end").alias(f"b_{m}") for m in AT_BALANCE_END),
     )
-    c = F.col
-    return wide.select(
+
+
+def prior_revenue(facts: DataFrame, ends: DataFrame) -> DataFrame:
+    """issuer, date, prior: the revenue that ended 330 to 400 days before the annual end, whatever its age. (O-40)
+
+    ``ends``: issuer, date, information, annual_end. They meet by the months in which such a
+    period can end.
+    """
+    near = F.sequence(_months(F.date_sub("annual_end", YEAR[1])), _months(F.date_sub("annual_end", YEAR[0])))
+    asked = ends.filter("annual_end IS NOT NULL").select("issuer", "date", "information", "annual_end", F.explode(near).alias("_month"))
+    had = facts.filter("metric = 'revenue'").select("issuer", "start", "end", "value", "priority", "filed", "accn", "available", _months("end").alias("_month"))
+    both = asked.join(had, ["issuer", "_month"]).filter((F.col("available") <= F.col("information")) & F.date_diff("annual_end", "end").between(*YEAR))
+    return both.groupBy("issuer", "date").agg(F.max_by(F.struct("value", "filed", "available", "end"), _order()).alias("prior"))
+
+
+def filing_history(facts: DataFrame, grid: DataFrame, last: int = LAST_FILINGS) -> DataFrame:
+    """issuer, date, known_filings, amended of ``grid`` (issuer, date, information). (O-58)
+
+    All filings known by then count, however old: accessions, and the share of amendments
+    among the last filings (filed, accn, form) in the order in which they became available.
+    Both run along one window by issuer that holds filings and dates.
+    """
+    first = F.min(F.struct("end", "priority"))
+    filings = facts.groupBy("issuer", "available", "filed", "accn", "form").agg(first.alias("o"))
+    order = ["available", "o", "accn", "form"]
+    w = Window.partitionBy("issuer").orderBy(*order)
+    told = filings.withColumn("amended", F.avg(F.col("form").endswith("/A").cast("int")).over(w.rowsBetween(1 - last, 0)))
+    new = F.row_number().over(Window.partitionBy("issuer", "accn").orderBy(*order)) == 1
+    events = told.withColumn("new", new.cast("int")).select("issuer", F.col("available").alias("day"), F.lit(0).alias("kind"), "o", "accn", "form", "new", "amended", F.lit(None).cast("date").alias("date"))
+    none = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    asked = grid.select("issuer", F.col("information").alias("day"), F.lit(1).alias("kind"), none("o"), none("accn"), none("form"), F.lit(0).alias("new"), none("amended"), "date")
+    along = Window.partitionBy("issuer").orderBy("day", "kind", "o", "accn", "form").rowsBetween(Window.unboundedPreceding, 0)
+    run = events.unionByName(asked).withColumn("known_filings", F.sum("new").over(along)).withColumn("amended", F.last("amended", ignorenulls=True).over(along))
+    return run.filter("kind = 1").select("issuer", "date", "known_filings", "amended")
+
+
+def snapshots(facts: DataFrame, issuers: DataFrame, formations: DataFrame) -> DataFrame:
+    """Each of ``issuers`` (issuer) at each formation: ratios, growth, ages and coverage. (O-117 to O-122, O-124)
+
+    The grid is the result. An issuer without known facts has null ratios, no filings and
+    ``missing`` 1. Ages are those of the facts that are used: ``filing_lag`` is that of the
+    last one filed (of several, with the latest end).
+    """
+    grid = issuers.select("issuer").distinct().crossJoin(F.broadcast(formations.select("date", "information")))  # a calendar: some dates a year
+    wide = matched(visible(facts, formations))
+    prior = prior_revenue(facts, wide.select("issuer", "date", "information", "annual_end"))
+    rows = grid.join(wide.drop("information"), ["issuer", "date"], "left").join(prior, ["issuer", "date"], "left").join(filing_history(facts, grid), ["issuer", "date"])
+    v = lambda c: F.col(f"{c}.value")
+    before = F.when(v("prior") > 0, F.col("prior"))
+    used = F.array_compact(F.array(*(F.col(f"a_{m}") for m in AT_ANNUAL_END), before, *(F.col(f"b_{m}") for m in AT_BALANCE_END)))
+    rows = rows.withColumn("used", used).withColumn("latest", F.array_max(F.transform("used", lambda x: F.struct(x["filed"].alias("filed"), x["end"].alias("end")))))
+    ratios = {
+        "roa": guarded_ratio(v("a_income"), v("a_assets")),
+        "operating_margin": guarded_ratio(v("a_operating_income"), v("a_revenue")),
+        "cash_flow_to_assets": guarded_ratio(v("a_cash_flow"), v("a_assets")),
+        "accruals": guarded_ratio(v("a_income") - v("a_cash_flow"), v("a_assets")),
+        "free_cash_flow": guarded_ratio(v("a_cash_flow") - v("a_capex"), v("a_assets")),
+        "equity_share": guarded_ratio(v("b_equity"), v("b_assets")),
+        "cash_share": guarded_ratio(v("b_cash"), v("b_assets")),
+        "leverage": guarded_ratio(v("b_liabilities"), v("b_assets")),
+        "current_ratio": guarded_ratio(v("b_current_assets"), v("b_current_liabilities")),
+    }
+    out = rows.select(
         "issuer",
         "date",
+        "information",
         "annual_end",
         "balance_end",
-        "known_filings",
-        guarded_ratio(c("a_income"), c("a_assets")).alias("roa"),
-        guarded_ratio(c("a_cash_flow"), c("a_assets")).alias("cash_to_assets"),
-        guarded_ratio(c("a_income"), c("a_revenue")).alias("margin"),
-        guarded_ratio(c("a_income") - c("a_cash_flow"), c("a_assets")).alias("accruals"),
-        guarded_ratio(c("a_cash_flow") - c("a_capex"), c("a_assets")).alias("free_cash_flow"),
-        guarded_ratio(c("b_equity"), c("b_assets")).alias("equity_share"),
-        guarded_ratio(c("b_liabilities"), c("b_assets")).alias("leverage"),
-        F.when(c("b_assets") > 0, F.ln("b_assets")).alias("log_assets"),
+        *(ratios[k].alias(k) for k in RATIOS),
+        (guarded_ratio(v("a_revenue"), before["value"]) - 1).alias("revenue_growth"),
+        F.when(v("b_assets") > 0, F.ln(v("b_assets"))).alias("log_assets"),
         F.date_diff("date", "annual_end").alias("annual_age"),
+        F.date_diff("date", F.col("latest.filed")).alias("report_age"),
+        F.date_diff(F.col("latest.filed"), F.col("latest.end")).alias("filing_lag"),
+        F.col("latest.filed").alias("latest_used_filed"),
+        F.array_max(F.transform("used", lambda x: x["available"])).alias("latest_used_available"),
+        "known_filings",
+        "amended",
     )
+    return out.withColumn("missing", missing_share(*(F.col(k) for k in RATIOS)))
 
 
-def revenue_growth(facts: DataFrame, seen: DataFrame) -> DataFrame:
-    """The latest revenue over that of a year before (330 to 400 days), both known by then. (O-40, O-120)"""
-    latest = picks(seen.filter("metric = 'revenue'")).select("issuer", "date", F.col("end").alias("now"), F.col("value").alias("revenue"))
-    info = seen.select("issuer", "date", "information").distinct()
-    earlier = facts.filter("metric = 'revenue'").select("issuer", F.col("end"), "value", "priority", "filed", "accn", "available")
-    both = latest.join(info, ["issuer", "date"]).join(earlier, "issuer").filter((F.col("available") <= F.col("information")) & F.date_diff("now", "end").between(*YEAR))
-    prior = both.groupBy("issuer", "date").agg(F.max_by("value", _order()).alias("before"), F.max("revenue").alias("revenue"))
-    return prior.select("issuer", "date", (guarded_ratio(F.col("revenue"), F.col("before")) - 1).alias("growth"))
-
+def quality(snapshot: DataFrame) -> DataFrame:
+    """``snapshot`` with the mean of the domains' signed ranks by date, in 0 to 1, and the coverage. (O-59, O-123)
 
-def amended_share(seen: DataFrame, last: int = 20) -> DataFrame:
-    """Of the last filings known at a date, the share that are amendments. (O-58)"""
-    filings = seen.groupBy("issuer", "date", "accn", "form").agg(F.max("filed").alias("filed"))
-    w = Window.partitionBy("issuer", "date").orderBy(F.desc("filed"), F.desc("accn"), F.desc("form"))
-    return filings.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= last).groupBy("issuer", "date").agg(F.avg(F.col("form").endswith("/A").cast("int")).alias("amended"), F.count("*").alias("filings"))
+    A missing ratio has the neutral rank 0.5, so an issuer without facts scores 0.5.
+    """
+    for domain, parts in DOMAINS.items():
+        ranks = [signed_rank(F.col(k), sign, "date") for k, sign in parts.items()]
+        snapshot = snapshot.withColumn(domain, reduce(lambda a, b: a + b, ranks) / len(ranks))
+    score = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS]) / len(DOMAINS)
+    return snapshot.withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).withColumn("coverage", 1 - F.col("missing"))
+
+
+def leaks(panel: DataFrame) -> DataFrame:
+    """name, n: rows of a snapshot panel that break a rule of time, or repeat a key. (O-124)"""
+    repeats = panel.groupBy("issuer", "date").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).select(F.lit("repeated_keys").alias("name"), "n")
+    counts = panel.agg(
+        F.count_if(~(F.col("latest_used_available") <= F.col("information"))).alias("used_before_available"),
+        F.count_if(~(F.col("information") < F.col("date"))).alias("information_not_prior"),
+        F.count_if(~(F.col("latest_used_filed") < F.col("date"))).alias("filed_not_prior"),
+    )
+    names = [c for c in counts.columns]
+    stacked = ", ".join(f"'{c}', {c}" for c in names)
+    return counts.select(F.expr(f"stack({len(names)}, {stacked}) AS (name, n)")).unionByName(repeats)

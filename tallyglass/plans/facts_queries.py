@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import missing_share, normalize_cik, normalize_ticker, signed_rank
+from tallyglass.functions.columns import normalize_cik, normalize_ticker
 from tallyglass.operators import facts as ops
 from tallyglass.operators import panel
 from tallyglass.plans.panel_queries import rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources.views import FACTS_SQL, facts, table
 
-_KEYS = 'issuer, metric, start, "end", filed, accn, priority, form, duration'
+_KEYS = ", ".join(f'"{k}"' for k in ops.KEYS)
+_FLOWS = ", ".join(f"'{x}'" for x in ops.FLOWS)
 VALID_SQL = (
     FACTS_SQL
-    + """, f1 AS (SELECT *, "end" - start AS duration FROM facts0),
+    + f""", f1 AS (SELECT *, "end" - start AS duration FROM facts0),
  f2 AS (SELECT * FROM f1 WHERE form IN ('10-K', '10-K/A', '10-Q', '10-Q/A') AND isfinite(value) AND "end" <= filed
-   AND (metric NOT IN ('revenue', 'income', 'cash_flow', 'capex') OR (duration BETWEEN 330 AND 400 AND form IN ('10-K', '10-K/A'))))"""
+   AND (metric NOT IN ({_FLOWS}) OR (duration BETWEEN 330 AND 400 AND form IN ('10-K', '10-K/A'))))"""
 )
 PREPARED_SQL = (
     VALID_SQL
-    + f""", f3 AS (SELECT {_KEYS}, min(value) AS value FROM f2 GROUP BY {_KEYS} HAVING min(value) = max(value)),
+    + f""", f3 AS (SELECT {_KEYS}, min(metric) AS metric, min(priority) AS priority, min(form) AS form, min(value) AS value FROM f2 GROUP BY {_KEYS} HAVING min(value) = max(value)),
  f AS (SELECT *, (filed + CASE dayofweek(filed) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::DATE AS available FROM f3)"""
 )
 SEEN_SQL = (
     PREPARED_SQL
     + """, cal AS (SELECT date, lag(date) OVER (ORDER BY date) AS information FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)),
- form AS (SELECT min(date) AS date, arg_min(information, date) AS information FROM cal GROUP BY date_trunc('quarter', date)),
+ form AS (SELECT date, information FROM cal WHERE information IS NOT NULL AND date IN (SELECT min(date) FROM cal GROUP BY date_trunc('quarter', date))),
  seen AS (SELECT * FROM f JOIN form ON available <= information AND "end" >= date - 550)"""
 )
-_BEST = 'ORDER BY "end" DESC, priority, filed, accn DESC'
+_BEST = 'ORDER BY "end" DESC, priority, filed DESC, accn DESC, start DESC, value DESC'
 
 
 def _prepared(spark, sf_dir):
@@ -40,7 +41,7 @@ def _formations(spark, sf_dir):
     dates = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
     cal = panel.calendar(dates).select("date", F.col("previous").alias("information"))
     first = panel.first_of_period(dates, "QUARTER").select(F.col("formation").alias("date"))
-    return first.join(cal, "date")
+    return first.join(cal, "date").filter("information IS NOT NULL")  # a formation needs a close before it
 
 
 def _seen(spark, sf_dir):
@@ -83,26 +84,62 @@ def asof_picks(spark, sf_dir):
     return ops.picks(_seen(spark, sf_dir)).select("issuer", "date", "metric", "end", "value", "filed")
 
 
-def _value(metric, end):
-    return f"""arg_max(value, (("end" - DATE '1970-01-01') * 1000 - priority) * 100000000000::HUGEINT + (40000 - (filed - DATE '1970-01-01')) * 1000000 + accn) FILTER (metric = '{metric}' AND "end" = {end})"""
+_PAIRS = {"a": ("annual_end", ops.AT_ANNUAL_END), "b": ("balance_end", ops.AT_BALANCE_END)}
+_WIDE = [(side, end, m) for side, (end, metrics) in _PAIRS.items() for m in metrics]
 
 
+def _div(a, b):
+    return f"CASE WHEN {b} > 0 THEN ({a}) / {b} END"
+
+
+_RATIO_SQL = {
+    "roa": _div("a_income", "a_assets"),
+    "operating_margin": _div("a_operating_income", "a_revenue"),
+    "equity_share": _div("b_equity", "b_assets"),
+    "cash_share": _div("b_cash", "b_assets"),
+    "leverage": _div("b_liabilities", "b_assets"),
+    "cash_flow_to_assets": _div("a_cash_flow", "a_assets"),
+    "accruals": _div("a_income - a_cash_flow", "a_assets"),
+    "free_cash_flow": _div("a_cash_flow - a_capex", "a_assets"),
+    "current_ratio": _div("b_current_assets", "b_current_liabilities"),
+}
 SNAPSHOT_SQL = (
     SEEN_SQL
-    + f""", m AS (SELECT *, max("end") FILTER (metric IN ('revenue', 'income', 'cash_flow')) OVER w AS annual_end, max("end") FILTER (metric = 'assets') OVER w AS balance_end FROM seen WINDOW w AS (PARTITION BY issuer, date)),
- x AS (SELECT issuer, date, max(annual_end) AS annual_end, max(balance_end) AS balance_end, count(DISTINCT accn) AS known_filings,
-   {", ".join(f"{_value(k, 'annual_end')} AS a_{k}" for k in ("assets", "revenue", "income", "cash_flow", "capex"))},
-   {", ".join(f"{_value(k, 'balance_end')} AS b_{k}" for k in ("assets", "liabilities", "equity"))} FROM m GROUP BY 1, 2),
- snap AS (SELECT issuer, date, annual_end, balance_end, known_filings, a_income / a_assets AS roa, a_cash_flow / a_assets AS cash_to_assets, a_income / a_revenue AS margin,
-   (a_income - a_cash_flow) / a_assets AS accruals, (a_cash_flow - a_capex) / a_assets AS free_cash_flow, b_equity / b_assets AS equity_share, b_liabilities / b_assets AS leverage,
-   ln(b_assets) AS log_assets, (date - annual_end)::INT AS annual_age FROM x)"""
+    + f""", grid AS (SELECT c_custkey AS issuer, date, information FROM customer CROSS JOIN form),
+ ends AS (SELECT issuer, date, information, max("end") FILTER (metric IN ('revenue', 'income', 'cash_flow')) AS annual_end, max("end") FILTER (metric = 'assets') AS balance_end FROM seen GROUP BY 1, 2, 3),
+ pa AS (SELECT s.* FROM seen s JOIN ends e USING (issuer, date) WHERE s."end" = annual_end QUALIFY row_number() OVER (PARTITION BY issuer, date, metric {_BEST}) = 1),
+ pb AS (SELECT s.* FROM seen s JOIN ends e USING (issuer, date) WHERE s."end" = balance_end QUALIFY row_number() OVER (PARTITION BY issuer, date, metric {_BEST}) = 1),
+ pp AS (SELECT e.issuer, e.date, f.value, f.filed, f.available, f."end" FROM ends e JOIN f ON f.issuer = e.issuer AND f.metric = 'revenue' AND f.available <= e.information AND annual_end - f."end" BETWEEN 330 AND 400
+   QUALIFY row_number() OVER (PARTITION BY e.issuer, e.date ORDER BY f."end" DESC, f.priority, f.filed DESC, f.accn DESC, f.start DESC, f.value DESC) = 1),
+ used AS (SELECT issuer, date, filed, available, "end" FROM pa WHERE metric IN ({", ".join(f"'{m}'" for m in ops.AT_ANNUAL_END)})
+   UNION ALL SELECT issuer, date, filed, available, "end" FROM pb WHERE metric IN ({", ".join(f"'{m}'" for m in ops.AT_BALANCE_END)}) UNION ALL SELECT issuer, date, filed, available, "end" FROM pp WHERE value > 0),
+ ages AS (SELECT issuer, date, max(filed) AS latest_used_filed, max(available) AS latest_used_available FROM used GROUP BY 1, 2),
+ lag AS (SELECT issuer, date, min(filed - "end") AS filing_lag FROM used JOIN ages USING (issuer, date) WHERE filed = latest_used_filed GROUP BY 1, 2),
+ wa AS (SELECT issuer, date, {", ".join(f"max(value) FILTER (metric = '{m}') AS a_{m}" for m in ops.AT_ANNUAL_END)} FROM pa GROUP BY 1, 2),
+ wb AS (SELECT issuer, date, {", ".join(f"max(value) FILTER (metric = '{m}') AS b_{m}" for m in ops.AT_BALANCE_END)} FROM pb GROUP BY 1, 2),
+ fil AS (SELECT issuer, available, filed, accn, form, min((("end" - DATE '1970-01-01') * 100 + priority)::BIGINT) AS o FROM f GROUP BY 1, 2, 3, 4, 5),
+ kf AS (SELECT g.issuer, g.date, count(DISTINCT accn) AS known_filings FROM grid g LEFT JOIN fil ON fil.issuer = g.issuer AND available <= information GROUP BY 1, 2),
+ am AS (SELECT issuer, date, avg((form LIKE '%/A')::INT) AS amended FROM (SELECT g.issuer, g.date, form FROM grid g JOIN fil ON fil.issuer = g.issuer AND available <= information
+   QUALIFY row_number() OVER (PARTITION BY g.issuer, g.date ORDER BY available DESC, o DESC, accn DESC, form DESC) <= 20) GROUP BY 1, 2),
+ s0 AS (SELECT grid.*, annual_end, balance_end, wa.* EXCLUDE (issuer, date), wb.* EXCLUDE (issuer, date), CASE WHEN pp.value > 0 THEN pp.value END AS prior, latest_used_filed, latest_used_available, filing_lag, known_filings, amended
+   FROM grid LEFT JOIN ends USING (issuer, date) LEFT JOIN wa USING (issuer, date) LEFT JOIN wb USING (issuer, date) LEFT JOIN pp USING (issuer, date) LEFT JOIN ages USING (issuer, date) LEFT JOIN lag USING (issuer, date)
+   LEFT JOIN kf USING (issuer, date) LEFT JOIN am USING (issuer, date)),
+ s1 AS (SELECT issuer, date, information, annual_end, balance_end, {", ".join(f"{_RATIO_SQL[k]} AS {k}" for k in ops.RATIOS)}, {_div("a_revenue", "prior")} - 1 AS revenue_growth, CASE WHEN b_assets > 0 THEN ln(b_assets) END AS log_assets,
+   (date - annual_end)::INT AS annual_age, (date - latest_used_filed)::INT AS report_age, filing_lag::INT AS filing_lag, latest_used_filed, latest_used_available, known_filings, amended FROM s0),
+ snap AS (SELECT *, ({" + ".join(f"({k} IS NULL)::INT" for k in ops.RATIOS)}) / {len(ops.RATIOS)}.0 AS missing FROM s1)"""
 )
-_RATIOS = ("roa", "cash_to_assets", "margin", "accruals", "free_cash_flow", "equity_share", "leverage", "log_assets")
+_ROUND = (*ops.RATIOS, "revenue_growth", "log_assets", "amended", "missing")
+
+
+def _snapshots(spark, sf_dir):
+    issuers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer"))
+    return ops.snapshots(_prepared(spark, sf_dir), issuers, _formations(spark, sf_dir))
 
 
-@query("fundamental_snapshots", f"WITH {SNAPSHOT_SQL} SELECT issuer, date, annual_end, balance_end, known_filings, annual_age, {', '.join(f'round({k}, 6) AS {k}' for k in _RATIOS)} FROM snap")
+@query("fundamental_snapshots", f"WITH {SNAPSHOT_SQL} SELECT * EXCLUDE ({', '.join(_ROUND)}), {', '.join(f'round({k}, 6) AS {k}' for k in _ROUND)} FROM snap")
 def fundamental_snapshots(spark, sf_dir):
-    return rounded(ops.snapshots(_seen(spark, sf_dir)))
+    """Ratios, growth, staleness and coverage of every issuer at every formation. (O-39, O-40, O-58, O-117 to O-122)"""
+    return rounded(_snapshots(spark, sf_dir))
 
 
 def _p(x, sign, group="date"):
@@ -110,58 +147,50 @@ def _p(x, sign, group="date"):
     return f"CASE WHEN {x} IS NULL THEN 0.5 ELSE ({rank} - 0.5) * {sign} + 0.5 END"
 
 
-_SIGNS = {"roa": 1, "margin": 1, "cash_to_assets": 1, "free_cash_flow": 1, "accruals": -1, "leverage": -1, "equity_share": 1, "log_assets": 1}
+_SIGNS = {k: s for d in ops.DOMAINS.values() for k, s in d.items()}
+QUALITY_SQL = (
+    SNAPSHOT_SQL
+    + f""", ranks AS (SELECT issuer, date, missing, {", ".join(f"{_p(k, s)} AS {k}" for k, s in _SIGNS.items())} FROM snap),
+ doms AS (SELECT issuer, date, missing, {", ".join(f"({' + '.join(parts)}) / {len(parts)}.0 AS {d}" for d, parts in ops.DOMAINS.items())} FROM ranks),
+ qual AS (SELECT issuer, date, {", ".join(ops.DOMAINS)}, least(greatest(({" + ".join(ops.DOMAINS)}) / {len(ops.DOMAINS)}.0, 0), 1) AS score, 1 - missing AS coverage FROM doms)"""
+)
 
 
-@query(
-    "quality_scores",
-    f"""WITH {SNAPSHOT_SQL}, r AS (SELECT issuer, date, {", ".join(f"{_p(k, s)} AS {k}" for k, s in _SIGNS.items())},
-   ({" + ".join(f"({k} IS NULL)::INT" for k in _SIGNS)}) / {len(_SIGNS)}.0 AS missing FROM snap)
-SELECT issuer, date, round(least(greatest(((roa + margin) / 2 + (cash_to_assets + free_cash_flow + accruals) / 3 + (leverage + equity_share) / 2 + log_assets) / 4, 0), 1), 6) AS score,
-  round(1 - missing, 6) AS coverage FROM r""",
-)
+@query("quality_scores", f"WITH {QUALITY_SQL} SELECT issuer, date, {', '.join(f'round({k}, 6) AS {k}' for k in (*ops.DOMAINS, 'score', 'coverage'))} FROM qual")
 def quality_scores(spark, sf_dir):
     """The mean of four domains of signed cross-sectional ranks, and how much was known. (O-59, O-123)"""
-    snap = ops.snapshots(_seen(spark, sf_dir))
-    r = {k: signed_rank(F.col(k), s, "date") for k, s in _SIGNS.items()}
-    ranked = snap.select("issuer", "date", missing_share(*(F.col(k) for k in _SIGNS)).alias("missing"), *(c.alias(k) for k, c in r.items()))
-    c = F.col
-    score = ((c("roa") + c("margin")) / 2 + (c("cash_to_assets") + c("free_cash_flow") + c("accruals")) / 3 + (c("leverage") + c("equity_share")) / 2 + c("log_assets")) / 4
-    return rounded(ranked.select("issuer", "date", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"), (1 - c("missing")).alias("coverage")))
+    return rounded(ops.quality(_snapshots(spark, sf_dir)).select("issuer", "date", *ops.DOMAINS, "score", "coverage"))
 
 
-@query(
-    "known_grid",
-    f"""WITH {SNAPSHOT_SQL} SELECT c_custkey AS issuer, form.date, coalesce(known_filings, 0) AS known_filings, CASE WHEN snap.issuer IS NULL THEN 1.0 ELSE 0.0 END AS unknown
-FROM customer CROSS JOIN form LEFT JOIN snap ON snap.issuer = c_custkey AND snap.date = form.date""",
-)
+@query("known_grid", f"WITH {QUALITY_SQL} SELECT issuer, date, known_filings, round(missing, 6) AS missing, round(score, 6) AS score FROM snap JOIN qual USING (issuer, date) WHERE known_filings = 0")
 def known_grid(spark, sf_dir):
-    """Every issuer at every formation, unknown ones neutral: the grid is the result. (O-122, O-124)"""
-    formations = _formations(spark, sf_dir).select("date")  # a few dates a year
-    grid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer")).crossJoin(formations)
-    snap = ops.snapshots(_seen(spark, sf_dir)).select("issuer", "date", "known_filings")
-    return grid.join(snap, ["issuer", "date"], "left").select("issuer", "date", F.coalesce("known_filings", F.lit(0)).alias("known_filings"), F.when(F.col("known_filings").isNull(), 1.0).otherwise(0.0).alias("unknown"))
+    """The neutral rows: issuers of which nothing is known yet. (O-122)"""
+    return rounded(ops.quality(_snapshots(spark, sf_dir)).filter("known_filings = 0").select("issuer", "date", "known_filings", "missing", "score"))
 
 
 @query(
-    "revenue_growth",
-    f"""WITH {SEEN_SQL}, l AS (SELECT issuer, date, information, "end" AS now, value AS revenue FROM seen WHERE metric = 'revenue' QUALIFY row_number() OVER (PARTITION BY issuer, date {_BEST}) = 1),
- b AS (SELECT l.issuer, l.date, revenue, f.value FROM l JOIN f ON f.issuer = l.issuer AND f.metric = 'revenue' AND f.available <= l.information AND now - f."end" BETWEEN 330 AND 400
-   QUALIFY row_number() OVER (PARTITION BY l.issuer, l.date ORDER BY f."end" DESC, f.priority, f.filed, f.accn DESC) = 1)
-SELECT issuer, date, round(revenue / value - 1, 6) AS growth FROM b""",
+    "snapshot_checks",
+    f"""WITH {SNAPSHOT_SQL} SELECT 'repeated_keys' AS name, (SELECT count(*) - count(DISTINCT (issuer, date)) FROM snap) AS n
+UNION ALL SELECT 'used_before_available', count(*) FILTER (NOT latest_used_available <= information) FROM snap
+UNION ALL SELECT 'information_not_prior', count(*) FILTER (NOT information < date) FROM snap
+UNION ALL SELECT 'filed_not_prior', count(*) FILTER (NOT latest_used_filed < date) FROM snap""",
 )
+def snapshot_checks(spark, sf_dir):
+    """Violations of the rules of time in the whole panel. (O-124)"""
+    return ops.leaks(_snapshots(spark, sf_dir))
+
+
+@query("revenue_growth", f"WITH {SNAPSHOT_SQL} SELECT issuer, date, annual_end, round(revenue_growth, 6) AS growth FROM snap WHERE revenue_growth IS NOT NULL")
 def revenue_growth(spark, sf_dir):
-    return rounded(ops.revenue_growth(_prepared(spark, sf_dir), _seen(spark, sf_dir)))
+    """Revenue of the annual end over that of a year before, both known by then. (O-40, O-120)"""
+    return rounded(_snapshots(spark, sf_dir).filter("revenue_growth IS NOT NULL").select("issuer", "date", "annual_end", F.col("revenue_growth").alias("growth")))
 
 
-@query(
-    "amended_share",
-    f"""WITH {SEEN_SQL}, d AS (SELECT issuer, date, accn, form, max(filed) AS filed FROM seen GROUP BY ALL),
- k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY issuer, date ORDER BY filed DESC, accn DESC, form DESC) <= 20)
-SELECT issuer, date, round(avg((form LIKE '%/A')::INT), 6) AS amended, count(*) AS filings FROM k GROUP BY 1, 2""",
-)
+@query("amended_share", f"WITH {SNAPSHOT_SQL} SELECT issuer, date, known_filings, round(amended, 6) AS amended FROM snap WHERE known_filings > 0")
 def amended_share(spark, sf_dir):
-    return rounded(ops.amended_share(_seen(spark, sf_dir)))
+    """Known filings, and the share of amendments among the last 20. (O-58)"""
+    grid = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer")).crossJoin(F.broadcast(_formations(spark, sf_dir)))  # a calendar
+    return rounded(ops.filing_history(_prepared(spark, sf_dir), grid).filter("known_filings > 0"))
 
 
 @query(

@@ -44,23 +44,26 @@ RETURNS_SQL = (
   SELECT *, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM bars)"""
 )
 
-FACTS_SQL = """facts0 AS (
-  SELECT o_custkey AS issuer, ['assets', 'revenue', 'income', 'cash_flow', 'liabilities', 'equity', 'capex'][l_linenumber] AS metric,
+#: The metric of an order line by its number, for even and for odd suppliers.
+METRICS = ["assets", "revenue", "income", "cash_flow", "liabilities", "equity", "capex"] + ["assets", "revenue", "operating_income", "cash", "current_assets", "current_liabilities", "capex"]
+
+FACTS_SQL = f"""facts0 AS (
+  SELECT *, metric || '_' || priority AS concept FROM (SELECT o_custkey AS issuer, {METRICS}[l_linenumber + 7 * (l_suppkey % 2)] AS metric,
          l_extendedprice AS value, (o_orderdate::DATE - (CASE WHEN l_partkey % 2 = 0 THEN 364 ELSE 90 END)::INT)::DATE AS start, o_orderdate::DATE AS "end",
          l_shipdate::DATE AS filed, l_orderkey AS accn, (l_suppkey % 3)::INT AS priority,
          CASE l_returnflag WHEN 'A' THEN '10-K/A' WHEN 'N' THEN '10-K' WHEN 'R' THEN '10-Q' END AS form
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """issuer, metric, value, start, end, filed, accn, priority, form."""
+    """issuer, metric, concept, value, start, end, filed, accn, priority, form."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    names = F.array(*map(F.lit, ["assets", "revenue", "income", "cash_flow", "liabilities", "equity", "capex"]))
+    names = F.array(*map(F.lit, METRICS))
     end = F.col("o_orderdate").cast("date")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
+    found = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("issuer"),
-        F.get(names, F.col("l_linenumber").cast("int") - 1).alias("metric"),
+        F.get(names, (F.col("l_linenumber") - 1 + 7 * (F.col("l_suppkey") % 2)).cast("int")).alias("metric"),
         F.col("l_extendedprice").alias("value"),
         F.date_sub(end, F.when(F.col("l_partkey") % 2 == 0, 364).otherwise(90)).alias("start"),
         end.alias("end"),
@@ -69,3 +72,4 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 3).cast("int").alias("priority"),
         F.expr("CASE l_returnflag WHEN 'A' THEN '10-K/A' WHEN 'N' THEN '10-K' WHEN 'R' THEN '10-Q' END").alias("form"),
     )
+    return found.withColumn("concept", F.concat("metric", F.lit("_"), F.col("priority").cast("string")))

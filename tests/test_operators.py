@@ -79,11 +79,11 @@ def test_columns(spark):
     assert tuple(row(c.normalize_cik(F.lit(" 320193.0 ")).alias("a"), c.normalize_cik(F.lit("x")).alias("b"), c.normalize_ticker(F.lit(" brk-b ")).alias("d"))) == ("0000320193", None, "BRK.B")
 
 
-FACT = "issuer string, metric string, value double, start date, end date, filed date, accn string, priority int, form string"
+FACT = "issuer string, metric string, concept string, value double, start date, end date, filed date, accn string, priority int, form string"
 
 
-def fact(value, end, filed, form="10-K", metric="assets", accn="a", start=None):
-    return ("A", metric, value, start, end, filed, accn, 0, form)
+def fact(value, end, filed, form="10-K", metric="assets", accn="a", start=None, priority=0, issuer="A"):
+    return (issuer, metric, f"{metric}{priority}", value, start, end, filed, accn, priority, form)
 
 
 @pytest.mark.parametrize(
@@ -116,6 +116,88 @@ def test_conflicts_and_invalid_facts_are_left_out(spark):
     assert facts.prepared(df.limit(0)).count() == 0
 
 
+def test_a_restatement_of_the_same_period_changes_only_later_snapshots(spark):
+    rows = [fact(100.0, D(2019, 12, 31), D(2020, 2, 3), accn="first"), fact(120.0, D(2019, 12, 31), D(2020, 2, 20), "10-K/A", accn="amended")]
+    forms = spark.createDataFrame([(D(2020, 2, 5), D(2020, 2, 4)), (D(2020, 2, 24), D(2020, 2, 21))], "date date, information date")
+    issuers = spark.createDataFrame([("A",), ("B",)], "issuer string")
+    df = facts.quality(facts.snapshots(facts.prepared(spark.createDataFrame(rows, FACT)), issuers, forms))
+    got = {(r["issuer"], r["date"].day): r for r in df.collect()}
+    assert got["A", 5]["log_assets"] == math.log(100) and got["A", 24]["log_assets"] == math.log(120)
+    assert (got["A", 24]["known_filings"], got["A", 24]["amended"], got["A", 24]["report_age"], got["A", 24]["filing_lag"]) == (2, 0.5, 4, 51)
+    absent = got["B", 24]
+    assert (absent["known_filings"], absent["coverage"], absent["score"], absent["latest_used_available"]) == (0, 0.0, 0.5, None)
+    empty = facts.quality(facts.snapshots(facts.prepared(spark.createDataFrame([], FACT)), issuers, forms)).collect()
+    assert len(empty) == 4 and all(r["score"] == 0.5 and r["coverage"] == 0 for r in empty)
+
+
+def test_keys_of_several_values_are_conflicts_also_across_forms(spark):
+    e, f = D(2019, 12, 31), D(2020, 2, 3)
+    rows = [fact(1.0, e, f, "10-K"), fact(2.0, e, f, "10-K/A"), fact(3.0, e, f, "10-K", accn="b"), fact(3.0, e, f, "10-K/A", accn="b")]
+    assert [(r["accn"], r["value"]) for r in facts.prepared(spark.createDataFrame(rows, FACT)).collect()] == [("b", 3.0)]
+
+
+def plain_snapshot(known, date):
+    """One issuer at one date, fact by fact: ``known`` is what it had filed in time."""
+    best = lambda fs: max(fs, key=lambda f: (f["end"], -f["priority"], f["filed"], f["accn"], f["start"], f["value"]), default=None)
+    of = lambda metric, end: best([f for f in known if f["metric"] == metric and f["end"] == end])
+    fresh = [f for f in known if f["end"] >= date - dt.timedelta(550)]
+    annual = max((f["end"] for f in fresh if f["metric"] in ("revenue", "income", "cash_flow")), default=None)
+    balance = max((f["end"] for f in fresh if f["metric"] == "assets"), default=None)
+    a = {m: of(m, annual) for m in ("assets", "income", "cash_flow", "revenue", "operating_income", "capex")}
+    b = {m: of(m, balance) for m in ("assets", "equity", "cash", "liabilities", "current_assets", "current_liabilities")}
+    before = best([f for f in known if f["metric"] == "revenue" and annual and 330 <= (annual - f["end"]).days <= 400])
+    before = before if before and before["value"] > 0 else None
+    v = lambda f: f["value"] if f else None
+    minus = lambda x, y: None if x is None or y is None else x - y
+    div = lambda x, y: x / y if x is not None and y is not None and y > 0 else None
+    used = [f for f in (*a.values(), *b.values(), before) if f]
+    last = max(used, key=lambda f: (f["filed"], f["end"]), default=None)
+    filings = {}
+    for f in sorted(known, key=lambda f: (f["available"], f["end"], f["priority"], f["accn"], f["form"])):
+        filings.setdefault((f["filed"], f["accn"], f["form"]), f)
+    recent = list(filings)[-20:]
+    growth = div(v(a["revenue"]), v(before))
+    out = {
+        "roa": div(v(a["income"]), v(a["assets"])),
+        "operating_margin": div(v(a["operating_income"]), v(a["revenue"])),
+        "cash_flow_to_assets": div(v(a["cash_flow"]), v(a["assets"])),
+        "accruals": div(minus(v(a["income"]), v(a["cash_flow"])), v(a["assets"])),
+        "free_cash_flow": div(minus(v(a["cash_flow"]), v(a["capex"])), v(a["assets"])),
+        "equity_share": div(v(b["equity"]), v(b["assets"])),
+        "cash_share": div(v(b["cash"]), v(b["assets"])),
+        "leverage": div(v(b["liabilities"]), v(b["assets"])),
+        "current_ratio": div(v(b["current_assets"]), v(b["current_liabilities"])),
+    }
+    out["missing"] = sum(x is None for x in out.values()) / 9
+    out |= {"revenue_growth": None if growth is None else growth - 1, "log_assets": math.log(v(b["assets"])) if v(b["assets"]) and v(b["assets"]) > 0 else None}
+    out |= {"annual_age": (date - annual).days if annual else None, "report_age": (date - last["filed"]).days if last else None, "filing_lag": (last["filed"] - last["end"]).days if last else None}
+    out |= {"latest_used_available": max((f["available"] for f in used), default=None), "known_filings": len({f["accn"] for f in known}), "amended": sum(k[2].endswith("/A") for k in recent) / len(recent) if recent else None}
+    return out
+
+
+def test_snapshots_equal_the_rule_fact_by_fact(spark):
+    rng = np.random.default_rng(8)
+    metrics = [*facts.AT_ANNUAL_END, *facts.AT_BALANCE_END]
+    rows, ends = [], [D(2015, 12, 31) + dt.timedelta(int(91.3 * k)) for k in range(20)]
+    for k in range(1500):
+        issuer, metric, end = str(rng.choice(["A", "B", "C"])), str(rng.choice(metrics)), ends[int(rng.integers(20))]
+        annual = metric in facts.FLOWS
+        filed = end + dt.timedelta(int(rng.integers(5, 400)))
+        rows.append(fact(float(rng.integers(-20, 100)), end, filed, str(rng.choice(facts.ANNUAL_FORMS if annual else facts.FORMS)), metric, f"{issuer}{filed}{k % 3}", end - dt.timedelta(364 if annual else 90), int(rng.integers(2)), issuer))
+    prepared = facts.prepared(spark.createDataFrame(rows, FACT)).cache()
+    known = [r.asDict() for r in prepared.collect()]
+    dates = [(D(2017, 1, 3) + dt.timedelta(31 * k), D(2017, 1, 2) + dt.timedelta(31 * k)) for k in range(40)]
+    forms = spark.createDataFrame(dates, "date date, information date")
+    panel_ = facts.snapshots(prepared, spark.createDataFrame([("A",), ("B",), ("C",), ("none",)], "issuer string"), forms).cache()
+    got = panel_.collect()
+    assert len(got) == 160 and sum(r["revenue_growth"] is not None for r in got) > 10
+    for r in got:
+        want = plain_snapshot([f for f in known if f["issuer"] == r["issuer"] and f["available"] <= r["information"]], r["date"])
+        for k, x in want.items():
+            assert r[k] == (pytest.approx(x) if isinstance(x, float) else x), (r["issuer"], r["date"], k)
+    assert {r["name"]: r["n"] for r in facts.leaks(panel_).collect()} == dict.fromkeys(("repeated_keys", "used_before_available", "information_not_prior", "filed_not_prior"), 0)
+
+
 def test_prior_windows_see_nothing_of_their_own_day(spark):
     rng = np.random.default_rng(1)
     rows = [(d, 0, float(100 * (1 + x))) for d, x in zip(days(40), rng.normal(0, 0.1, 40))]
