@@ -1,36 +1,46 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, are compared by their log-likelihood
-per word. For class c, with discount D,
-
-    P_c(w | v) = max(n_c(v w) - D, 0) / n_c(v) + g_c(v) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / N_c + l * P(w | s) * P_c(s)
-
-where g hands on what the discounts free, and s is a stem of w: its first 6 bytes, whose
-own stem is its first 4. The weights l and P(w | s) come from counts that both classes
-share, and so does P(s) below the shortest stem, the Kneser-Ney continuation: in how many
-different words' company s follows, over all documents. So expressions that are rare in
-one class are smoothed alike, and an unknown word is told by its stem.
+Two bigram models, of toxic and of ordinary texts, are compared by their log-likelihoods.
+For class c, with discount D and counts of word pairs n_c,
+
+    P_c(w | v) = (1 - l(v)) max(n_c(v w) - D, 0) / A_c(v) + l(v) P_c(w)
+    P_c(w)     = (1 - l)    max(N_c(. w) - D, 0) / A_c    + l    P_c(s) P(w | s)
+    P_c(s)     = (1 - l_s)  max(N_c(. s) - D, 0) / B_c    + l_s  P(k) P(s | k)
+
+N_c(. w) is in how many different words' company w follows (the continuation count), s the
+word's stem, its first 6 bytes, and N_c(. s) the sum over its words; A and B are the sums of
+what stands above them, so every distribution sums to one. The weights l are the shares of
+both classes' counts that the discounts free; l(v) is 1 where a class has nothing left. They
+are the same for both classes, so what neither class knows speaks for neither. What
+they hand on goes by counts that both classes share: P(w | s) and P(s | k) in proportion to
+the continuation counts of both classes together (with one more for all that are not known),
+and P(k), the Kneser-Ney continuation over all documents of the class k of the word's first 4
+bytes: in how many different classes' company k follows. So expressions that are rare in one
+class are smoothed alike, and an unknown word is told by its stem. The start of a text is a
+word. D is 3, for the toxic rows are few: what two or three of them happen to say is left to
+the shared counts whole.
 
 The class counts come from at most ``max_rows`` labelled rows (chosen by a hash of the
-id), so the tables have a bounded size; n-grams below ``MIN_COUNT`` there are left to the
-backoff. The continuation counts cover every text of ``docs``; each word's company is a
-64-bit linear counter that tasks merge, which is exact enough for rare words and levels
-off at about 270 for frequent ones.
+id), every pair of which counts, so the tables have a bounded size. The shared counts cover
+every text of ``docs``: tasks hand on their different pairs, which meet in a shuffle and are
+counted exactly. First 4 bytes are hashed to 2 ** ``CLASS_BITS`` classes, so that table has a
+fixed size whatever the corpus.
 
-The log-likelihood difference is turned into a probability by a logistic curve in it and
-in the share of words that speak for toxicity, fitted on every fifth labelled row, which
-the class counts leave out.
+The difference of the log-likelihoods is normalised by length in two ways: per word, and, for
+words whose own difference is beyond ``STRONG``, per root of the number of words, so that an
+insult in a long text is not averaged away. A logistic curve in both, fitted on every fifth
+labelled row, which the class counts leave out, turns them into a probability.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value for none;
 labels that are null or outside the training folds are not looked at; with no labels of
-one class every score is that class's share. Repeated rows are scored each for itself.
+one class every score is that class's share (0 without any labels). A label that repeats for
+an id counts as toxic if one is. Repeated rows are scored each for itself; a null id is not
+held out. An empty table gives an empty result. A very long text is scored whole, alone.
+Columns other than doc_id, text and toxic are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,23 +50,24 @@ from tallyglass.llm.common import fold, fold_of, mix64, saved, text_chunks, word
 
 #: Labelled rows that the class counts and the curve are fitted on, at most (about).
 MAX_ROWS = 20_000
-DISCOUNT = 0.75
+DISCOUNT = 3
 THRESHOLD = 0.3
-MIN_COUNT = 4
-#: Bytes of the stems, shortest first; 0 is the whole word.
+#: Log-likelihood difference from which on a word counts by itself.
+STRONG = 2.5
+#: Bytes of the stems: of the shared classes, and of a word's stem; 0 is the whole word.
 STEMS = (4, 6, 0)
-#: A word speaks for toxicity if its log-likelihood difference is beyond this.
-STRONG = 3.0
+CLASS_BITS = 20
+#: Different pairs of classes that a task remembers, not to hand them on again.
+REMEMBERED = 2_000_000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for the start of a text.
+START = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that separate words: ASCII characters other than letters.
 SEPARATORS = np.ones(256, bool)
 SEPARATORS[65:91] = SEPARATORS[97:123] = False
 SEPARATORS[128:] = False
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[SEPARATORS] = 0x20
-#: Size of a linear counter, and its estimates by the number of set bits.
-_WIDTH = 64
-_ESTIMATE = np.array([_WIDTH * np.log(_WIDTH / max(_WIDTH - k, 0.9)) for k in range(_WIDTH + 1)])
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -67,75 +78,110 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     return [h for h, _, _ in found], np.diff(np.searchsorted(found[0][1], offsets))
 
 
-def pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word pairs within texts, and where each pair's second word is."""
-    second = np.ones(len(h), bool)
-    begin = (np.cumsum(n) - n)[n > 0]
-    second[begin] = False
-    at = np.flatnonzero(second)
-    return mix64(h[at - 1] * _PAIR + h[at]), at
+def classes(stem: np.ndarray) -> np.ndarray:
+    """The shared classes of words, by the hashes of their first bytes."""
+    return stem >> np.uint64(64 - CLASS_BITS)
+
+
+def before(h: np.ndarray, n: np.ndarray, start: np.uint64 = START) -> np.ndarray:
+    """What stands before each word: the word before it, or the start of its text."""
+    out = np.empty(len(h), np.uint64)
+    out[1:] = h[:-1]
+    out[(np.cumsum(n) - n)[n > 0]] = start
+    return out
+
+
+def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(v * _PAIR + w)
+
+
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of ``keys`` in a sorted table; its length for those that it lacks."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return np.where(table[at] == keys, at, len(table))
+
+
+def left(n: np.ndarray) -> np.ndarray:
+    """What the discount leaves of counts."""
+    return np.maximum(n - DISCOUNT, 0).astype(np.float64)
+
+
+def mixed(counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """A level's own probabilities in both classes, with a row of zeros for what it lacks, and the weight that it hands on."""
+    own = left(counts)
+    handed = 1 - own.sum() / counts.sum() if counts.sum() and (own.sum(0) > 0).all() else 1.0
+    return np.concatenate([(1 - handed) * own / np.maximum(own.sum(0), 1e-9), np.zeros((1, 2))]), handed
 
 
 class Model:
     """Sorted tables of both classes (0 ordinary, 1 toxic), and the curve.
 
-    ``levels``: (hashes, counts in both classes) for each of STEMS; ``bigrams``: (hashes,
-    first words, counts).
+    ``words``: hash, stem, class and the continuation counts (two columns) of each word;
+    ``contexts``: hash, both classes' counts and what the discount leaves of them in each class;
+    ``pairs``: first word, second word, counts, of the pairs of which it leaves something.
     """
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], bigrams: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray, types: list[int]):
-        self.keys = [k for k, _ in levels]
-        self.totals = np.maximum(totals.astype(np.float64), 1)
-        told = [np.concatenate([c, np.zeros((1, 2))]).astype(np.float64) for _, c in levels]
-        self.own = [np.maximum(c - DISCOUNT, 0) / self.totals for c in told]
-        self.sums = [c.sum(1) for c in told]
-        self.spare = [DISCOUNT * t / self.totals.sum() for t in types]
-        self.bigrams, contexts, n = bigrams
-        at = find(self.keys[-1], contexts)
-        self.bigram_p = np.maximum(n - DISCOUNT, 0) / np.maximum(told[-1][at], 1.0)
-        freed = np.ones((len(self.keys[-1]) + 1, 2))
-        np.subtract.at(freed, at, self.bigram_p)
-        self.freed = np.maximum(freed, 0.05)
-        self.curve = np.array([-2.0, 1.0, 0.0])
-        self.share = 0.0
+    def __init__(self, words: tuple, contexts: tuple, pairs: tuple):
+        w, stem, k, m = words
+        order = np.argsort(w)
+        self.words, stem, k, m = w[order], stem[order], k[order].astype(np.int64), m[order].astype(np.float64).reshape(-1, 2)
+        self.known = m.sum(0)
+        self.own_words, self.from_words = mixed(m)
+        self.both_words = np.append(m.sum(1), 1.0)
+        self.stems, first, of = np.unique(stem, return_index=True, return_inverse=True)
+        by_stem = np.stack([np.bincount(of, m[:, c], len(self.stems)) for c in (0, 1)], 1)
+        self.own_stems, self.from_stems = mixed(by_stem)
+        self.both_stems = np.append(by_stem.sum(1), 0.0)
+        self.in_class = np.bincount(k[first], by_stem.sum(1), 1 << CLASS_BITS)
+        self.shared = np.full(1 << CLASS_BITS, 2.0**-CLASS_BITS)
+        v, n, rest = contexts
+        order = np.argsort(v)
+        self.contexts, n, rest = v[order], n[order].astype(np.float64), rest[order].astype(np.float64).reshape(-1, 2)
+        handed = np.append(np.where((rest > 0).all(1), 1 - rest.sum(1) / np.maximum(n, 1), 1.0), 1.0)
+        self.handed = handed.astype(np.float32)
+        v, w, n = pairs
+        key = pair(v, w)
+        order = np.argsort(key)
+        self.pairs = key[order]
+        at = find(self.contexts, v[order])
+        own = (1 - handed[at])[:, None] * left(n.reshape(-1, 2)[order]) / np.concatenate([np.maximum(rest, 1e-9), np.ones((1, 2))])[at]
+        self.own_pairs = np.concatenate([own, np.zeros((1, 2))]).astype(np.float32)
+        self.curve = np.array([-2.0, 1.0, 1.0])
 
     def with_continuation(self, company: np.ndarray) -> None:
-        """Set the shared backoff: ``company`` counts each shortest stem's predecessors over all documents."""
-        total = company.sum() + 0.5 * (len(company) + 1)
-        self.shared = np.append(company + 0.5, 0.5) / total
+        """Set P(k): ``company`` has for each class the number of different classes that it follows."""
+        self.shared = (company + 0.5) / (company.sum() + 0.5 * len(company))
+
+    def probabilities(self, hashes: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """P_c(w | v) of each word of texts with ``n`` words, in both classes."""
+        first, stem, h = hashes
+        k = classes(first).astype(np.int64)
+        a, b = find(self.stems, stem), find(self.words, h)
+        both = self.both_stems[a]
+        p = self.shared[k] * np.where(a < len(self.stems), both, 1.0) / (self.in_class[k] + 1.0)
+        p = self.own_stems[a] + self.from_stems * p[:, None]
+        p = self.own_words[b] + self.from_words * p * (self.both_words[b] / (both + 1.0))[:, None]
+        v = before(h, n)
+        return self.own_pairs[find(self.pairs, pair(v, h))] + self.handed[find(self.contexts, v)][:, None] * p
 
     def evidence(self, hashes: list[np.ndarray], n: np.ndarray) -> np.ndarray:
-        """Per text: mean log-likelihood difference of its words, and the share of words with a strong one."""
-        texts = len(n)
-        if not len(hashes[0]):
-            return np.zeros((texts, 2))
-        p, below = None, None
-        for keys, h, own, sums, spare in zip(self.keys, hashes, self.own, self.sums, self.spare):
-            at = find(keys, h)
-            if p is None:
-                p = own[at] + max(spare, 1e-6) * self.shared[at][:, None]
-            else:
-                part = np.minimum(sums[at] / np.maximum(below, 1.0), 1.0)[:, None]
-                p = np.where((at < len(keys))[:, None], own[at] + spare * part * p, p)
-            below = np.where(at < len(keys), sums[at], below if below is not None else 1.0)
-        key, second = pairs(hashes[-1], n)
-        known = find(self.bigrams, key)
-        context = at[second - 1]
-        hit = known < len(self.bigrams)
-        q = p[second[hit]] * self.freed[context[hit]] + self.bigram_p[known[hit]]
-        p[second[hit]] = q
+        """For each text the difference of its log-likelihoods per word, and that of its strong words per root of its length."""
+        p = self.probabilities(hashes, n)
         told = np.log(p[:, 1] / p[:, 0])
-        owner = np.repeat(np.arange(texts), n)
-        count = np.maximum(n, 1)
-        return np.stack([np.bincount(owner, told, texts) / count, np.bincount(owner, told > STRONG, texts) / count], 1)
+        owner = np.repeat(np.arange(len(n)), n)
+        length = np.maximum(n, 1)
+        strong = np.bincount(owner, np.where(told > STRONG, told, 0.0), len(n))
+        return np.stack([np.bincount(owner, told, len(n)) / length, strong / np.sqrt(length)], 1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        z = self.curve[0] + self.curve[1] * evidence[:, 0] + self.curve[2] * np.sqrt(evidence[:, 1])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + evidence @ self.curve[1:], -30, 30)))
 
     def fit_curve(self, evidence: np.ndarray, label: np.ndarray) -> None:
         """Logistic regression by Newton steps with a small ridge."""
-        x = np.stack([np.ones(len(label)), evidence[:, 0], np.sqrt(evidence[:, 1])], 1)
+        x = np.concatenate([np.ones((len(label), 1)), evidence], 1)
         w = np.zeros(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -148,15 +194,6 @@ class Model:
         self.curve = w
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of ``keys`` in a sorted table; its length for those that it lacks."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return np.where(table[at] == keys, at, len(table))
-
-
 def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """text, toxic, held (every fifth) of the labelled rows that the model is fitted on.
 
@@ -184,99 +221,84 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).mapInArrow(run, "text string, toxic int, held boolean")
 
 
-def counts(rows: DataFrame) -> tuple:
-    """The class counts of stems, words and word pairs: what ``Model`` takes.
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def class_counts(rows: DataFrame) -> tuple[tuple, tuple, tuple]:
+    """What ``Model`` takes, from all words of ``rows`` (text, toxic).
 
-    Each task counts its rows; the counts meet in a shuffle. Only those of ``MIN_COUNT`` at
-    least are kept.
+    Each run of texts hands on its different pairs with their counts; the rest is grouping.
     """
-    kinds = len(STEMS)  # and the pairs
 
-    def run(batches):
-        lots: list[list[np.ndarray]] = [[], [], [], []]
-        size = 0
+    def pairs(batches):
         for b in batches:
-            toxic = b.column("toxic").to_numpy().astype(np.uint8)
+            toxic = b.column("toxic").to_numpy().astype(np.int64)
             for first, last, offsets, data in text_chunks(b):
-                hashes, n = tokens(data, offsets)
-                label = np.repeat(toxic[first:last], n)
-                key, at = pairs(hashes[-1], n)
-                lots[0] += [*hashes, key]
-                lots[1] += [*(np.zeros(len(label), np.uint64) for _ in STEMS), hashes[-1][at - 1]]
-                lots[2] += [*(label for _ in STEMS), label[at]]
-                lots[3] += [*(np.full(len(label), k, np.uint8) for k in range(kinds)), np.full(len(at), kinds, np.uint8)]
-                size += len(label)
-                if size > 1_000_000:
-                    yield from summed(lots)
-                    lots, size = [[], [], [], []], 0
-        if size:
-            yield from summed(lots)
-
-    def summed(lots):
-        key, context, label, kind = map(np.concatenate, lots)
-        order = np.lexsort((key, kind))
-        key, context, label, kind = key[order], context[order], label[order].astype(np.int64), kind[order].astype(np.int32)
-        start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])))
-        one = np.add.reduceat(label, start)
-        n = np.diff(np.append(start, len(key)))
-        for a in range(0, len(start), 50_000):
-            s = slice(a, a + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[start[s]], key[start[s]].view(np.int64), context[start[s]].view(np.int64), n[s] - one[s], one[s])], names=["kind", "k", "v", "n0", "n1"])
-
-    table = rows.mapInArrow(run, "kind int, k long, v long, n0 long, n1 long").groupBy("kind", "k").agg(F.min("v").alias("v"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = saved(table)
-    sums = {r["kind"]: r for r in table.groupBy("kind").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("types")).collect()}
-    kept = table.filter(F.col("n0") + F.col("n1") >= MIN_COUNT).toArrow()
-    kind, k, v, n0, n1 = (kept[c].to_numpy() for c in ("kind", "k", "v", "n0", "n1"))
-    out = []
-    for which in range(kinds + 1):
-        use = np.flatnonzero(kind == which)
-        use = use[np.argsort(k[use].view(np.uint64))]
-        out.append((k[use].view(np.uint64), v[use].view(np.uint64), np.stack([n0[use], n1[use]], 1)))
-    totals = np.array([sums[0]["t0"], sums[0]["t1"]]) if sums else np.zeros(2)
-    return [(k_, c) for k_, _, c in out[:-1]], out[-1], totals, [sums[j]["types"] if j in sums else 0 for j in range(kinds)]
-
-
-def company(docs: DataFrame, words: np.ndarray, parts: int = 32) -> np.ndarray:
-    """In how many different words' company each of ``words`` (shortest stems) follows, over all texts: linear counters, merged by region."""
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    size = -(-max(1, len(words)) // parts)
+                (_, _, h), n = tokens(data, offsets)
+                label, v = np.repeat(toxic[first:last], n), before(h, n)
+                order = np.lexsort((h, v))
+                v, h, label = v[order], h[order], label[order]
+                new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+                one = np.add.reduceat(label, new) if len(new) else new
+                total = np.diff(np.append(new, len(h)))
+                yield pa.RecordBatch.from_arrays([_long(v[new]), _long(h[new]), pa.array(total - one), pa.array(one)], names=["v", "w", "n0", "n1"])
+
+    def words(batches):
+        for b in batches:
+            for _, _, offsets, data in text_chunks(b):
+                (first, stem, h), _ = tokens(data, offsets)
+                h, at = np.unique(h, return_index=True)
+                yield pa.RecordBatch.from_arrays([_long(h), _long(stem[at]), pa.array(classes(first[at]).astype(np.int32))], names=["w", "stem", "k"])
+
+    table = saved(rows.mapInArrow(pairs, "v long, w long, n0 long, n1 long").groupBy("v", "w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    known = rows.select("text").mapInArrow(words, "w long, stem long, k int").distinct()
+    rest = [F.greatest(F.col(c) - DISCOUNT, F.lit(0)) for c in ("n0", "n1")]
+    by_word = table.groupBy("w").agg(*(F.count_if(F.col(f"n{c}") > 0).alias(f"m{c}") for c in (0, 1))).join(known, "w").toArrow()
+    by_context = table.groupBy("v").agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), *(F.sum(x).alias(f"m{c}") for c, x in enumerate(rest)))
+    by_context = by_context.filter("m0 > 0 AND m1 > 0").toArrow()  # the others hand everything on
+    each = table.filter(rest[0] + rest[1] > 0).toArrow()
+    hashed = lambda t, c: t[c].to_numpy().view(np.uint64)
+    two = lambda t, c: np.stack([t[f"{c}0"].to_numpy(), t[f"{c}1"].to_numpy()], 1)
+    return (
+        (hashed(by_word, "w"), hashed(by_word, "stem"), by_word["k"].to_numpy(), two(by_word, "m")),
+        (hashed(by_context, "v"), by_context["n"].to_numpy(), two(by_context, "m")),
+        (hashed(each, "v"), hashed(each, "w"), two(each, "n")),
+    )
+
+
+def company(docs: DataFrame) -> np.ndarray:
+    """For each class of words the number of different classes that it follows, over all texts.
+
+    A pair of classes is one number. Tasks hand on each of their pairs once (again when they
+    have to forget some); equal ones meet in a shuffle by pair, so no class is hot.
+    """
+    bits = np.uint64(CLASS_BITS)
 
     def run(batches):
-        table = sent.value
-        bits = np.zeros(parts * size, np.uint64)
+        seen = np.zeros(0, np.uint64)
         for b in batches:
             for _, _, offsets, data in text_chunks(b):
-                (stem, *_, h), n = tokens(data, offsets)
-                at = find(table, stem)
-                second = np.ones(len(h), bool)
-                second[(np.cumsum(n) - n)[n > 0]] = False
-                second &= at < len(table)
-                p = np.flatnonzero(second)
-                np.bitwise_or.at(bits, at[p], np.uint64(1) << (mix64(h[p - 1]) & np.uint64(_WIDTH - 1)))
-        for k in range(parts):
-            x = bits[k * size : (k + 1) * size]
-            if x.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["region", "bits"])
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.uint64)
-        for b in batches:
-            for x in b.column("bits"):
-                total |= np.frombuffer(x.as_py(), np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["region", "bits"])
-
-    each = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).mapInArrow(run, "region int, bits binary")
-    out = np.zeros(parts * size, np.uint64)
-    for row in each.groupBy("region").applyInArrow(merge, "region int, bits binary").collect():
-        out[row["region"] * size : (row["region"] + 1) * size] = np.frombuffer(row["bits"], np.uint64)
-    return _ESTIMATE[np.bitwise_count(out[: len(words)])]
+                (first, *_), n = tokens(data, offsets)
+                k = classes(first)
+                mine = np.unique((before(k, n, np.uint64(0)) << bits) | k)
+                at = find(seen, mine)
+                mine = mine[at == len(seen)]
+                seen = np.union1d(seen, mine) if len(seen) < REMEMBERED else mine
+                yield pa.RecordBatch.from_arrays([_long(mine)], names=["pair"])
+
+    rows = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    pairs = rows.mapInArrow(run, "pair long").distinct()
+    got = pairs.groupBy(F.col("pair").bitwiseAND(F.lit((1 << CLASS_BITS) - 1)).alias("k")).count().toArrow()
+    out = np.zeros(1 << CLASS_BITS)
+    out[got["k"].to_numpy()] = got["count"].to_numpy()
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = saved(labelled(docs, labels, max_rows))
-    model = Model(*counts(rows.filter("NOT held").select("text", "toxic")))
-    model.with_continuation(company(docs, model.keys[0]))
+    model = Model(*class_counts(rows.filter("NOT held").select("text", "toxic")))
+    model.with_continuation(company(docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -286,12 +308,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([b.column("toxic").slice(first, last - first), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["toxic", "a", "b"])
 
     told = rows.filter("held").select("text", "toxic").mapInArrow(run, "toxic int, a double, b double").toArrow()
+    sent.destroy()
     label = told["toxic"].to_numpy().astype(np.float64)
-    model.share = float(label.mean()) if len(label) else 0.0
-    if len(set(label.tolist())) == 2 and (model.totals > 1).all():
+    if len(set(label.tolist())) == 2 and (model.known > 0).all():
         model.fit_curve(np.stack([told["a"].to_numpy(), told["b"].to_numpy()], 1), label)
     else:
-        model.curve = np.array([np.log((model.share + 1e-6) / (1 - model.share + 1e-6)), 0.0, 0.0])
+        share = float(label.mean()) if len(label) else 0.0
+        model.curve = np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0])
     return model
 
 

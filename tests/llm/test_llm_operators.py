@@ -415,6 +415,68 @@ def test_toxic_words_are_learned(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def plain_probabilities(rows, every, text, discount=3):
+    """P_c(w | v) of each word of ``text`` by dictionaries: ``rows`` of (words, label), ``every`` text's words."""
+    start = "\0"
+    stem = lambda w, n: w.encode()[:n]
+    n = [Counter(), Counter()]
+    for words, label in rows:
+        n[label].update(zip([start, *words], words))
+    after = [Counter(w for _, w in n[c]) for c in (0, 1)]
+    stems = [Counter() for _ in (0, 1)]
+    for c in (0, 1):
+        for w, k in after[c].items():
+            stems[c][stem(w, 6)] += k
+    company = Counter(k for _, k in {(None if v == start else stem(v, 4), stem(w, 4)) for words in every for v, w in zip([start, *words], words)})
+    known = {w for c in (0, 1) for w in after[c]}
+    in_class = Counter()
+    for s in {stem(w, 6) for w in known}:
+        in_class[s[:4]] += stems[0][s] + stems[1][s]
+
+    def level(counts, key, below):
+        own = [sum(max(x - discount, 0) for x in counts[c].values()) for c in (0, 1)]
+        total = sum(counts[0].values()) + sum(counts[1].values())
+        hand = 1 - sum(own) / total if min(own) > 0 else 1.0
+        return [(1 - hand) * max(counts[c][key] - discount, 0) / max(own[c], 1e-9) + hand * below[c] for c in (0, 1)]
+
+    out = []
+    for v, w in zip([start, *text], text):
+        k, s = stem(w, 4), stem(w, 6)
+        both_s, both_w = stems[0][s] + stems[1][s], after[0][w] + after[1][w]
+        shared = (company[k] + 0.5) / (sum(company.values()) + 0.5 * 2**20) * (both_s or 1) / (in_class[k] + 1)
+        p = level(stems, s, [shared, shared])
+        p = level(after, w, [x * (both_w or 1) / (both_s + 1) for x in p])
+        out.append(level([Counter({b: x for (a, b), x in n[c].items() if a == v}) for c in (0, 1)], w, p))
+    return np.array(out)
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
+    rng = random.Random(21)
+    bad = ["scumbag", "idiotic", "idiots", "trash"]
+    rows = [([rng.choice(bad if label and rng.random() < 0.4 else WORDS[:12]) for _ in range(rng.randrange(1, 15))], label) for label in [0, 1] * 60]
+    more = [[rng.choice(WORDS) for _ in range(9)] for _ in range(30)]
+    df = spark.createDataFrame([(" ".join(w), label) for w, label in rows], "text string, toxic int")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([w for w, _ in rows] + more)], "doc_id long, text string")
+    model = toxicity.Model(*toxicity.class_counts(df))
+    model.with_continuation(toxicity.company(docs))
+    for text in (["the", "idiots", "and", "trash"], ["scumbags", "idiotically", "zzz", "of", "the"], more[0], rows[1][0]):
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        got = model.probabilities(*toxicity.tokens(data, np.array([0, len(data)])))
+        want = plain_probabilities(rows, [w for w, _ in rows] + more, text)
+        assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_class_probabilities_sum_to_one(spark):
+    rng = random.Random(22)
+    rows = [(" ".join(rng.choice(WORDS[:10]) for _ in range(12)), k % 2) for k in range(80)]
+    model = toxicity.Model(*toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    total = np.zeros(2)
+    for w in WORDS[:10]:  # after "the": all known words, and what is left for unknown ones
+        data = np.frombuffer(f"the {w}".encode(), np.uint8)
+        total += model.probabilities(*toxicity.tokens(data, np.array([0, len(data)])))[1]
+    assert (total <= 1 + 1e-9).all() and (total > 0.5).all()
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1, 1), (None, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):
