@@ -124,6 +124,22 @@ def word_hashes(data: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray
     return mix64(h + (upto - starts).astype(np.uint64)), starts, ends
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and where each begins; broken sequences give any code points."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    code = data[lead].astype(np.uint32)
+    if len(lead) == len(data):
+        return code, lead
+    ends = np.append(data, np.zeros(3, np.uint8))
+    for low, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+        at = np.flatnonzero((code >= low) & (code < (low + 0x20 if more == 1 else low + 0x10)) & (code < 0x100))
+        value = code[at] & mask
+        for k in range(1, more + 1):
+            value = (value << 6) | (ends[lead[at] + k] & 0x3F)
+        code[at] = np.where(value < 0x110000, value, 0) | np.uint32(0x80000000)  # marked as done
+    return code & np.uint32(0x7FFFFFFF), lead
+
+
 def hash_spans(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs of ``code`` (uint64) from ``starts`` to ``ends``: equal for equal runs."""
     power, inverse = _powers(len(code) + 1)
@@ -180,6 +196,13 @@ class Bits:
     def __init__(self, log2: int = 24):
         self.log2, self.table = log2, np.zeros(1 << (log2 - 3), np.uint8)
 
+    @classmethod
+    def of(cls, table: np.ndarray) -> Bits:
+        """The set of a table that was filled elsewhere."""
+        bits = cls.__new__(cls)
+        bits.log2, bits.table = len(table).bit_length() + 2, table
+        return bits
+
     def _place(self, x: np.ndarray) -> np.ndarray:
         return (x * np.uint64(_BASE)) >> np.uint64(64 - self.log2)
 

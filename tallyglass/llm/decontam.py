@@ -1,217 +1,307 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts are compared as UTF-8 bytes with Latin letters lowered and runs of other ASCII
-characters than letters and digits as one space. A passage that matches an item of m
-bytes with at most k = m * ``edit_rate`` edits shares at least m - q + 1 - k * q q-grams
-with it, on diagonals that differ by k at most. With q = 8 a q-gram is one 64-bit
-number.
-
-1. A lossless pre-test: some window of w bytes of an item has so few of the edits that
-   a text region must hold many of the items' q-grams close together; other regions
-   are left. The window is chosen from the items.
-2. In the regions left, shared q-grams are counted by item and by overlapping diagonal
-   bands of width 2b (b > k); bands that reach the item's bound are kept.
-3. Those are verified by a banded alignment.
-
-The items are the query set: they are read in blocks of ``BLOCK_BYTES`` and each block
-is searched for in all documents.
-
-Defined cases: null texts match nothing; items of fewer than q bytes (or null) cannot be
-evidence and match nothing; of several matches of an item in a text that with the
-fewest edits, then the first, is told; repeated rows and ids are searched each for itself.
+Texts are compared by characters: letters and digits in lower case, each run of others as one
+space. A passage that matches an item of m characters with at most k = m * ``edit_rate`` edits
+shares at least m - q + 1 - k * q q-grams with it, on diagonals that differ by k at most. With
+q = 8 a q-gram is one 64-bit number, of 8 bits of each character; that different characters
+may share those only lets more through to the alignment.
+
+1. A lossless pre-test of all texts: some window of w characters of an item has so few of the
+   edits that a text region must hold many of the items' q-grams close together. The window is
+   chosen from the items' lengths, and a bit table whose size follows the number of their
+   q-grams knows them all, so the corpus is read once, however many items there are. Texts
+   that may hold an item are written.
+2. In those, shared q-grams are counted by item and by overlapping diagonal bands; bands that
+   reach the item's bound are kept. Of an item's equal q-grams, which may be many where it
+   repeats itself, one stays for each stretch of k positions, and the bands are wider by as
+   much: so a text meets an item's q-gram about 1 / ``edit_rate`` times at most.
+3. Those bands are verified by an alignment that visits the band's cells alone.
+
+The items are the query set. Steps 2 and 3 take them in blocks of ``BLOCK_BYTES``, each of which
+is searched for in the texts that step 1 left.
+
+Defined cases: null texts match nothing; items of fewer than q characters (or null) cannot be
+evidence and match nothing; of several matches of an item in a text that with the fewest
+edits, then the first, is told; repeated rows and ids are searched each for itself, a null id
+is told as null; rows with equal id and text are kept or dropped together. An empty table on
+either side gives no match. A very long text is searched whole. Columns other than doc_id,
+text and item_id are not looked at; ``without_leaks`` passes all of them on, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import text_chunks
+from tallyglass.llm.common import Bits, code_points, fresh, gathered_bits, saved, text_chunks
 
 Q = 8
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
+#: Pairs of equal q-grams of a text and the items that are looked at together.
+ENTRIES = 2_000_000
+#: Bits of the table of all q-grams for each of them, and the largest table as a power of two.
+BITS_EACH, MOST_BITS = 8, 30
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
-
-_MAP = np.arange(256, dtype=np.uint8)
-_MAP[:128] = 0x20
-_MAP[48:58] = np.arange(48, 58)
-_MAP[97:123] = np.arange(97, 123)
-_MAP[65:91] = np.arange(97, 123)
-
-
-def normalised(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes to compare, and where each comes from."""
-    d = _MAP[data]
-    capital = np.flatnonzero(d[:-1] == 0xC3) + 1
-    capital = capital[(d[capital] >= 0x80) & (d[capital] <= 0x9E) & (d[capital] != 0x97)]
-    d[capital] += 0x20
-    space = d == 0x20
+_SPACE = 0x20
+_PLAIN: list[np.ndarray] = []
+#: The index that this worker built last, by its name.
+_BUILT: dict = {}
+
+
+def plain() -> np.ndarray:
+    """For each code point its lower case if it is a letter or digit, else a space."""
+    if not _PLAIN:
+        table = np.full(0x110000, _SPACE, np.uint32)
+        for c in range(0x110000):
+            x = chr(c)
+            if x.isalnum():
+                low = x.lower()
+                table[c] = ord(low) if len(low) == 1 else c
+        _PLAIN.append(table)
+    return _PLAIN[0]
+
+
+def normalised(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters to compare, the places among the text's characters that they come from, and where those begin."""
+    code, lead = code_points(data)
+    d = plain()[code]
+    space = d == _SPACE
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
     if len(keep):
         keep[0] |= bool(space[0])
     at = np.flatnonzero(keep)
-    return d[at], at
+    return d[at], at, lead
+
+
+def item_text(text: str) -> np.ndarray:
+    """An item's characters, without spaces around them."""
+    d = normalised(np.frombuffer(text.encode(), np.uint8))[0]
+    solid = np.flatnonzero(d != _SPACE)
+    return d[solid[0] : solid[-1] + 1] if len(solid) else d[:0]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """The q-gram that starts at each byte, as a number."""
-    if len(data) < Q:
+def grams(code: np.ndarray) -> np.ndarray:
+    """The q-gram that starts at each character, as a number."""
+    if len(code) < Q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), np.uint64, np.ascontiguousarray(data), 0, (1,)).copy()
+    byte = np.ascontiguousarray((code ^ (code >> 8)).astype(np.uint8))
+    return np.ndarray((len(code) - Q + 1,), np.uint64, byte, 0, (1,)).copy()
 
 
 def budget(m: int, edit_rate: float) -> tuple[int, int]:
-    """Edits allowed for an item of m bytes, and the q-grams it must then share."""
+    """Edits allowed for an item of m characters, and the q-grams it must then share."""
     k = int(m * edit_rate)
     while k and m - Q + 1 - k * Q < 1:
         k -= 1
     return k, m - Q + 1 - k * Q
 
 
+def window(sizes: list[int], edit_rate: float) -> tuple[int, int]:
+    """(hits, positions): a region with a match of an item of any of ``sizes`` has so many hits within so many positions."""
+    best = (1, Q)
+    for w in (Q, 12, 16, 24, 32, 40, 48, 56, 64, 80, 96, 128):
+        needs, slack = [], 0
+        for m in sizes:
+            part = min(w, m)
+            edits = budget(m, edit_rate)[0] // (m // part)
+            needs.append(part - Q + 1 - edits * Q)
+            slack = max(slack, edits)
+        need = min(needs, default=1)
+        if need >= 1 and need / (w + slack) > best[0] / (best[1] + Q):
+            best = (need, w + slack)
+    return best
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], edit_rate: float = EDIT_RATE):
         self.ids, self.texts = [], []
         for i, text in items:
-            data = normalised(np.frombuffer((text or "").encode(), np.uint8))[0].tobytes().strip(b" ")
-            if len(data) >= Q:
+            code = item_text(text or "")
+            if len(code) >= Q:
                 self.ids.append(i)
-                self.texts.append(data)
+                self.texts.append(code)
         size = [len(t) for t in self.texts]
         self.k, self.need = (np.array(x, np.int64) for x in zip(*(budget(m, edit_rate) for m in size))) if size else (np.zeros(0, np.int64),) * 2
-        self.longest = max(size, default=0)
-        all_grams = [grams(np.frombuffer(t, np.uint8)) for t in self.texts]
+        all_grams = [grams(t) for t in self.texts]
         g = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(size)), [len(x) for x in all_grams]) if size else np.zeros(0, np.int64)
         pos = np.concatenate([np.arange(len(x)) for x in all_grams]) if size else np.zeros(0, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.keys, first, self.count = np.unique(g[order], return_index=True, return_counts=True)
-        self.first, self.item, self.pos = first, item[order], pos[order]
+        cell = pos // np.maximum(self.k, 1)[item] if size else pos
+        order = np.lexsort((pos, item, g))
+        g, item, pos, cell = g[order], item[order], pos[order], cell[order]
+        if len(g):  # one of each item's equal q-grams in each stretch of k positions
+            new = np.append(True, (g[1:] != g[:-1]) | (item[1:] != item[:-1]) | (cell[1:] != cell[:-1]))
+            g, item, pos = g[new], item[new], pos[new]
+        self.keys, self.first, self.count = np.unique(g, return_index=True, return_counts=True)
+        self.item, self.pos = item, pos
         self.quick = np.zeros(1 << _BITS, bool)
         self.quick[(self.keys * _GOLD) >> np.uint64(64 - _BITS)] = True
-        self.window, self.window_need, self.reach = self._window(size)
-
-    def _window(self, size: list[int]) -> tuple[int, int, int]:
-        """(w, hits that a region of ``reach`` positions has at least)."""
-        best = (Q, 1, Q)
-        for w in (Q, 12, 16, 24, 32, 40, 48, 56, 64, 80, 96, 128):
-            needs, slack = [], 0
-            for m, k in zip(size, self.k.tolist()):
-                part = min(w, m)
-                edits = k // (m // part)
-                needs.append(part - Q + 1 - edits * Q)
-                slack = max(slack, edits)
-            need = min(needs, default=1)
-            if need >= 1 and need / (w + slack) > best[1] / (best[2] + Q):
-                best = (w, need, w + slack)
-        return best
-
-
-def align(item: bytes, text: bytes, k: int) -> tuple[int, int, int] | None:
+
+
+def align(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
     """Fewest edits (at most k) of ``item`` against a part of ``text``: (edits, start, end), or None.
 
-    ``text`` is the item's region: the band of diagonals is as wide as its slack.
+    ``text`` is the item's region, in which a match may start at its first n - m + k places:
+    only the cells of those diagonals are visited, row by row.
     """
-    at = text.find(item)
+    m, n = len(item), len(text)
+    whole = text.tobytes()
+    at = whole.find(item.tobytes())
+    while at % 4 and at > 0:
+        at = whole.find(item.tobytes(), at + 1)
     if at >= 0:
-        return 0, at, at + len(item)
-    if not k:
+        return 0, at // 4, at // 4 + m
+    if not k or n + k < m:
         return None
-    m, n = len(item), len(text)
-    a, b = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
-    big = m + n
-    col = np.arange(n + 1)
-    row, start = np.zeros(n + 1, np.int64), col.copy()
+    width = n - m + 2 * k + 1  # diagonal d of row i is column i - k + d
+    d = np.arange(width)
+    big = m + n + width
+    padded = np.concatenate([np.zeros(k, np.int64), text.astype(np.int64) + 1, np.zeros(k + 1, np.int64)])  # column j at j + k; 0 is no character
+    inside = (d - k >= 0) & (d - k <= n)
+    row, start = np.where(inside, 0, big), np.where(inside, d - k, 0)
     for i in range(1, m + 1):
-        cost = (b != a[i - 1]).astype(np.int64)
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        diagonal, above = row[:-1] + cost, row[1:] + 1
-        new[1:] = np.minimum(diagonal, above)
-        origin = np.empty(n + 1, np.int64)
-        origin[0] = 0
-        origin[1:] = np.where(diagonal <= above, start[:-1], start[1:])
+        column = i - k + d
+        here = padded[i - 1 : i - 1 + width]  # the text's character before each column
+        diagonal = row + (here != int(item[i - 1]) + 1)
+        above = np.append(row[1:], big) + 1
+        above_start = np.append(start[1:], 0)
+        take = diagonal <= above
+        new, origin = np.where(take, diagonal, above), np.where(take, start, above_start)
+        outside = (column < 0) | (column > n)
+        new[outside] = big
         # insertions along the row: the least of what lies left, plus the distance
-        shifted = new - col
+        shifted = new - d
         least = np.minimum.accumulate(shifted)
-        come = np.maximum.accumulate(np.where(shifted == least, col, 0))
-        row, start = least + col, origin[come]
-        low, high = max(0, i - k - 1), min(n, i + (n - m) + k + 1)  # the band
-        row[:low] = big
-        row[high + 1 :] = big
+        come = np.maximum.accumulate(np.where(shifted == least, d, 0))
+        row, start = least + d, origin[come]
+        row[outside] = big
         if row.min() > k:
             return None
     end = int(row.argmin())
-    return (int(row[end]), int(start[end]), end) if row[end] <= k else None
+    return (int(row[end]), int(start[end]), m - k + end) if row[end] <= k else None
+
+
+def counted(index: Index, places: np.ndarray, which: np.ndarray, text: np.ndarray, band: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, band number) of the bands of width 2 ``band`` that hold enough shared q-grams.
+
+    ``places``: where the text's known q-grams are, ``which``: what each is in the index.
+    The pairs of equal q-grams are made and counted ``ENTRIES`` at a time.
+    """
+    n = index.count[which]
+    upto = np.cumsum(n)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    shift, items = np.int64(1 << 32), np.int64(len(index.ids))
+    first = 0
+    while first < len(places):
+        done = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, done + ENTRIES, "right")))
+        m = n[first:last]
+        entry = np.repeat(index.first[which[first:last]], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        diagonal = np.repeat(places[first:last], m) - index.pos[entry]
+        number = (diagonal + half * band + 2 * band) // (2 * band) + (1 << 30)
+        key, count = np.unique((np.repeat(text[first:last], m) * items + index.item[entry]) * shift + number, return_counts=True)
+        keys, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, count]), len(keys)).astype(np.int64)
+        first = last
+    enough = counts >= index.need[(keys // shift) % items]
+    keys = keys[enough]
+    return keys // shift // items, (keys // shift) % items, keys % shift - (1 << 30)
 
 
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Matches in texts that lie one after the other: (text, item, edits, start, end), in bytes of the text."""
-    clean, at = normalised(data)
+    """Matches in texts that lie one after the other: (text, item, edits, start, end), in characters of the text."""
+    clean, at, lead = normalised(data)
     g = grams(clean)
     if not len(g) or not index.ids:
         return []
-    hit = index.quick[(g * _GOLD) >> np.uint64(64 - _BITS)]
-    total = np.zeros(len(hit) + 1, np.int32)
-    np.cumsum(hit, out=total[1:])
-    reach = index.reach
-    ahead = total[np.minimum(np.arange(len(hit)) + reach, len(hit))] - total[:-1]
-    dense = np.flatnonzero(ahead >= index.window_need)
-    if not len(dense):
-        return []
-    near = np.zeros(len(hit) + 1, np.int32)
-    wide = 2 * index.longest + reach
-    np.add.at(near, np.maximum(dense - wide, 0), 1)
-    np.add.at(near, np.minimum(dense + wide, len(hit)), -1)
-    places = np.flatnonzero(hit & (np.cumsum(near[:-1]) > 0))
-    k = np.searchsorted(index.keys, g[places])
-    k[k == len(index.keys)] = 0
-    exact = index.keys[k] == g[places]
-    places, k = places[exact], k[exact]
-    n = index.count[k]
-    rank = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    entry = np.repeat(index.first[k], n) + rank
-    where, item = np.repeat(places, n), index.item[entry]
-    diagonal = where - index.pos[entry]
-    first_byte = np.searchsorted(at, offsets)  # where each text begins among the clean bytes
-    text = np.searchsorted(first_byte, where, "right") - 1
-    band = int(index.k.max()) + 1
-    shift = np.int64(1 << 32)
+    places = np.flatnonzero(index.quick[(g * _GOLD) >> np.uint64(64 - _BITS)])
+    which = np.searchsorted(index.keys, g[places])
+    which[which == len(index.keys)] = 0
+    exact = index.keys[which] == g[places]
+    places, which = places[exact], which[exact]
+    begin = np.searchsorted(lead, offsets)  # where each text begins among the characters
+    border = np.searchsorted(at, begin)  # and among the clean ones
+    text = np.searchsorted(border, places, "right") - 1
+    band = 2 * int(index.k.max()) + 1  # k for the match, as much for the q-grams that were left out
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     tried = set()
-    for half in (0, 1):  # overlapping bands of width 2 * band
-        number = (diagonal + half * band + 2 * band) // (2 * band)
-        key = (text * np.int64(len(index.ids)) + item) * shift + number
-        distinct, count = np.unique(key, return_counts=True)
-        which = (distinct // shift) % len(index.ids)
-        for key_, i in zip(distinct[count >= index.need[which]].tolist(), which[count >= index.need[which]].tolist()):
-            t, number_ = key_ // (1 << 32) // len(index.ids), key_ % (1 << 32)
-            left = number_ * 2 * band - 2 * band - half * band - int(index.k[i])
-            right = left + 2 * band + len(index.texts[i]) + 2 * int(index.k[i])
-            lo = max(left, int(first_byte[t]))
-            hi = min(right, int(first_byte[t + 1]))
+    for half in (0, 1):  # overlapping bands
+        for t, i, number in zip(*(x.tolist() for x in counted(index, places, which, text, band, half))):
+            left = number * 2 * band - 2 * band - half * band - 2 * int(index.k[i]) - 1
+            right = left + 2 * band + len(index.texts[i]) + 4 * int(index.k[i]) + 2
+            lo, hi = max(left, int(border[t])), min(right, int(border[t + 1]))
             if (i, lo, hi) in tried or hi <= lo:
                 continue
             tried.add((i, lo, hi))
-            got = align(index.texts[i], clean[lo:hi].tobytes(), int(index.k[i]))
-            if got:
+            got = align(index.texts[i], clean[lo:hi], int(index.k[i]))
+            if got and got[2] > got[1]:
                 edits, a, z = got
-                span = (edits, int(at[lo + a] - offsets[t]), int(at[lo + z - 1] + 1 - offsets[t]))
+                span = (edits, int(at[lo + a] - begin[t]), int(at[lo + z - 1] + 1 - begin[t]))
                 if (t, i) not in found or span < found[t, i]:
                     found[t, i] = span
     return [(t, index.ids[i], *v) for (t, i), v in sorted(found.items())]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
+
+
+def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) that may hold an item: the pre-test."""
+
+    def lengths(batches):
+        for b in batches:
+            n = {len(item_text(t)) for t in b.column("text").to_pylist()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
+
+    def all_grams(batches):
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(grams(item_text(t)).view(np.int64))], names=["g"])
+
+    items = _items(benchmark)
+    sizes = [r[0] for r in items.mapInArrow(lengths, "n long").distinct().collect() if r[0] >= Q]  # at most as many as the longest item has characters
+    if not sizes:
+        return docs.limit(0)
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 1
+    log2 = min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * total))))
+    need, reach = window(sizes, edit_rate)
+    sent = docs.sparkSession.sparkContext.broadcast(gathered_bits(items.mapInArrow(all_grams, "g long"), "g", log2).table)
+
+    def run(batches):
+        bits = Bits.of(sent.value)
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for first, _, offsets, data in text_chunks(b):
+                clean, at, lead = normalised(data)
+                hit = bits.has(grams(clean))
+                total = np.zeros(len(hit) + 1, np.int32)
+                np.cumsum(hit, out=total[1:])
+                dense = np.flatnonzero(total[np.minimum(np.arange(len(hit)) + reach, len(hit))] - total[:-1] >= need)
+                if len(dense):
+                    begin = np.searchsorted(lead, offsets[:-1])  # a region that runs over a border counts for both texts
+                    for edge in (dense, np.minimum(dense + reach, len(at) - 1)):
+                        keep[first + np.unique(np.searchsorted(begin, at[edge], "right") - 1)] = True
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def blocks_of(benchmark: DataFrame, size: int = BLOCK_BYTES):
     """The items in blocks of about ``size`` bytes of text, one at a time on the driver."""
     held, n = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL").toLocalIterator():
+    for r in _items(benchmark).toLocalIterator():
         held.append((r[0], r[1]))
         n += len(r[1].encode())
         if n >= size:
@@ -221,12 +311,13 @@ def blocks_of(benchmark: DataFrame, size: int = BLOCK_BYTES):
         yield held
 
 
-MATCHES = "doc_id long, item_id long, edits int, start int, end int"
+MATCHES = "doc_id long, key long, item_id long, edits int, start int, end int"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, edits, start, end (code points of the text) of each item found in a text."""
+def _matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float, block_bytes: int) -> DataFrame:
+    """``matches`` with ``key``, a hash of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = saved(suspects(rows, benchmark, edit_rate).withColumn("key", F.xxhash64("text")))
     out = None
     for items in blocks_of(benchmark, block_bytes):
         part = rows.mapInArrow(_searcher(docs.sparkSession, items, edit_rate), MATCHES)
@@ -234,23 +325,33 @@ def matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE,
     return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, edits, start, end (code points of the text) of each item found in a text."""
+    return _matches(docs, benchmark, edit_rate, block_bytes).drop("key")
+
+
+def built(name: str, sent, edit_rate: float) -> Index:
+    """The index of a broadcast block of items; a worker builds it once and keeps the last one."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(sent.value, edit_rate)
+    return _BUILT[name]
+
+
 def _searcher(spark, items, edit_rate: float):
-    sent, holder = spark.sparkContext.broadcast(items), {}
+    sent = spark.sparkContext.broadcast(items)
+    name = uuid.uuid4().hex
 
     def run(batches):
-        if not holder:
-            holder["index"] = Index(sent.value, edit_rate)
-        index = holder["index"]
+        index = built(name, sent, edit_rate)
         for b in batches:
             rows = []
-            ids = b.column("doc_id").to_pylist()
+            ids, keys = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
             for first, _, offsets, data in text_chunks(b):
-                for t, item, edits, a, z in search(index, data, offsets):
-                    text = data[offsets[t] : offsets[t + 1]]
-                    chars = lambda n: int(((text[:n] & 0xC0) != 0x80).sum())
-                    rows.append((ids[first + t], item, edits, chars(a), chars(z)))
+                rows += [(ids[first + t], keys[first + t], *found) for t, *found in search(index, data, offsets)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "edits", "start", "end"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "key", "item_id", "edits", "start", "end"])
 
     return run
 
@@ -261,24 +362,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; all columns stay, and nothing is shuffled."""
-    out = docs
-    for items in blocks_of(benchmark, block_bytes):
-        out = out.mapInArrow(_keeper(docs.sparkSession, items, edit_rate), docs.schema)
-    return out
+    """The rows of ``docs`` in which no item is found; all columns stay.
 
-
-def _keeper(spark, items, edit_rate: float):
-    sent, holder = spark.sparkContext.broadcast(items), {}
-
-    def run(batches):
-        if not holder:
-            holder["index"] = Index(sent.value, edit_rate)
-        for b in batches:
-            keep = np.ones(b.num_rows, bool)
-            for first, _, offsets, data in text_chunks(b):
-                for t, *_ in search(holder["index"], data, offsets):
-                    keep[first + t] = False
-            yield b.filter(pa.array(keep))
-
-    return run
+    Rows that match are few and go by id and hash of the text; Spark sends them to the
+    tasks if they are small enough, else both sides meet in a shuffle.
+    """
+    number, key, there, mine = fresh(docs, "_number", "_key", "_there", "_mine")
+    found = saved(_matches(docs, benchmark, edit_rate, block_bytes).select(F.col("doc_id").alias(there), F.col("key").alias(mine)).distinct())
+    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    return keyed.join(found, F.col(number).eqNullSafe(F.col(there)) & (F.col(key) == F.col(mine)), "left_anti").select(docs.columns)

@@ -364,8 +364,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "id").table)
 
     def run(batches):
-        known = Bits.__new__(Bits)
-        known.log2, known.table = 24, bits.value
+        known = Bits.of(bits.value)
         for b in batches:
             b = b.filter(pa.array(known.has(b.column("id").to_numpy().view(np.uint64))))
             for _, _, offsets, data in text_chunks(b):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fold, fold_of, hash_spans, mix64, text_chunks
+from tallyglass.llm.common import code_points, fold, fold_of, hash_spans, mix64, text_chunks
 
 #: Labelled rows of each language that the model is fitted on, at most (about).
 ROWS_PER_LANGUAGE = 1500
@@ -53,22 +53,6 @@ def folded() -> np.ndarray:
     return _FOLDED[0]
 
 
-def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of UTF-8 bytes, and where each begins; broken sequences give any code points."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    code = data[lead].astype(np.uint32)
-    if len(lead) == len(data):
-        return code, lead
-    ends = np.append(data, np.zeros(3, np.uint8))
-    for low, mask, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
-        at = np.flatnonzero((code >= low) & (code < (low + 0x20 if more == 1 else low + 0x10)) & (code < 0x100))
-        value = code[at] & mask
-        for k in range(1, more + 1):
-            value = (value << 6) | (ends[lead[at] + k] & 0x3F)
-        code[at] = np.where(value < 0x110000, value, _EDGE) | np.uint32(0x80000000)  # marked as done
-    return code & np.uint32(0x7FFFFFFF), lead
-
-
 class Words:
     """The words of texts that lie one after the other."""
 

@@ -178,10 +178,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """n(term): the lines of all ``docs`` that have each term of ``terms`` (term)."""
-    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(terms, "term", 20))
+    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(terms, "term", 20).table)
 
     def run(batches):
-        table = bits.value
+        table = Bits.of(bits.value)
         count: Counter = Counter()
         for b in slices(batches):
             for text in b.column("text").to_pylist():
@@ -203,18 +203,12 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def _known(table: np.ndarray) -> Bits:
-    bits = Bits.__new__(Bits)
-    bits.log2, bits.table = int(math.log2(len(table))) + 3, table
-    return bits
-
-
 def met(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
     """entity, term: one row for each line with both, for the terms of ``wanted`` (term) and a few more."""
     bits = scanned.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "term").table)
 
     def run(batches):
-        known = _known(bits.value)
+        known = Bits.of(bits.value)
         for b in batches:
             for lines in b.column("passages").to_pylist():
                 for line in lines:
@@ -256,7 +250,7 @@ def _told(marked: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = marked.sparkSession.sparkContext.broadcast(gathered_bits(pairs, "term").table)
 
     def run(batches):
-        known = _known(bits.value)
+        known = Bits.of(bits.value)
         for b in slices(batches):
             for row, listed, text in zip(b.column("row").to_pylist(), b.column("base_spans").to_pylist(), b.column("marked").to_pylist()):
                 spans = _parsed(listed)

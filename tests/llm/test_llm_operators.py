@@ -590,10 +590,10 @@ def test_matches_equal_brute_force(spark):
         item = items[k % 12][1]
         w = list(item)
         for _ in range(k % 6 * len(item) // 100):
-            w[rng.randrange(len(w))] = rng.choice("abcxyz")
+            w[rng.randrange(len(w))] = rng.choice("abcxyzé日")
         docs.append((k, prose(rng, 30) + " " + "".join(w).upper() + "!\n" + prose(rng, 20) if k % 3 else prose(rng, 60), "en"))
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    norm = lambda t: decontam.normalised(np.frombuffer(t.encode(), np.uint8))[0].tobytes().strip(b" ")
+    norm = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t).split())
     for i, t, _ in docs:
         for j, q in items[:12]:
             k = decontam.budget(len(norm(q)), decontam.EDIT_RATE)[0]
@@ -603,6 +603,32 @@ def test_matches_equal_brute_force(spark):
                 assert got[i, j]["edits"] == near and 0 <= got[i, j]["start"] < got[i, j]["end"] <= len(t)
 
 
+def test_repeats_in_item_and_text_take_bounded_time_and_are_found():
+    import time
+
+    begin = time.time()
+    index = decontam.Index([(1, "a" * 8000), (2, "ab" * 3000 + "é"), (3, "the end of the line")])
+    data = ("x " + "a" * 10_000 + " the end of thé line " + "ab" * 3000 + "é").encode()
+    got = decontam.search(index, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert {(item, edits) for _, item, edits, _, _ in got} == {(1, 0), (2, 0)}  # one edit in 19 characters is too much
+    data = ("b" * 5 + "a" * 3950 + "c" + "a" * 4020).encode()
+    got = decontam.search(decontam.Index([(1, "a" * 8000)]), np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert [(item, edits) for _, item, edits, _, _ in got] == [(1, 30)]
+    assert time.time() - begin < 60
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab", min_size=1, max_size=24), st.text(alphabet="abc", max_size=40), st.integers(0, 6))
+def test_banded_alignment_equals_the_whole_table(item, text, k):
+    code = lambda t: np.array([ord(c) for c in t], np.uint32)
+    near = edit_distance_within(item, text)
+    got = decontam.align(code(item), code(text), k)
+    assert (got is not None) == (near <= k and len(text) + k >= len(item)) or (got is None and near == len(item))
+    if got:
+        edits, a, z = got
+        assert edits == near and edit_distance_within(text[a:z], item) <= max(edits, 0) + abs(len(item) - (z - a))
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "a null id here"), (2, None)], "item_id long, text string")
     assert [r["doc_id"] for r in decontam.matches(odd, bench).collect()] == [None]
