@@ -13,13 +13,16 @@ which the join uses three times:
    shingles are closed worlds: no link crosses them. Frequent passages and lines are
    what is left out, so they do not tie worlds together.
 3. ``search_world``: within a world each set asks the inverted lists of the sets before
-   it for those that occur T times, by DivideSkip: the longest lists are set aside, the
-   short ones are merged, and the merged candidates are looked up in the long ones by
-   binary search. Candidates in the same group as the set need no further count.
+   it for those that occur T times, by DivideSkip: the T - 1 longest lists are set aside, the
+   short ones are merged, and what they hold is looked up in the long ones by binary search
+   (a long list that is shorter than the look-ups would cost is merged as well). All links
+   are found and counted, also between sets that are in a group already.
 
+Lists are merged as sorted runs, by a merge tree; its members and counts are those of a heap.
 A world beyond ``world_shingles`` is dealt into blocks and searched by pairs of blocks,
 so a task's memory is bounded and no link is lost. Links are found, not sampled: the
-result equals brute force up to 64-bit hash collisions.
+result equals brute force up to 64-bit hash collisions. Equal texts are not expanded into
+pairs: they are one set with a number of documents, and links are counted by these numbers.
 
 Defined cases: null texts and texts without words have the empty set and link with
 nothing; texts with fewer words than a shingle have one shingle, the whole sequence.
@@ -30,7 +33,7 @@ empty table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ from tallyglass.llm.common import Bits, flat_lists, forget, fresh, gathered_bits
 
 #: Shingles of a world that one task searches at once; about 64 bytes each in memory.
 WORLD_SHINGLES = 1_000_000
+#: Merging a member costs as much as this part of a look-up.
+LOOK_UP = 8
+#: Bits of the table of wanted ids for each of them, and the largest table as a power of two.
+BITS_EACH, MOST_BITS = 16, 30
 #: Stands for a null id within the join.
 NO_ID = -(1 << 63)
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -192,52 +199,47 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 class Groups:
-    """Union-find over 0 .. n-1, with the labels of all members at hand."""
+    """Union-find over 0 .. n-1 by arrays; a group's root is its smallest member."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.parent = np.arange(n)
 
-    def join(self, a: int, b: int) -> None:
-        x, y = self.label[a], self.label[b]
-        if x != y:
-            self.label[self.label == max(x, y)] = min(x, y)
+    def roots(self, of: np.ndarray) -> np.ndarray:
+        r = self.parent[of]
+        while True:
+            up = self.parent[r]
+            if (up == r).all():
+                break
+            r = self.parent[up]
+        self.parent[of] = r
+        return r
 
+    def join(self, members: np.ndarray) -> None:
+        roots = np.unique(self.roots(members))
+        self.parent[roots] = roots[0]
 
-def merge_short(lists: list[np.ndarray], times: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of at least ``times`` of the ascending lists, and in how many they are.
 
-    A heap merges a few members; many are merged by counting.
-    """
-    total = sum(map(len, lists))
-    if total <= 64:
-        found, counts = [], []
-        last, n = -1, 0
-        for x in heapq.merge(*(x.tolist() for x in lists)):
-            if x != last:
-                if n >= times:
-                    found.append(last)
-                    counts.append(n)
-                last, n = x, 0
-            n += 1
-        if n >= times:
-            found.append(last)
-            counts.append(n)
-        return np.array(found, np.int64), np.array(counts, np.int64)
-    n = np.bincount(np.concatenate(lists))
-    got = np.flatnonzero(n >= times)
-    return got, n[got]
-
-
-def search_world(values: np.ndarray, sizes: np.ndarray, bound: Bound, fresh: np.ndarray | None = None) -> np.ndarray:
-    """The groups of linked sets: for each set the smallest index in its group.
+def merged(member: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is in the ascending lists at ``begin`` with ``length`` members, and in how many of them."""
+    upto = np.cumsum(length)
+    at = np.repeat(begin - (upto - length), length) + np.arange(int(upto[-1]) if len(upto) else 0)
+    all_ = np.sort(member[at], kind="stable")  # sorted runs: a merge
+    new = np.flatnonzero(np.append(True, all_[1:] != all_[:-1])) if len(all_) else np.zeros(0, np.int64)
+    return all_[new], np.diff(np.append(new, len(all_)))
+
+
+def search_world(values: np.ndarray, sizes: np.ndarray, bound: Bound, fresh: np.ndarray | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The groups of linked sets (for each set the smallest index in its group), and each set's number of links.
 
     ``values``: the sets' members, set after set, each ascending. ``fresh``: only links
-    between a True and a False are looked for (two blocks of a large world).
+    between a True and a False are looked for (two blocks of a large world). ``weight``:
+    how many documents a set stands for, as a partner.
     """
     n = len(sizes)
-    groups = Groups(n)
+    groups, links = Groups(n), np.zeros(n, np.int64)
+    weight = np.ones(n, np.int64) if weight is None else weight
     if n < 2:
-        return groups.label
+        return groups.parent, links
     owner = np.repeat(np.arange(n), sizes)
     rank = np.unique(values, return_inverse=True)[1]
     order = np.argsort(rank, kind="stable")  # within a list, ascending by set
@@ -245,47 +247,40 @@ def search_world(values: np.ndarray, sizes: np.ndarray, bound: Bound, fresh: np.
     begin = np.searchsorted(lists, np.arange(lists[-1] + 2))
     keys = lists.astype(np.int64) * n + member  # all inverted lists, ready for binary search
     length = np.diff(begin)
+    earlier = np.zeros(len(length), np.int64)  # members of each list before the set at hand
     starts = np.cumsum(sizes) - sizes
-    longest = int(length.max())
-    for x in range(1, n):
-        if fresh is not None and not fresh[x]:
-            continue
-        mine = rank[starts[x] : starts[x] + sizes[x]]
-        size = int(sizes[x])
-        need = int(bound.need(size))
-        mine = mine[length[mine] > 1]
-        if len(mine) < need:
-            continue
-        mine = mine[np.argsort(length[mine], kind="stable")]
-        # DivideSkip: so many of the longest lists are set aside that the rest must still be met
-        aside = min(need - 1, len(mine) - 1, int(need / (0.01 * np.log2(longest + 1) + 1)))
-        short, long = mine[: len(mine) - aside], mine[len(mine) - aside :]
-        here = [member[begin[k] : begin[k + 1]] for k in short]
-        here = [m[: np.searchsorted(m, x)] for m in here]  # sets before this one
-        found, count = merge_short([m for m in here if len(m)], need - aside)
-        if not len(found):
-            continue
-        keep = (groups.label[found] != groups.label[x]) & (size * bound.num <= sizes[found] * bound.den) & (sizes[found] * bound.num <= size * bound.den)
-        if fresh is not None:
-            keep &= ~fresh[found]
-        found, count = found[keep], count[keep]
-        first = np.argsort(-count, kind="stable")
-        found, count = found[first], count[first]
-        while len(found):  # the most promising first; those that join the group need no look
-            some, had = found[:32], count[:32]
-            probe = long.astype(np.int64)[:, None] * n + some[None, :]
-            at = np.searchsorted(keys, probe.ravel()).reshape(probe.shape)
-            both = had + (keys[np.minimum(at, len(keys) - 1)] == probe).sum(0)
-            for y in some[bound.linked(both, size, sizes[some])]:
-                groups.join(x, int(y))
-            found, count = found[32:], count[32:]
-            rest = groups.label[found] != groups.label[x]
-            found, count = found[rest], count[rest]
-    return groups.label
+    for x in range(n):
+        every = rank[starts[x] : starts[x] + sizes[x]]
+        size, need = int(sizes[x]), int(bound.need(sizes[x]))
+        mine = every[length[every] > 1]
+        if len(mine) >= need and (fresh is None or fresh[x]):
+            mine = mine[np.argsort(earlier[mine], kind="stable")]
+            short, long = mine[: len(mine) - need + 1], mine[len(mine) - need + 1 :]
+            found, both = merged(member, begin[short], earlier[short])
+            keep = (size * bound.num <= sizes[found] * bound.den) & (sizes[found] * bound.num <= size * bound.den)
+            if fresh is not None:
+                keep &= ~fresh[found]
+            found, both = found[keep], both[keep]
+            if len(found):
+                cheap = earlier[long] <= LOOK_UP * len(found)
+                also, times = merged(member, begin[long[cheap]], earlier[long[cheap]])
+                if len(also):
+                    at = np.minimum(np.searchsorted(also, found), len(also) - 1)
+                    both = both + np.where(also[at] == found, times[at], 0)
+                for k in long[~cheap].tolist():
+                    probe = np.int64(k) * n + found
+                    both = both + (keys[np.minimum(np.searchsorted(keys, probe), len(keys) - 1)] == probe)
+                near = found[bound.linked(both, size, sizes[found])]
+                if len(near):
+                    links[x] += weight[near].sum()
+                    links[near] += weight[x]
+                    groups.join(np.append(near, x))
+        earlier[every] += 1
+    return groups.roots(np.arange(n)), links
 
 
 def deal(worlds: DataFrame, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
-    """``worlds`` (world, rep, check, n) with the tasks that each set takes part in.
+    """``worlds`` (world, rep, check, n, m) with the tasks that each set takes part in.
 
     Worlds that are too large are dealt into blocks by hash and searched by pairs of
     blocks. Only ids and sizes are looked at; the shingles come to the tasks afterwards.
@@ -297,13 +292,14 @@ def deal(worlds: DataFrame, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("block", block).withColumn("other", other)
     key = F.struct("world", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    return dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), key.alias("key"), (F.col("blocks") > 1).alias("many"), "block", "rep", "check")
+    return dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), key.alias("key"), (F.col("blocks") > 1).alias("many"), "block", "rep", "check", "m")
 
 
 def search_worlds(dealt: DataFrame, bound: Bound) -> DataFrame:
-    """rep and group of all rows of ``deal`` with their shingles; group is the smallest linked rep found.
+    """rep, grp and links of all rows of ``deal`` with their shingles; grp is the smallest linked rep found.
 
     Each task's sets are searched together; the groups of pairs of blocks are then joined.
+    ``links`` counts the documents of other sets that a document of this set links with.
     """
 
     def run(batches):
@@ -313,13 +309,13 @@ def search_worlds(dealt: DataFrame, bound: Bound) -> DataFrame:
         for b in batches:
             column = b.column("shingles")
             offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            rows = zip(b.column("key").to_pylist(), b.column("block").to_pylist(), b.column("rep").to_pylist(), b.column("many").to_pylist())
-            for i, (key, block, rep, many) in enumerate(rows):
+            rows = zip(*(b.column(c).to_pylist() for c in ("key", "block", "rep", "many", "m")))
+            for i, (key, block, rep, many, m) in enumerate(rows):
                 if held and key != now:
                     out += solved(held)
                     held = []
                 now = key
-                held.append((rep, block, many, key, flat[offsets[i] : offsets[i + 1]].copy()))
+                held.append((rep, block, many, key, flat[offsets[i] : offsets[i + 1]].copy(), m))
             if len(out) > 4096:
                 yield batch_of(out)
                 out = []
@@ -336,32 +332,36 @@ def search_worlds(dealt: DataFrame, bound: Bound) -> DataFrame:
             fresh = np.array([r[1] == key["b"] for r in held])
             order = np.argsort(fresh, kind="stable")
             held, fresh = [held[i] for i in order], fresh[order]
-        label = search_world(np.concatenate([r[4] for r in held]), np.array([len(r[4]) for r in held]), bound, fresh)
+        label, links = search_world(np.concatenate([r[4] for r in held]), np.array([len(r[4]) for r in held]), bound, fresh, np.array([r[5] for r in held]))
         low: dict[int, int] = {}
         for r, g in zip(held, label.tolist()):
             low[g] = min(low.get(g, r[0]), r[0])
-        return [(r[0], low[g], r[2]) for r, g in zip(held, label.tolist())]
+        return [(r[0], low[g], r[2], k) for r, g, k in zip(held, label.tolist(), links.tolist())]
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_()))], names=["rep", "grp", "many"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["rep", "grp", "many", "links"])
 
     ordered = dealt.repartition("task").sortWithinPartitions("task", "key")
-    found = saved(ordered.mapInArrow(run, "rep long, grp long, many boolean"))
-    whole = found.filter("NOT many").select("rep", "grp")
-    parts = found.filter("many AND rep <> grp").select("rep", "grp")
+    found = saved(ordered.mapInArrow(run, "rep long, grp long, many boolean, links long"))
+    whole = found.filter("NOT many").select("rep", "grp", "links")
+    parts = found.filter("many")
     if not parts.limit(1).count():
         return whole
-    both = parts.select("rep", F.xxhash64("rep", "grp").alias("link")).unionByName(parts.select(F.col("grp").alias("rep"), F.xxhash64("rep", "grp").alias("link")))
-    return whole.unionByName(components(both, "rep", "link").select(F.col("node").alias("rep"), F.col("label").alias("grp")))
+    tied = parts.filter("rep <> grp").select("rep", "grp", F.xxhash64("rep", "grp").alias("link"))
+    both = tied.select("rep", "link").unionByName(tied.select(F.col("grp").alias("rep"), "link"))
+    named = components(both, "rep", "link").select(F.col("node").alias("rep"), F.col("label").alias("grp"))
+    sums = parts.groupBy("rep").agg(F.sum("links").alias("links")).join(named, "rep", "left")
+    return whole.unionByName(sums.select("rep", F.coalesce("grp", "rep").alias("grp"), "links"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """digest and all shingles of the documents whose ids ``wanted`` (id) has, and of a few more.
 
-    The tasks know the wanted ids by a bit table of fixed size, so the texts are not
-    shuffled; where it says yes falsely, the caller's join drops the row.
+    The tasks know the wanted ids by a bit table whose size follows their number, so the texts
+    are not shuffled; where it says yes falsely, the caller's join drops the row.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "id").table)
+    log2 = min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * max(1, wanted.count())))))
+    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "id", log2).table)
 
     def run(batches):
         known = Bits.of(bits.value)
@@ -376,7 +376,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, width: int, num: int, den: int, slack: float = 1.0, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
-    """id, key, n, component_id, grp of every row: ``grp`` tells components apart, also those that share ids.
+    """id, key, n, component_id, n_links, grp of every row: ``grp`` tells components apart, also those that share ids.
 
     Within, a different set goes by its digest; ``grp`` is null for the empty set.
     """
@@ -385,32 +385,34 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, slack: float = 1.0
     full, full_place = saved_at(signatures(docs, width, bound))
     signed = saved(full.drop("sent"))
     low = F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("low")
-    known = full.filter("n > 0").groupBy("digest", "digest2").agg(low, F.min_by(F.struct("id", "n", "sent"), "id").alias("s"))
-    with_sent, sets_place = saved_at(known.select(F.col("digest").alias("rep"), F.col("digest2").alias("check"), "low", "s.id", "s.n", "s.sent"))
+    known = full.filter("n > 0").groupBy("digest", "digest2").agg(low, F.count("*").alias("m"), F.min_by(F.struct("id", "n", "sent"), "id").alias("s"))
+    with_sent, sets_place = saved_at(known.select(F.col("digest").alias("rep"), F.col("digest2").alias("check"), "low", "m", "s.id", "s.n", "s.sent"))
     forget(spark, full_place)  # what was sent lies in the sets now
     found = saved(candidates(with_sent.select("rep", "n", "sent"), bound))
     sets = saved(with_sent.drop("sent"))
     forget(spark, sets_place)
     worlds = components(found.select("rep", F.explode("shared").alias("shingle")), "rep", "shingle")
-    worlds = saved(worlds.select(F.col("node").alias("rep"), F.col("label").alias("world")).join(sets.select("rep", "check", "id", "n"), "rep"))
+    worlds = saved(worlds.select(F.col("node").alias("rep"), F.col("label").alias("world")).join(sets.select("rep", "check", "id", "n", "m"), "rep"))
     members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, world_shingles), ["rep", "check"]).drop("check")
-    linked = saved(search_worlds(members, bound).distinct())
-    lows = linked.join(sets.select("rep", "low"), "rep").groupBy("grp").agg(F.min("low").alias("component"), F.count("*").alias("m")).filter("m > 1")
-    named = linked.join(lows, "grp").select("rep", "component", "grp", F.lit(True).alias("linked"))
-    ids = sets.select(F.col("rep").alias("digest"), F.col("check").alias("digest2"), "rep", "low").join(named, "rep", "left")
-    ids = ids.select("digest", "digest2", F.coalesce("grp", "rep").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component_id"))
+    linked = saved(search_worlds(members, bound))
+    lows = linked.join(sets.select("rep", "low"), "rep").groupBy("grp").agg(F.min("low").alias("component"), F.count("*").alias("k")).filter("k > 1")
+    named = linked.join(lows, "grp").select("rep", "component", "grp", "links", F.lit(True).alias("linked"))
+    ids = sets.select(F.col("rep").alias("digest"), F.col("check").alias("digest2"), "rep", "low", "m").join(named, "rep", "left")
+    of_all = (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")  # and the other documents of the same set
+    ids = ids.select("digest", "digest2", F.coalesce("grp", "rep").alias("grp"), F.when(F.col("linked"), F.col("component")).otherwise(F.col("low")).alias("component_id"), of_all)
     out = signed.select("id", "key", "n", "digest", "digest2").join(ids, ["digest", "digest2"], "left")
-    return out.select("id", "key", "n", "component_id", F.when(F.col("n") > 0, F.col("grp")).alias("grp"))
+    return out.select("id", "key", "n", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("grp")).alias("grp"))
 
 
 def groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, slack: float = 1.0, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, n_links of every row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the smallest doc_id that links reach, the document's own included.
+    ``component_id`` is the smallest doc_id that links reach, the document's own included;
+    ``n_links`` is how many other documents the document links with.
     """
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     out = _grouped(docs, width, num, den, slack, world_shingles)
-    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"))
+    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -28,7 +28,7 @@ WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
      l AS MATERIALIZED (SELECT i, j FROM c WHERE 100 * k >= 90 * (n + m - k)),
      r AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
      m AS (SELECT i, min(j) AS component_id FROM r GROUP BY 1)
-SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN m ON m.i = s.doc_id"""
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, (SELECT count(*) FROM l WHERE l.i = doc_id) AS n_links FROM s JOIN m ON m.i = s.doc_id"""
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

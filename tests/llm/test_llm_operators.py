@@ -165,8 +165,12 @@ def families():
 @pytest.mark.parametrize("width, num, world", [(3, 90, 1_000_000), (5, 80, 1_000_000), (3, 80, 300)])
 def test_groups_equal_brute_force(spark, families, width, num, world):
     docs = spark.createDataFrame(families, "doc_id long, text string")
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.groups(docs, width, num, 100, world_shingles=world).collect()}
-    assert got == brute_groups(families, width, num, 100)
+    rows = jaccard_join.groups(docs, width, num, 100, world_shingles=world).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows} == brute_groups(families, width, num, 100)
+    sets = {i: shingles(t, width) for i, t in families}
+    for r in rows:
+        own = sets[r["doc_id"]]
+        assert r["n_links"] == sum(bool(own) and i != r["doc_id"] and 100 * len(own & x) >= num * len(own | x) for i, x in sets.items())
 
 
 def test_groups_of_odd_rows(spark, odd, none):
@@ -192,7 +196,8 @@ def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
 def test_world_search_equals_pairs(sets):
     bound = jaccard_join.Bound(70, 100)
     values = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
-    label = jaccard_join.search_world(values, np.array([len(s) for s in sets]), bound)
+    label, links = jaccard_join.search_world(values, np.array([len(s) for s in sets]), bound)
+    assert links.tolist() == [sum(a != b and 100 * len(a_ & b_) >= 70 * len(a_ | b_) for b, b_ in enumerate(sets)) for a, a_ in enumerate(sets)]
     group = list(range(len(sets)))
     for a in range(len(sets)):
         for b in range(a):
@@ -202,6 +207,30 @@ def test_world_search_equals_pairs(sets):
     assert label.tolist() == group
 
 
+def test_a_family_over_many_blocks_loses_no_link(spark):
+    rng = random.Random(17)
+    base = prose(rng, 60).split()
+    rows = []
+    for k in range(120):
+        w = list(base)
+        w[rng.randrange(60)] = f"edit{k}"
+        rows.append((k if k % 40 else None, " ".join(w), "en"))
+    got = jaccard_join.groups(frame(spark, rows), 3, 80, 100, world_shingles=1200).collect()  # about 12 blocks
+    assert [r["n_links"] for r in got] == [119] * 120 and {r["component_id"] for r in got} == {1}
+    assert jaccard_join.groups(frame(spark, rows), 3, 80, 100).agg({"n_links": "sum"}).first()[0] == 120 * 119
+
+
+def test_search_of_a_large_family_is_fast():
+    import time
+
+    rng = np.random.default_rng(3)
+    common = np.sort(rng.choice(1 << 40, 80, replace=False)).astype(np.uint64)
+    sets = [np.sort(np.append(np.delete(common, rng.choice(80, 2, replace=False)), rng.integers(1 << 41, 1 << 42, 2)).astype(np.uint64)) for _ in range(3000)]
+    begin = time.time()
+    label, links = jaccard_join.search_world(np.concatenate(sets), np.full(3000, 80), jaccard_join.Bound(90, 100))
+    assert time.time() - begin < 60 and set(label.tolist()) == {0} and links.sum() > 3000 * 2000
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(60).selectExpr("id AS a", "explode(array(id, id + 1)) AS b").unionByName(spark.range(100, 103).selectExpr("id AS a", "CAST(1000 AS LONG) AS b"))
     got = {r["node"]: r["label"] for r in jaccard_join.components(edges, "a", "b").collect()}
