@@ -19,14 +19,22 @@ PERIODS = 12
 
 def equal_weights(universe: DataFrame) -> DataFrame:
     """weight 1 / N by date. (O-138)"""
-    return universe.select("date", "asset", F.lit("equal").alias("strategy"), (1 / F.count("*").over(Window.partitionBy("date"))).alias("weight"))
+    return universe.select("date", "asset", F.lit("equal").alias("strategy"), (1 / F.count("*").over(Window.partitionBy("date"))).alias("weight"), "history_end")
 
 
-def diagonal_minimum_variance(universe: DataFrame, variance: Column, penalty: Column, name: str) -> DataFrame:
-    """Minimum-variance weights of a diagonal covariance with a penalty on its diagonal. (O-135, O-139, O-140)"""
-    inverse = 1 / (variance + penalty)
-    rows = universe.select("date", "asset", inverse.alias("_i"))
-    return rows.select("date", "asset", F.lit(name).alias("strategy"), (F.col("_i") / F.sum("_i").over(Window.partitionBy("date"))).alias("weight"))
+def diagonal_minimum_variance(universe: DataFrame, variance: Column, penalty: Column, name: Column) -> DataFrame:
+    """Minimum-variance weights of a diagonal covariance with a penalty on its diagonal. (O-135, O-139, O-140)
+
+    ``universe``: date, asset, history_end and what the columns name; several strategies can
+    stand below each other, told apart by ``name``.
+    """
+    rows = universe.select("date", "asset", name.alias("strategy"), (1 / (variance + penalty)).alias("_i"), "history_end")
+    return rows.select("date", "asset", "strategy", (F.col("_i") / F.sum("_i").over(Window.partitionBy("strategy", "date"))).alias("weight"), "history_end")
+
+
+def quality_penalty(variance: Column, quality: Column, strength: Column) -> Column:
+    """strength x the date's median variance x (1 - quality): what a diagonal gains for bad evidence. (O-139)"""
+    return strength * F.median(variance).over(Window.partitionBy("date")) * (1 - quality)
 
 
 def segments(dates: DataFrame, formations: DataFrame) -> DataFrame:
@@ -75,10 +83,24 @@ def net_returns(gross: DataFrame, turn: DataFrame, bps: Column) -> DataFrame:
     return day.select("strategy", "date", "gross", "turnover", cost.alias("cost"), ((1 - cost) * (1 + F.col("gross")) - 1).alias("net"))
 
 
-def concentration(targets: DataFrame) -> DataFrame:
-    """By strategy and formation: HHI, effective and active assets, largest weight. (O-144)"""
+def concentration(targets: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """By strategy and formation: HHI, effective and active assets, largest weight, weighted quality. (O-144)
+
+    ``quality``: date, asset, quality; an asset without one is neutral, 0.5. Without the table the
+    portfolio's quality is null. ``failed``: the weights are no portfolio.
+    """
     w = F.col("weight")
-    return targets.groupBy("strategy", "date").agg(F.sum(w * w).alias("hhi"), (1 / F.sum(w * w)).alias("effective"), F.count_if(w > 1e-8).alias("active"), F.max(w).alias("largest"), F.count("*").alias("eligible"))
+    rows = targets if quality is None else targets.join(quality.select("date", "asset", "quality"), ["date", "asset"], "left")
+    told = F.lit(None).cast("double") if quality is None else F.sum(w * F.coalesce("quality", F.lit(0.5)))
+    return rows.groupBy("strategy", "date").agg(
+        F.sum(w * w).alias("hhi"),
+        (1 / F.sum(w * w)).alias("effective"),
+        F.count_if(w > 1e-8).alias("active"),
+        F.max(w).alias("largest"),
+        F.count("*").alias("eligible"),
+        told.alias("quality"),
+        (F.coalesce(F.abs(F.sum(w) - 1), F.lit(1.0)) > 1e-7).alias("failed"),
+    )
 
 
 def target_changes(targets: DataFrame) -> DataFrame:
@@ -98,8 +120,11 @@ def tail(net: DataFrame, level: float, name: str) -> DataFrame:
     return loss.join(var, "strategy").filter("loss >= var").groupBy("strategy").agg(F.max("var").alias(f"var{name}"), F.avg("loss").alias(f"cvar{name}"))
 
 
-def metrics(net: DataFrame, targets: DataFrame) -> DataFrame:
-    """The metric table: one row for each strategy. (O-147)"""
+def metrics(net: DataFrame, targets: DataFrame, quality: DataFrame | None = None) -> DataFrame:
+    """The metric table: one row for each strategy. (O-147)
+
+    ``fallbacks`` counts formations whose ``fallback`` column, if the targets have one, is true.
+    """
     r = F.col("net")
     scale = F.sqrt(F.lit(float(PERIODS)))
     base = net.groupBy("strategy").agg(
@@ -110,20 +135,26 @@ def metrics(net: DataFrame, targets: DataFrame) -> DataFrame:
         F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), F.lit(2.0)))).alias("down"),
         F.sum("turnover").alias("turnover"),
         F.sum("cost").alias("total_cost"),
-        F.count_if(F.col("turnover") > 0).alias("rebalances"),
     )
     drawdowns = running_drawdown(net.select("strategy", "date", "net"), "strategy", "net")
     worst = drawdowns.groupBy("strategy").agg((-F.min("drawdown")).alias("max_drawdown"))
-    weights = concentration(targets).groupBy("strategy").agg(F.avg("hhi").alias("hhi"), F.avg("effective").alias("effective"), F.avg("active").alias("active"), F.max("largest").alias("largest"))
+    weights = concentration(targets, quality).groupBy("strategy").agg(
+        F.count("*").alias("rebalances"),
+        *(F.avg(c).alias(c) for c in ("hhi", "effective", "active", "largest", "quality")),
+        F.count_if("failed").alias("solver_failures"),
+    )
+    fallback = F.col("fallback") if "fallback" in targets.columns else F.lit(False)
+    fell = targets.groupBy("strategy").agg(F.count_distinct(F.when(fallback, F.col("date"))).alias("fallbacks"))
     out = base
-    for part in (worst, underwater_length(drawdowns, "strategy"), tail(net, 0.95, "95"), tail(net, 0.99, "99"), weights, target_changes(targets)):
-        out = out.join(part, "strategy")
+    for part in (worst, underwater_length(drawdowns, "strategy"), tail(net, 0.95, "95"), tail(net, 0.99, "99"), weights, fell, target_changes(targets)):
+        out = out.join(F.broadcast(part), "strategy")  # a row for each strategy
     c = F.col
     cagr = F.pow(c("wealth"), F.lit(float(PERIODS)) / c("n")) - 1
     return out.select(
         "strategy",
         (c("wealth") - 1).alias("cumulative"),
         cagr.alias("cagr"),
+        c("mean").alias("mean_return"),
         (c("mean") * PERIODS).alias("annual_mean"),
         (c("sd") * scale).alias("volatility"),
         (c("down") * scale).alias("downside"),
@@ -145,6 +176,9 @@ def metrics(net: DataFrame, targets: DataFrame) -> DataFrame:
         "active",
         "largest",
         "target_change",
+        "solver_failures",
+        "fallbacks",
+        "quality",
     )
 
 
@@ -158,17 +192,28 @@ def risk_scores(table: DataFrame) -> DataFrame:
     return ranks.select("strategy", sum((F.col(k) * w for k, w in RISK_WEIGHTS.items()), F.lit(0.0)).alias("risk_score"))
 
 
-def violations(net: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
-    """name, n: how many rows break each invariant of a result. (O-145, O-146)"""
+def violations(net: DataFrame, targets: DataFrame, cap: float, rate: float) -> DataFrame:
+    """name, n: how many rows break each invariant of a result. (O-145, O-146)
+
+    ``rate`` is the cost of a turnover of 1. Dates, weights, accounting and history are checked.
+    """
     sums = targets.groupBy("strategy", "date").agg(F.sum("weight").alias("s"))
+    traded = net.filter("turnover > 0").select("strategy", "date").distinct()
+    formed = targets.select("strategy", "date").distinct()
+    unsound = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
     checks = {
-        "weights_sum": sums.filter(F.abs(F.col("s") - 1) > 1e-9),
-        "weights_bounds": targets.filter((F.col("weight") < -1e-12) | (F.col("weight") > cap + 1e-9)),
-        "weights_unique": targets.groupBy("strategy", "date", "asset").count().filter("count > 1"),
         "dates_unique": net.groupBy("strategy", "date").count().filter("count > 1"),
-        "returns_finite": net.filter(F.isnan("net") | F.col("net").isNull() | (F.col("net") < -1)),
+        "weights_unique": targets.groupBy("strategy", "date", "asset").count().filter("count > 1"),
+        "formations_traded": traded.join(formed, ["strategy", "date"], "left_anti"),
+        "history_prior": targets.filter("history_end IS NULL OR history_end >= date"),
+        "weights_finite": targets.filter(unsound("weight")),
+        "weights_sum": sums.filter(F.abs(F.col("s") - 1) > 1e-7),
+        "weights_bounds": targets.filter((F.col("weight") < -1e-8) | (F.col("weight") > cap + 1e-7)),
+        "returns_finite": net.filter(unsound("gross") | unsound("net") | unsound("turnover") | unsound("cost")),
+        "wealth_positive": net.filter("net <= -1"),
+        "costs_bounded": net.filter("turnover < 0 OR cost < 0 OR cost >= 1"),
         "net_identity": net.filter(F.abs((1 - F.col("cost")) * (1 + F.col("gross")) - 1 - F.col("net")) > 1e-12),
-        "costs_on_formations": net.filter((F.col("cost") > 0) & (F.col("turnover") <= 0)),
+        "cost_identity": net.filter(F.abs(F.col("cost") - F.col("turnover") * rate) > 1e-12),
     }
     out = None
     for name, bad in checks.items():
@@ -177,6 +222,13 @@ def violations(net: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     return out
 
 
+def reconciled(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
+    """cells, mismatched, max_error of two tables, cell by cell: a cell that one side lacks is a mismatch. (O-52, O-153)"""
+    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
+    error = F.abs(F.col("_a") - F.col("_b"))
+    return both.agg(F.count("*").alias("cells"), F.count_if(error.isNull() | (error > tolerance)).alias("mismatched"), F.max(error).alias("max_error"))
+
+
 def annual(net: DataFrame) -> DataFrame:
     """By strategy and year: days, return, volatility and the mean of the worst 5 %. (O-98)"""
     y = net.withColumn("year", F.year("date"))
@@ -205,24 +257,45 @@ def by_regime(net: DataFrame, stress: DataFrame) -> DataFrame:
     return r.groupBy("strategy", "regime").agg(F.count("*").alias("days"), (sd * scale).alias("volatility"), F.when(sd > 0, F.avg("net") / sd * scale).alias("sharpe"))
 
 
+def core_statistics(series: DataFrame, *by: str) -> DataFrame:
+    """volatility, cvar95, max_drawdown and sharpe of each series (``by``, k, net) in the order of k."""
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    rows = series.withColumn("loss", -F.col("net")).withColumn("cut", F.percentile("loss", 0.95).over(whole)).withColumn("wealth", F.product(1 + F.col("net")).over(upto))
+    rows = rows.withColumn("drawdown", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(upto)) - 1)
+    sd, scale = F.stddev_samp("net"), F.sqrt(F.lit(float(PERIODS)))
+    return rows.groupBy(*by).agg(
+        (sd * scale).alias("volatility"),
+        F.avg(F.when(F.col("loss") >= F.col("cut"), F.col("loss"))).alias("cvar95"),
+        (-F.min("drawdown")).alias("max_drawdown"),
+        F.when(sd > 0, F.avg("net") / sd * scale).alias("sharpe"),
+    )
+
+
 def block_bootstrap(net: DataFrame, reference: str, replications: int, block: int) -> DataFrame:
-    """Paired moving-block bootstrap of volatility and mean differences from ``reference``. (O-150)
+    """Paired moving-block bootstrap of the core statistics' differences from ``reference``. (O-150, O-151)
 
-    Block starts are arithmetic in replication and block (a fixed multiplicative rule), so
-    any engine draws the same. All strategies share the draw. Each replication's positions
-    join the numbered returns; replications spread over tasks.
+    Each block of each replication starts where the first 8 digits of the MD5 of "replication:block" say, modulo
+    the possible starts, so draws look independent and any engine draws the same. All
+    strategies share the draw. ``difference`` is that of the full series; the interval is
+    that of the replications. Replication -1 stands for the full series, so one computation
+    serves both; replications spread over tasks.
     """
     w = Window.partitionBy("strategy").orderBy("date")
-    series = net.select("strategy", (F.row_number().over(w) - 1).alias("k"), "net")
-    length = series.agg((F.max("k") + 1).alias("n"))
+    series = net.select("strategy", (F.row_number().over(w) - 1).cast("long").alias("at"), "net")
+    length = series.agg((F.max("at") + 1).alias("n"))
     spark = net.sparkSession
-    reps = spark.range(replications).withColumnRenamed("id", "rep").crossJoin(length)  # one row
+    reps = spark.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(length))  # one row
     blocks = reps.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block).cast("long") - 1)))
-    start = F.pmod(F.col("rep") * 7919 + F.col("b") * 104729 + F.col("rep") * F.col("b") * 31, F.col("n") - block + 1)
-    at = blocks.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("b") * block + F.col("o") < F.col("n"))
-    drawn = at.select("rep", (F.col("start") + F.col("o")).cast("int").alias("k")).join(series, "k")
-    stats = drawn.groupBy("strategy", "rep").agg((F.stddev_samp("net") * F.sqrt(F.lit(float(PERIODS)))).alias("volatility"), (F.avg("net") * PERIODS).alias("annual_mean"))
-    base = stats.filter(F.col("strategy") == reference).select("rep", F.col("volatility").alias("v0"), F.col("annual_mean").alias("m0"))
-    diff = stats.filter(F.col("strategy") != reference).join(base, "rep").select("strategy", F.expr("stack(2, 'volatility', volatility - v0, 'annual_mean', annual_mean - m0) AS (metric, d)"))
-    out = diff.groupBy("strategy", "metric").agg(F.avg("d").alias("difference"), F.percentile("d", 0.025).alias("lower"), F.percentile("d", 0.975).alias("upper"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "b").cast("binary")), 1, 8), 16, 10).cast("long")
+    offsets = blocks.withColumn("start", drawn % (F.col("n") - block + 1)).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    places = offsets.select("rep", (F.col("b") * block + F.col("o")).alias("k"), (F.col("start") + F.col("o")).alias("at"), "n").filter("k < n").drop("n")
+    full = length.select(F.lit(-1).cast("long").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("at", F.col("k"))
+    stats = core_statistics(places.unionByName(full).join(series, "at"), "strategy", "rep")
+    names = ["volatility", "cvar95", "max_drawdown", "sharpe"]
+    long = stats.unpivot(["strategy", "rep"], names, "metric", "x")
+    base = long.filter(F.col("strategy") == reference).select("rep", "metric", F.col("x").alias("x0"))
+    diff = long.filter(F.col("strategy") != reference).join(base, ["rep", "metric"]).withColumn("d", F.col("x") - F.col("x0"))
+    drawn_only = F.when(F.col("rep") >= 0, F.col("d"))
+    out = diff.groupBy("strategy", "metric").agg(F.max(F.when(F.col("rep") < 0, F.col("d"))).alias("difference"), F.percentile(drawn_only, 0.025).alias("lower"), F.percentile(drawn_only, 0.975).alias("upper"))
     return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))

@@ -1,29 +1,50 @@
-"""Queries over portfolios: two strategies on the nations' panel, formed at the start of each quarter."""
+"""Queries over portfolios: strategies on the nations' panel, formed at the start of each quarter."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import prior
+from tallyglass.functions.columns import clip, prior
 from tallyglass.operators import backtest as ops
 from tallyglass.operators import panel
 from tallyglass.plans import registry
-from tallyglass.plans.panel_queries import LONG, returns, rounded
+from tallyglass.plans.facts_queries import nation_quality, nation_quality_sql
+from tallyglass.plans.panel_queries import LONG, MIDDLE, returns, rounded
 from tallyglass.plans.registry import query
-from tallyglass.sources.views import RETURNS_SQL, table
+from tallyglass.sources.sinks import written
+from tallyglass.sources.views import RETURNS_SQL, bars, table
 
 BPS = 10.0
-TARGETS_SQL = (
+#: Strengths of the penalties; the candidates of the grid.
+RIDGE, DOWNSIDE, GRID = 0.001, 0.5, (0.0, 0.25, 0.5, 1.0, 2.0)
+CAP = 0.15
+UNIVERSE_SQL = (
     RETURNS_SQL
-    + f""", v AS (SELECT date, asset, CASE WHEN count(ret) OVER w = {LONG} THEN var_samp(ret) OVER w END AS variance FROM rets
-   WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {LONG} PRECEDING AND 1 PRECEDING)),
- u AS (SELECT * FROM v WHERE variance > 0 AND date IN (SELECT min(date) FROM rets GROUP BY date_trunc('quarter', date))),
- targets AS (SELECT date, asset, 'equal' AS strategy, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM u
-   UNION ALL SELECT date, asset, 'diagonal', (1 / (variance + 0.001)) / sum(1 / (variance + 0.001)) OVER (PARTITION BY date) FROM u)"""
+    + f""", v AS (SELECT date, asset, CASE WHEN count(ret) OVER w = {LONG} THEN var_samp(ret) OVER w END AS variance, greatest(avg(least(ret, 0) * least(ret, 0)) OVER m, 1e-10) AS downside,
+   lag(date) OVER (PARTITION BY asset ORDER BY date) AS history_end FROM rets
+   WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {LONG} PRECEDING AND 1 PRECEDING), m AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {MIDDLE} PRECEDING AND 1 PRECEDING)),
+ u AS (SELECT * FROM v WHERE variance > 0 AND date IN (SELECT min(date) FROM rets GROUP BY date_trunc('quarter', date)))"""
+)
+TARGETS_SQL = (
+    UNIVERSE_SQL
+    + f""", raw AS (SELECT date, asset, history_end, 'equal' AS strategy, 1.0::DOUBLE AS x FROM u UNION ALL SELECT date, asset, history_end, 'diagonal', 1 / (variance + {RIDGE}) FROM u
+   UNION ALL SELECT date, asset, history_end, 'downside', 1 / (variance + {RIDGE} + {DOWNSIDE} * downside) FROM u),
+ targets AS (SELECT date, asset, strategy, x / sum(x) OVER (PARTITION BY strategy, date) AS weight, history_end FROM raw)"""
 )
-NET_SQL = (
-    TARGETS_SQL
-    + f""", fd AS (SELECT DISTINCT date AS formation FROM targets), rd AS (SELECT DISTINCT date FROM rets),
+QUALITY_TARGETS_SQL = (
+    UNIVERSE_SQL
+    + f""", {nation_quality_sql("u")}, uq AS (SELECT u.*, coalesce(quality, 0.5) AS quality, median(variance) OVER (PARTITION BY u.date) AS mid FROM u LEFT JOIN nq USING (date, asset)),
+ raw AS (SELECT date, asset, history_end, strength::VARCHAR AS strategy, 1 / (variance + {RIDGE} + strength * mid * (1 - quality)) AS x FROM uq CROSS JOIN (SELECT unnest({list(GRID)})::DOUBLE AS strength)),
+ targets AS (SELECT date, asset, strategy, x / sum(x) OVER (PARTITION BY strategy, date) AS weight, history_end FROM raw)"""
+)
+
+
+def net_sql(targets: str) -> str:
+    """``targets`` and the accounting of their portfolios."""
+    return (
+        targets
+        + f""", fd AS (SELECT DISTINCT date AS formation FROM targets), rd AS (SELECT DISTINCT date FROM rets),
  seg AS (SELECT rd.date, max(formation) AS formation FROM rd JOIN fd ON formation <= rd.date GROUP BY 1),
  held AS (SELECT strategy, seg.formation, r.date, asset, weight * product(1 + coalesce(ret, 0)) OVER (PARTITION BY strategy, seg.formation, asset ORDER BY r.date ROWS UNBOUNDED PRECEDING) AS value
    FROM rets r JOIN seg USING (date) JOIN (SELECT date AS formation, asset, strategy, weight FROM targets) t USING (formation, asset)),
@@ -36,33 +57,59 @@ NET_SQL = (
  turn AS (SELECT strategy, formation, CASE WHEN before IS NULL THEN 1.0 ELSE moved END AS turnover FROM mv JOIN fs USING (strategy, formation)),
  n0 AS (SELECT strategy, date, gross, CASE WHEN date = formation THEN turnover ELSE 0 END AS turnover FROM gross LEFT JOIN turn USING (strategy, formation)),
  net AS (SELECT *, {BPS} / 1e4 * turnover AS cost, (1 - {BPS} / 1e4 * turnover) * (1 + gross) - 1 AS net FROM n0)"""
-)
+    )
 
 
-def _targets(r):
-    w = prior(panel.by_asset(), LONG)
-    var = r.select("date", "asset", F.when(F.count("ret").over(w) == LONG, F.var_samp("ret").over(w)).alias("variance"))
+NET_SQL = net_sql(TARGETS_SQL)
+
+
+def _universe(r):
+    """Assets with a full window at the start of each quarter: variance, downside and where the history ends."""
+    w, m = prior(panel.by_asset(), LONG), prior(panel.by_asset(), MIDDLE)
+    down = F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0))
+    rows = r.select(
+        "date",
+        "asset",
+        F.when(F.count("ret").over(w) == LONG, F.var_samp("ret").over(w)).alias("variance"),
+        clip(F.avg(down).over(m), panel.FLOOR).alias("downside"),
+        F.lag("date").over(panel.by_asset()).alias("history_end"),
+    )
     first = panel.first_of_period(r, "QUARTER").select(F.col("formation").alias("date"))
-    universe = var.filter("variance > 0").join(first, "date", "left_semi")
-    return ops.equal_weights(universe).unionByName(ops.diagonal_minimum_variance(universe, F.col("variance"), F.lit(0.001), "diagonal"))
+    return rows.filter("variance > 0").join(F.broadcast(first), "date", "left_semi")  # a row for each quarter
 
 
-def _paths(spark, sf_dir):
-    r = returns(spark, sf_dir)
-    targets = _targets(r)
+def _targets(r):
+    universe = _universe(r)
+    made = lambda name, penalty: ops.diagonal_minimum_variance(universe, F.col("variance"), penalty, F.lit(name))
+    return ops.equal_weights(universe).unionByName(made("diagonal", F.lit(RIDGE))).unionByName(made("downside", RIDGE + DOWNSIDE * F.col("downside")))
+
+
+def _quality_targets(spark, sf_dir, r):
+    """A candidate for each strength of the quality penalty, and the quality that they were formed with."""
+    universe = written(_universe(r))
+    quality = written(nation_quality(spark, sf_dir, universe))
+    known = universe.join(quality, ["date", "asset"], "left").withColumn("quality", F.coalesce("quality", F.lit(0.5)))
+    candidates = known.withColumn("penalty", F.explode(F.array(*map(F.lit, GRID))))
+    # the median of the date's variances is the same over its candidates
+    penalty = RIDGE + F.col("penalty") * F.median("variance").over(Window.partitionBy("date")) * (1 - F.col("quality"))
+    return ops.diagonal_minimum_variance(candidates, F.col("variance"), penalty, F.col("penalty").cast("string")), quality
+
+
+def _paths(r, targets):
+    """Gross returns and turnover, from the written panel of returns and targets."""
     held = ops.holdings(r, targets)
-    gross = ops.gross_returns(held)
-    turn = ops.turnover(targets, ops.drifted_weights(held, gross))
-    return targets, gross, turn
+    gross = written(ops.gross_returns(held))
+    return gross, ops.turnover(targets, ops.drifted_weights(held, gross))
 
 
 def _net(spark, sf_dir):
-    targets, gross, turn = _paths(spark, sf_dir)
-    # one row for each strategy and date, read by several steps of a report
-    return targets.persist(), ops.net_returns(gross, turn, F.lit(BPS)).persist()
+    r = written(returns(spark, sf_dir))
+    targets = written(_targets(r))
+    gross, turn = _paths(r, targets)
+    return targets, written(ops.net_returns(gross, turn, F.lit(BPS)))
 
 
-@query("portfolio_targets", f"WITH {TARGETS_SQL} SELECT date, asset, strategy, round(weight, 6) AS weight FROM targets")
+@query("portfolio_targets", f"WITH {TARGETS_SQL} SELECT date, asset, strategy, round(weight, 6) AS weight, history_end FROM targets")
 def portfolio_targets(spark, sf_dir):
     """Equal and diagonal minimum-variance weights. (O-135, O-138 to O-140)"""
     return rounded(_targets(returns(spark, sf_dir)))
@@ -82,16 +129,20 @@ def portfolio_returns(spark, sf_dir):
 
 @query(
     "concentration",
-    f"WITH {TARGETS_SQL} SELECT strategy, date, round(sum(weight * weight), 6) AS hhi, round(1 / sum(weight * weight), 6) AS effective, count(*) FILTER (weight > 1e-8) AS active, round(max(weight), 6) AS largest, count(*) AS eligible FROM targets GROUP BY 1, 2",
+    f"""WITH {TARGETS_SQL} SELECT strategy, date, round(sum(weight * weight), 6) AS hhi, round(1 / sum(weight * weight), 6) AS effective, count(*) FILTER (weight > 1e-8) AS active, round(max(weight), 6) AS largest, count(*) AS eligible,
+ NULL::DOUBLE AS quality, abs(sum(weight) - 1) > 1e-7 AS failed FROM targets GROUP BY 1, 2""",
 )
 def concentration(spark, sf_dir):
     return rounded(ops.concentration(_targets(returns(spark, sf_dir))))
 
 
-METRICS_SQL = (
-    NET_SQL
-    + """, b AS (SELECT strategy, count(*) AS n, product(1 + net) AS wealth, avg(net) AS mean, stddev_samp(net) AS sd, sqrt(avg(least(net, 0) * least(net, 0))) AS down,
-   sum(turnover) AS turnover, sum(cost) AS total_cost, count(*) FILTER (turnover > 0) AS rebalances FROM net GROUP BY 1),
+def metrics_sql(net: str, quality: str = "NULL::DOUBLE") -> str:
+    """``net`` (the accounting) and the metric table; ``quality`` is an asset's, from a table nq joined to the targets."""
+    join = " LEFT JOIN nq USING (date, asset)" if quality != "NULL::DOUBLE" else ""
+    return (
+        net
+        + f""", b AS (SELECT strategy, count(*) AS n, product(1 + net) AS wealth, avg(net) AS mean, stddev_samp(net) AS sd, sqrt(avg(least(net, 0) * least(net, 0))) AS down,
+   sum(turnover) AS turnover, sum(cost) AS total_cost FROM net GROUP BY 1),
  w1 AS (SELECT strategy, date, product(1 + net) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM net),
  dd AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM w1),
  isl AS (SELECT *, sum((dd >= 0)::INT) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING) AS island FROM dd),
@@ -99,20 +150,27 @@ METRICS_SQL = (
  md AS (SELECT strategy, -min(dd) AS max_drawdown FROM dd GROUP BY 1),
  q AS (SELECT strategy, quantile_cont(-net, 0.95) AS q95, quantile_cont(-net, 0.99) AS q99 FROM net GROUP BY 1),
  tl AS (SELECT strategy, any_value(q95) AS var95, avg(-net) FILTER (-net >= q95) AS cvar95, any_value(q99) AS var99, avg(-net) FILTER (-net >= q99) AS cvar99 FROM net JOIN q USING (strategy) GROUP BY 1),
- c1 AS (SELECT strategy, date, sum(weight * weight) AS hhi, 1 / sum(weight * weight) AS effective, count(*) FILTER (weight > 1e-8) AS active, max(weight) AS largest FROM targets GROUP BY 1, 2),
- cc AS (SELECT strategy, avg(hhi) AS hhi, avg(effective) AS effective, avg(active) AS active, max(largest) AS largest FROM c1 GROUP BY 1),
+ c1 AS (SELECT strategy, date, sum(weight * weight) AS hhi, 1 / sum(weight * weight) AS effective, count(*) FILTER (weight > 1e-8) AS active, max(weight) AS largest, sum(weight * {quality}) AS quality,
+   abs(sum(weight) - 1) > 1e-7 AS failed FROM targets{join} GROUP BY 1, 2),
+ cc AS (SELECT strategy, count(*) AS rebalances, avg(hhi) AS hhi, avg(effective) AS effective, avg(active) AS active, avg(largest) AS largest, avg(quality) AS quality, count(*) FILTER (failed) AS solver_failures FROM c1 GROUP BY 1),
  g AS (SELECT f.strategy, f.date, a.asset, coalesce(weight, 0) AS x FROM (SELECT DISTINCT strategy, date FROM targets) f JOIN (SELECT DISTINCT strategy, asset FROM targets) a ON a.strategy = f.strategy
    LEFT JOIN targets t ON t.strategy = f.strategy AND t.date = f.date AND t.asset = a.asset),
  st AS (SELECT strategy, date, abs(x - lag(x) OVER (PARTITION BY strategy, asset ORDER BY date)) AS d FROM g),
  tc AS (SELECT strategy, avg(l1) AS target_change FROM (SELECT strategy, date, sum(d) AS l1 FROM st WHERE d IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
- met AS (SELECT strategy, wealth - 1 AS cumulative, pow(wealth, 12.0 / n) - 1 AS cagr, mean * 12 AS annual_mean, sd * sqrt(12) AS volatility, down * sqrt(12) AS downside, mean / sd * sqrt(12) AS sharpe,
+ met AS (SELECT strategy, wealth - 1 AS cumulative, pow(wealth, 12.0 / n) - 1 AS cagr, mean AS mean_return, mean * 12 AS annual_mean, sd * sqrt(12) AS volatility, down * sqrt(12) AS downside, mean / sd * sqrt(12) AS sharpe,
    mean / down * sqrt(12) AS sortino, max_drawdown, (pow(wealth, 12.0 / n) - 1) / max_drawdown AS calmar, underwater, var95, cvar95, var99, cvar99, turnover * 12 / n AS annual_turnover, turnover / rebalances AS mean_turnover,
-   total_cost, rebalances, hhi, effective, active, largest, target_change FROM b JOIN uw USING (strategy) JOIN md USING (strategy) JOIN tl USING (strategy) JOIN cc USING (strategy) JOIN tc USING (strategy))"""
-)
-_DOUBLES = "cumulative cagr annual_mean volatility downside sharpe sortino max_drawdown calmar var95 cvar95 var99 cvar99 annual_turnover mean_turnover total_cost hhi effective active largest target_change".split()
+   total_cost, rebalances, hhi, effective, active, largest, target_change, solver_failures, 0::BIGINT AS fallbacks, quality
+   FROM b JOIN uw USING (strategy) JOIN md USING (strategy) JOIN tl USING (strategy) JOIN cc USING (strategy) JOIN tc USING (strategy))"""
+    )
 
 
-@query("portfolio_metrics", f"WITH {METRICS_SQL} SELECT strategy, underwater, rebalances, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)} FROM met")
+METRICS_SQL = metrics_sql(NET_SQL)
+QUALITY_METRICS_SQL = metrics_sql(net_sql(QUALITY_TARGETS_SQL), "coalesce(quality, 0.5)")
+_DOUBLES = "cumulative cagr mean_return annual_mean volatility downside sharpe sortino max_drawdown calmar var95 cvar95 var99 cvar99 annual_turnover mean_turnover total_cost hhi effective active largest target_change quality".split()
+_SHOWN = f"strategy, underwater, rebalances, solver_failures, fallbacks, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}"
+
+
+@query("portfolio_metrics", f"WITH {METRICS_SQL} SELECT {_SHOWN} FROM met")
 def portfolio_metrics(spark, sf_dir):
     targets, net = _net(spark, sf_dir)
     return rounded(ops.metrics(net, targets))
@@ -146,16 +204,53 @@ def metric_differences(spark, sf_dir):
     return rounded(m.filter("strategy <> 'equal'").crossJoin(base).select("strategy", *((F.col(c) - F.col(f"b_{c}")).alias(c) for c in ("volatility", "cagr", "cvar95"))))  # one row
 
 
+def _quality_metrics(spark, sf_dir):
+    r = written(returns(spark, sf_dir))
+    targets, quality = _quality_targets(spark, sf_dir, r)
+    targets = written(targets)
+    gross, turn = _paths(r, targets)
+    return ops.metrics(written(ops.net_returns(gross, turn, F.lit(BPS))), targets, quality)
+
+
+@query("quality_backtests", f"WITH {QUALITY_METRICS_SQL} SELECT {_SHOWN} FROM met")
+def quality_backtests(spark, sf_dir):
+    """From facts and prices to quality, penalised weights and metrics: a backtest for each strength. (O-43, O-139, O-144, O-147)"""
+    return rounded(_quality_metrics(spark, sf_dir))
+
+
+@query("quality_exposure", f"WITH {QUALITY_METRICS_SQL} SELECT strategy, round(quality, 6) AS exposure FROM met")
+def quality_exposure(spark, sf_dir):
+    """Weighted quality of each candidate, over its formations. (O-152)"""
+    return rounded(_quality_metrics(spark, sf_dir).select("strategy", F.col("quality").alias("exposure")))
+
+
+@query(
+    "grid_selection",
+    f"""WITH {QUALITY_METRICS_SQL}, sc AS (SELECT strategy, strategy::DOUBLE AS strength, {_SCORE} AS risk_score FROM met)
+SELECT strength, round(risk_score, 6) AS risk_score, row_number() OVER (ORDER BY round(risk_score, 9), strength) = 1 AS selected FROM sc""",
+)
+def grid_selection(spark, sf_dir):
+    """Candidates by the risk score of their backtests; ties go to the least intervention. (O-103, O-164)"""
+    scores = ops.risk_scores(_quality_metrics(spark, sf_dir)).select(F.col("strategy").cast("double").alias("strength"), "risk_score")
+    w = Window.orderBy(F.round("risk_score", 9), "strength")  # one row for each candidate
+    return rounded(scores.withColumn("selected", F.row_number().over(w) == 1))
+
+
 @query(
     "result_invariants",
-    f"""WITH {NET_SQL} SELECT name, n FROM (VALUES ('weights_sum', (SELECT count(*) FROM (SELECT sum(weight) AS s FROM targets GROUP BY strategy, date) WHERE abs(s - 1) > 1e-9)),
- ('weights_bounds', (SELECT count(*) FROM targets WHERE weight < -1e-12 OR weight > 0.15 + 1e-9)), ('weights_unique', (SELECT count(*) FROM (SELECT 1 FROM targets GROUP BY strategy, date, asset HAVING count(*) > 1))),
- ('dates_unique', (SELECT count(*) FROM (SELECT 1 FROM net GROUP BY strategy, date HAVING count(*) > 1))), ('returns_finite', (SELECT count(*) FROM net WHERE NOT isfinite(net) OR net IS NULL OR net < -1)),
- ('net_identity', (SELECT count(*) FROM net WHERE abs((1 - cost) * (1 + gross) - 1 - net) > 1e-12)), ('costs_on_formations', (SELECT count(*) FROM net WHERE cost > 0 AND turnover <= 0))) AS t(name, n)""",
+    f"""WITH {NET_SQL} SELECT name, n FROM (VALUES ('weights_sum', (SELECT count(*) FROM (SELECT sum(weight) AS s FROM targets GROUP BY strategy, date) WHERE abs(s - 1) > 1e-7)),
+ ('weights_bounds', (SELECT count(*) FROM targets WHERE weight < -1e-8 OR weight > {CAP} + 1e-7)), ('weights_unique', (SELECT count(*) FROM (SELECT 1 FROM targets GROUP BY strategy, date, asset HAVING count(*) > 1))),
+ ('weights_finite', (SELECT count(*) FROM targets WHERE weight IS NULL OR NOT isfinite(weight))), ('history_prior', (SELECT count(*) FROM targets WHERE history_end IS NULL OR history_end >= date)),
+ ('dates_unique', (SELECT count(*) FROM (SELECT 1 FROM net GROUP BY strategy, date HAVING count(*) > 1))),
+ ('formations_traded', (SELECT count(*) FROM (SELECT DISTINCT strategy, date FROM net WHERE turnover > 0) WHERE (strategy, date) NOT IN (SELECT (strategy, date) FROM targets))),
+ ('returns_finite', (SELECT count(*) FROM net WHERE NOT (isfinite(net) AND isfinite(gross) AND isfinite(turnover) AND isfinite(cost)) OR net + gross + turnover + cost IS NULL)),
+ ('wealth_positive', (SELECT count(*) FROM net WHERE net <= -1)), ('costs_bounded', (SELECT count(*) FROM net WHERE turnover < 0 OR cost < 0 OR cost >= 1)),
+ ('net_identity', (SELECT count(*) FROM net WHERE abs((1 - cost) * (1 + gross) - 1 - net) > 1e-12)), ('cost_identity', (SELECT count(*) FROM net WHERE abs(cost - turnover * {BPS} / 1e4) > 1e-12))) AS t(name, n)""",
 )
 def result_invariants(spark, sf_dir):
+    """(O-145, O-146)"""
     targets, net = _net(spark, sf_dir)
-    return ops.violations(net, targets, 0.15)
+    return ops.violations(net, targets, CAP, BPS / 1e4)
 
 
 @query(
@@ -173,7 +268,8 @@ def annual_report(spark, sf_dir):
     f"""WITH {NET_SQL} SELECT strategy, bps, round(pow(product((1 - bps / 1e4 * turnover) * (1 + gross)), 12.0 / count(*)) - 1, 6) AS cagr FROM net CROSS JOIN (SELECT unnest([0.0, 10.0, 25.0, 50.0])::DOUBLE AS bps) GROUP BY 1, 2""",
 )
 def cost_sensitivity(spark, sf_dir):
-    _, gross, turn = _paths(spark, sf_dir)
+    r = written(returns(spark, sf_dir))
+    gross, turn = _paths(r, written(_targets(r)))
     return rounded(ops.cost_sensitivity(gross, turn, [0.0, 10.0, 25.0, 50.0]))
 
 
@@ -194,22 +290,53 @@ def regime_report(spark, sf_dir):
 
 @query(
     "block_bootstrap",
-    f"""WITH {NET_SQL}, s AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS k, net FROM net), len AS (SELECT max(k) + 1 AS n FROM s),
- pos AS (SELECT rep, ((rep * 7919 + b * 104729 + rep * b * 31) % (n - 4)) + o AS k FROM range(500) x(rep), len, range(100) y(b), range(5) z(o) WHERE b < ceil(n / 5.0) AND b * 5 + o < n),
- st AS (SELECT strategy, rep, stddev_samp(net) * sqrt(12) AS volatility, avg(net) * 12 AS annual_mean FROM pos JOIN s USING (k) GROUP BY 1, 2),
- d AS (SELECT a.strategy, 'volatility' AS metric, a.volatility - b.volatility AS d FROM st a JOIN st b USING (rep) WHERE b.strategy = 'equal' AND a.strategy <> 'equal'
-   UNION ALL SELECT a.strategy, 'annual_mean', a.annual_mean - b.annual_mean FROM st a JOIN st b USING (rep) WHERE b.strategy = 'equal' AND a.strategy <> 'equal')
-SELECT strategy, metric, round(avg(d), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM d GROUP BY 1, 2""",
+    f"""WITH {NET_SQL}, s AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS p, net FROM net), len AS (SELECT max(p) + 1 AS n FROM s),
+ pos AS (SELECT rep, b * 5 + o AS k, ('0x' || substr(md5(rep || ':' || b), 1, 8))::BIGINT % (n - 4) + o AS p FROM range(500) x(rep), len, range(100) y(b), range(5) z(o) WHERE b < ceil(n / 5.0) AND b * 5 + o < n
+   UNION ALL SELECT -1, k, k FROM len, range(500) y(k) WHERE k < n),
+ r0 AS (SELECT strategy, rep, k, net, -net AS loss FROM pos JOIN s USING (p)), r1 AS (SELECT *, quantile_cont(loss, 0.95) OVER (PARTITION BY strategy, rep) AS cut, product(1 + net) OVER w AS wealth FROM r0 WINDOW w AS (PARTITION BY strategy, rep ORDER BY k ROWS UNBOUNDED PRECEDING)),
+ r2 AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY strategy, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM r1),
+ st AS (SELECT strategy, rep, stddev_samp(net) * sqrt(12) AS volatility, avg(loss) FILTER (loss >= cut) AS cvar95, -min(dd) AS max_drawdown, avg(net) / stddev_samp(net) * sqrt(12) AS sharpe FROM r2 GROUP BY 1, 2),
+ l AS (UNPIVOT st ON volatility, cvar95, max_drawdown, sharpe INTO NAME metric VALUE x),
+ d AS (SELECT a.strategy, a.rep, metric, a.x - b.x AS d FROM l a JOIN l b USING (rep, metric) WHERE b.strategy = 'equal' AND a.strategy <> 'equal')
+SELECT strategy, metric, round(max(d) FILTER (rep < 0), 6) AS difference, round(quantile_cont(d, 0.025) FILTER (rep >= 0), 6) AS lower, round(quantile_cont(d, 0.975) FILTER (rep >= 0), 6) AS upper,
+  quantile_cont(d, 0.025) FILTER (rep >= 0) > 0 OR quantile_cont(d, 0.975) FILTER (rep >= 0) < 0 AS excludes_zero FROM d GROUP BY 1, 2""",
 )
 def block_bootstrap(spark, sf_dir):
     """Differences with 95 % intervals, and whether they exclude zero. (O-150, O-151)"""
     return rounded(ops.block_bootstrap(_net(spark, sf_dir)[1], "equal", 500, 5))
 
 
+@query(
+    "price_reconciliation",
+    f"""WITH {RETURNS_SQL}, t AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, s_nationkey::INT AS asset, sum(l_extendedprice * (1 - l_discount)) / count(*) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+   WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1, 2)
+SELECT count(*) AS cells, count(*) FILTER (a.price IS NULL OR b.price IS NULL OR abs(a.price - b.price) > 1e-6) AS mismatched, round(max(abs(a.price - b.price)), 4) AS max_error
+FROM bars a FULL JOIN t b ON a.date = b.date AND a.asset = b.asset""",
+)
+def price_reconciliation(spark, sf_dir):
+    """The panel's prices against those of another source that ends earlier: cells that it lacks do not match. (O-52)"""
+    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate < DATE '1998-01-01'").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("asset"))
+    paid = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.count("*")
+    other = lines.join(suppliers, "l_suppkey").groupBy(F.trunc("l_shipdate", "MM").alias("date"), "asset").agg(paid.alias("price"))
+    return rounded(ops.reconciled(bars(spark, sf_dir).select("date", "asset", "price"), other, ["date", "asset"], "price", 1e-6), 4)
+
+
 @query(
     "reconciliation",
-    f"""WITH {NET_SQL}, w AS (SELECT strategy, product(1 + net) AS wealth, exp(sum(ln(1 + net))) AS other FROM net GROUP BY 1) SELECT strategy, round(abs(wealth - other), 6) AS error FROM w""",
+    f"""WITH {NET_SQL}, h AS (SELECT strategy, formation, date, asset, value, lag(value) OVER (PARTITION BY strategy, formation, asset ORDER BY date) AS before FROM held),
+ wt AS (SELECT h.*, coalesce(before, t.weight) / sum(coalesce(before, t.weight)) OVER (PARTITION BY h.strategy, h.formation, h.date) AS w FROM h JOIN targets t ON t.strategy = h.strategy AND t.date = h.formation AND t.asset = h.asset),
+ again AS (SELECT strategy, wt.date, sum(w * coalesce(ret, 0)) AS gross FROM wt JOIN rets r ON r.date = wt.date AND r.asset = wt.asset GROUP BY 1, 2)
+SELECT count(*) AS cells, count(*) FILTER (a.gross IS NULL OR b.gross IS NULL OR abs(a.gross - b.gross) > 1e-9) AS mismatched, round(max(abs(a.gross - b.gross)), 6) AS max_error
+FROM net a FULL JOIN again b ON a.strategy = b.strategy AND a.date = b.date""",
 )
 def reconciliation(spark, sf_dir):
-    """Two ways to compute a figure agree. (O-52, O-153)"""
-    return rounded(_net(spark, sf_dir)[1].groupBy("strategy").agg(F.abs(F.product(1 + F.col("net")) - F.exp(F.sum(F.log1p("net")))).alias("error")))
+    """Gross returns against those recomputed from each day's weights, cell by cell. (O-153)"""
+    r = written(returns(spark, sf_dir))
+    targets = written(_targets(r))
+    held = ops.holdings(r, targets)
+    day = Window.partitionBy("strategy", "formation", "date")
+    before = F.lag("value").over(Window.partitionBy("strategy", "formation", "asset").orderBy("date"))
+    own = held.withColumn("w", F.coalesce(before, "weight")).withColumn("w", F.col("w") / F.sum("w").over(day))
+    again = own.groupBy("strategy", "date").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
+    return rounded(ops.reconciled(ops.gross_returns(held).select("strategy", "date", "gross"), again, ["strategy", "date"], "gross", 1e-9))

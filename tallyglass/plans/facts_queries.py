@@ -24,10 +24,12 @@ PREPARED_SQL = (
     + f""", f3 AS (SELECT {_KEYS}, min(metric) AS metric, min(priority) AS priority, min(form) AS form, min(value) AS value FROM f2 GROUP BY {_KEYS} HAVING min(value) = max(value)),
  f AS (SELECT *, (filed + CASE dayofweek(filed) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END)::DATE AS available FROM f3)"""
 )
+#: The formations: the first order date of each quarter, with the one before it.
+FORM_SQL = """cal AS (SELECT date, lag(date) OVER (ORDER BY date) AS information FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)),
+ form AS (SELECT date, information FROM cal WHERE information IS NOT NULL AND date IN (SELECT min(date) FROM cal GROUP BY date_trunc('quarter', date)))"""
 SEEN_SQL = (
     PREPARED_SQL
-    + """, cal AS (SELECT date, lag(date) OVER (ORDER BY date) AS information FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)),
- form AS (SELECT date, information FROM cal WHERE information IS NOT NULL AND date IN (SELECT min(date) FROM cal GROUP BY date_trunc('quarter', date))),
+    + f""", {FORM_SQL},
  seen AS (SELECT * FROM f JOIN form ON available <= information AND "end" >= date - 550)"""
 )
 _BEST = 'ORDER BY "end" DESC, priority, filed DESC, accn DESC, start DESC, value DESC'
@@ -136,6 +138,20 @@ def _snapshots(spark, sf_dir):
     return ops.snapshots(_prepared(spark, sf_dir), issuers, _formations(spark, sf_dir))
 
 
+def nation_quality(spark, sf_dir, dates):
+    """date, asset, quality: the mean score of a nation's issuers as known on the day before each date. (O-43)"""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer"), F.col("c_nationkey").cast("int").alias("asset"))
+    formations = dates.select("date").distinct().withColumn("information", F.date_sub("date", 1))
+    scored = ops.quality(ops.snapshots(_prepared(spark, sf_dir), customers, formations)).select("issuer", "date", "score")
+    return scored.join(customers, "issuer").groupBy("date", "asset").agg(F.avg("score").alias("quality"))
+
+
+def nation_quality_sql(dates: str) -> str:
+    """The CTEs up to ``nq``, with formations at the dates of the table ``dates``."""
+    form = f"form AS (SELECT DISTINCT date, (date - 1)::DATE AS information FROM {dates})"
+    return QUALITY_SQL.replace(FORM_SQL, form) + ", nq AS (SELECT date, c_nationkey::INT AS asset, avg(score) AS quality FROM qual JOIN customer ON c_custkey = issuer GROUP BY 1, 2)"
+
+
 @query("fundamental_snapshots", f"WITH {SNAPSHOT_SQL} SELECT * EXCLUDE ({', '.join(_ROUND)}), {', '.join(f'round({k}, 6) AS {k}' for k in _ROUND)} FROM snap")
 def fundamental_snapshots(spark, sf_dir):
     """Ratios, growth, staleness and coverage of every issuer at every formation. (O-39, O-40, O-58, O-117 to O-122)"""

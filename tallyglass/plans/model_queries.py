@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyglass.operators import forecast, panel, risk
-from tallyglass.plans.backtest_queries import NET_SQL
-from tallyglass.plans.backtest_queries import _net as net_of
 from tallyglass.plans.panel_queries import LONG, MIDDLE, MARKET_SQL, returns, rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources.views import RETURNS_SQL
@@ -161,19 +158,3 @@ def naive_diagnostics(spark, sf_dir):
     """The control forecast: what was known a label's length ago. (O-161, O-163)"""
     p = _features(spark, sf_dir)
     return rounded(forecast.diagnostics(p.select("date", "asset", "target", F.lag("target", 4).over(panel.by_asset()).alias("predicted"))))
-
-
-@query(
-    "grid_selection",
-    f"""WITH {NET_SQL}, g AS (SELECT unnest([0.0, 0.25, 0.5, 1.0, 2.0])::DOUBLE AS strength), c AS (SELECT strength, date, max(net) FILTER (strategy = 'equal') * (1 - strength / 2) + max(net) FILTER (strategy = 'diagonal') * strength / 2 AS r FROM net, g GROUP BY 1, 2),
- q AS (SELECT strength, stddev_samp(r) * sqrt(12) AS volatility FROM c GROUP BY 1) SELECT strength, round(volatility, 6) AS volatility, row_number() OVER (ORDER BY round(volatility, 9), strength) = 1 AS selected FROM q""",
-)
-def grid_selection(spark, sf_dir):
-    """Candidate strengths in one job; ties go to the least intervention. (O-103, O-164)"""
-    net = net_of(spark, sf_dir)[1]
-    wide = net.groupBy("date").agg(F.max(F.when(F.col("strategy") == "equal", F.col("net"))).alias("a"), F.max(F.when(F.col("strategy") == "diagonal", F.col("net"))).alias("b"))
-    grid = wide.withColumn("strength", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0, 2.0)))))
-    r = F.col("a") * (1 - F.col("strength") / 2) + F.col("b") * F.col("strength") / 2
-    scores = grid.groupBy("strength").agg((F.stddev_samp(r) * F.sqrt(F.lit(12.0))).alias("volatility"))
-    w = Window.orderBy(F.round("volatility", 9), "strength")  # one row for each candidate
-    return rounded(scores.select("strength", "volatility", (F.row_number().over(w) == 1).alias("selected")))
