@@ -91,3 +91,9 @@ def normalize_cik(c: Column) -> Column:
     """The digits of an issuer number, padded to ten; null for anything else. (O-110)"""
     digits = F.regexp_replace(F.trim(c), r"\.0$", "")
     return F.when(digits.rlike(r"^\d{1,10}$"), F.lpad(digits, 10, "0"))
+
+
+def find_column(names: list[str], wanted: str) -> str | None:
+    """The first of ``names`` that equals ``wanted`` but for case and what is no letter or digit. (O-37)"""
+    plain = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    return next((n for n in names if plain(n) == plain(wanted)), None)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.columns import average_rank, clip
 
 SEED = 20260906
+#: Rows that a refit needs, the most values of the category, and the partitions of a training set.
+LEAST, MAX_BINS, PARTS = 20, 64, 8
 
 
 def targets(panel: DataFrame, future: str, trailing: str) -> DataFrame:
@@ -39,88 +44,49 @@ def training_audit(train: DataFrame) -> DataFrame:
     )
 
 
-class Trees:
-    """Least-squares boosting over histograms of binned features; missing values have a bin of their own. (O-158)"""
-
-    def __init__(self, depth: int, trees: int, rate: float = 0.04, ridge: float = 10.0, bins: int = 32):
-        self.depth, self.trees, self.rate, self.ridge, self.bins = depth, trees, rate, ridge, bins
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape, np.int64)
-        for j, edge in enumerate(self.edges):
-            out[:, j] = np.where(np.isnan(x[:, j]), 0, np.searchsorted(edge, x[:, j], side="right") + 1)
-        return out
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        """Each level splits all nodes at once by their histograms' gain."""
-        quantiles = np.linspace(0, 1, self.bins)[1:-1]
-        self.edges = [np.unique(np.quantile(c[~np.isnan(c)], quantiles)) if (~np.isnan(c)).any() else np.zeros(0) for c in x.T]
-        b, n_bins = self._binned(x), self.bins + 1
-        self.base, self.model = float(y.mean()), []
-        self.importance = np.zeros(x.shape[1])
-        pred = np.full(len(y), self.base)
-        for _ in range(self.trees):
-            g = y - pred
-            node, splits = np.zeros(len(y), np.int64), []
-            for level in range(self.depth):
-                nodes = 1 << level
-                best = [(0.0, -1, 0)] * nodes
-                for j in range(x.shape[1]):
-                    key = node * n_bins + b[:, j]
-                    s = np.bincount(key, g, nodes * n_bins).reshape(nodes, n_bins).cumsum(1)
-                    c = np.bincount(key, minlength=nodes * n_bins).reshape(nodes, n_bins).cumsum(1)
-                    total, count = s[:, -1:], c[:, -1:]
-                    gain = s**2 / (c + self.ridge) + (total - s) ** 2 / (count - c + self.ridge) - total**2 / (count + self.ridge)
-                    at = gain.argmax(1)
-                    for k in range(nodes):
-                        if gain[k, at[k]] > best[k][0] + 1e-12:
-                            best[k] = (float(gain[k, at[k]]), j, int(at[k]))
-                feature = np.array([f for _, f, _ in best])
-                cut = np.array([t for _, _, t in best])
-                for gain_, f, _ in best:
-                    if f >= 0:
-                        self.importance[f] += gain_
-                splits.append((feature, cut))
-                f = feature[node]
-                right = (f >= 0) & (b[np.arange(len(y)), np.maximum(f, 0)] > cut[node])
-                node = node * 2 + right
-            leaves = 1 << self.depth
-            value = self.rate * np.bincount(node, g, leaves) / (np.bincount(node, minlength=leaves) + self.ridge)
-            self.model.append((splits, value))
-            pred = pred + value[node]
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = self._binned(x)
-        out = np.full(len(x), self.base)
-        for splits, value in self.model:
-            node = np.zeros(len(x), np.int64)
-            for feature, cut in splits:
-                f = feature[node]
-                node = node * 2 + ((f >= 0) & (b[np.arange(len(x)), np.maximum(f, 0)] > cut[node]))
-            out += value[node]
-        return out
-
-
-def walk_forward(panel: DataFrame, years: DataFrame, features: list[str], depth: int = 4, trees: int = 60) -> DataFrame:
-    """date, asset, year, predicted: each year by trees trained on what had matured before it. (O-158, O-160)
-
-    One task for each refit; it holds that year's expanding training set, of the features
-    and the target only.
+def boosted(features: list[str], category: str, depth: int, trees: int, rate: float) -> Pipeline:
+    """Median imputation, the category's index and gradient-boosted trees on ``target``. (O-158)
+
+    The trees' histograms are Spark's own, built over partitions; a category has a bin for each
+    of its values (``MAX_BINS`` of them at most, which the fit checks).
+    """
+    filled = [f"_{f}" for f in features]
+    return Pipeline(
+        stages=[
+            Imputer(strategy="median", inputCols=features, outputCols=filled),
+            StringIndexer(inputCol=category, outputCol="_category", handleInvalid="keep", stringOrderType="alphabetAsc"),
+            VectorAssembler(inputCols=[*filled, "_category"], outputCol="_features"),
+            GBTRegressor(featuresCol="_features", labelCol="target", predictionCol="predicted", maxDepth=depth, maxIter=trees, stepSize=rate, maxBins=MAX_BINS, seed=SEED),
+        ]
+    )
+
+
+def walk_forward(panel: DataFrame, years: DataFrame, features: list[str], depth: int = 4, trees: int = 60, rate: float = 0.04, model_dir: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(date, asset, year, predicted) and (year, feature, importance): each year by trees trained on what had matured before it. (O-156, O-158, O-160)
+
+    One refit for each evaluation year (``years`` is that short list), each a Spark job over the
+    panel filtered by the purged split; nothing is copied by year. Years with fewer than ``LEAST``
+    rows to learn from have no forecast. ``model_dir`` keeps the fitted models. (O-18)
     """
-    train = purged(panel, years).select("year", "date", "asset", "target", *features, F.lit(True).alias("train"))
-    test = panel.join(years, F.year("date") == F.col("year")).select("year", "date", "asset", "target", *features, F.lit(False).alias("train"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = pdf[pdf["train"]].sort_values(["date", "asset"])
-        ask = pdf[~pdf["train"]].sort_values(["date", "asset"])
-        if len(fit) < 20:
-            return pd.DataFrame({"date": [], "asset": [], "year": [], "predicted": [], "top_feature": []})
-        model = Trees(depth, trees).fit(fit[features].to_numpy(float), fit["target"].to_numpy(float))
-        top = features[int(model.importance.argmax())]
-        return pd.DataFrame({"date": ask["date"], "asset": ask["asset"], "year": ask["year"], "predicted": model.predict(ask[features].to_numpy(float)), "top_feature": top})
-
-    return train.unionByName(test).groupBy("year").applyInPandas(one, "date date, asset int, year int, predicted double, top_feature string")
+    predicted, told = [], []
+    columns = [*features, "asset"]
+    for row in years.orderBy("year").collect():
+        year, cutoff = row["year"], F.lit(row["cutoff"])
+        train = panel.filter("target IS NOT NULL").filter((F.col("date") < cutoff) & (F.col("label_end") < cutoff)).select("date", "target", *columns)
+        seen = train.agg(F.count("*").alias("_n"), *(F.count(f).alias(f) for f in features)).first()
+        if seen["_n"] < LEAST:
+            continue
+        known = [f for f in features if seen[f]]  # a feature without any value so far has nothing to learn from
+        model = boosted(known, "asset", depth, trees, rate).fit(train.repartition(PARTS, "date").sortWithinPartitions("date", "asset"))
+        if model_dir:
+            model.write().overwrite().save(f"{model_dir.rstrip('/')}/{year}")
+        importance = model.stages[-1].featureImportances.toArray().tolist()
+        told += [(year, name, x) for name, x in zip([*known, "asset"], importance)] + [(year, name, 0.0) for name in features if name not in known]
+        test = panel.filter(F.year("date") == year).select("date", *columns)
+        predicted.append(model.transform(test).select("date", "asset", F.lit(year).alias("year"), "predicted"))
+    spark = panel.sparkSession
+    out = reduce(DataFrame.unionByName, predicted) if predicted else spark.createDataFrame([], "date date, asset int, year int, predicted double")
+    return out, spark.createDataFrame(told, "year int, feature string, importance double")
 
 
 def as_variance(predicted: DataFrame, trailing: str) -> DataFrame:

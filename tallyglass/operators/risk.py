@@ -233,23 +233,19 @@ def allocate(panel: DataFrame, cap: float, with_regimes: bool = True) -> DataFra
         covs, stress = {"minimum": base}, None
         if with_regimes:
             features = market[["market", "volatility"]].to_numpy()
-            try:
-                _, post, move = fit_regimes(features)
-            except (ArithmeticError, np.linalg.LinAlgError):
-                post = None
-            if post is not None:
-                hot = stress_state(post, features[:, 1])
-                p, mean = post[-1], np.zeros(post.shape[1])
-                for _ in range(HORIZON):
-                    p = p @ move
-                    mean += p / HORIZON
-                stress = float(mean[hot])
-                covs["regime"] = pooled_covariance(r, post, mean / mean.sum())
+            _, post, move = fit_regimes(features)  # a failed fit ends the run: there is no silent change of the experiment
+            hot = stress_state(post, features[:, 1])
+            p, mean = post[-1], np.zeros(post.shape[1])
+            for _ in range(HORIZON):
+                p = p @ move
+                mean += p / HORIZON
+            stress = float(mean[hot])
+            covs["regime"] = pooled_covariance(r, post, mean / mean.sum())
         penalty = pdf.drop_duplicates("asset").set_index("asset")["penalty"].reindex(x.columns).fillna(0.0).to_numpy()
         covs["penalised"] = base + np.median(np.diag(base)) * np.diag(penalty)
         out = []
         for name, cov in covs.items():
-            w = minimum_variance(psd_floor(cov), max(cap, 1 / len(x.columns)))
+            w = minimum_variance(psd_floor(cov), cap)
             out.append(pd.DataFrame({"date": pdf["date"].iloc[0], "asset": x.columns.astype("int32"), "strategy": name, "weight": w, "shrinkage": k, "condition": float(np.linalg.cond(cov)), "stress": stress}))
         return pd.concat(out).astype({"stress": "float64"})
 

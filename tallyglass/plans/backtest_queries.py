@@ -9,7 +9,7 @@ from tallyglass.functions.columns import clip, prior
 from tallyglass.operators import backtest as ops
 from tallyglass.operators import panel
 from tallyglass.plans import registry
-from tallyglass.plans.facts_queries import nation_quality, nation_quality_sql
+from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_sql
 from tallyglass.plans.panel_queries import LONG, MIDDLE, returns, rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources.sinks import written
@@ -34,7 +34,7 @@ TARGETS_SQL = (
 )
 QUALITY_TARGETS_SQL = (
     UNIVERSE_SQL
-    + f""", {nation_quality_sql("u")}, uq AS (SELECT u.*, coalesce(quality, 0.5) AS quality, median(variance) OVER (PARTITION BY u.date) AS mid FROM u LEFT JOIN nq USING (date, asset)),
+    + f""", {nation_quality_sql("u")}, uq AS (SELECT u.*, coalesce(quality, 0.5) AS quality, median(variance) OVER (PARTITION BY u.date) AS mid FROM u LEFT JOIN (SELECT date, asset, quality FROM nq) USING (date, asset)),
  raw AS (SELECT date, asset, history_end, strength::VARCHAR AS strategy, 1 / (variance + {RIDGE} + strength * mid * (1 - quality)) AS x FROM uq CROSS JOIN (SELECT unnest({list(GRID)})::DOUBLE AS strength)),
  targets AS (SELECT date, asset, strategy, x / sum(x) OVER (PARTITION BY strategy, date) AS weight, history_end FROM raw)"""
 )
@@ -87,7 +87,7 @@ def _targets(r):
 def _quality_targets(spark, sf_dir, r):
     """A candidate for each strength of the quality penalty, and the quality that they were formed with."""
     universe = written(_universe(r))
-    quality = written(nation_quality(spark, sf_dir, universe))
+    quality = written(nation_fundamentals(spark, sf_dir, universe).select("date", "asset", "quality"))
     known = universe.join(quality, ["date", "asset"], "left").withColumn("quality", F.coalesce("quality", F.lit(0.5)))
     candidates = known.withColumn("penalty", F.explode(F.array(*map(F.lit, GRID))))
     # the median of the date's variances is the same over its candidates
@@ -138,7 +138,7 @@ def concentration(spark, sf_dir):
 
 def metrics_sql(net: str, quality: str = "NULL::DOUBLE") -> str:
     """``net`` (the accounting) and the metric table; ``quality`` is an asset's, from a table nq joined to the targets."""
-    join = " LEFT JOIN nq USING (date, asset)" if quality != "NULL::DOUBLE" else ""
+    join = " LEFT JOIN (SELECT date, asset, quality FROM nq) USING (date, asset)" if quality != "NULL::DOUBLE" else ""
     return (
         net
         + f""", b AS (SELECT strategy, count(*) AS n, product(1 + net) AS wealth, avg(net) AS mean, stddev_samp(net) AS sd, sqrt(avg(least(net, 0) * least(net, 0))) AS down,

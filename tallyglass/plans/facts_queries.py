@@ -138,18 +138,28 @@ def _snapshots(spark, sf_dir):
     return ops.snapshots(_prepared(spark, sf_dir), issuers, _formations(spark, sf_dir))
 
 
-def nation_quality(spark, sf_dir, dates):
-    """date, asset, quality: the mean score of a nation's issuers as known on the day before each date. (O-43)"""
+#: What a nation's issuers are averaged in, besides their quality.
+AVERAGED = (*ops.RATIOS, "revenue_growth", "log_assets", "score", "coverage", "report_age", "filing_lag", "annual_age", "amended", "known_filings", "missing")
+
+
+def nation_fundamentals(spark, sf_dir, dates):
+    """date, asset, quality and the means of its issuers' snapshots, as known on the day before each date. (O-43)"""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer"), F.col("c_nationkey").cast("int").alias("asset"))
     formations = dates.select("date").distinct().withColumn("information", F.date_sub("date", 1))
-    scored = ops.quality(ops.snapshots(_prepared(spark, sf_dir), customers, formations)).select("issuer", "date", "score")
-    return scored.join(customers, "issuer").groupBy("date", "asset").agg(F.avg("score").alias("quality"))
+    scored = ops.quality(ops.snapshots(_prepared(spark, sf_dir), customers, formations)).join(customers, "issuer")
+    means = [F.avg(c).alias(c) for c in AVERAGED]
+    return scored.groupBy("date", "asset").agg(F.avg("score").alias("quality"), *means, F.max("information").alias("information_date"), F.max("latest_used_available").alias("latest_used_available"))
 
 
 def nation_quality_sql(dates: str) -> str:
     """The CTEs up to ``nq``, with formations at the dates of the table ``dates``."""
     form = f"form AS (SELECT DISTINCT date, (date - 1)::DATE AS information FROM {dates})"
-    return QUALITY_SQL.replace(FORM_SQL, form) + ", nq AS (SELECT date, c_nationkey::INT AS asset, avg(score) AS quality FROM qual JOIN customer ON c_custkey = issuer GROUP BY 1, 2)"
+    means = ", ".join(f"avg({c}) AS {c}" for c in AVERAGED)
+    return (
+        QUALITY_SQL.replace(FORM_SQL, form)
+        + f""", nq AS (SELECT date, c_nationkey::INT AS asset, avg(score) AS quality, {means}, max(information) AS information_date, max(latest_used_available) AS latest_used_available
+  FROM (SELECT snap.*, score, coverage FROM snap JOIN qual USING (issuer, date)) JOIN customer ON c_custkey = issuer GROUP BY 1, 2)"""
+    )
 
 
 @query("fundamental_snapshots", f"WITH {SNAPSHOT_SQL} SELECT * EXCLUDE ({', '.join(_ROUND)}), {', '.join(f'round({k}, 6) AS {k}' for k in _ROUND)} FROM snap")
@@ -225,6 +235,17 @@ def json_properties(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"), F.map_keys(props).alias("keys"))
 
 
+@query(
+    "json_structure",
+    """WITH k AS (SELECT unnest(json_keys(props)) AS field, props FROM events), v AS (SELECT field, json_extract_string(props, '$.' || field) AS x FROM k)
+SELECT field, count(*) AS n, count(*) FILTER (regexp_full_match(x, '-?[0-9]+')) AS integers FROM v GROUP BY 1""",
+)
+def json_structure(spark, sf_dir):
+    """The top-level fields of nested documents: how often each is there, and how often a whole number. (O-7)"""
+    fields = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string, string>")).alias("field", "x"))
+    return fields.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("x").rlike("^-?[0-9]+$")).alias("integers"))
+
+
 @query(
     "json_errors",
     """WITH d AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS doc FROM events)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyglass.operators import forecast, panel, risk
-from tallyglass.plans.panel_queries import LONG, MIDDLE, MARKET_SQL, returns, rounded
-from tallyglass.plans.registry import query
+from tallyglass.operators.experiment import audit
+from tallyglass.operators.facts import RATIOS
+from tallyglass.plans.backtest_queries import CAP, UNIVERSE_SQL, _universe
+from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_sql
+from tallyglass.plans.panel_queries import LONG, MARKET_SQL, MIDDLE, SHORT, returns, rounded
+from tallyglass.plans.registry import SQL, query
+from tallyglass.sources.sinks import written
 from tallyglass.sources.views import RETURNS_SQL
 
 _DENSE = "d AS (SELECT date FROM rets WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT asset) FROM rets))"
@@ -76,13 +82,16 @@ def _formation_panel(spark, sf_dir):
     forms = panel.first_of_period(r, "QUARTER").select(F.col("formation").alias("date"))
     window = dense.join(forms, (F.col("at") < F.col("date")) & (F.col("at") >= F.add_months("date", -3 * LONG)))
     full = window.groupBy("date").agg(F.count_distinct("at").alias("n")).filter(F.col("n") >= 2 * LONG).select("date")
-    return window.join(full, "date", "left_semi").withColumn("penalty", (F.col("asset") % 5) / 5.0)
+    held = window.join(full, "date", "left_semi")
+    feasible = held.groupBy("date").agg(F.count_distinct("asset").alias("n")).filter(F.col("n") * CAP >= 1).select("date")  # O-137
+    quality = nation_fundamentals(spark, sf_dir, full).select("date", "asset", (1 - F.col("quality")).alias("penalty"))
+    return held.join(feasible, "date", "left_semi").join(quality, ["date", "asset"], "left").fillna({"penalty": 0.5})
 
 
 @query("regime_allocations")
 def regime_allocations(spark, sf_dir):
     """Minimum-variance weights from shrunk, regime and penalised covariances. (O-126 to O-135)"""
-    return rounded(risk.allocate(_formation_panel(spark, sf_dir), 0.15))
+    return rounded(risk.allocate(_formation_panel(spark, sf_dir), CAP))
 
 
 def _features(spark, sf_dir):
@@ -117,31 +126,112 @@ def training_audit(spark, sf_dir):
     return forecast.training_audit(forecast.purged(p, forecast.cutoffs(p, 1996)))
 
 
-FEATURE_SETS = {
-    "price": ["momentum_3", "momentum_6", "momentum_12", "volatility_12"],
-    "full": ["momentum_3", "momentum_6", "momentum_12", "volatility_6", "volatility_12", "downside_6", "skew_12", "drawdown_12"],
-}
+#: Columns of the feature panel; each set holds the one before it. (O-162)
+PRICE = [f"momentum_{SHORT}", f"momentum_{MIDDLE}", f"momentum_{LONG}", f"reversal_{SHORT}", f"volatility_{MIDDLE}", f"volatility_{LONG}", f"downside_{MIDDLE}", f"skew_{LONG}", f"drawdown_{LONG}"]
+PRICE += ["beta", "correlation", "residual_volatility", "relative_momentum", "baseline_variance", "stress_probability", "market_volatility", "market_drawdown", "market_correlation"]
+FUNDAMENTAL = [*RATIOS, "revenue_growth", "log_assets", "score", "coverage"]
+EXTRA = ["log_dollar_volume", "relative_volume", "illiquidity", "range", "report_age", "filing_lag", "annual_age", "amended", "known_filings", "missing", "month_sin", "month_cos"]
+FEATURE_SETS = {"price": PRICE, "plus_fundamentals": PRICE + FUNDAMENTAL, "full": PRICE + FUNDAMENTAL + EXTRA}
+
+
+def _feature_panel(spark, sf_dir):
+    """All features of each asset at the start of each quarter, its label and the dates that both rest on. (O-154)"""
+    r = written(returns(spark, sf_dir))
+    market = written(panel.market_returns(r))
+    universe = written(_universe(r).select("date", "asset", "history_end", F.col("variance").alias("baseline_variance")))
+    state = panel.market_features(market, MIDDLE, LONG).join(panel.average_correlation(r, LONG), "date", "left")
+    w = Window.orderBy("date")  # a row for each date
+    next_ = state.select(
+        F.lead("date").over(w).alias("date"),
+        (1 / (1 + F.exp(-10 * F.col("market")))).alias("stress_probability"),
+        F.col("realized_volatility").alias("market_volatility"),
+        F.col("drawdown").alias("market_drawdown"),
+        F.col("average_correlation").alias("market_correlation"),
+    )
+    angle = F.lit(2.0) * F.pi() * F.month("date") / 12
+    out = universe
+    for part in (
+        panel.prior_statistics(r, SHORT, MIDDLE, LONG),
+        panel.market_exposure(r, market, LONG),
+        panel.activity(r.drop("ret"), r, SHORT, LONG),
+        panel.forward_labels(r, HORIZON),
+    ):
+        out = out.join(part, ["date", "asset"], "left")
+    out = out.join(F.broadcast(next_), "date", "left")  # a row for each date
+    out = out.join(nation_fundamentals(spark, sf_dir, universe), ["date", "asset"], "left")
+    out = out.withColumn("month_sin", F.sin(angle)).withColumn("month_cos", F.cos(angle))
+    return forecast.targets(out, "future_downside", f"downside_{MIDDLE}").select("date", "asset", "history_end", "information_date", "latest_used_available", *FEATURE_SETS["full"], "future_downside", "label_end", "target")
+
+
+def _exact(name):
+    """A query's SQL with its numbers left as they are: 15 digits in place of 6."""
+    return SQL[name].replace(", 6)", ", 15)")
+
+
+HORIZON = 4
+PANEL_SQL = f"""SELECT u.date, u.asset, history_end, information_date, latest_used_available, u.variance AS baseline_variance, {", ".join(f"p.{c}" for c in PRICE[:9])}, x.* EXCLUDE (date, asset), stress_probability, market_volatility, market_drawdown,
+ market_correlation, nq.* EXCLUDE (date, asset, quality, information_date, latest_used_available), a.* EXCLUDE (date, asset), sin(2 * pi() * month(u.date) / 12) AS month_sin, cos(2 * pi() * month(u.date) / 12) AS month_cos, future_downside, label_end,
+ ln(future_downside / p.downside_{MIDDLE}) AS target
+FROM u LEFT JOIN ({_exact("prior_statistics")}) p USING (date, asset) LEFT JOIN ({_exact("market_exposure")}) x USING (date, asset) LEFT JOIN ({_exact("activity_features")}) a USING (date, asset) LEFT JOIN ({_exact("forward_labels")}) f USING (date, asset)
+ LEFT JOIN st USING (date) LEFT JOIN nq USING (date, asset)"""
+PANEL_WITH = f"""{UNIVERSE_SQL}, {nation_quality_sql("u")}, st AS (SELECT lead(m.date) OVER (ORDER BY m.date) AS date, 1 / (1 + exp(-10 * market)) AS stress_probability, realized_volatility AS market_volatility, drawdown AS market_drawdown,
+  average_correlation AS market_correlation FROM ({_exact("market_features")}) m LEFT JOIN ({_exact("average_correlation")}) USING (date))"""
+
+
+@query(
+    "feature_panel",
+    f"""WITH {PANEL_WITH}, p0 AS ({PANEL_SQL}) SELECT date, asset, history_end, information_date, latest_used_available, label_end, {", ".join(f"round({c}, 5) + 0 AS {c}" for c in (*FEATURE_SETS["full"], "future_downside", "target"))} FROM p0""",
+)
+def feature_panel(spark, sf_dir):
+    """Prices, market, activity, calendar and fundamentals of each asset and formation, and its label. (O-154)"""
+    return rounded(_feature_panel(spark, sf_dir), 5)
+
+
+@query("feature_panel_checks")
+def feature_panel_checks(spark, sf_dir):
+    """Rows that break a guard of the panel: keys, order of dates, missing snapshots. (O-154)"""
+    p = written(_feature_panel(spark, sf_dir))
+    return audit(
+        {
+            "repeated_keys": p.groupBy("date", "asset").count().filter("count > 1"),
+            "history_not_prior": p.filter("history_end IS NULL OR history_end >= date"),
+            "information_not_prior": p.filter("information_date >= date"),
+            "filing_not_available": p.filter("latest_used_available > information_date"),
+            "label_before_date": p.filter("label_end < date"),
+            "no_snapshot": p.filter("information_date IS NULL"),
+        }
+    )
+
+
+TREES, RATE, FIRST_YEAR = 8, 0.3, 1996
 
 
 def _predicted(spark, sf_dir, name="full"):
-    p = _features(spark, sf_dir)
-    return p, forecast.walk_forward(p, forecast.cutoffs(p, 1996), FEATURE_SETS[name])
+    p = written(_feature_panel(spark, sf_dir))
+    return p, *forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), FEATURE_SETS[name], trees=TREES, rate=RATE)
 
 
 @query("risk_forecasts")
 def risk_forecasts(spark, sf_dir):
-    """Walk-forward boosted trees, as variances. (O-158 to O-160)"""
-    p, predicted = _predicted(spark, sf_dir)
+    """Walk-forward boosted trees on the whole feature panel, as variances. (O-158, O-159)"""
+    p, predicted, _ = _predicted(spark, sf_dir)
     joined = predicted.join(p.select("date", "asset", f"downside_{MIDDLE}"), ["date", "asset"])
     return rounded(forecast.as_variance(joined, f"downside_{MIDDLE}").drop(f"downside_{MIDDLE}"))
 
 
+@query("forecast_importance")
+def forecast_importance(spark, sf_dir):
+    """What each year's trees rest on. (O-160)"""
+    return rounded(_predicted(spark, sf_dir)[2])
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf_dir):
     """Forecast errors by feature set. (O-161, O-162)"""
+    p = written(_feature_panel(spark, sf_dir))
     out = None
-    for name in FEATURE_SETS:
-        p, predicted = _predicted(spark, sf_dir, name)
+    for name, columns in FEATURE_SETS.items():
+        predicted, _ = forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), columns, trees=TREES, rate=RATE)
         row = forecast.diagnostics(predicted.join(p.select("date", "asset", "target"), ["date", "asset"])).select(F.lit(name).alias("features"), "*")
         out = row if out is None else out.unionByName(row)
     return rounded(out)

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def write_result(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table below ``path``, by split and strategy where it has them. (O-13, O-16)"""
+    """Each table below ``path``, by split and strategy where it has them. (O-13, O-16)
+
+    A table without rows is refused before anything is written: a result is whole or absent.
+    """
+    empty = [name for name, df in tables.items() if df.isEmpty()]
+    if empty:
+        raise ValueError(f"no rows in {', '.join(sorted(empty))}")
     for name, df in tables.items():
         keys = [k for k in ("split", "strategy") if k in df.columns]
         writer = df.write.mode("overwrite")
@@ -56,3 +64,16 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def content_cached(make: Callable[[], DataFrame], spark: SparkSession, folder: str, content: object) -> DataFrame:
+    """The table that ``make`` gives, kept in ``folder`` under a digest of ``content``. (O-17)
+
+    ``content`` is all that the table depends on (settings, fingerprints of the inputs). A table
+    counts as there when its writer has finished.
+    """
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(stable_json(content).encode()).hexdigest()[:16]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -45,10 +45,11 @@ def test_drift_costs_and_turnover_of_two_assets(spark, two_assets):
 
 def test_violations_are_counted(spark):
     d = days(2)
-    targets = spark.createDataFrame([(d[0], 0, "s", 0.9), (d[0], 0, "s", 0.2), (d[1], 1, "s", -0.1)], "date date, asset int, strategy string, weight double")
+    targets = spark.createDataFrame([(d[0], 0, "s", 0.9), (d[0], 0, "s", 0.2), (d[1], 1, "s", -0.1)], "date date, asset int, strategy string, weight double").withColumn("history_end", F.lit("2019-12-31").cast("date"))
     net = spark.createDataFrame([("s", d[0], 0.1, 0.0, 0.01, 0.2), ("s", d[0], 0.0, 0.0, 0.0, float("nan"))], "strategy string, date date, gross double, turnover double, cost double, net double")
-    found = {r["name"]: r["n"] for r in backtest.violations(net, targets, 0.5).collect()}
-    assert found == {"weights_sum": 2, "weights_bounds": 2, "weights_unique": 1, "dates_unique": 1, "returns_finite": 1, "net_identity": 2, "costs_on_formations": 1}
+    found = {r["name"]: r["n"] for r in backtest.violations(net, targets, 0.5, 0.001).collect()}
+    assert {k: n for k, n in found.items() if n} == {"weights_sum": 2, "weights_bounds": 2, "weights_unique": 1, "dates_unique": 1, "returns_finite": 1, "net_identity": 2, "cost_identity": 1}
+    assert len(found) == 12
 
 
 def test_tail_and_drawdown(spark):
@@ -198,6 +199,57 @@ def test_snapshots_equal_the_rule_fact_by_fact(spark):
     assert {r["name"]: r["n"] for r in facts.leaks(panel_).collect()} == dict.fromkeys(("repeated_keys", "used_before_available", "information_not_prior", "filed_not_prior"), 0)
 
 
+def plain_core(x):
+    wealth = np.cumprod(1 + x)
+    loss = -x
+    cut = np.quantile(loss, 0.95)
+    return {"volatility": x.std(ddof=1) * np.sqrt(12), "cvar95": loss[loss >= cut].mean(), "max_drawdown": -(wealth / np.maximum.accumulate(np.append(1.0, wealth))[1:] - 1).min(), "sharpe": x.mean() / x.std(ddof=1) * np.sqrt(12)}
+
+
+def test_bootstrap_equals_its_draws_one_by_one(spark):
+    import hashlib
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(0.01, 0.05, (37, 2))
+    net = spark.createDataFrame([(s, d, float(x[k, j])) for k, d in enumerate(days(37)) for j, s in enumerate(("equal", "other"))], "strategy string, date date, net double")
+    draws = []
+    for rep in range(60):
+        starts = [int(hashlib.md5(f"{rep}:{b}".encode()).hexdigest()[:8], 16) % (37 - 5 + 1) for b in range(8)]
+        at = np.concatenate([np.arange(s, s + 5) for s in starts])[:37]
+        a, b = plain_core(x[at, 0]), plain_core(x[at, 1])
+        draws.append({k: b[k] - a[k] for k in a})
+    got = {r["metric"]: r for r in backtest.block_bootstrap(net, "equal", 60, 5).collect()}
+    full = {k: plain_core(x[:, 1])[k] - plain_core(x[:, 0])[k] for k in got}
+    assert set(got) == {"volatility", "cvar95", "max_drawdown", "sharpe"}
+    for k, r in got.items():
+        d = [e[k] for e in draws]
+        assert r["difference"] == pytest.approx(full[k]) and r["lower"] == pytest.approx(np.quantile(d, 0.025)) and r["upper"] == pytest.approx(np.quantile(d, 0.975))
+
+
+def test_metrics_average_over_formations_and_weigh_quality(spark):
+    d = days(4)
+    rows = [("s", d[0], 0, 0.8), ("s", d[0], 1, 0.2), ("s", d[2], 0, 0.5), ("s", d[2], 1, 0.5)]
+    targets = spark.createDataFrame([(*r, D(2019, 12, 31)) for r in rows], "strategy string, date date, asset int, weight double, history_end date")
+    net = spark.createDataFrame([("s", x, 0.01 * k, 1.0 if k == 0 else 0.6 if k == 2 else 0.0) for k, x in enumerate(d)], "strategy string, date date, gross double, turnover double")
+    net = net.withColumn("cost", F.col("turnover") * 0.001).withColumn("net", (1 - F.col("cost")) * (1 + F.col("gross")) - 1)
+    quality = spark.createDataFrame([(d[0], 0, 1.0), (d[2], 0, 0.0), (d[2], 1, 1.0)], "date date, asset int, quality double")
+    m = backtest.metrics(net, targets, quality).first()
+    assert m["largest"] == pytest.approx(0.65) and m["rebalances"] == 2 and m["quality"] == pytest.approx((0.8 + 0.2 * 0.5 + 0.5) / 2)
+    assert m["mean_turnover"] == pytest.approx(0.8) and m["solver_failures"] == 0 and m["fallbacks"] == 0
+    assert {r["name"] for r in backtest.violations(net, targets, 0.7, 0.001).collect() if r["n"]} == {"weights_bounds"}
+    bad = targets.withColumn("history_end", F.col("date"))
+    assert {r["name"]: r["n"] for r in backtest.violations(net, bad, 1.0, 0.002).collect() if r["n"]} == {"history_prior": 4, "cost_identity": 2}
+    other = net.filter("gross < 0.03").withColumn("gross", F.when(F.col("gross") == 0, F.lit(1e-3)).otherwise(F.col("gross")))
+    r = backtest.reconciled(net, other, ["strategy", "date"], "gross", 1e-9).first()
+    assert (r["cells"], r["mismatched"], round(r["max_error"], 9)) == (4, 2, 0.001)
+
+
+def test_names_and_caps(spark):
+    assert c.find_column(["Issuer Name", "CIK_ID"], "cik id") == "CIK_ID" and c.find_column(["a"], "b") is None
+    with pytest.raises(ValueError):
+        risk.minimum_variance(np.eye(5), 0.15)
+
+
 def test_prior_windows_see_nothing_of_their_own_day(spark):
     rng = np.random.default_rng(1)
     rows = [(d, 0, float(100 * (1 + x))) for d, x in zip(days(40), rng.normal(0, 0.1, 40))]
@@ -259,8 +311,13 @@ def test_trees_learn_and_do_not_see_the_future(spark):
     x = rng.normal(0, 1, (600, 3))
     x[rng.random((600, 3)) < 0.05] = np.nan
     y = np.where(np.nan_to_num(x[:, 0]) > 0.3, 1.0, -1.0) + 0.1 * rng.normal(0, 1, 600)
-    model = forecast.Trees(3, 80, rate=0.1).fit(x, y)
-    assert np.mean((model.predict(x) - y) ** 2) < 0.1 * y.var() and model.importance.argmax() == 0
+    data = [(D(2009, 1 + k % 12, 1), k % 20, D(2009, 1 + k % 12, 28), *(None if math.isnan(v) else float(v) for v in x[k]), float(y[k])) for k in range(600)]
+    data += [(D(2010, 1, 1), k, D(2010, 1, 28), 1.0 if k % 2 else -1.0, 0.0, 0.0, None) for k in range(20)]
+    p = spark.createDataFrame(data, "date date, asset int, label_end date, a double, b double, c double, target double").withColumn("never", F.lit(None).cast("double"))
+    out, importance = forecast.walk_forward(p, forecast.cutoffs(p, 2010), ["a", "b", "c", "never"], 3, 10, 0.3)
+    assert all(abs(r["predicted"] - (1 if r["asset"] % 2 else -1)) < 0.3 for r in out.collect())
+    told = {r["feature"]: r["importance"] for r in importance.collect()}
+    assert max(told, key=told.get) == "a" and told["never"] == 0 and sum(told.values()) == pytest.approx(1)
     rows = []
     for m in range(36):
         d = D(2010 + m // 12, m % 12 + 1, 1)
@@ -270,7 +327,7 @@ def test_trees_learn_and_do_not_see_the_future(spark):
 
     def run(r):
         p = spark.createDataFrame(r, schema)
-        return {(x["date"], x["asset"]): x["predicted"] for x in forecast.walk_forward(p, forecast.cutoffs(p, 2012), ["f"], 2, 10).collect()}
+        return {(x["date"], x["asset"]): x["predicted"] for x in forecast.walk_forward(p, forecast.cutoffs(p, 2012), ["f"], 2, 5)[0].collect()}
 
     assert run(rows) == run(late) and len(run(rows)) == 240
 
@@ -311,9 +368,20 @@ def test_results_and_specifications(spark, tmp_path, two_assets):
     assert back.count() == 6 and dict(back.dtypes)["date"] == "date"
     assert experiment.fingerprint(two_assets, ["date"]) == experiment.fingerprint(two_assets.repartition(3), ["date"])
     assert experiment.fingerprint(two_assets, ["date"]) != experiment.fingerprint(two_assets.withColumnRenamed("ret", "x"), ["date"])
-    spec = lambda s: experiment.Specification(experiment.BacktestConfig(), experiment.RegimeConfig(), {"strength": [0, 0.5]}, {"strength": s}, ["f"])
+    spec = lambda s: experiment.Specification({"cap": 0.15}, {"strength": [0, 0.5]}, {"strength": s}, ["f"], {"prices": "x"}, ["prices"])
     assert experiment.differences(spec(0.5), spec(0.5)) == [] and "selected" in experiment.differences(spec(0.5), spec(0))
     assert experiment.differences(spec(9), spec(9)) == ["selected.strength"] and spec(0).digest() != spec(0.5).digest()
+    gone = spec(0)
+    gone.sources = {}
+    assert "sources.prices" in experiment.differences(spec(0), gone)
+    with pytest.raises(ValueError):
+        sinks.write_result({"returns": two_assets, "none": two_assets.limit(0)}, str(tmp_path / "partial"))
+    assert not (tmp_path / "partial").exists()
+    made = []
+    make = lambda: made.append(1) or two_assets
+    for content in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert sinks.content_cached(make, spark, str(tmp_path / "cache"), content).count() == 6
+    assert len(made) == 2
     assert experiment.equal_results(two_assets, two_assets, ["date", "asset"], "ret")
     assert not experiment.equal_results(two_assets, two_assets.withColumn("ret", F.col("ret") + 1e-6), ["date", "asset"], "ret")
     m = experiment.Manifest(str(tmp_path / "m.json"))
