@@ -179,32 +179,49 @@ def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, capacity:
 
 
 class _Stock:
-    """How many pieces of each length are left, with the sums of one, two and three lengths."""
+    """How many pieces of each length are left, and an index of the sums of one, two and three lengths.
+
+    The index is built once over the different lengths; what has run out since is skipped
+    at look-up.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] += n
         self.lengths = np.flatnonzero(self.left)
+        low, high = (self.lengths[k] for k in np.triu_indices(len(self.lengths)))
+        fits = low + high <= capacity
+        low, high = low[fits], high[fits]
+        order = np.lexsort((-high, low + high))  # by sum, the larger part largest first
+        self.low, self.high = low[order], high[order]
+        self.sums = np.searchsorted(self.low + self.high, np.arange(capacity + 2))
+        self.is_pair = np.diff(self.sums) > 0
+        self.is_triple = np.zeros(capacity + 1, bool)
+        for a in self.lengths:
+            self.is_triple[a:] |= self.is_pair[: capacity + 1 - a]
 
     def single(self, gap: int):
         return (gap,) if self.left[gap] else None
 
     def pair(self, gap: int):
         """The two lengths with that sum whose larger part is largest."""
-        b = np.arange(1, gap // 2 + 1)
-        good = b[(self.left[b] > 0) & (self.left[gap - b] > (b * 2 == gap))]
-        return (int(gap - good[0]), int(good[0])) if len(good) else None
+        here = slice(self.sums[gap], self.sums[gap + 1])
+        a, b = self.high[here], self.low[here]
+        good = np.flatnonzero((self.left[a] > (a == b)) & (self.left[b] > 0))
+        return (int(a[good[0]]), int(b[good[0]])) if len(good) else None
 
     def triple(self, gap: int):
-        """Three lengths with that sum: each single length looks up the pair sum that completes it."""
-        for a in range(gap - 2, (gap - 1) // 3, -1):
-            if self.left[a]:
-                self.left[a] -= 1
-                rest = self.pair(gap - a)
-                self.left[a] += 1
-                if rest and rest[0] <= a:
-                    return (a, *rest)
+        """Three lengths with that sum: a single one and the pair sum that completes it."""
+        if not self.is_triple[gap]:
+            return None
+        a = self.lengths[(self.lengths <= gap - 2) & (3 * self.lengths >= gap)][::-1]
+        for a in a[self.is_pair[gap - a] & (self.left[a] > 0)].tolist():
+            self.left[a] -= 1
+            rest = self.pair(gap - a)
+            self.left[a] += 1
+            if rest and rest[0] <= a:
+                return (a, *rest)
         return None
 
     def take(self, lengths: tuple[int, ...], most: int) -> int:
