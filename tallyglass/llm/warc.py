@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ ARCHIVE_BYTES = 8 << 20
 #: Bytes of an archive's records its dictionary is built from, at most, and the dictionary's own size.
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
 PER_RECORD = 4096
+#: Frames of an archive, the dictionary's included, at most: a longer partition goes on in another file.
+ARCHIVE_FRAMES = 10_000
 
 
 def record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
@@ -78,7 +81,14 @@ def build_dictionary(records: list[bytes]):
         return None
 
 
-def compressed(records, archive_bytes: int):
+def compressed(records, archive_bytes: int, most: int = ARCHIVE_FRAMES):
+    """The frames of archives of ``most`` frames, one after the other."""
+    records = iter(records)
+    for first in records:
+        yield from one_archive(itertools.chain([first], itertools.islice(records, most - 2)), archive_bytes)
+
+
+def one_archive(records, archive_bytes: int):
     """The frames of one archive: the dictionary's, then each record's.
 
     The dictionary is built from the first ``archive_bytes`` of records; later ones use it
@@ -133,13 +143,15 @@ def frames(archive: bytes):
         yield b"".join(parts)
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, archive_frames: int = ARCHIVE_FRAMES) -> None:
     """Write ``pages`` (page_id, url, html) as archives below ``path``.
 
     Of records with equal payloads of ``min_bytes`` at least, that with the smallest
     page_id is the response and the others revisit it. Which do is found on ids and
     digests alone; payloads move once at most, dealt by id and digest, so neither one
-    host nor one payload fills an archive. Each partition is one archive.
+    host nor one payload fills an archive. Each partition is one archive, or several of
+    ``archive_frames`` frames, where Spark's writer begins a new file as well; so an archive
+    has a bounded number of records and can be read as one row.
     """
     rows = with_digest(pages)
     ids = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "sha1")
@@ -166,7 +178,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
 
     def run(batches):
         out, size = [], 0
-        for frame in compressed(records(batches), archive_bytes):
+        for frame in compressed(records(batches), archive_bytes, archive_frames):
             out.append(frame)
             size += len(frame)
             if size > 4 << 20:
@@ -176,7 +188,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
     frame_rows = marked.mapInArrow(run, "frame binary")
-    frame_rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SKIP).text(path)
+    frame_rows.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SKIP).option("maxRecordsPerFile", archive_frames).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -192,6 +204,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     digest = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     if f["WARC-Type"] == "response" and sha1_base32(block) != digest:
                         raise ValueError(f"{f['WARC-Record-ID']}: the payload does not match its digest")
+                    if f["WARC-Type"] == "response" and len(block) != int(f["WARC-Payload-Length"]):
+                        raise ValueError(f"{f['WARC-Record-ID']}: the payload does not have its length")
                     rows.append((page(f["WARC-Record-ID"]), f["WARC-Type"], f["WARC-Target-URI"], digest, int(f["WARC-Payload-Length"]), page(f.get("WARC-Refers-To")), block))
                     if len(rows) >= 512:
                         yield batch_of(rows)
