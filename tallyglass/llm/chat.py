@@ -46,7 +46,9 @@ def unescape(text: str) -> str:
 
 
 def opening(role: str) -> str:
-    return f"<|{escape(role)}|>\n"
+    """A turn's head; what would end it within the role is broken by a backslash as well."""
+    name = escape(role).replace("|>", "|\\>")
+    return f"<|{name}|>\n"
 
 
 CLOSING = "<|end|>\n"

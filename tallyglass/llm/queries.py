@@ -63,7 +63,7 @@ def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-     e AS (SELECT *, length(role) + length(text) + 13
+     e AS (SELECT *, length(role) + length(text) + 13 + (length(role) - length(replace(role, '|>', ''))) // 2
              + length(regexp_replace(role || chr(0) || text, '[^\\]', '', 'g'))
              + length(regexp_replace(regexp_replace(role || chr(0) || text, '<\||</?s>|<<SYS>>|<</SYS>>|\[/?INST\]', chr(1), 'g'), '[^' || chr(1) || ']', '', 'g')) AS size FROM t),
      s AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back
