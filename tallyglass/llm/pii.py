@@ -41,6 +41,7 @@ TERM_KINDS = ("term", "term_removed")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\W\d_]{2,}")
@@ -74,12 +75,31 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def dotted(text: str) -> list[tuple[int, int]]:
+    """Matches of IP, left to right, found group by group within runs of digits and dots, so that long runs take linear time."""
+    out = []
+    for run in DOTTED.finditer(text):
+        groups, at = run[0].split("."), run.start()
+        places = []
+        for g in groups:
+            places.append((at, at + len(g)))
+            at += len(g) + 1
+        k = 0
+        while k + 4 <= len(groups):
+            if all(groups[k : k + 4]):
+                out.append((places[k][0], places[k + 3][1]))
+                k += 4
+            else:
+                k += 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as listed, then start."""
     out = [("email", a, z) for a, z in emails(text)] if "@" in text else []
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            out += [("ip", a, z) for a, z in dotted(text) if all(len(p.lstrip("0")) < 4 and int(p[-4:]) <= 255 for p in text[a:z].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = re.sub("[ -]", "", m[0])
