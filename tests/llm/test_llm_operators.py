@@ -268,6 +268,18 @@ def test_archive_round_trip(spark):
     assert set(small.values()) == {"response"}
 
 
+def test_long_partitions_become_several_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k % 3}", f"<p>page {k % 40} " + "text " * 30) for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "a"), archive_frames=17)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) == 4
+    for f in files:
+        content = f.read_bytes()
+        assert int.from_bytes(content[:4], "little") == warc.DICTIONARY_MAGIC and len(list(warc.frames(content))) <= 16
+    back = {r["page_id"]: r for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert len(back) == 60 and all((r["record_type"] == "revisit") == (k >= 40) and (r["refers_to"] or k % 40) == k % 40 for k, r in back.items())
+
+
 def test_archives_have_a_leading_dictionary_and_single_records():
     zstandard = pytest.importorskip("zstandard")
     records = [warc.record([(b"WARC-Type", b"response"), (b"WARC-Record-ID", b"<urn:page:%d>" % k)], b"the same words again and again %d" % k) for k in range(200)]
@@ -292,6 +304,13 @@ def test_escaping_is_reversible_and_hides_control_strings(text):
     assert chat.parse(chat.opening("user") + e + chat.CLOSING) == [("user", text)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="a|><\\\n", max_size=12), st.text(alphabet="b|><\\\n/end", max_size=16)), max_size=5))
+def test_any_roles_and_texts_read_back(turns):
+    formatted = "".join(chat.opening(r) + chat.escape(t) + chat.CLOSING for r, t in turns)
+    assert chat.parse(formatted) == turns
+
+
 def test_examples_and_digests(spark):
     rows = [(1, 0, "user", "hi <|end|>\n"), (1, 1, "assistant", "yo \\"), (1, 2, "user", None), (1, 3, "assistant", "</s>[INST]"), (2, 0, "user", "only"), (None, 0, None, None), (3, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, example string").repartition(3)
@@ -342,6 +361,21 @@ def test_emails_are_the_patterns_matches(text):
     assert pii.emails(text) == [m.span() for m in pii.EMAIL.finditer(text)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="12.. a", max_size=40))
+def test_dotted_groups_are_the_patterns_matches(text):
+    assert pii.dotted(text) == [m.span() for m in pii.IP.finditer(text)]
+
+
+def test_base_spans_of_long_runs_take_linear_time():
+    import time
+
+    begin = time.time()
+    for t in ("1" * 1_000_000 + ".", "1." * 500_000, "1.1.1.1" * 100_000, "+1" * 400_000, "a@" * 400_000, "4 " * 400_000, "x@y.z " * 100_000):
+        pii.base_spans(t)
+    assert time.time() - begin < 60
+
+
 def test_base_spans():
     text = "a.b@c.de 1.2.3.4; 256.1.1.1; 4111-1111 1111 1111; 4111111111111112; +1 (234) 555-0000; +12"
     assert [(k, text[a:z]) for k, a, z in pii.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111-1111 1111 1111"), ("phone", "+1 (234) 555-0000")]
