@@ -203,7 +203,7 @@ def feature_panel_checks(spark, sf_dir):
     )
 
 
-TREES, RATE, FIRST_YEAR = 8, 0.3, 1996
+TREES, RATE, FIRST_YEAR = 5, 0.4, 1996
 
 
 def _predicted(spark, sf_dir, name="full"):
