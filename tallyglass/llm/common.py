@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -232,3 +233,31 @@ def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64) -
     for row in each.groupBy("region").applyInArrow(merge, "region int, bits binary").collect():
         out.table.reshape(parts, region)[row["region"]] = np.frombuffer(row["bits"], np.uint8)
     return out
+
+
+#: Bits of a table of keys for each of them, and the largest table as a power of two.
+BITS_EACH, MOST_BITS = 64, 30
+
+
+def bits_for(n: int) -> int:
+    """log2 of the bits of a table for n keys."""
+    return min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * max(1, n)))))
+
+
+def apart(df: DataFrame, listed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: rows whose long ``name`` is certainly not among those of ``listed``, and the rest.
+
+    The tasks know the listed values by a bit table, so only the rest, which is the rows with
+    a listed value and a few more, need meet ``listed`` in a join; the others are not shuffled.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(gathered_bits(listed, name, bits_for(listed.count())).table)
+
+    def side(known: bool):
+        def run(batches):
+            bits = Bits.of(sent.value)
+            for b in batches:
+                yield b.filter(pa.array(bits.has(b.column(name).to_numpy().view(np.uint64)) == known))
+
+        return run
+
+    return df.mapInArrow(side(False), df.schema), df.mapInArrow(side(True), df.schema)

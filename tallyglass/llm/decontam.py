@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import Bits, code_points, fresh, gathered_bits, saved, text_chunks
+from tallyglass.llm.common import MOST_BITS, Bits, apart, code_points, fresh, gathered_bits, saved, text_chunks
 
 Q = 8
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
 #: Pairs of equal q-grams of a text and the items that are looked at together.
 ENTRIES = 2_000_000
-#: Bits of the table of all q-grams for each of them, and the largest table as a power of two.
-BITS_EACH, MOST_BITS = 8, 30
+#: Bits of the table of all q-grams for each of them.
+BITS_EACH = 8
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
 _SPACE = 0x20
@@ -364,10 +364,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no item is found; all columns stay.
 
-    Rows that match are few and go by id and hash of the text; Spark sends them to the
-    tasks if they are small enough, else both sides meet in a shuffle.
+    Rows that match go by id and hash of the text; only rows that may be among them are
+    shuffled with their texts.
     """
-    number, key, there, mine = fresh(docs, "_number", "_key", "_there", "_mine")
-    found = saved(_matches(docs, benchmark, edit_rate, block_bytes).select(F.col("doc_id").alias(there), F.col("key").alias(mine)).distinct())
-    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(found, F.col(number).eqNullSafe(F.col(there)) & (F.col(key) == F.col(mine)), "left_anti").select(docs.columns)
+    number, key, code, there, mine = fresh(docs, "_number", "_key", "_code", "_there", "_mine")
+    found = _matches(docs, benchmark, edit_rate, block_bytes).select(F.col("doc_id").alias(there), F.col("key").alias(mine)).distinct()
+    found = saved(found.withColumn(code, F.xxhash64(there, mine)))
+    keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(code, F.xxhash64(number, key))
+    clear, doubt = apart(keyed, found, code)
+    kept = doubt.join(found.drop(code), F.col(number).eqNullSafe(F.col(there)) & (F.col(key) == F.col(mine)), "left_anti")
+    return clear.select(docs.columns).unionByName(kept.select(docs.columns))

@@ -33,21 +33,17 @@ empty table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import Bits, flat_lists, forget, fresh, gathered_bits, mix64, saved, saved_at, text_chunks, word_hashes
+from tallyglass.llm.common import Bits, apart, bits_for, flat_lists, forget, fresh, gathered_bits, mix64, saved, saved_at, text_chunks, word_hashes
 
 #: Shingles of a world that one task searches at once; about 64 bytes each in memory.
 WORLD_SHINGLES = 1_000_000
 #: Merging a member costs as much as this part of a look-up.
 LOOK_UP = 8
-#: Bits of the table of wanted ids for each of them, and the largest table as a power of two.
-BITS_EACH, MOST_BITS = 16, 30
 #: Stands for a null id within the join.
 NO_ID = -(1 << 63)
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -360,8 +356,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     The tasks know the wanted ids by a bit table whose size follows their number, so the texts
     are not shuffled; where it says yes falsely, the caller's join drops the row.
     """
-    log2 = min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * max(1, wanted.count())))))
-    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "id", log2).table)
+    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "id", bits_for(wanted.count())).table)
 
     def run(batches):
         known = Bits.of(bits.value)
@@ -420,15 +415,19 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
 
     Rows count, not ids: rows with the same id and different texts are told apart by the
     texts' hashes, and of rows with the same id and text one stays. Rows of the empty set all stay.
+    Only rows that may go are shuffled with their texts.
     """
-    there, mine, number, key, again = fresh(docs, "_gone", "_mine", "_number", "_key", "_again")
+    there, mine, number, key, again, code = fresh(docs, "_gone", "_mine", "_number", "_key", "_again", "_code")
     rows = saved(_grouped(docs, width, num, den).filter("grp IS NOT NULL").groupBy("grp", "id", "key").agg(F.count("*").alias("m")))
     order = F.struct(F.col("id") == NO_ID, F.col("id"), F.col("key"))
     first = rows.groupBy("grp").agg(F.min(order).alias("first"), F.sum("m").alias("all")).filter(F.col("all") > 1)
     stays = (F.col("id") == F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    listed = rows.join(first, "grp").withColumn("stays", stays).filter("NOT stays OR m > 1").select(F.col("id").alias(there), F.col("key").alias(mine), F.col("stays").alias(again))
-    listed = saved(listed)
-    keyed = docs.withColumn(number, _id()).withColumn(key, _key())
+    listed = rows.join(first, "grp").withColumn("stays", stays).filter("NOT stays OR m > 1")
+    listed = saved(listed.select(F.col("id").alias(there), F.col("key").alias(mine), F.col("stays").alias(again), F.xxhash64("id", "key").alias(code)))
+    keyed = docs.withColumn(number, _id()).withColumn(key, _key()).withColumn(code, F.xxhash64(number, key))
+    clear, doubt = apart(keyed, listed, code)
     same = (F.col(number) == F.col(there)) & (F.col(key) == F.col(mine))
-    once = keyed.join(listed.filter(F.col(again)), same, "left_semi").dropDuplicates([number, key])
-    return keyed.join(listed, same, "left_anti").unionByName(once).select(docs.columns)
+    copy = F.row_number().over(Window.partitionBy(number, key).orderBy(F.lit(1)))  # which of equal rows stays is all one
+    told = doubt.join(listed.drop(code), same, "left").withColumn(code, copy)
+    kept = told.filter(F.col(there).isNull() | (F.col(again) & (F.col(code) == 1)))
+    return clear.select(docs.columns).unionByName(kept.select(docs.columns))
