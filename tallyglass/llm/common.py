@@ -98,9 +98,15 @@ def word_hashes(data: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray
     of a corpus of n words collide with probability about n**2 / 2**65. With ``stem``,
     the hashes are those of each word's first ``stem`` bytes.
     """
+    (h,), starts, ends = stem_hashes(data, (stem,))
+    return h, starts, ends
+
+
+def stem_hashes(data: np.ndarray, stems: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """``word_hashes`` for several lengths of stems at once (0 is the whole word)."""
     none = np.zeros(0, np.int64)
     if not len(data):
-        return np.zeros(0, np.uint64), none, none
+        return [np.zeros(0, np.uint64) for _ in stems], none, none
     data = _LOWER[data]
     solid = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
@@ -108,9 +114,12 @@ def word_hashes(data: np.ndarray, stem: int = 0) -> tuple[np.ndarray, np.ndarray
     power, inverse = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    upto = np.minimum(ends, starts + stem) if stem else ends
-    h = (total[upto] - total[starts]) * inverse[starts]
-    return mix64(h + (upto - starts).astype(np.uint64)), starts, ends
+    before, back = total[starts], inverse[starts]
+    out = []
+    for stem in stems:
+        upto = np.minimum(ends, starts + stem) if stem else ends
+        out.append(mix64((total[upto] - before) * back + (upto - starts).astype(np.uint64)))
+    return out, starts, ends
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import fold, fold_of, mix64, saved, text_chunks, word_hashes
+from tallyglass.llm.common import fold, fold_of, mix64, saved, stem_hashes, text_chunks
 
 #: Labelled rows that the class counts and the curve are fitted on, at most (about).
 MAX_ROWS = 20_000
@@ -57,8 +57,8 @@ STRONG = 2.5
 #: Bytes of the stems: of the shared classes, and of a word's stem; 0 is the whole word.
 STEMS = (4, 6, 0)
 CLASS_BITS = 20
-#: Different pairs of classes that a task remembers, not to hand them on again.
-REMEMBERED = 2_000_000
+#: Pairs of classes that a task gathers before it hands on the different ones.
+TOGETHER = 4_000_000
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 #: Stands for the start of a text.
 START = np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +74,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     """Hashes of the words of texts that lie one after the other, by stem; the number of words of each text."""
     n = len(offsets) - 1
     offsets, data = offsets + np.arange(n + 1), np.insert(_PLAIN[data], offsets[1:], 0x20)
-    found = [word_hashes(data, stem) for stem in STEMS]
-    return [h for h, _, _ in found], np.diff(np.searchsorted(found[0][1], offsets))
+    found, starts, _ = stem_hashes(data, STEMS)
+    return found, np.diff(np.searchsorted(starts, offsets))
 
 
 def classes(stem: np.ndarray) -> np.ndarray:
@@ -158,14 +158,20 @@ class Model:
     def probabilities(self, hashes: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         """P_c(w | v) of each word of texts with ``n`` words, in both classes."""
         first, stem, h = hashes
-        k = classes(first).astype(np.int64)
-        a, b = find(self.stems, stem), find(self.words, h)
+        if not len(h):
+            return np.zeros((0, 2))
+        words, at, which = np.unique(h, return_index=True, return_inverse=True)  # each different word is looked up once
+        k = classes(first[at]).astype(np.int64)
+        a, b = find(self.stems, stem[at]), find(self.words, words)
         both = self.both_stems[a]
         p = self.shared[k] * np.where(a < len(self.stems), both, 1.0) / (self.in_class[k] + 1.0)
         p = self.own_stems[a] + self.from_stems * p[:, None]
         p = self.own_words[b] + self.from_words * p * (self.both_words[b] / (both + 1.0))[:, None]
         v = before(h, n)
-        return self.own_pairs[find(self.pairs, pair(v, h))] + self.handed[find(self.contexts, v)][:, None] * p
+        handed = np.append(self.handed[find(self.contexts, words)], self.handed[find(self.contexts, np.array([START]))])
+        of_before = np.append(len(words), which[:-1])
+        of_before[v == START] = len(words)
+        return self.own_pairs[find(self.pairs, pair(v, h))] + handed[of_before][:, None] * p[which]
 
     def evidence(self, hashes: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         """For each text the difference of its log-likelihoods per word, and that of its strong words per root of its length."""
@@ -270,22 +276,26 @@ def class_counts(rows: DataFrame) -> tuple[tuple, tuple, tuple]:
 def company(docs: DataFrame) -> np.ndarray:
     """For each class of words the number of different classes that it follows, over all texts.
 
-    A pair of classes is one number. Tasks hand on each of their pairs once (again when they
-    have to forget some); equal ones meet in a shuffle by pair, so no class is hot.
+    A pair of classes is one number. Tasks hand on the different pairs of some millions of
+    words at a time; equal ones meet in a shuffle by pair, so no class is hot.
     """
     bits = np.uint64(CLASS_BITS)
 
     def run(batches):
-        seen = np.zeros(0, np.uint64)
+        held: list[np.ndarray] = []
         for b in batches:
             for _, _, offsets, data in text_chunks(b):
                 (first, *_), n = tokens(data, offsets)
                 k = classes(first)
-                mine = np.unique((before(k, n, np.uint64(0)) << bits) | k)
-                at = find(seen, mine)
-                mine = mine[at == len(seen)]
-                seen = np.union1d(seen, mine) if len(seen) < REMEMBERED else mine
-                yield pa.RecordBatch.from_arrays([_long(mine)], names=["pair"])
+                held.append(np.unique((before(k, n, np.uint64(0)) << bits) | k))
+                if sum(map(len, held)) > TOGETHER:
+                    yield different(held)
+                    held = []
+        if held:
+            yield different(held)
+
+    def different(held):
+        return pa.RecordBatch.from_arrays([_long(np.unique(np.concatenate(held)))], names=["pair"])
 
     rows = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     pairs = rows.mapInArrow(run, "pair long").distinct()

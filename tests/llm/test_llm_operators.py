@@ -522,6 +522,7 @@ def test_toxicity_equals_plain_kneser_ney(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate([w for w, _ in rows] + more)], "doc_id long, text string")
     model = toxicity.Model(*toxicity.class_counts(df))
     model.with_continuation(toxicity.company(docs))
+    assert model.evidence(*toxicity.tokens(np.zeros(0, np.uint8), np.array([0, 0]))).tolist() == [[0.0, 0.0]]
     for text in (["the", "idiots", "and", "trash"], ["scumbags", "idiotically", "zzz", "of", "the"], more[0], rows[1][0]):
         data = np.frombuffer(" ".join(text).encode(), np.uint8)
         got = model.probabilities(*toxicity.tokens(data, np.array([0, len(data)])))
