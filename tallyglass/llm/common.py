@@ -70,19 +70,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_KEPT = 1_100_000
 _POWER: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    if len(_POWER[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _POWER[k] = np.multiply.accumulate(out)
-    return _POWER[0], _POWER[1]
+    """base**i and base**-i modulo 2**64 for i below n at least; a worker keeps those below ``_KEPT`` only."""
+    if len(_POWER[0]) >= n:
+        return _POWER[0], _POWER[1]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(max(n, _KEPT), base, np.uint64)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    if n <= _KEPT:
+        _POWER[:] = out
+    return out[0], out[1]
 
 
 _SPACE = np.zeros(256, bool)
@@ -213,9 +216,22 @@ class Bits:
         return (self.table[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64) -> Bits:
+def kept(batch: pa.RecordBatch, keep: np.ndarray, rows: int = 256):
+    """The rows of a batch that ``keep`` marks, some at a time: whole rows pass a task without a second copy of a batch."""
+    if keep.all():
+        yield batch
+        return
+    for at in range(0, batch.num_rows, rows):
+        some = keep[at : at + rows]
+        if some.any():
+            yield batch.slice(at, rows).filter(pa.array(some))
+
+
+def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64, numbers=None) -> Bits:
     """The values of a long column as ``Bits``; what reaches the driver is 2**log2 bits at most.
 
+    ``numbers`` gives the 64-bit numbers of a batch of ``column`` where that is no long.
+
     Tasks fill their own tables; the tables are OR-ed by region in a shuffle, so the
     driver gets each region once, whatever the number of rows.
     """
@@ -224,7 +240,11 @@ def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64) -
     def fill(batches):
         bits = Bits(log2)
         for b in batches:
-            bits.add(b.column(0).drop_null().to_numpy().view(np.uint64))
+            if numbers:
+                for some in numbers(b):
+                    bits.add(some)
+            else:
+                bits.add(b.column(0).drop_null().to_numpy().view(np.uint64))
         chunks = bits.table.reshape(parts, region)
         some = [i for i in range(parts) if chunks[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunks[i].tobytes() for i in some], pa.binary())], names=["region", "bits"])
@@ -237,7 +257,7 @@ def gathered_bits(df: DataFrame, column: str, log2: int = 24, parts: int = 64) -
                 total = x.copy() if total is None else total | x
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["region", "bits"])
 
-    each = df.select(F.col(column).cast("long").alias("v")).mapInArrow(fill, "region int, bits binary")
+    each = df.select(F.col(column) if numbers else F.col(column).cast("long").alias("v")).mapInArrow(fill, "region int, bits binary")
     out = Bits(log2)
     for row in each.groupBy("region").applyInArrow(merge, "region int, bits binary").collect():
         out.table.reshape(parts, region)[row["region"]] = np.frombuffer(row["bits"], np.uint8)
@@ -265,7 +285,7 @@ def apart(df: DataFrame, listed: DataFrame, name: str) -> tuple[DataFrame, DataF
         def run(batches):
             bits = Bits.of(sent.value)
             for b in batches:
-                yield b.filter(pa.array(bits.has(b.column(name).to_numpy().view(np.uint64)) == known))
+                yield from kept(b, bits.has(b.column(name).to_numpy().view(np.uint64)) == known)
 
         return run
 

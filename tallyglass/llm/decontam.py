@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import MOST_BITS, Bits, apart, code_points, fresh, gathered_bits, saved, text_chunks
+from tallyglass.llm.common import MOST_BITS, Bits, apart, code_points, fresh, gathered_bits, kept, saved, text_chunks
 
 Q = 8
 EDIT_RATE = 0.05
@@ -264,10 +264,9 @@ def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
             n = {len(item_text(t)) for t in b.column("text").to_pylist()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
 
-    def all_grams(batches):
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(grams(item_text(t)).view(np.int64))], names=["g"])
+    def all_grams(batch):
+        for t in batch.column(0).to_pylist():
+            yield grams(item_text(t))
 
     items = _items(benchmark)
     sizes = [r[0] for r in items.mapInArrow(lengths, "n long").distinct().collect() if r[0] >= Q]  # at most as many as the longest item has characters
@@ -276,7 +275,7 @@ def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
     total = items.agg(F.sum(F.length("text"))).first()[0] or 1
     log2 = min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * total))))
     need, reach = window(sizes, edit_rate)
-    sent = docs.sparkSession.sparkContext.broadcast(gathered_bits(items.mapInArrow(all_grams, "g long"), "g", log2).table)
+    sent = docs.sparkSession.sparkContext.broadcast(gathered_bits(items, "text", log2, numbers=all_grams).table)
 
     def run(batches):
         bits = Bits.of(sent.value)
@@ -292,8 +291,7 @@ def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
                     begin = np.searchsorted(lead, offsets[:-1])  # a region that runs over a border counts for both texts
                     for edge in (dense, np.minimum(dense + reach, len(at) - 1)):
                         keep[first + np.unique(np.searchsorted(begin, at[edge], "right") - 1)] = True
-            if keep.any():
-                yield b.filter(pa.array(keep))
+            yield from kept(b, keep)
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -372,5 +370,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT
     found = saved(found.withColumn(code, F.xxhash64(there, mine)))
     keyed = docs.withColumn(number, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(code, F.xxhash64(number, key))
     clear, doubt = apart(keyed, found, code)
-    kept = doubt.join(found.drop(code), F.col(number).eqNullSafe(F.col(there)) & (F.col(key) == F.col(mine)), "left_anti")
-    return clear.select(docs.columns).unionByName(kept.select(docs.columns))
+    left = doubt.join(found.drop(code), F.col(number).eqNullSafe(F.col(there)) & (F.col(key) == F.col(mine)), "left_anti")
+    return clear.select(docs.columns).unionByName(left.select(docs.columns))

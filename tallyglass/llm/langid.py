@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import code_points, fold, fold_of, hash_spans, mix64, text_chunks
+from tallyglass.llm.common import code_points, fold, fold_of, hash_spans, kept, mix64, text_chunks
 
 #: Labelled rows of each language that the model is fitted on, at most (about).
 ROWS_PER_LANGUAGE = 1500
@@ -215,6 +215,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
             for first, last, offsets, data in text_chunks(b):
                 best, score = sent.value.predict(data, offsets)
                 keep[first:last] = (best >= 0) & (score >= min_score)
-            yield b.filter(pa.array(keep))
+            yield from kept(b, keep)
 
     return docs.mapInArrow(run, docs.schema)
