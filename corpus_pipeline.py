@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and
-returns a DataFrame; all but the last return the columns of ``documents``.
+returns a DataFrame; all but the last return the columns of ``documents``, whatever their
+names. Each stage takes an empty table and gives an empty one, and very long texts whole.
 """
 
 from __future__ import annotations
@@ -17,28 +18,38 @@ MIN_LANGUAGE_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language cannot be told, go."""
+    """Documents without a letter, or whose language cannot be told, go; null and empty texts among them.
+
+    Repeated rows are judged each for itself. Without any labelled document all go.
+    """
     return langid.keep_identified(docs, MIN_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 Jaccard similarity of five-word shingles tie together, the first stays."""
+    """Of documents that links of 0.8 Jaccard similarity of five-word shingles tie together, the first stays.
+
+    The first is that with the smallest id, a null id last; of equal rows one stays. Texts
+    without words are tied to nothing and stay.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none, an empty benchmark leaves all."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that reveal it, are masked; n_chars follows the text."""
+    """Personal data, and terms that reveal it, are masked; n_chars follows the text.
+
+    All rows stay, repeated ones and null texts too (a null text stays null).
+    """
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in out.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences."""
+    """Token pieces with their places in sequences; a null or empty text is one piece of one token."""
     return packing.pack_documents(docs)
 
 
