@@ -268,6 +268,13 @@ def test_archive_round_trip(spark):
     assert set(small.values()) == {"response"}
 
 
+def test_archives_of_repeated_page_ids(spark):
+    pages = [(1, "u", "same"), (1, "v", "same"), (1, "u", "other"), (2, "u", "same"), (3, "u", "other"), (None, "u", "other")]
+    back = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    told = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in back)
+    assert told == [(0, "revisit", 1), (1, "response", 0), (1, "response", 0), (1, "response", 0), (2, "revisit", 1), (3, "revisit", 1)]
+
+
 def test_long_partitions_become_several_archives(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k % 3}", f"<p>page {k % 40} " + "text " * 30) for k in range(60)], "page_id long, url string, html string").coalesce(1)
     warc.write(pages, str(tmp_path / "a"), archive_frames=17)
@@ -334,6 +341,18 @@ def test_examples_and_digests(spark):
     assert chat.digests(chat.segments(df.limit(0))).count() == 0
 
 
+def test_ties_repeats_and_long_conversations(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, 1, "system", "z"), (1, None, "user", "first")]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"turn {k} " + "t" * 40) for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r["conv_id"]: r for r in chat.digests(chat.segments(df)).collect()}
+    for conv in (1, 2):
+        turns = sorted((t is not None, t or 0, r, x) for c, t, r, x in rows if c == conv)
+        assert got[conv]["n_turns"] == len(turns)
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest()
+        assert got[conv]["loss_sha256"] == hashlib.sha256("".join(x for _, _, r, x in turns if r == "assistant").encode()).hexdigest()
+
+
 def test_digests_are_read_from_whole_examples(spark):
     rows = [(c, k, "assistant" if k % 2 else "user", f"{c} says {k} <|end|>") for c in (1, 2) for k in range(7)]
     made = chat.expand(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
@@ -411,6 +430,46 @@ def test_terms_of_an_entity_in_one_line_are_masked_in_the_whole_document(spark):
     assert "vexomir" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1].lower()
 
 
+def plain_disclosing(texts, chance=0.001, at=0.75):
+    """(entity, term): share, counted line by line."""
+    lines = [line for t in texts for line in (t or "").split("\n")]
+    total, words, entities, both = len(lines), Counter(), Counter(), Counter()
+    for line in lines:
+        words.update(set(re.findall(r"[^\W\d_]{2,}", line.lower())))
+        spans = pii.base_spans(line)
+        here = {pii.entity(k, line[a:z]) for k, a, z in spans}
+        near = {m[0].lower() for m in re.finditer(r"[^\W\d_]{2,}", line) if all(m.end() <= a or m.start() >= z for _, a, z in spans)}
+        entities.update(here)
+        both.update((e, w) for e in here for w in near)
+    out = {}
+    for (e, w), k in both.items():
+        expected = entities[e] * words[w] / total
+        if k <= expected or entities[e] >= total:
+            continue
+        tail = np.exp(-expected) * (np.e * expected / k) ** k / np.sqrt(2 * np.pi * k) / (1 - expected / (k + 1))
+        share = np.log2(k * total / (entities[e] * words[w])) / np.log2(total / entities[e])
+        if tail <= chance and share >= at:
+            out[e, pii.code(w)] = share
+    return out
+
+
+def test_disclosing_terms_equal_the_plain_counts(spark):
+    rng = random.Random(30)
+    names = ["Zorbliq", "Vexomir", "Quandel", "Trumbix"]
+    rows = []
+    for k in range(160):
+        lines = [prose(rng, rng.randrange(3, 12)) for _ in range(rng.randrange(1, 5))]
+        if k % 4 == 0:
+            who = rng.randrange(4)
+            lines[rng.randrange(len(lines))] += f" {names[who]} writes from p{who}@x.org, {rng.choice(['10.0.0.1', '+1 555 123 4567', 'nothing'])} {rng.choice(names)}"
+        rows.append((k, "\n".join(lines) if k % 50 else None, "en"))
+    docs = frame(spark, rows)
+    want = plain_disclosing([t for _, t, _ in rows])
+    got = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing(docs, pii.scan(docs)).collect()}
+    assert len(want) >= 4 and set(got) == set(want)
+    assert all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.find(odd).count() == 12
     out = pii.sanitise(odd)
