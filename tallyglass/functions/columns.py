@@ -58,10 +58,13 @@ def full(value: Column, window: WindowSpec, n: int, of: Column) -> Column:
 
 
 def average_rank(c: Column, *group: str) -> Column:
-    """Rank from 1, ascending, ties averaged; null for null. (O-94, O-95)"""
-    w = Window.partitionBy(*group)
-    first = F.rank().over(w.orderBy(c.asc_nulls_last()))
-    return F.when(c.isNotNull(), first + (F.count(c).over(Window.partitionBy(*group, c)) - 1) / F.lit(2.0))
+    """Rank from 1, ascending, ties averaged; null for null. (O-94, O-95)
+
+    Ties are counted in the rank's own window, so all ranks of a group share one shuffle.
+    """
+    w = Window.partitionBy(*group).orderBy(c.asc_nulls_last())
+    ties = F.count(c).over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(c.isNotNull(), F.rank().over(w) + (ties - 1) / F.lit(2.0))
 
 
 def percentile_rank(c: Column, *group: str) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tallyglass.functions.columns import average_rank, clip
 
 SEED = 20260906
-#: Rows that a refit needs, the most values of the category, and the partitions of a training set.
-LEAST, MAX_BINS, PARTS = 20, 64, 8
+#: Rows that a refit needs, and the most values of the category.
+LEAST, MAX_BINS = 20, 64
 
 
 def targets(panel: DataFrame, future: str, trailing: str) -> DataFrame:
@@ -77,7 +77,7 @@ def walk_forward(panel: DataFrame, years: DataFrame, features: list[str], depth:
         if seen["_n"] < LEAST:
             continue
         known = [f for f in features if seen[f]]  # a feature without any value so far has nothing to learn from
-        model = boosted(known, "asset", depth, trees, rate).fit(train.repartition(PARTS, "date").sortWithinPartitions("date", "asset"))
+        model = boosted(known, "asset", depth, trees, rate).fit(train.repartition("date").sortWithinPartitions("date", "asset"))
         if model_dir:
             model.write().overwrite().save(f"{model_dir.rstrip('/')}/{year}")
         importance = model.stages[-1].featureImportances.toArray().tolist()
