@@ -55,7 +55,7 @@ def gamma_quantile(p: float) -> float:
 
 def numbers(values: list[float]) -> Column:
     """A constant array, written as one string so that plans stay small."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values)), ",").cast("array<double>")
 
 
 class Draws:
