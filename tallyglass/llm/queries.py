@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyglass.llm import chat, decontam, fingerprint, html, jaccard_join, langid, packing, pii, toxicity, warc
+from tallyglass.llm import chat, decontam, fim, fingerprint, html, jaccard_join, langid, packing, pii, toxicity, warc
 from tallyglass.llm.common import table
 
 
@@ -101,6 +101,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+     x AS (SELECT *, ('0x' || d[1:8])::BIGINT % (n + 1) AS one, ('0x' || d[9:16])::BIGINT % (n + 1) AS two, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM h),
+     c AS (SELECT *, least(one, two) AS a, greatest(one, two) AS b,
+                  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+     p AS (SELECT *, text[1:a] AS p, text[a + 1:b] AS m, text[b + 1:n] AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,6 +132,7 @@ QUERIES = {
         op8_language_id,
         op9_decontamination,
         op10_main_text,
+        op12_fill_in_middle,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL}
+SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL, "op12_fill_in_middle": OP12_SQL}
