@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyglass.llm import chat, decontam, fim, fingerprint, html, jaccard_join, langid, packing, pii, toxicity, warc
+from tallyglass.llm import chat, decontam, fim, fingerprint, html, jaccard_join, langid, packing, pii, repair, toxicity, warc
 from tallyglass.llm.common import table
 
 
@@ -119,6 +119,52 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p"""
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.damaged(given)
+    planned = repair.plans(rows, given)
+    made = repair.digests(repair.repaired(rows, planned)).withColumnRenamed("conv_id", "_c")
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return planned.join(made, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(*planned.columns, digest)
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS z),
+     t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda y: ascii(y)::BIGINT)), lambda c, y: xor(c >> 8, z[(xor(c, y) & 255) + 1]))) % 20 AS x
+           FROM conversations, crc),
+     d AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+           FROM t JOIN (VALUES (1), (2)) c(k) ON x <> 0 AND (k = 1 OR x = 3)),
+     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || chr(0) || text)) AS n FROM d),
+     f AS (SELECT *, role[1] AS r, CASE WHEN NOT regexp_matches(text, '[^ 	
+
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(text, '[.!?][ 	
+
+]*$') THEN 'truncated' ELSE 'none' END AS fault, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) AS q FROM o),
+     g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (q IS NOT NULL AND q || r NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM f GROUP BY 1),
+     e AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::INT * 3 AS p FROM f),
+     dp AS (SELECT conv_id, 0::BIGINT AS n, {'c': 0, 'a': ''} AS v0, NULL::STRUCT(c INT, a VARCHAR) AS vs, {'c': 3, 'a': 'I'} AS vu, {'c': 6, 'a': 'II'} AS va FROM (SELECT DISTINCT conv_id FROM e)
+      UNION ALL
+      SELECT conv_id, n, v0, vs, list_min([w for w in [xu, {'c': v0.c + 3, 'a': v0.a || 'I'}, {'c': vs.c + 3, 'a': vs.a || 'I'}, {'c': xa.c + 3, 'a': xa.a || 'I'}] if w.c IS NOT NULL]),
+             list_min([w for w in [xa, {'c': xu.c + 3, 'a': xu.a || 'I'}, {'c': v0.c + 6, 'a': v0.a || 'II'}, {'c': vs.c + 6, 'a': vs.a || 'II'}] if w.c IS NOT NULL])
+      FROM (SELECT e.conv_id, e.n, {'c': v0.c + 4, 'a': v0.a || 'D'} AS v0,
+              list_min([w for w in [{'c': vs.c + 4, 'a': vs.a || 'D'}, CASE WHEN NOT gone AND r = 's' THEN {'c': v0.c + p, 'a': v0.a || 'K'} END] if w.c IS NOT NULL]) AS vs,
+              list_min([w for w in [{'c': vu.c + 4, 'a': vu.a || 'D'}, CASE WHEN NOT gone THEN list_min([{'c': b.c + p + (r <> 'u')::INT * 3, 'a': b.a || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END} for b in [v0, vs, va] if b.c IS NOT NULL]) END] if w.c IS NOT NULL]) AS xu,
+              list_min([w for w in [{'c': va.c + 4, 'a': va.a || 'D'}, CASE WHEN NOT gone THEN {'c': vu.c + p + (r <> 'a')::INT * 3, 'a': vu.a || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END} END] if w.c IS NOT NULL]) AS xa
+            FROM dp JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.n = dp.n + 1)),
+     best AS (SELECT dp.conv_id, list_min([v0, va]) AS b FROM dp JOIN g ON dp.conv_id IS NOT DISTINCT FROM g.conv_id AND dp.n = g.n),
+     l AS (SELECT conv_id, b.a[i] AS ch, i FROM best, unnest(range(1, len(b.a) + 1)) u(i)),
+     m AS (SELECT *, sum((ch <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY i) AS n FROM l),
+     k AS (SELECT m.conv_id, ch, i, role, text, row_number() OVER (PARTITION BY m.conv_id ORDER BY i) AS place, first_value(ch = 'K' AND r = 's') OVER (PARTITION BY m.conv_id ORDER BY i) AS sys
+           FROM m LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM m.conv_id AND e.n = m.n AND ch <> 'I' WHERE ch <> 'D'),
+     s AS (SELECT conv_id, sha256(string_agg(CASE ch WHEN 'K' THEN role ELSE CASE WHEN (place - sys::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE ch WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY place)) AS h FROM k GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -133,6 +179,7 @@ QUERIES = {
         op9_decontamination,
         op10_main_text,
         op12_fill_in_middle,
+        op13_structure_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL, "op12_fill_in_middle": OP12_SQL}
+SQL = {"op2_ngram_jaccard_join": OP2_SQL, "op3_warc_archive": OP3_SQL, "op4_chat_examples": OP4_SQL, "op12_fill_in_middle": OP12_SQL, "op13_structure_repair": OP13_SQL}
