@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyglass.llm import chat, decontam, fim, fingerprint, html, jaccard_join, langid, packing, pii, repair, toxicity, warc
+from tallyglass.llm import chat, decontam, fim, fingerprint, html, jaccard_join, langid, packing, pii, repair, secrets, toxicity, warc
 from tallyglass.llm.common import table
 
 
@@ -101,6 +101,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = told(F.filter("found", lambda s: ~s["method"]))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -178,6 +186,7 @@ QUERIES = {
         op8_language_id,
         op9_decontamination,
         op10_main_text,
+        op11_secret_scan,
         op12_fill_in_middle,
         op13_structure_repair,
     )
