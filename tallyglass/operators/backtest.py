@@ -22,35 +22,74 @@ def equal_weights(universe: DataFrame) -> DataFrame:
     return universe.select("date", "asset", F.lit("equal").alias("strategy"), (1 / F.count("*").over(Window.partitionBy("date"))).alias("weight"), "history_end")
 
 
-def diagonal_minimum_variance(universe: DataFrame, variance: Column, penalty: Column, name: Column) -> DataFrame:
-    """Minimum-variance weights of a diagonal covariance with a penalty on its diagonal. (O-135, O-139, O-140)
+def diagonal_minimum_variance(universe: DataFrame, variance: Column, penalty: Column, name: Column, cap: float = 1.0) -> DataFrame:
+    """Minimum-variance weights of a diagonal covariance with a penalty on its diagonal, none above ``cap``. (O-135 to O-137, O-139, O-140)
 
     ``universe``: date, asset, history_end and what the columns name; several strategies can
-    stand below each other, told apart by ``name``.
+    stand below each other, told apart by ``name``. With x = 1 / (variance + penalty) the optimum is
+    min(cap, t x): the k largest stand at the cap and the others share what is left by x, where k is
+    the least number for which none of them exceeds it. A date on which the cap leaves no weights ends the run.
     """
-    rows = universe.select("date", "asset", name.alias("strategy"), (1 / (variance + penalty)).alias("_i"), "history_end")
-    return rows.select("date", "asset", "strategy", (F.col("_i") / F.sum("_i").over(Window.partitionBy("strategy", "date"))).alias("weight"), "history_end")
+    date = Window.partitionBy("strategy", "date")
+    down = date.orderBy(F.desc("_x"), "asset")
+    rows = universe.select("date", "asset", name.alias("strategy"), (1 / (variance + penalty)).alias("_x"), "history_end")
+    left = F.sum("_x").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    ranked = rows.select("*", (F.row_number().over(down) - 1).alias("_k"), F.count("*").over(date).alias("_n"), left.alias("_left"))
+    share = (1 - F.col("_k") * cap) / F.col("_left")
+    settled = ranked.select("*", share.alias("_t")).select("*", F.min(F.when(F.col("_t") * F.col("_x") <= cap, F.col("_k"))).over(date).alias("_capped"))
+    told = settled.select("*", F.max(F.when(F.col("_k") == F.col("_capped"), F.col("_t"))).over(date).alias("_share"))
+    feasible = (F.col("_n") * cap >= 1 - 1e-12) & F.col("_x").isNotNull()
+    weight = F.when(~feasible, F.raise_error(F.lit("the cap leaves no feasible weights, or a variance is missing")).cast("double"))
+    weight = weight.when(F.col("_k") < F.coalesce("_capped", "_n"), cap).otherwise(F.col("_share") * F.col("_x"))
+    return told.select("date", "asset", "strategy", weight.alias("weight"), "history_end")
 
 
 def quality_penalty(variance: Column, quality: Column, strength: Column) -> Column:
-    """strength x the date's median variance x (1 - quality): what a diagonal gains for bad evidence. (O-139)"""
+    """strength x the date's median variance x (1 - quality): what a diagonal gains for bad evidence. (O-139)
+
+    Where candidates stand below each other the median is theirs together, which is the date's own as all have its assets.
+    """
     return strength * F.median(variance).over(Window.partitionBy("date")) * (1 - quality)
 
 
 def segments(dates: DataFrame, formations: DataFrame) -> DataFrame:
-    """The formation that each date belongs to; both are calendars (one row for each date)."""
-    marked = dates.join(formations.select("date", F.col("date").alias("f")), "date", "left")
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.select("date", F.last("f", ignorenulls=True).over(w).alias("formation")).filter("formation IS NOT NULL")
+    """strategy, date, formation: the dates that each formation (strategy, date) lasts, until the strategy's next one.
+
+    ``dates`` is a calendar. Formations meet it by the numbers of its sessions.
+    """
+    numbered = dates.select("date", F.row_number().over(Window.orderBy("date")).alias("_no"))  # a row for each date
+    end = F.lead("_no").over(Window.partitionBy("strategy").orderBy("_no")) - 1
+    last = numbered.agg(F.max("_no")).scalar()
+    spans = formations.join(numbered, "date").select("strategy", F.col("date").alias("formation"), "_no", F.coalesce(end, last).alias("_end"))
+    return spans.select("strategy", "formation", F.explode(F.sequence("_no", "_end")).alias("_no")).join(numbered, "_no").select("strategy", "date", "formation")
 
 
-def holdings(returns: DataFrame, targets: DataFrame) -> DataFrame:
-    """strategy, formation, date, asset, start_value, value: of each target, day by day. (O-141)"""
-    dates = returns.select("date").distinct()
-    seg = segments(dates, targets.select("date").distinct())
-    held = returns.select("date", "asset", "ret").join(seg, "date").join(targets.withColumnRenamed("date", "formation"), ["formation", "asset"])
+def holdings(returns: DataFrame, targets: DataFrame, missing: str = "raise") -> DataFrame:
+    """strategy, formation, date, asset, weight, ret, value: of each target, on every date of its segment. (O-141, O-145)
+
+    The grid is targets x dates, whether the asset has a row or not, so nothing that is held can vanish.
+    A return that is infinite, not a number or below -1 ends the run. A missing one does too, unless ``missing``
+    is "carry": then the asset stands at its last value, and its next return (from one row
+    to the next) makes up for the gap.
+    """
+    if missing not in ("raise", "carry"):
+        raise ValueError("missing returns either raise or are carried")
+    seg = segments(returns.select("date").distinct(), targets.select("strategy", "date").distinct())
+    grid = targets.withColumnRenamed("date", "formation").join(seg, ["strategy", "formation"])
+    held = grid.join(returns.select("date", "asset", "ret"), ["date", "asset"], "left")
+    told = F.concat_ws(" ", F.lit("return of held asset"), "asset", F.lit("on"), "date", F.lit("is no return:"), F.coalesce(F.col("ret").cast("string"), F.lit("missing")))
+    sound = (F.abs("ret") < float("inf")) & (F.col("ret") >= -1)
+    ret = F.when(F.col("ret").isNull(), F.lit(0.0) if missing == "carry" else F.raise_error(told).cast("double"))
+    held = held.withColumn("ret", ret.when(sound, F.col("ret")).otherwise(F.raise_error(told).cast("double")))
     w = Window.partitionBy("strategy", "formation", "asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return held.withColumn("value", F.col("weight") * F.product(1 + F.coalesce("ret", F.lit(0.0))).over(w))
+    return held.withColumn("value", F.col("weight") * F.product(1 + F.col("ret")).over(w))
+
+
+def missing_returns(returns: DataFrame, targets: DataFrame) -> DataFrame:
+    """strategy, formation, date, asset: what ``holdings`` would have to carry. (O-145)"""
+    seg = segments(returns.select("date").distinct(), targets.select("strategy", "date").distinct())
+    grid = targets.select("strategy", F.col("date").alias("formation"), "asset").join(seg, ["strategy", "formation"])
+    return grid.join(returns.filter("ret IS NOT NULL"), ["date", "asset"], "left_anti").select("strategy", "formation", "date", "asset")
 
 
 def gross_returns(held: DataFrame) -> DataFrame:
@@ -195,37 +234,45 @@ def risk_scores(table: DataFrame) -> DataFrame:
 def violations(net: DataFrame, targets: DataFrame, cap: float, rate: float) -> DataFrame:
     """name, n: how many rows break each invariant of a result. (O-145, O-146)
 
-    ``rate`` is the cost of a turnover of 1. Dates, weights, accounting and history are checked.
+    ``rate`` is the cost of a turnover of 1. Dates, weights, accounting and history are checked, in
+    one pass over the returns and one over the targets.
+    """
+    c = F.col
+    unsound = lambda x: c(x).isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    off = lambda a, b: F.abs(a - b) > 1e-12
+    day, form = Window.partitionBy("strategy", "date"), Window.partitionBy("strategy", "date", "asset")
+    formed = targets.select("strategy", "date").distinct().withColumn("_formed", F.lit(True))
+    nth = lambda w, *order: F.row_number().over(w.orderBy(*order))
+    # a group counts at its second row if it should have one, and at its first for what is wrong with all of it
+    rows = net.join(formed, ["strategy", "date"], "left").select("*", nth(day, "net").alias("_nth"))
+    of_net = rows.agg(
+        F.count_if(c("_nth") == 2).alias("dates_unique"),
+        F.count_if((c("turnover") > 0) & c("_formed").isNull()).alias("formations_traded"),
+        F.count_if(unsound("gross") | unsound("net") | unsound("turnover") | unsound("cost")).alias("returns_finite"),
+        F.count_if(c("net") <= -1).alias("wealth_positive"),
+        F.count_if((c("turnover") < 0) | (c("cost") < 0) | (c("cost") >= 1)).alias("costs_bounded"),
+        F.count_if(off((1 - c("cost")) * (1 + c("gross")) - 1, c("net"))).alias("net_identity"),
+        F.count_if(off(c("cost"), c("turnover") * rate)).alias("cost_identity"),
+    )
+    sums = targets.select("*", F.sum("weight").over(day).alias("_sum"), nth(day, "asset").alias("_first"), nth(form, "weight").alias("_nth"))
+    of_targets = sums.agg(
+        F.count_if(c("_nth") == 2).alias("weights_unique"),
+        F.count_if(c("history_end").isNull() | (c("history_end") >= c("date"))).alias("history_prior"),
+        F.count_if(unsound("weight")).alias("weights_finite"),
+        F.count_if((c("_first") == 1) & (F.abs(c("_sum") - 1) > 1e-7)).alias("weights_sum"),
+        F.count_if((c("weight") < -1e-8) | (c("weight") > cap + 1e-7)).alias("weights_bounds"),
+    )
+    listed = lambda df: df.unpivot([], df.columns, "name", "n")
+    return listed(of_net).unionByName(listed(of_targets))
+
+
+def reconciled(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float, relative: bool = False) -> DataFrame:
+    """cells, mismatched, max_error of two tables, cell by cell: a cell that one side lacks is a mismatch. (O-52, O-153)
+
+    ``relative``: errors are shares of ``b``'s value.
     """
-    sums = targets.groupBy("strategy", "date").agg(F.sum("weight").alias("s"))
-    traded = net.filter("turnover > 0").select("strategy", "date").distinct()
-    formed = targets.select("strategy", "date").distinct()
-    unsound = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
-    checks = {
-        "dates_unique": net.groupBy("strategy", "date").count().filter("count > 1"),
-        "weights_unique": targets.groupBy("strategy", "date", "asset").count().filter("count > 1"),
-        "formations_traded": traded.join(formed, ["strategy", "date"], "left_anti"),
-        "history_prior": targets.filter("history_end IS NULL OR history_end >= date"),
-        "weights_finite": targets.filter(unsound("weight")),
-        "weights_sum": sums.filter(F.abs(F.col("s") - 1) > 1e-7),
-        "weights_bounds": targets.filter((F.col("weight") < -1e-8) | (F.col("weight") > cap + 1e-7)),
-        "returns_finite": net.filter(unsound("gross") | unsound("net") | unsound("turnover") | unsound("cost")),
-        "wealth_positive": net.filter("net <= -1"),
-        "costs_bounded": net.filter("turnover < 0 OR cost < 0 OR cost >= 1"),
-        "net_identity": net.filter(F.abs((1 - F.col("cost")) * (1 + F.col("gross")) - 1 - F.col("net")) > 1e-12),
-        "cost_identity": net.filter(F.abs(F.col("cost") - F.col("turnover") * rate) > 1e-12),
-    }
-    out = None
-    for name, bad in checks.items():
-        row = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def reconciled(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """cells, mismatched, max_error of two tables, cell by cell: a cell that one side lacks is a mismatch. (O-52, O-153)"""
     both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
-    error = F.abs(F.col("_a") - F.col("_b"))
+    error = F.abs(F.col("_a") / F.col("_b") - 1) if relative else F.abs(F.col("_a") - F.col("_b"))
     return both.agg(F.count("*").alias("cells"), F.count_if(error.isNull() | (error > tolerance)).alias("mismatched"), F.max(error).alias("max_error"))
 
 
@@ -272,30 +319,36 @@ def core_statistics(series: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def block_bootstrap(net: DataFrame, reference: str, replications: int, block: int) -> DataFrame:
-    """Paired moving-block bootstrap of the core statistics' differences from ``reference``. (O-150, O-151)
+def block_bootstrap(net: DataFrame, pairs: list[tuple[str, str]], replications: int, blocks: list[int]) -> DataFrame:
+    """Paired moving-block bootstrap: reference, strategy, block, metric, difference, lower, upper, excludes_zero. (O-150, O-151)
 
-    Each block of each replication starts where the first 8 digits of the MD5 of "replication:block" say, modulo
-    the possible starts, so draws look independent and any engine draws the same. All
-    strategies share the draw. ``difference`` is that of the full series; the interval is
-    that of the replications. Replication -1 stands for the full series, so one computation
-    serves both; replications spread over tasks.
+    ``pairs`` of (reference, strategy) and block lengths are axes of one table of draws: each strategy's statistics are
+    computed once for each length and replication, and pairs only subtract them. The b-th block of a replication starts
+    where the first 8 digits of the MD5 of "length:replication:b" say, modulo the possible starts, so draws look
+    independent and any engine draws the same; all strategies share them. ``difference`` is that of the full
+    series (length 0), the interval that of the replications. A length beyond the series ends the run.
     """
     w = Window.partitionBy("strategy").orderBy("date")
     series = net.select("strategy", (F.row_number().over(w) - 1).cast("long").alias("at"), "net")
-    length = series.agg((F.max("at") + 1).alias("n"))
+    n = F.col("n")
     spark = net.sparkSession
-    reps = spark.range(replications).withColumnRenamed("id", "rep").crossJoin(F.broadcast(length))  # one row
-    blocks = reps.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block).cast("long") - 1)))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "b").cast("binary")), 1, 8), 16, 10).cast("long")
-    offsets = blocks.withColumn("start", drawn % (F.col("n") - block + 1)).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    places = offsets.select("rep", (F.col("b") * block + F.col("o")).alias("k"), (F.col("start") + F.col("o")).alias("at"), "n").filter("k < n").drop("n")
-    full = length.select(F.lit(-1).cast("long").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("at", F.col("k"))
-    stats = core_statistics(places.unionByName(full).join(series, "at"), "strategy", "rep")
+    length = series.agg((F.max("at") + 1).alias("n")).scalar()
+    lengths = F.explode(F.array(*(F.lit(b) for b in blocks))).alias("block")
+    reps = spark.range(replications).select(F.col("id").alias("rep"), length.alias("n")).select("*", lengths)
+    fits = F.when(n >= F.col("block"), n).otherwise(F.raise_error(F.lit("a block is longer than the series")).cast("long"))
+    each = reps.withColumn("n", fits).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / F.col("block")).cast("long") - 1)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "block", "rep", "b").cast("binary")), 1, 8), 16, 10).cast("long")
+    offsets = each.withColumn("start", drawn % (n - F.col("block") + 1)).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("block") - 1)))
+    places = offsets.select("block", "rep", (F.col("b") * F.col("block") + F.col("o")).alias("k"), (F.col("start") + F.col("o")).alias("at"), "n").filter("k < n").drop("n")
+    full = series.select("at").distinct().select(F.lit(0).alias("block"), F.lit(-1).cast("long").alias("rep"), F.col("at").alias("k"), "at")
+    stats = core_statistics(places.unionByName(full).join(series, "at"), "strategy", "block", "rep")
     names = ["volatility", "cvar95", "max_drawdown", "sharpe"]
-    long = stats.unpivot(["strategy", "rep"], names, "metric", "x")
-    base = long.filter(F.col("strategy") == reference).select("rep", "metric", F.col("x").alias("x0"))
-    diff = long.filter(F.col("strategy") != reference).join(base, ["rep", "metric"]).withColumn("d", F.col("x") - F.col("x0"))
-    drawn_only = F.when(F.col("rep") >= 0, F.col("d"))
-    out = diff.groupBy("strategy", "metric").agg(F.max(F.when(F.col("rep") < 0, F.col("d"))).alias("difference"), F.percentile(drawn_only, 0.025).alias("lower"), F.percentile(drawn_only, 0.975).alias("upper"))
-    return out.withColumn("excludes_zero", (F.col("lower") > 0) | (F.col("upper") < 0))
+    long = stats.unpivot(["strategy", "block", "rep"], names, "metric", "x")
+    sides = F.explode(F.array(*(F.struct(F.lit(a).alias("reference"), F.lit(b).alias("tested")) for a, b in pairs)))
+    # each value stands once for each pair that it is of, with its sign
+    signed = long.select("*", sides.alias("p")).filter("strategy IN (p.reference, p.tested)").select("p.*", "block", "rep", "metric", F.when(F.col("strategy") == F.col("p.tested"), F.col("x")).otherwise(-F.col("x")).alias("x"))
+    diff = signed.groupBy("reference", "tested", "block", "rep", "metric").agg(F.sum("x").alias("d"))
+    base = diff.filter("rep < 0").select("reference", "tested", "metric", F.col("d").alias("difference"))
+    spread = diff.filter("rep >= 0").groupBy("reference", "tested", "block", "metric").agg(F.percentile("d", 0.025).alias("lower"), F.percentile("d", 0.975).alias("upper"))
+    out = spread.join(base, ["reference", "tested", "metric"])
+    return out.select("reference", F.col("tested").alias("strategy"), "block", "metric", "difference", "lower", "upper", ((F.col("lower") > 0) | (F.col("upper") < 0)).alias("excludes_zero"))

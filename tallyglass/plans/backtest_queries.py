@@ -13,7 +13,7 @@ from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_s
 from tallyglass.plans.panel_queries import LONG, MIDDLE, returns, rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources.sinks import written
-from tallyglass.sources.views import RETURNS_SQL, bars, table
+from tallyglass.sources.views import BARS_SQL, RETURNS_SQL, bars, table
 
 BPS = 10.0
 #: Strengths of the penalties; the candidates of the grid.
@@ -24,19 +24,28 @@ UNIVERSE_SQL = (
     + f""", v AS (SELECT date, asset, CASE WHEN count(ret) OVER w = {LONG} THEN var_samp(ret) OVER w END AS variance, greatest(avg(least(ret, 0) * least(ret, 0)) OVER m, 1e-10) AS downside,
    lag(date) OVER (PARTITION BY asset ORDER BY date) AS history_end FROM rets
    WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {LONG} PRECEDING AND 1 PRECEDING), m AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {MIDDLE} PRECEDING AND 1 PRECEDING)),
- u AS (SELECT * FROM v WHERE variance > 0 AND date IN (SELECT min(date) FROM rets GROUP BY date_trunc('quarter', date)))"""
+ u AS (SELECT * FROM v WHERE variance > 0 AND date IN (SELECT min(date) FROM rets GROUP BY date_trunc('quarter', date)) QUALIFY count(*) OVER (PARTITION BY date) * {CAP} >= 1)"""
 )
+
+
+def capped_sql(rows: str, columns: str = "date, asset, strategy") -> str:
+    """The targets of ``rows`` (``columns``, history_end, x): shares by x, those above the cap at it, by trying the numbers of them from none up."""
+    n = int(1 / CAP) + 1
+    return f"""ordered AS (SELECT {columns}, history_end, x, row_number() OVER p - 1 AS k, sum(x) OVER (PARTITION BY strategy, date ORDER BY x DESC, asset ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM ({rows}) WINDOW p AS (PARTITION BY strategy, date ORDER BY x DESC, asset)),
+ tries AS (SELECT strategy, date, k, (1 - k * {CAP}) / rest AS t FROM ordered WHERE k <= {n} AND (1 - k * {CAP}) / rest * x <= {CAP}),
+ least AS (SELECT strategy, date, min(k) AS k, arg_min(t, k) AS t FROM tries GROUP BY 1, 2),
+ targets AS (SELECT {", ".join(f"o.{c.strip()}" for c in columns.split(","))}, CASE WHEN o.k < l.k THEN {CAP} ELSE l.t * o.x END AS weight, history_end FROM ordered o JOIN least l ON l.strategy = o.strategy AND l.date = o.date)"""
+
+
 TARGETS_SQL = (
     UNIVERSE_SQL
     + f""", raw AS (SELECT date, asset, history_end, 'equal' AS strategy, 1.0::DOUBLE AS x FROM u UNION ALL SELECT date, asset, history_end, 'diagonal', 1 / (variance + {RIDGE}) FROM u
-   UNION ALL SELECT date, asset, history_end, 'downside', 1 / (variance + {RIDGE} + {DOWNSIDE} * downside) FROM u),
- targets AS (SELECT date, asset, strategy, x / sum(x) OVER (PARTITION BY strategy, date) AS weight, history_end FROM raw)"""
+   UNION ALL SELECT date, asset, history_end, 'downside', 1 / (variance + {RIDGE} + {DOWNSIDE} * downside) FROM u), {capped_sql("SELECT * FROM raw")}"""
 )
 QUALITY_TARGETS_SQL = (
     UNIVERSE_SQL
     + f""", {nation_quality_sql("u")}, uq AS (SELECT u.*, coalesce(quality, 0.5) AS quality, median(variance) OVER (PARTITION BY u.date) AS mid FROM u LEFT JOIN (SELECT date, asset, quality FROM nq) USING (date, asset)),
- raw AS (SELECT date, asset, history_end, strength::VARCHAR AS strategy, 1 / (variance + {RIDGE} + strength * mid * (1 - quality)) AS x FROM uq CROSS JOIN (SELECT unnest({list(GRID)})::DOUBLE AS strength)),
- targets AS (SELECT date, asset, strategy, x / sum(x) OVER (PARTITION BY strategy, date) AS weight, history_end FROM raw)"""
+ raw AS (SELECT date, asset, history_end, strength::VARCHAR AS strategy, 1 / (variance + {RIDGE} + strength * mid * (1 - quality)) AS x FROM uq CROSS JOIN (SELECT unnest({list(GRID)})::DOUBLE AS strength)), {capped_sql("SELECT * FROM raw")}"""
 )
 
 
@@ -44,10 +53,10 @@ def net_sql(targets: str) -> str:
     """``targets`` and the accounting of their portfolios."""
     return (
         targets
-        + f""", fd AS (SELECT DISTINCT date AS formation FROM targets), rd AS (SELECT DISTINCT date FROM rets),
- seg AS (SELECT rd.date, max(formation) AS formation FROM rd JOIN fd ON formation <= rd.date GROUP BY 1),
- held AS (SELECT strategy, seg.formation, r.date, asset, weight * product(1 + coalesce(ret, 0)) OVER (PARTITION BY strategy, seg.formation, asset ORDER BY r.date ROWS UNBOUNDED PRECEDING) AS value
-   FROM rets r JOIN seg USING (date) JOIN (SELECT date AS formation, asset, strategy, weight FROM targets) t USING (formation, asset)),
+        + f""", fd AS (SELECT DISTINCT strategy, date AS formation FROM targets), rd AS (SELECT DISTINCT date FROM rets),
+ seg AS (SELECT strategy, rd.date, max(formation) AS formation FROM rd JOIN fd ON formation <= rd.date GROUP BY 1, 2),
+ held AS (SELECT strategy, seg.formation, seg.date, t.asset, t.weight, coalesce(r.ret, 0) AS ret, t.weight * product(1 + coalesce(r.ret, 0)) OVER (PARTITION BY strategy, seg.formation, t.asset ORDER BY seg.date ROWS UNBOUNDED PRECEDING) AS value
+   FROM seg JOIN (SELECT date AS formation, asset, strategy, weight FROM targets) t USING (strategy, formation) LEFT JOIN rets r ON r.date = seg.date AND r.asset = t.asset),
  tot AS (SELECT strategy, formation, date, sum(value) AS v FROM held GROUP BY ALL),
  gross AS (SELECT *, v / coalesce(lag(v) OVER w, 1) - 1 AS gross, lead(date) OVER w IS NULL AS last FROM tot WINDOW w AS (PARTITION BY strategy, formation ORDER BY date)),
  drift AS (SELECT held.strategy, held.formation, asset, value / v AS weight FROM held JOIN gross USING (strategy, formation, date) WHERE last),
@@ -64,7 +73,10 @@ NET_SQL = net_sql(TARGETS_SQL)
 
 
 def _universe(r):
-    """Assets with a full window at the start of each quarter: variance, downside and where the history ends."""
+    """Assets with a full window at the start of each quarter: variance, downside and where the history ends.
+
+    Quarters with fewer assets than the cap needs are no formations.
+    """
     w, m = prior(panel.by_asset(), LONG), prior(panel.by_asset(), MIDDLE)
     down = F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0))
     rows = r.select(
@@ -75,12 +87,13 @@ def _universe(r):
         F.lag("date").over(panel.by_asset()).alias("history_end"),
     )
     first = panel.first_of_period(r, "QUARTER").select(F.col("formation").alias("date"))
-    return rows.filter("variance > 0").join(F.broadcast(first), "date", "left_semi")  # a row for each quarter
+    formed = rows.filter("variance > 0").join(F.broadcast(first), "date", "left_semi")  # a row for each quarter
+    return formed.withColumn("_n", F.count("*").over(Window.partitionBy("date"))).filter(F.col("_n") * CAP >= 1).drop("_n")
 
 
 def _targets(r):
     universe = _universe(r)
-    made = lambda name, penalty: ops.diagonal_minimum_variance(universe, F.col("variance"), penalty, F.lit(name))
+    made = lambda name, penalty: ops.diagonal_minimum_variance(universe, F.col("variance"), penalty, F.lit(name), CAP)
     return ops.equal_weights(universe).unionByName(made("diagonal", F.lit(RIDGE))).unionByName(made("downside", RIDGE + DOWNSIDE * F.col("downside")))
 
 
@@ -90,14 +103,13 @@ def _quality_targets(spark, sf_dir, r):
     quality = written(nation_fundamentals(spark, sf_dir, universe).select("date", "asset", "quality"))
     known = universe.join(quality, ["date", "asset"], "left").withColumn("quality", F.coalesce("quality", F.lit(0.5)))
     candidates = known.withColumn("penalty", F.explode(F.array(*map(F.lit, GRID))))
-    # the median of the date's variances is the same over its candidates
-    penalty = RIDGE + F.col("penalty") * F.median("variance").over(Window.partitionBy("date")) * (1 - F.col("quality"))
-    return ops.diagonal_minimum_variance(candidates, F.col("variance"), penalty, F.col("penalty").cast("string")), quality
+    priced = candidates.withColumn("_p", RIDGE + ops.quality_penalty(F.col("variance"), F.col("quality"), F.col("penalty")))
+    return ops.diagonal_minimum_variance(priced, F.col("variance"), F.col("_p"), F.col("penalty").cast("string"), CAP), quality
 
 
 def _paths(r, targets):
     """Gross returns and turnover, from the written panel of returns and targets."""
-    held = ops.holdings(r, targets)
+    held = ops.holdings(r, targets, "carry")
     gross = written(ops.gross_returns(held))
     return gross, ops.turnover(targets, ops.drifted_weights(held, gross))
 
@@ -118,7 +130,7 @@ def portfolio_targets(spark, sf_dir):
 @query("drifted_weights", f"WITH {NET_SQL} SELECT strategy, formation, asset, round(weight, 6) AS weight FROM drift")
 def drifted_weights(spark, sf_dir):
     r = returns(spark, sf_dir)
-    held = ops.holdings(r, _targets(r))
+    held = ops.holdings(r, _targets(r), "carry")
     return rounded(ops.drifted_weights(held, ops.gross_returns(held)))
 
 
@@ -288,55 +300,84 @@ def regime_report(spark, sf_dir):
     return rounded(ops.by_regime(_net(spark, sf_dir)[1], stress))
 
 
+#: Draws, block lengths and pairs of the bootstrap.
+DRAWS, BLOCKS, PAIRS = 2_000, [10, 20, 60], [("equal", "diagonal"), ("equal", "downside"), ("diagonal", "downside")]
+
+
 @query(
     "block_bootstrap",
     f"""WITH {NET_SQL}, s AS (SELECT strategy, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS p, net FROM net), len AS (SELECT max(p) + 1 AS n FROM s),
- pos AS (SELECT rep, b * 5 + o AS k, ('0x' || substr(md5(rep || ':' || b), 1, 8))::BIGINT % (n - 4) + o AS p FROM range(500) x(rep), len, range(100) y(b), range(5) z(o) WHERE b < ceil(n / 5.0) AND b * 5 + o < n
-   UNION ALL SELECT -1, k, k FROM len, range(500) y(k) WHERE k < n),
- r0 AS (SELECT strategy, rep, k, net, -net AS loss FROM pos JOIN s USING (p)), r1 AS (SELECT *, quantile_cont(loss, 0.95) OVER (PARTITION BY strategy, rep) AS cut, product(1 + net) OVER w AS wealth FROM r0 WINDOW w AS (PARTITION BY strategy, rep ORDER BY k ROWS UNBOUNDED PRECEDING)),
- r2 AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY strategy, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM r1),
- st AS (SELECT strategy, rep, stddev_samp(net) * sqrt(12) AS volatility, avg(loss) FILTER (loss >= cut) AS cvar95, -min(dd) AS max_drawdown, avg(net) / stddev_samp(net) * sqrt(12) AS sharpe FROM r2 GROUP BY 1, 2),
+ pos AS (SELECT block, rep, b * block + o AS k, ('0x' || substr(md5(block || ':' || rep || ':' || b), 1, 8))::BIGINT % (n - block + 1) + o AS p
+   FROM len, range({DRAWS}) x(rep), (SELECT unnest({BLOCKS}) AS block) q, range(100) y(b), range(60) z(o) WHERE o < block AND b < ceil(n / block::DOUBLE) AND b * block + o < n
+   UNION ALL SELECT 0, -1, k, k FROM len, range(500) y(k) WHERE k < n),
+ r0 AS (SELECT strategy, block, rep, k, net, -net AS loss FROM pos JOIN s USING (p)),
+ ct AS (SELECT strategy, block, rep, quantile_cont(loss, 0.95) AS cut FROM r0 GROUP BY 1, 2, 3),
+ r1 AS (SELECT *, product(1 + net) OVER (PARTITION BY strategy, block, rep ORDER BY k ROWS UNBOUNDED PRECEDING) AS wealth FROM r0 JOIN ct USING (strategy, block, rep)),
+ r2 AS (SELECT *, wealth / greatest(1, max(wealth) OVER (PARTITION BY strategy, block, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM r1),
+ st AS (SELECT strategy, block, rep, stddev_samp(net) * sqrt(12) AS volatility, avg(loss) FILTER (loss >= cut) AS cvar95, -min(dd) AS max_drawdown, avg(net) / stddev_samp(net) * sqrt(12) AS sharpe FROM r2 GROUP BY 1, 2, 3),
  l AS (UNPIVOT st ON volatility, cvar95, max_drawdown, sharpe INTO NAME metric VALUE x),
- d AS (SELECT a.strategy, a.rep, metric, a.x - b.x AS d FROM l a JOIN l b USING (rep, metric) WHERE b.strategy = 'equal' AND a.strategy <> 'equal')
-SELECT strategy, metric, round(max(d) FILTER (rep < 0), 6) AS difference, round(quantile_cont(d, 0.025) FILTER (rep >= 0), 6) AS lower, round(quantile_cont(d, 0.975) FILTER (rep >= 0), 6) AS upper,
-  quantile_cont(d, 0.025) FILTER (rep >= 0) > 0 OR quantile_cont(d, 0.975) FILTER (rep >= 0) < 0 AS excludes_zero FROM d GROUP BY 1, 2""",
+ d AS (SELECT b.strategy AS reference, a.strategy, block, rep, metric, a.x - b.x AS d FROM l a JOIN l b USING (block, rep, metric) WHERE (b.strategy, a.strategy) IN ({", ".join(f"{p}" for p in PAIRS)})),
+ f AS (SELECT reference, strategy, metric, d AS difference FROM d WHERE rep < 0)
+SELECT reference, strategy, block::INT AS block, metric, round(any_value(difference), 6) AS difference, round(quantile_cont(d, 0.025), 6) AS lower, round(quantile_cont(d, 0.975), 6) AS upper,
+  quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM d JOIN f USING (reference, strategy, metric) WHERE rep >= 0 GROUP BY 1, 2, 3, 4""",
 )
 def block_bootstrap(spark, sf_dir):
-    """Differences with 95 % intervals, and whether they exclude zero. (O-150, O-151)"""
-    return rounded(ops.block_bootstrap(_net(spark, sf_dir)[1], "equal", 500, 5))
+    """Differences of all pairs with 95 % intervals by block length, and whether they exclude zero. (O-150, O-151)"""
+    return rounded(ops.block_bootstrap(_net(spark, sf_dir)[1], PAIRS, DRAWS, BLOCKS))
 
 
 @query(
     "price_reconciliation",
-    f"""WITH {RETURNS_SQL}, t AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, s_nationkey::INT AS asset, sum(l_extendedprice * (1 - l_discount)) / count(*) AS price FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-   WHERE l_shipdate < DATE '1998-01-01' GROUP BY 1, 2)
-SELECT count(*) AS cells, count(*) FILTER (a.price IS NULL OR b.price IS NULL OR abs(a.price - b.price) > 1e-6) AS mismatched, round(max(abs(a.price - b.price)), 4) AS max_error
-FROM bars a FULL JOIN t b ON a.date = b.date AND a.asset = b.asset""",
+    f"""WITH {BARS_SQL}, m AS (SELECT date_trunc('month', l_shipdate)::DATE AS date, sum(l_extendedprice * (1 - l_discount)) AS worth FROM lineitem GROUP BY 1),
+ n AS (SELECT date, sum(price * lines) AS worth FROM bars JOIN (SELECT date_trunc('month', l_shipdate)::DATE AS date, s_nationkey::INT AS asset, count(*) AS lines FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) USING (date, asset) GROUP BY 1)
+SELECT count(*) AS cells, count(*) FILTER (m.worth IS NULL OR n.worth IS NULL OR abs(m.worth - n.worth) > 1e-6 * abs(m.worth)) AS mismatched, round(max(abs(m.worth / n.worth - 1)), 4) AS max_error FROM m FULL JOIN n USING (date)""",
 )
 def price_reconciliation(spark, sf_dir):
-    """The panel's prices against those of another source that ends earlier: cells that it lacks do not match. (O-52)"""
-    lines = table(spark, sf_dir, "lineitem").filter("l_shipdate < DATE '1998-01-01'").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
+    """Each month's shipped worth from order lines alone against that from the panel's prices, weighed by lines: a supplier lost in the join, or a line counted twice, would show. (O-52)"""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.trunc("l_shipdate", "MM").alias("date"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid"))
+    direct = lines.groupBy("date").agg(F.sum("paid").alias("worth"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("asset"))
-    paid = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / F.count("*")
-    other = lines.join(suppliers, "l_suppkey").groupBy(F.trunc("l_shipdate", "MM").alias("date"), "asset").agg(paid.alias("price"))
-    return rounded(ops.reconciled(bars(spark, sf_dir).select("date", "asset", "price"), other, ["date", "asset"], "price", 1e-6), 4)
+    counts = lines.join(suppliers, "l_suppkey").groupBy("date", "asset").agg(F.count("*").alias("lines"))
+    panel_worth = bars(spark, sf_dir).select("date", "asset", "price").join(counts, ["date", "asset"]).groupBy("date").agg(F.sum(F.col("price") * F.col("lines")).alias("worth"))
+    return rounded(ops.reconciled(direct, panel_worth, ["date"], "worth", 1e-6, relative=True), 4)
 
 
 @query(
     "reconciliation",
-    f"""WITH {NET_SQL}, h AS (SELECT strategy, formation, date, asset, value, lag(value) OVER (PARTITION BY strategy, formation, asset ORDER BY date) AS before FROM held),
- wt AS (SELECT h.*, coalesce(before, t.weight) / sum(coalesce(before, t.weight)) OVER (PARTITION BY h.strategy, h.formation, h.date) AS w FROM h JOIN targets t ON t.strategy = h.strategy AND t.date = h.formation AND t.asset = h.asset),
- again AS (SELECT strategy, wt.date, sum(w * coalesce(ret, 0)) AS gross FROM wt JOIN rets r ON r.date = wt.date AND r.asset = wt.asset GROUP BY 1, 2)
+    f"""WITH {NET_SQL}, gr AS (SELECT strategy, formation, seg.date, asset, row_number() OVER (PARTITION BY strategy, formation, asset ORDER BY seg.date) AS n FROM seg JOIN (SELECT date AS formation, strategy, asset FROM targets) USING (strategy, formation)),
+ st AS (SELECT strategy, formation, gr.date, gr.asset, b.price, n, (SELECT max(date) FROM bars x WHERE x.asset = gr.asset AND x.date < gr.formation) AS base FROM gr LEFT JOIN bars b ON b.date = gr.date AND b.asset = gr.asset),
+ lv AS (SELECT *, last_value(price IGNORE NULLS) OVER (PARTITION BY strategy, formation, asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS p FROM st),
+ ow AS (SELECT lv.strategy, lv.formation, lv.date, sum(t.weight * coalesce(lv.p, b.price) / b.price) AS v FROM lv JOIN bars b ON b.asset = lv.asset AND b.date = lv.base JOIN targets t ON t.strategy = lv.strategy AND t.date = lv.formation AND t.asset = lv.asset GROUP BY 1, 2, 3),
+ again AS (SELECT strategy, date, v / coalesce(lag(v) OVER (PARTITION BY strategy, formation ORDER BY date), 1) - 1 AS gross FROM ow)
 SELECT count(*) AS cells, count(*) FILTER (a.gross IS NULL OR b.gross IS NULL OR abs(a.gross - b.gross) > 1e-9) AS mismatched, round(max(abs(a.gross - b.gross)), 6) AS max_error
 FROM net a FULL JOIN again b ON a.strategy = b.strategy AND a.date = b.date""",
 )
 def reconciliation(spark, sf_dir):
-    """Gross returns against those recomputed from each day's weights, cell by cell. (O-153)"""
-    r = written(returns(spark, sf_dir))
+    """Gross returns against the worth of shares at prices, cell by cell; nothing of it uses returns. (O-153)
+
+    Shares are bought at the last price before a formation, and stand at their last price on days without one.
+    """
+    b = written(bars(spark, sf_dir).select("date", "asset", "price"))
+    r = written(panel.simple_returns(b))
     targets = written(_targets(r))
-    held = ops.holdings(r, targets)
-    day = Window.partitionBy("strategy", "formation", "date")
-    before = F.lag("value").over(Window.partitionBy("strategy", "formation", "asset").orderBy("date"))
-    own = held.withColumn("w", F.coalesce(before, "weight")).withColumn("w", F.col("w") / F.sum("w").over(day))
-    again = own.groupBy("strategy", "date").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross"))
-    return rounded(ops.reconciled(ops.gross_returns(held).select("strategy", "date", "gross"), again, ["strategy", "date"], "gross", 1e-9))
+    held = ops.gross_returns(ops.holdings(r, targets, "carry")).select("strategy", "date", "gross")
+    seg = ops.segments(b.select("date").distinct(), targets.select("strategy", "date").distinct())
+    grid = targets.select("strategy", F.col("date").alias("formation"), "asset", "weight", "history_end").join(seg, ["strategy", "formation"])
+    base = b.select("asset", F.col("date").alias("history_end"), F.col("price").alias("paid"))
+    priced = grid.join(b, ["date", "asset"], "left").join(base, ["asset", "history_end"])
+    upto = Window.partitionBy("strategy", "formation", "asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    worth = priced.withColumn("p", F.coalesce(F.last("price", ignorenulls=True).over(upto), "paid")).groupBy("strategy", "formation", "date").agg(F.sum(F.col("weight") * F.col("p") / F.col("paid")).alias("v"))
+    before = F.coalesce(F.lag("v").over(Window.partitionBy("strategy", "formation").orderBy("date")), F.lit(1.0))
+    again = worth.select("strategy", "date", (F.col("v") / before - 1).alias("gross"))
+    return rounded(ops.reconciled(held, again, ["strategy", "date"], "gross", 1e-9))
+
+
+@query(
+    "missing_held_returns",
+    f"""WITH {NET_SQL} SELECT strategy, formation, seg.date, t.asset FROM seg JOIN (SELECT date AS formation, asset, strategy FROM targets) t USING (strategy, formation)
+WHERE NOT EXISTS (SELECT 1 FROM rets r WHERE r.date = seg.date AND r.asset = t.asset AND ret IS NOT NULL)""",
+)
+def missing_held_returns(spark, sf_dir):
+    """Held assets on days without a return of theirs: what the accounting carries, and would refuse by itself. (O-145)"""
+    r = written(returns(spark, sf_dir))
+    return ops.missing_returns(r, _targets(r))

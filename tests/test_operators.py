@@ -210,20 +210,84 @@ def test_bootstrap_equals_its_draws_one_by_one(spark):
     import hashlib
 
     rng = np.random.default_rng(12)
-    x = rng.normal(0.01, 0.05, (37, 2))
-    net = spark.createDataFrame([(s, d, float(x[k, j])) for k, d in enumerate(days(37)) for j, s in enumerate(("equal", "other"))], "strategy string, date date, net double")
-    draws = []
-    for rep in range(60):
-        starts = [int(hashlib.md5(f"{rep}:{b}".encode()).hexdigest()[:8], 16) % (37 - 5 + 1) for b in range(8)]
-        at = np.concatenate([np.arange(s, s + 5) for s in starts])[:37]
-        a, b = plain_core(x[at, 0]), plain_core(x[at, 1])
-        draws.append({k: b[k] - a[k] for k in a})
-    got = {r["metric"]: r for r in backtest.block_bootstrap(net, "equal", 60, 5).collect()}
-    full = {k: plain_core(x[:, 1])[k] - plain_core(x[:, 0])[k] for k in got}
-    assert set(got) == {"volatility", "cvar95", "max_drawdown", "sharpe"}
-    for k, r in got.items():
-        d = [e[k] for e in draws]
-        assert r["difference"] == pytest.approx(full[k]) and r["lower"] == pytest.approx(np.quantile(d, 0.025)) and r["upper"] == pytest.approx(np.quantile(d, 0.975))
+    x = rng.normal(0.01, 0.05, (37, 3))
+    names = ("equal", "other", "third")
+    net = spark.createDataFrame([(s, d, float(x[k, j])) for k, d in enumerate(days(37)) for j, s in enumerate(names)], "strategy string, date date, net double")
+    pairs = [("equal", "other"), ("other", "third")]
+    got = backtest.block_bootstrap(net, pairs, 60, [5, 37]).collect()
+    assert len(got) == 2 * 2 * 4
+    for r in got:
+        a, b, length, k = names.index(r["reference"]), names.index(r["strategy"]), r["block"], r["metric"]
+        draws = []
+        for rep in range(60):
+            starts = [int(hashlib.md5(f"{length}:{rep}:{j}".encode()).hexdigest()[:8], 16) % (37 - length + 1) for j in range(-(-37 // length))]
+            at = np.concatenate([np.arange(s, s + length) for s in starts])[:37]
+            draws.append(plain_core(x[at, b])[k] - plain_core(x[at, a])[k])
+        assert r["difference"] == pytest.approx(plain_core(x[:, b])[k] - plain_core(x[:, a])[k])
+        assert r["lower"] == pytest.approx(np.quantile(draws, 0.025)) and r["upper"] == pytest.approx(np.quantile(draws, 0.975))
+    with pytest.raises(Exception, match="longer than the series"):
+        backtest.block_bootstrap(net, pairs, 5, [38]).collect()
+
+
+def plain_net(rets, targets, dates, rate):
+    """Accounting day by day: {(date): (gross, turnover, net)} of one strategy; a missing return is 0."""
+    held, out = {}, {}
+    for d in dates:
+        moved = 0.0
+        if d in targets:
+            moved = sum(abs(targets[d].get(a, 0) - held.get(a, 0)) for a in {*targets[d], *held}) if held else 1.0
+            held = dict(targets[d])
+        if held:
+            gross = sum(w * (rets.get((d, a)) or 0.0) for a, w in held.items())
+            out[d] = (gross, moved, (1 - rate * moved) * (1 + gross) - 1)
+            held = {a: w * (1 + (rets.get((d, a)) or 0.0)) / (1 + gross) for a, w in held.items()}
+    return out
+
+
+def test_accounting_with_missing_rows_day_by_day(spark):
+    rng = np.random.default_rng(21)
+    dates, assets = days(40), range(6)
+    rets = {(d, a): float(rng.normal(0, 0.1)) for d in dates for a in assets if rng.random() > 0.15}
+    rets = {k: (None if rng.random() < 0.03 else v) for k, v in rets.items()}
+    made = {"x": {}, "y": {}}
+    for name, every, first in (("x", 7, 0), ("y", 11, 5)):
+        for k in range(first, 40, every):
+            w = rng.dirichlet(np.ones(4))
+            made[name][dates[k]] = dict(zip(map(int, rng.permutation(6)[:4]), map(float, w)))
+    returns = spark.createDataFrame([(d, a, r) for (d, a), r in rets.items()], "date date, asset int, ret double")
+    targets = spark.createDataFrame([(n, d, a, w, D(2019, 12, 31)) for n, t in made.items() for d, ws in t.items() for a, w in ws.items()], "strategy string, date date, asset int, weight double, history_end date")
+    held = backtest.holdings(returns, targets, "carry")
+    gross = backtest.gross_returns(held)
+    net = backtest.net_returns(gross, backtest.turnover(targets, backtest.drifted_weights(held, gross)), F.lit(10.0))
+    got = {(r["strategy"], r["date"]): (r["gross"], r["turnover"], r["net"]) for r in net.collect()}
+    want = {(n, d): x for n, t in made.items() for d, x in plain_net(rets, t, [d for d in dates if any((d, a) in rets for a in assets)], 0.001).items()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    assert not [r for r in backtest.violations(net, targets, 1.0, 0.001).collect() if r["n"]]
+    gaps = {(r["strategy"], r["date"], r["asset"]) for r in backtest.missing_returns(returns, targets).collect()}
+    assert gaps == {(r["strategy"], r["date"], r["asset"]) for r in held.select("strategy", "date", "asset").collect() if rets.get((r["date"], r["asset"])) is None} and gaps
+    with pytest.raises(Exception, match="missing"):
+        backtest.holdings(returns, targets).collect()
+    whole = returns.fillna({"ret": 0.0})
+    for bad in (float("inf"), float("nan"), -1.5):
+        spoiled = whole.withColumn("ret", F.when((F.col("asset") == 2) & (F.col("date") == dates[20]), bad).otherwise(F.col("ret")))
+        if spoiled.filter((F.col("asset") == 2) & (F.col("date") == dates[20])).count():
+            with pytest.raises(Exception, match="is no return"):
+                backtest.holdings(spoiled, targets, "carry").collect()
+
+
+def test_capped_diagonal_weights_are_the_optimum(spark):
+    rng = np.random.default_rng(22)
+    rows = [(D(2020, 1, 1 + k), a, float(v), D(2019, 12, 31)) for k, n in enumerate((4, 5, 7, 20)) for a, v in enumerate(rng.lognormal(0, 1.5, n))]
+    u = spark.createDataFrame(rows, "date date, asset int, variance double, history_end date")
+    got = {(r["date"], r["asset"]): r["weight"] for r in backtest.diagonal_minimum_variance(u, F.col("variance"), F.lit(0.0), F.lit("s"), 0.25).collect()}
+    for d in {r[0] for r in rows}:
+        v = np.array([r[2] for r in rows if r[0] == d])
+        w = np.array([got[d, a] for a in range(len(v))])
+        assert w.sum() == pytest.approx(1) and w.max() <= 0.25 + 1e-12
+        assert w == pytest.approx(risk.minimum_variance(np.diag(v), 0.25), abs=1e-6)
+    with pytest.raises(Exception, match="no feasible weights"):
+        backtest.diagonal_minimum_variance(u, F.col("variance"), F.lit(0.0), F.lit("s"), 0.2).collect()
 
 
 def test_metrics_average_over_formations_and_weigh_quality(spark):
