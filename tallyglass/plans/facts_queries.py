@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.functions.columns import normalize_cik, normalize_ticker
+from tallyglass.functions.columns import normalize_cik, normalize_ticker, signed_rank
 from tallyglass.operators import facts as ops
 from tallyglass.operators import panel
 from tallyglass.plans.panel_queries import rounded
@@ -143,12 +143,15 @@ AVERAGED = (*ops.RATIOS, "revenue_growth", "log_assets", "score", "coverage", "r
 
 
 def nation_fundamentals(spark, sf_dir, dates):
-    """date, asset, quality and the means of its issuers' snapshots, as known on the day before each date. (O-43)"""
+    """date, asset, quality and the means of its issuers' snapshots, as known on the day before each date. (O-43)
+
+    quality: the rank of an asset's mean score among the date's, since means of many issuers lie close together.
+    """
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("issuer"), F.col("c_nationkey").cast("int").alias("asset"))
     formations = dates.select("date").distinct().withColumn("information", F.date_sub("date", 1))
     scored = ops.quality(ops.snapshots(_prepared(spark, sf_dir), customers, formations)).join(customers, "issuer")
     means = [F.avg(c).alias(c) for c in AVERAGED]
-    return scored.groupBy("date", "asset").agg(F.avg("score").alias("quality"), *means, F.max("information").alias("information_date"), F.max("latest_used_available").alias("latest_used_available"))
+    return scored.groupBy("date", "asset").agg(*means, F.max("information").alias("information_date"), F.max("latest_used_available").alias("latest_used_available")).withColumn("quality", signed_rank(F.round("score", 9), 1, "date"))
 
 
 def nation_quality_sql(dates: str) -> str:
@@ -157,8 +160,9 @@ def nation_quality_sql(dates: str) -> str:
     means = ", ".join(f"avg({c}) AS {c}" for c in AVERAGED)
     return (
         QUALITY_SQL.replace(FORM_SQL, form)
-        + f""", nq AS (SELECT date, c_nationkey::INT AS asset, avg(score) AS quality, {means}, max(information) AS information_date, max(latest_used_available) AS latest_used_available
-  FROM (SELECT snap.*, score, coverage FROM snap JOIN qual USING (issuer, date)) JOIN customer ON c_custkey = issuer GROUP BY 1, 2)"""
+        + f""", nq0 AS (SELECT date, c_nationkey::INT AS asset, {means}, max(information) AS information_date, max(latest_used_available) AS latest_used_available
+  FROM (SELECT snap.*, score, coverage FROM snap JOIN qual USING (issuer, date)) JOIN customer ON c_custkey = issuer GROUP BY 1, 2),
+ nq1 AS (SELECT *, round(score, 9) AS r FROM nq0), nq AS (SELECT * EXCLUDE (r), {_p("r", 1)} AS quality FROM nq1)"""
     )
 
 

@@ -44,32 +44,41 @@ RETURNS_SQL = (
   SELECT *, price / lag(price) OVER (PARTITION BY asset ORDER BY date) - 1 AS ret FROM bars)"""
 )
 
-#: The metric of an order line by its number, for even and for odd suppliers.
-METRICS = ["assets", "revenue", "income", "cash_flow", "liabilities", "equity", "capex"] + ["assets", "revenue", "operating_income", "cash", "current_assets", "current_liabilities", "capex"]
+#: The metrics that order lines tell: a line of number k tells those at k, k + 4 and k + 8, going round.
+METRICS = ["assets", "revenue", "income", "cash_flow", "liabilities", "equity", "capex", "operating_income", "cash", "current_assets", "current_liabilities"]
 
-FACTS_SQL = f"""facts0 AS (
-  SELECT *, metric || '_' || priority AS concept FROM (SELECT o_custkey AS issuer, {METRICS}[l_linenumber + 7 * (l_suppkey % 2)] AS metric,
-         l_extendedprice AS value, (o_orderdate::DATE - (CASE WHEN l_partkey % 2 = 0 THEN 364 ELSE 90 END)::INT)::DATE AS start, o_orderdate::DATE AS "end",
-         l_shipdate::DATE AS filed, l_orderkey AS accn, (l_suppkey % 3)::INT AS priority,
-         CASE l_returnflag WHEN 'A' THEN '10-K/A' WHEN 'N' THEN '10-K' WHEN 'R' THEN '10-Q' END AS form
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+FACTS_SQL = f"""filings AS (
+  SELECT o_custkey AS issuer, l_linenumber AS line, l_extendedprice AS value, l_shipdate::DATE AS filed, l_orderkey AS accn, (l_suppkey % 3)::INT AS priority, l_partkey % 13 = 0 AS short,
+         CASE l_orderkey % 8 WHEN 0 THEN '10-Q' WHEN 1 THEN '10-K/A' WHEN 2 THEN '8-K' ELSE '10-K' END AS form,
+         (CASE WHEN l_orderkey % 8 = 0 THEN date_trunc('quarter', o_orderdate) ELSE date_trunc('year', o_orderdate) END::DATE - 1)::DATE AS "end"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ facts0 AS (SELECT issuer, metric, metric || '_' || priority AS concept, value, ("end" - (CASE WHEN short THEN 200 WHEN form = '10-Q' THEN 90 ELSE 364 END)::INT)::DATE AS start, "end", filed, accn, priority, form
+  FROM (SELECT *, unnest([{METRICS}[(line + k - 1) % {len(METRICS)} + 1] for k in [0, 4, 8]]) AS metric FROM filings))"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """issuer, metric, concept, value, start, end, filed, accn, priority, form."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag")
+    """issuer, metric, concept, value, start, end, filed, accn, priority, form.
+
+    An order is a filing: a year's report, an amended one, a quarter's or one of a form that does not
+    count. It tells of the last year (quarter) that had ended by then, so that orders of one
+    customer and year restate the same end, and those of the next year compare with it. Its lines become known one by one.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     names = F.array(*map(F.lit, METRICS))
-    end = F.col("o_orderdate").cast("date")
+    kind = F.col("l_orderkey") % 8
+    form = F.when(kind == 0, "10-Q").when(kind == 1, "10-K/A").when(kind == 2, "8-K").otherwise("10-K")
+    end = F.date_sub(F.when(kind == 0, F.trunc("o_orderdate", "QUARTER")).otherwise(F.trunc("o_orderdate", "YEAR")), 1)
+    told = F.array(*(F.get(names, ((F.col("l_linenumber") - 1 + k) % len(METRICS)).cast("int")) for k in (0, 4, 8)))
     found = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("o_custkey").alias("issuer"),
-        F.get(names, (F.col("l_linenumber") - 1 + 7 * (F.col("l_suppkey") % 2)).cast("int")).alias("metric"),
+        F.explode(told).alias("metric"),
         F.col("l_extendedprice").alias("value"),
-        F.date_sub(end, F.when(F.col("l_partkey") % 2 == 0, 364).otherwise(90)).alias("start"),
+        F.when(F.col("l_partkey") % 13 == 0, 200).when(kind == 0, 90).otherwise(364).alias("days"),
         end.alias("end"),
         F.col("l_shipdate").cast("date").alias("filed"),
         F.col("l_orderkey").alias("accn"),
         (F.col("l_suppkey") % 3).cast("int").alias("priority"),
-        F.expr("CASE l_returnflag WHEN 'A' THEN '10-K/A' WHEN 'N' THEN '10-K' WHEN 'R' THEN '10-Q' END").alias("form"),
+        form.alias("form"),
     )
-    return found.withColumn("concept", F.concat("metric", F.lit("_"), F.col("priority").cast("string")))
+    return found.select("issuer", "metric", F.concat("metric", F.lit("_"), F.col("priority").cast("string")).alias("concept"), "value", F.date_sub("end", F.col("days")).alias("start"), "end", "filed", "accn", "priority", "form")
