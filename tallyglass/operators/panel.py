@@ -44,10 +44,10 @@ def prior_statistics(returns: DataFrame, short: int, middle: int, long: int) ->
         "asset",
         *((full(growth(r), at[n], n, r) - 1).alias(f"momentum_{n}") for n in (short, middle, long)),
         (1 - full(growth(r), at[short], short, r)).alias(f"reversal_{short}"),
-        *((full(F.stddev_samp(r), at[n], n, r) * scale).alias(f"volatility_{n}") for n in (middle, long)),
+        *((full(F.stddev_samp(r), at[n], n, r) * scale).alias(f"volatility_{n}") for n in (short, middle, long)),
         clip(full(F.avg(down), at[middle], middle, r), FLOOR).alias(f"downside_{middle}"),
         F.when(F.count(r).over(at[long]) == long, unbiased_skew(r, at[long])).alias(f"skew_{long}"),
-        (F.lag("price").over(w) / full(F.max("price"), at[long], long, F.col("price")) - 1).alias(f"drawdown_{long}"),
+        *((F.lag("price").over(w) / full(F.max("price"), at[n], n, F.col("price")) - 1).alias(f"drawdown_{n}") for n in (middle, long)),
     )
 
 
@@ -159,11 +159,31 @@ def complete_dates(returns: DataFrame) -> DataFrame:
 
 
 def eligibility(returns: DataFrame, n: int, least: int, missing: float) -> DataFrame:
-    """date, asset where the n prior rows have ``least`` returns, few missing, and a price. (O-125)"""
-    w = prior(by_asset(), n)
-    seen, rows = F.count("ret").over(w), F.count("*").over(w)
-    marked = returns.select("date", "asset", seen.alias("seen"), rows.alias("rows"), F.lag("price").over(by_asset()).alias("last"))
-    return marked.filter((F.col("seen") >= least) & (F.col("rows") - F.col("seen") <= missing * F.col("rows")) & (F.col("last") > 0)).select("date", "asset", "seen")
+    """date, asset, seen, joint where the n sessions before have ``least`` returns, few missing, and a price, for enough joint rows. (O-125)
+
+    Sessions are those of the whole panel. ``joint`` counts the sessions of the window on which every eligible asset of
+    the date has a return; dates where that is below ``least`` have no eligible assets. Each asset's returns are a string of
+    bits by session, so the joint count is an AND over assets of n bits, not a join of assets with sessions.
+    """
+    cal = calendar(returns).select("date", "session_no")
+    numbered = returns.join(cal, "date").withColumn("_there", F.when(F.col("ret").isNotNull(), F.col("session_no")))
+    w = Window.partitionBy("asset").orderBy("session_no").rangeBetween(-n, -1)
+    before = Window.partitionBy("asset").orderBy("session_no").rowsBetween(Window.unboundedPreceding, -1)
+    marked = numbered.select("date", "asset", "session_no", F.collect_list("_there").over(w).alias("at"), F.last("price").over(before).alias("last"))
+    rows = marked.select("*", F.size("at").alias("seen"), F.least(F.col("session_no") - 1, F.lit(n)).alias("window"))
+    fit = rows.filter((F.col("seen") >= least) & (F.col("window") - F.col("seen") <= missing * F.col("window")) & (F.col("last") > 0))
+    # 60 sessions to a word: the k-th session before the date is bit (k - 1) % 60 of word (k - 1) / 60
+    words = -(-n // 60)
+    bit = lambda at: F.col("session_no") - at - 1
+
+    def word(k):
+        own = F.filter("at", lambda at: F.floor(bit(at) / 60) == k)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda acc, at: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(at) % 60).cast("int"))))
+
+    bits = fit.select("date", "asset", "seen", *(word(k).alias(f"_w{k}") for k in range(words)))
+    joint = bits.groupBy("date").agg(*(F.bit_and(f"_w{k}").alias(f"_w{k}") for k in range(words)))
+    counted = joint.select("date", sum((F.bit_count(f"_w{k}") for k in range(words)), F.lit(0)).alias("joint"))
+    return fit.join(counted.filter(F.col("joint") >= least), "date").select("date", "asset", "seen", "joint")
 
 
 def latest_before(left: DataFrame, right: DataFrame, value: str) -> DataFrame:

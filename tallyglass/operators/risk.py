@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZON = 21
@@ -58,6 +58,45 @@ def forecast_stress(p: Column, stay_calm: Column, stay_stress: Column, horizon:
     return F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda acc: acc["s"] / horizon)
 
 
+def filtered_stress(market: DataFrame, calm: Column, stress: Column, stay_calm: float, stay_stress: float) -> DataFrame:
+    """date, stress: the probability of stress given the market up to and with each date, by a two-state chain. (O-129)
+
+    Returns (date, market) are normal around 0 with spread ``calm`` or ``stress``; the chain starts even. A filter is a
+    chain of steps, so it folds over the series in order: one row for each date, in one array.
+    """
+    series = market.filter("market IS NOT NULL").agg(F.array_sort(F.collect_list(F.struct("date", "market"))).alias("series"))
+    rows = series.select("series", calm.cast("double").alias("calm"), stress.cast("double").alias("hot"))
+    like = lambda x, s: F.exp(-x * x / (2 * s * s)) / s
+
+    def step(acc, day):
+        ahead = acc["p"] * stay_stress + (1 - acc["p"]) * (1 - stay_calm)
+        hot, cold = ahead * like(day["market"], F.col("hot")), (1 - ahead) * like(day["market"], F.col("calm"))
+        p = hot / (hot + cold)
+        return F.struct(p.alias("p"), F.concat(acc["out"], F.array(F.struct(day["date"].alias("date"), p.alias("stress")))).alias("out"))
+
+    start = F.struct(F.lit(0.5).alias("p"), F.array().cast("array<struct<date: date, stress: double>>").alias("out"))
+    return rows.select(F.explode(F.aggregate("series", start, step, lambda acc: acc["out"])).alias("x")).select("x.date", "x.stress")
+
+
+def regime_variance(returns: DataFrame, filtered: DataFrame, ahead: DataFrame, n: int) -> DataFrame:
+    """date, asset, regime_variance: of the n rows before, each state's variance by its filtered weights, mixed by the chance of the states ahead. (O-131)
+
+    ``filtered``: date, stress (both one row for each date); ``ahead``: date, stress_probability, as known before the date.
+    """
+    w = Window.partitionBy("asset").orderBy("date").rowsBetween(-n, -1)
+    r, p = F.col("ret"), F.col("stress")
+    rows = returns.join(F.broadcast(filtered), "date", "left").join(F.broadcast(ahead), "date", "left")
+
+    def own(weight):
+        total = F.sum(F.when(r.isNotNull(), weight)).over(w)
+        mean = F.sum(weight * r).over(w) / total
+        return F.greatest(F.sum(weight * r * r).over(w) / total - mean * mean, F.lit(0.0))
+
+    full = F.count(F.when(r.isNotNull(), p)).over(w) == n
+    mixed = F.col("stress_probability") * own(p) + (1 - F.col("stress_probability")) * own(1 - p)
+    return rows.select("date", "asset", F.when(full, mixed).alias("regime_variance"))
+
+
 def capped_weights(raw: Column, cap: float, steps: int = 60) -> Column:
     """The projection of an array of weights on the simplex with entries of ``cap`` at most. (O-136)
 
@@ -127,7 +166,7 @@ def _log_gauss(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     return -0.5 * (z * z).sum(0) - np.log(np.diag(low)).sum() - 0.5 * len(mean) * np.log(2 * np.pi)
 
 
-def fit_regimes(x: np.ndarray, states: int = 2, restarts: int = 5, rounds: int = 500, tolerance: float = 1e-4, ridge: float = 1e-6, seed: int = 20260902):
+def fit_regimes(x: np.ndarray, states: int = 2, restarts: int = 5, rounds: int = 500, tolerance: float = 1e-4, ridge: float = 1e-6, seed: int = 5):
     """(log-likelihood, responsibilities, transition matrix) of a Gaussian hidden Markov model. (O-128)
 
     Baum-Welch on standardised rows, from seeded restarts; the best converged one counts.

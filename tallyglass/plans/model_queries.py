@@ -11,7 +11,7 @@ from tallyglass.operators.facts import RATIOS
 from tallyglass.plans.backtest_queries import CAP, UNIVERSE_SQL, _universe
 from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_sql
 from tallyglass.plans.panel_queries import LONG, MARKET_SQL, MIDDLE, SHORT, returns, rounded
-from tallyglass.plans.registry import SQL, query
+from tallyglass.plans.registry import EXACT, query
 from tallyglass.sources.sinks import written
 from tallyglass.sources.views import RETURNS_SQL
 
@@ -45,17 +45,43 @@ def weighted_covariance(spark, sf_dir):
     return rounded(risk.weighted_covariance(r, weights))
 
 
-@query(
-    "stress_forecast",
-    f"""WITH RECURSIVE {MARKET_SQL}, x AS (SELECT date, 1 / (1 + exp(-10 * market)) AS p FROM market),
- f AS (SELECT date, 0 AS k, p, 0.0::DOUBLE AS s FROM x UNION ALL SELECT date, k + 1, p * 0.8 + (1 - p) * 0.1, s + p * 0.8 + (1 - p) * 0.1 FROM f WHERE k < 21)
-SELECT date, round(s / 21, 6) AS stress FROM f WHERE k = 21""",
+#: The chain of the stress filter: chances to stay calm and stressed, spreads in units of the first LONG months'.
+STAY_CALM, STAY_STRESS, CALM, HOT = 0.9, 0.8, 0.75, 1.75
+FILTER_SQL = (
+    MARKET_SQL
+    + f""", mk AS (SELECT date, market, row_number() OVER (ORDER BY date) AS n FROM market), sp AS (SELECT stddev_samp(market) AS s FROM mk WHERE n <= {LONG}),
+ lk AS (SELECT date, n, exp(-market * market / (2 * {HOT} * {HOT} * s * s)) / ({HOT} * s) AS hot, exp(-market * market / (2 * {CALM} * {CALM} * s * s)) / ({CALM} * s) AS calm FROM mk, sp),
+ fl AS (SELECT 0::BIGINT AS n, NULL::DATE AS date, 0.5::DOUBLE AS stress UNION ALL
+   SELECT lk.n, lk.date, (stress * {STAY_STRESS} + (1 - stress) * {1 - STAY_CALM}) * hot / ((stress * {STAY_STRESS} + (1 - stress) * {1 - STAY_CALM}) * hot + (1 - (stress * {STAY_STRESS} + (1 - stress) * {1 - STAY_CALM})) * calm)
+   FROM fl JOIN lk ON lk.n = fl.n + 1),
+ filtered AS (SELECT date, stress FROM fl WHERE n > 0),
+ fc AS (SELECT date, 0 AS k, stress AS p, 0.0::DOUBLE AS s FROM filtered UNION ALL SELECT date, k + 1, p * {STAY_STRESS} + (1 - p) * {1 - STAY_CALM}, s + p * {STAY_STRESS} + (1 - p) * {1 - STAY_CALM} FROM fc WHERE k < 21),
+ forecast AS (SELECT date, s / 21 AS stress FROM fc WHERE k = 21)"""
 )
+
+
+def _filtered(market):
+    """date, stress of the market's months."""
+    w = Window.orderBy("date")  # a row for each date
+    spread = market.filter("market IS NOT NULL").select("market", F.row_number().over(w).alias("n")).filter(F.col("n") <= LONG).agg(F.stddev_samp("market")).scalar()
+    return risk.filtered_stress(market, CALM * spread, HOT * spread, STAY_CALM, STAY_STRESS)
+
+
+def _ahead(filtered):
+    """date, stress: the mean probability over the horizon, as of each date."""
+    return filtered.select("date", risk.forecast_stress(F.col("stress"), F.lit(STAY_CALM), F.lit(STAY_STRESS)).alias("stress"))
+
+
+@query("filtered_stress", f"WITH RECURSIVE {FILTER_SQL} SELECT date, round(stress, 6) AS stress FROM filtered")
+def filtered_stress(spark, sf_dir):
+    """The probability of stress given the market so far. (O-129)"""
+    return rounded(_filtered(panel.market_returns(returns(spark, sf_dir))))
+
+
+@query("stress_forecast", f"WITH RECURSIVE {FILTER_SQL} SELECT date, round(stress, 6) AS stress FROM forecast")
 def stress_forecast(spark, sf_dir):
-    """A two-state chain's mean probability of stress over the horizon."""
-    market = panel.market_returns(returns(spark, sf_dir))
-    p = 1 / (1 + F.exp(-10 * F.col("market")))
-    return rounded(market.select("date", risk.forecast_stress(p, F.lit(0.9), F.lit(0.8)).alias("stress")))
+    """A two-state chain's mean probability of stress over the horizon. (O-130)"""
+    return rounded(_ahead(_filtered(panel.market_returns(returns(spark, sf_dir)))))
 
 
 @query(
@@ -127,8 +153,9 @@ def training_audit(spark, sf_dir):
 
 
 #: Columns of the feature panel; each set holds the one before it. (O-162)
-PRICE = [f"momentum_{SHORT}", f"momentum_{MIDDLE}", f"momentum_{LONG}", f"reversal_{SHORT}", f"volatility_{MIDDLE}", f"volatility_{LONG}", f"downside_{MIDDLE}", f"skew_{LONG}", f"drawdown_{LONG}"]
-PRICE += ["beta", "correlation", "residual_volatility", "relative_momentum", "baseline_variance", "stress_probability", "market_volatility", "market_drawdown", "market_correlation"]
+PRICE = [*(f"{x}_{n}" for x in ("momentum", "volatility") for n in (SHORT, MIDDLE, LONG)), f"reversal_{SHORT}", f"downside_{MIDDLE}", f"skew_{LONG}", f"drawdown_{MIDDLE}", f"drawdown_{LONG}"]
+OWN = len(PRICE)
+PRICE += ["beta", "correlation", "residual_volatility", "relative_momentum", "baseline_variance", "regime_variance", "stress_probability", "market_volatility", "market_drawdown", "market_correlation"]
 FUNDAMENTAL = [*RATIOS, "revenue_growth", "log_assets", "score", "coverage"]
 EXTRA = ["log_dollar_volume", "relative_volume", "illiquidity", "range", "report_age", "filing_lag", "annual_age", "amended", "known_filings", "missing", "month_sin", "month_cos"]
 FEATURE_SETS = {"price": PRICE, "plus_fundamentals": PRICE + FUNDAMENTAL, "full": PRICE + FUNDAMENTAL + EXTRA}
@@ -139,15 +166,16 @@ def _feature_panel(spark, sf_dir):
     r = written(returns(spark, sf_dir))
     market = written(panel.market_returns(r))
     universe = written(_universe(r).select("date", "asset", "history_end", F.col("variance").alias("baseline_variance")))
-    state = panel.market_features(market, MIDDLE, LONG).join(panel.average_correlation(r, LONG), "date", "left")
+    filtered = written(_filtered(market))
+    state = panel.market_features(market, MIDDLE, LONG).join(panel.average_correlation(r, LONG), "date", "left").join(_ahead(filtered), "date", "left")
     w = Window.orderBy("date")  # a row for each date
-    next_ = state.select(
+    next_ = written(state.select(
         F.lead("date").over(w).alias("date"),
-        (1 / (1 + F.exp(-10 * F.col("market")))).alias("stress_probability"),
+        F.col("stress").alias("stress_probability"),
         F.col("realized_volatility").alias("market_volatility"),
         F.col("drawdown").alias("market_drawdown"),
         F.col("average_correlation").alias("market_correlation"),
-    )
+    ).filter("date IS NOT NULL"))
     angle = F.lit(2.0) * F.pi() * F.month("date") / 12
     out = universe
     for part in (
@@ -155,6 +183,7 @@ def _feature_panel(spark, sf_dir):
         panel.market_exposure(r, market, LONG),
         panel.activity(r.drop("ret"), r, SHORT, LONG),
         panel.forward_labels(r, HORIZON),
+        risk.regime_variance(r, filtered, next_.select("date", "stress_probability"), LONG),
     ):
         out = out.join(part, ["date", "asset"], "left")
     out = out.join(F.broadcast(next_), "date", "left")  # a row for each date
@@ -163,24 +192,25 @@ def _feature_panel(spark, sf_dir):
     return forecast.targets(out, "future_downside", f"downside_{MIDDLE}").select("date", "asset", "history_end", "information_date", "latest_used_available", *FEATURE_SETS["full"], "future_downside", "label_end", "target")
 
 
-def _exact(name):
-    """A query's SQL with its numbers left as they are: 15 digits in place of 6."""
-    return SQL[name].replace(", 6)", ", 15)")
-
-
 HORIZON = 4
-PANEL_SQL = f"""SELECT u.date, u.asset, history_end, information_date, latest_used_available, u.variance AS baseline_variance, {", ".join(f"p.{c}" for c in PRICE[:9])}, x.* EXCLUDE (date, asset), stress_probability, market_volatility, market_drawdown,
+PANEL_SQL = f"""SELECT u.date, u.asset, history_end, information_date, latest_used_available, u.variance AS baseline_variance, {", ".join(f"p.{c}" for c in PRICE[:OWN])}, rv.regime_variance, x.* EXCLUDE (date, asset), stress_probability, market_volatility, market_drawdown,
  market_correlation, nq.* EXCLUDE (date, asset, quality, information_date, latest_used_available), a.* EXCLUDE (date, asset), sin(2 * pi() * month(u.date) / 12) AS month_sin, cos(2 * pi() * month(u.date) / 12) AS month_cos, future_downside, label_end,
  ln(future_downside / p.downside_{MIDDLE}) AS target
-FROM u LEFT JOIN ({_exact("prior_statistics")}) p USING (date, asset) LEFT JOIN ({_exact("market_exposure")}) x USING (date, asset) LEFT JOIN ({_exact("activity_features")}) a USING (date, asset) LEFT JOIN ({_exact("forward_labels")}) f USING (date, asset)
- LEFT JOIN st USING (date) LEFT JOIN nq USING (date, asset)"""
-PANEL_WITH = f"""{UNIVERSE_SQL}, {nation_quality_sql("u")}, st AS (SELECT lead(m.date) OVER (ORDER BY m.date) AS date, 1 / (1 + exp(-10 * market)) AS stress_probability, realized_volatility AS market_volatility, drawdown AS market_drawdown,
-  average_correlation AS market_correlation FROM ({_exact("market_features")}) m LEFT JOIN ({_exact("average_correlation")}) USING (date))"""
+FROM u LEFT JOIN ({EXACT["prior_statistics"]}) p USING (date, asset) LEFT JOIN ({EXACT["market_exposure"]}) x USING (date, asset) LEFT JOIN ({EXACT["activity_features"]}) a USING (date, asset) LEFT JOIN ({EXACT["forward_labels"]}) f USING (date, asset)
+ LEFT JOIN st USING (date) LEFT JOIN nq USING (date, asset) LEFT JOIN rv USING (date, asset)"""
+# the filter's tables stand behind the universe's, which has the returns already
+PANEL_WITH = f"""{UNIVERSE_SQL}, {nation_quality_sql("u")}, {FILTER_SQL.removeprefix(RETURNS_SQL + ", ")},
+ st AS (SELECT lead(m.date) OVER (ORDER BY m.date) AS date, f.stress AS stress_probability, realized_volatility AS market_volatility, drawdown AS market_drawdown,
+  average_correlation AS market_correlation FROM ({EXACT["market_features"]}) m LEFT JOIN ({EXACT["average_correlation"]}) USING (date) LEFT JOIN forecast f USING (date)),
+ rw AS (SELECT r.date, r.asset, ret, f.stress AS p, q.stress_probability AS q FROM rets r LEFT JOIN filtered f USING (date) LEFT JOIN st q USING (date)),
+ rs AS (SELECT date, asset, q, count(CASE WHEN ret IS NOT NULL THEN p END) OVER w AS n, sum(CASE WHEN ret IS NOT NULL THEN p END) OVER w AS w1, sum(p * ret) OVER w AS a1, sum(p * ret * ret) OVER w AS b1,
+   sum(CASE WHEN ret IS NOT NULL THEN 1 - p END) OVER w AS w0, sum((1 - p) * ret) OVER w AS a0, sum((1 - p) * ret * ret) OVER w AS b0 FROM rw WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN {LONG} PRECEDING AND 1 PRECEDING)),
+ rv AS (SELECT date, asset, CASE WHEN n = {LONG} THEN q * greatest(b1 / w1 - (a1 / w1) * (a1 / w1), 0) + (1 - q) * greatest(b0 / w0 - (a0 / w0) * (a0 / w0), 0) END AS regime_variance FROM rs)"""
 
 
 @query(
     "feature_panel",
-    f"""WITH {PANEL_WITH}, p0 AS ({PANEL_SQL}) SELECT date, asset, history_end, information_date, latest_used_available, label_end, {", ".join(f"round({c}, 5) + 0 AS {c}" for c in (*FEATURE_SETS["full"], "future_downside", "target"))} FROM p0""",
+    f"""WITH RECURSIVE {PANEL_WITH}, p0 AS ({PANEL_SQL}) SELECT date, asset, history_end, information_date, latest_used_available, label_end, {", ".join(f"round({c}, 5) + 0 AS {c}" for c in (*FEATURE_SETS["full"], "future_downside", "target"))} FROM p0""",
 )
 def feature_panel(spark, sf_dir):
     """Prices, market, activity, calendar and fundamentals of each asset and formation, and its label. (O-154)"""

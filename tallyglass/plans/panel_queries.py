@@ -42,15 +42,17 @@ def _full(n, x):
 
 PRIOR_SQL = f"""WITH {RETURNS_SQL}
 SELECT date, asset,
-  round({_full(SHORT, f"product(1 + ret) OVER w{SHORT} - 1")}, 6) AS momentum_{SHORT},
-  round({_full(MIDDLE, f"product(1 + ret) OVER w{MIDDLE} - 1")}, 6) AS momentum_{MIDDLE},
-  round({_full(LONG, f"product(1 + ret) OVER w{LONG} - 1")}, 6) AS momentum_{LONG},
-  round({_full(SHORT, f"1 - product(1 + ret) OVER w{SHORT}")}, 6) AS reversal_{SHORT},
-  round({_full(MIDDLE, f"stddev_samp(ret) OVER w{MIDDLE} * sqrt(12)")}, 6) AS volatility_{MIDDLE},
-  round({_full(LONG, f"stddev_samp(ret) OVER w{LONG} * sqrt(12)")}, 6) AS volatility_{LONG},
-  round({_full(MIDDLE, f"greatest(avg(least(ret, 0) * least(ret, 0)) OVER w{MIDDLE}, 1e-10)")}, 6) AS downside_{MIDDLE},
-  round({_full(LONG, f"skewness(ret) OVER w{LONG}")}, 6) AS skew_{LONG},
-  round(lag(price) OVER (PARTITION BY asset ORDER BY date) / CASE WHEN count(price) OVER w{LONG} = {LONG} THEN max(price) OVER w{LONG} END - 1, 6) AS drawdown_{LONG}
+  round({_full(SHORT, f"product(1 + ret) OVER w{SHORT} - 1")}, $digits) AS momentum_{SHORT},
+  round({_full(MIDDLE, f"product(1 + ret) OVER w{MIDDLE} - 1")}, $digits) AS momentum_{MIDDLE},
+  round({_full(LONG, f"product(1 + ret) OVER w{LONG} - 1")}, $digits) AS momentum_{LONG},
+  round({_full(SHORT, f"1 - product(1 + ret) OVER w{SHORT}")}, $digits) AS reversal_{SHORT},
+  round({_full(MIDDLE, f"stddev_samp(ret) OVER w{MIDDLE} * sqrt(12)")}, $digits) AS volatility_{MIDDLE},
+  round({_full(LONG, f"stddev_samp(ret) OVER w{LONG} * sqrt(12)")}, $digits) AS volatility_{LONG},
+  round({_full(SHORT, f"stddev_samp(ret) OVER w{SHORT} * sqrt(12)")}, $digits) AS volatility_{SHORT},
+  round(lag(price) OVER (PARTITION BY asset ORDER BY date) / CASE WHEN count(price) OVER w{MIDDLE} = {MIDDLE} THEN max(price) OVER w{MIDDLE} END - 1, $digits) AS drawdown_{MIDDLE},
+  round({_full(MIDDLE, f"greatest(avg(least(ret, 0) * least(ret, 0)) OVER w{MIDDLE}, 1e-10)")}, $digits) AS downside_{MIDDLE},
+  round({_full(LONG, f"skewness(ret) OVER w{LONG}")}, $digits) AS skew_{LONG},
+  round(lag(price) OVER (PARTITION BY asset ORDER BY date) / CASE WHEN count(price) OVER w{LONG} = {LONG} THEN max(price) OVER w{LONG} END - 1, $digits) AS drawdown_{LONG}
 FROM rets WINDOW {", ".join(f"w{n} AS ({_W.format(n=n)})" for n in (SHORT, MIDDLE, LONG))}"""
 
 
@@ -68,10 +70,10 @@ MARKET_SQL = RETURNS_SQL + ", market AS (SELECT date, avg(ret) AS market FROM re
  x AS (SELECT date, asset, count(CASE WHEN ret IS NOT NULL AND market IS NOT NULL THEN 1 END) OVER w AS n, covar_samp(ret, market) OVER w AS c,
          var_samp(market) OVER w AS vm, var_samp(ret) OVER w AS vr, product(1 + ret) OVER w AS pr, product(1 + market) OVER w AS pm
        FROM j WINDOW w AS ({_W.format(n=LONG)}))
-SELECT date, asset, round(CASE WHEN n = {LONG} AND vm > 0 THEN c / vm END, 6) AS beta,
-       round(CASE WHEN n = {LONG} AND vm > 0 AND vr > 0 THEN c / sqrt(vm * vr) END, 6) AS correlation,
-       round(CASE WHEN n = {LONG} AND vm > 0 THEN sqrt(greatest(vr - c / vm * c / vm * vm, 0)) END, 6) AS residual_volatility,
-       round(CASE WHEN n = {LONG} AND vm > 0 THEN pr - pm END, 6) AS relative_momentum FROM x""",
+SELECT date, asset, round(CASE WHEN n = {LONG} AND vm > 0 THEN c / vm END, $digits) AS beta,
+       round(CASE WHEN n = {LONG} AND vm > 0 AND vr > 0 THEN c / sqrt(vm * vr) END, $digits) AS correlation,
+       round(CASE WHEN n = {LONG} AND vm > 0 THEN sqrt(greatest(vr - c / vm * c / vm * vm, 0)) END, $digits) AS residual_volatility,
+       round(CASE WHEN n = {LONG} AND vm > 0 THEN pr - pm END, $digits) AS relative_momentum FROM x""",
 )
 def market_exposure(spark, sf_dir):
     r = returns(spark, sf_dir)
@@ -80,7 +82,7 @@ def market_exposure(spark, sf_dir):
 
 @query(
     "forward_labels",
-    f"""WITH {RETURNS_SQL} SELECT date, asset, round(CASE WHEN count(ret) OVER w = 4 THEN greatest(avg(least(ret, 0) * least(ret, 0)) OVER w, 1e-10) END, 6) AS future_downside,
+    f"""WITH {RETURNS_SQL} SELECT date, asset, round(CASE WHEN count(ret) OVER w = 4 THEN greatest(avg(least(ret, 0) * least(ret, 0)) OVER w, 1e-10) END, $digits) AS future_downside,
   CASE WHEN count(ret) OVER w = 4 THEN max(date) OVER w END AS label_end
   FROM rets WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)""",
 )
@@ -91,10 +93,10 @@ def forward_labels(spark, sf_dir):
 @query(
     "activity_features",
     f"""WITH {RETURNS_SQL}, x AS (SELECT *, volume * close AS dollar FROM rets)
-SELECT date, asset, round(CASE WHEN count(volume) OVER wl = {LONG} THEN ln(1 + avg(dollar) OVER ws) END, 6) AS log_dollar_volume,
-  round(CASE WHEN count(volume) OVER wl = {LONG} AND avg(volume) OVER wl > 0 THEN avg(volume) OVER ws / avg(volume) OVER wl END, 6) AS relative_volume,
-  round(CASE WHEN count(volume) OVER wl = {LONG} THEN avg(CASE WHEN dollar > 0 THEN abs(ret) / dollar END) OVER ws * 1e6 END, 6) AS illiquidity,
-  round(CASE WHEN count(volume) OVER wl = {LONG} THEN avg((high - low) / close) OVER ws END, 6) AS range
+SELECT date, asset, round(CASE WHEN count(volume) OVER wl = {LONG} THEN ln(1 + avg(dollar) OVER ws) END, $digits) AS log_dollar_volume,
+  round(CASE WHEN count(volume) OVER wl = {LONG} AND avg(volume) OVER wl > 0 THEN avg(volume) OVER ws / avg(volume) OVER wl END, $digits) AS relative_volume,
+  round(CASE WHEN count(volume) OVER wl = {LONG} THEN avg(CASE WHEN dollar > 0 THEN abs(ret) / dollar END) OVER ws * 1e6 END, $digits) AS illiquidity,
+  round(CASE WHEN count(volume) OVER wl = {LONG} THEN avg((high - low) / close) OVER ws END, $digits) AS range
 FROM x WINDOW ws AS ({_W.format(n=SHORT)}), wl AS ({_W.format(n=LONG)})""",
 )
 def activity_features(spark, sf_dir):
@@ -105,8 +107,8 @@ def activity_features(spark, sf_dir):
 @query(
     "market_features",
     f"""WITH {MARKET_SQL}, x AS (SELECT *, product(1 + market) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS wealth FROM market)
-SELECT date, round(market, 6) AS market, round(CASE WHEN count(market) OVER w = {MIDDLE} THEN stddev_samp(market) OVER w END, 6) AS realized_volatility,
-  round(wealth / max(wealth) OVER (ORDER BY date ROWS BETWEEN {LONG - 1} PRECEDING AND CURRENT ROW) - 1, 6) AS drawdown
+SELECT date, round(market, $digits) AS market, round(CASE WHEN count(market) OVER w = {MIDDLE} THEN stddev_samp(market) OVER w END, $digits) AS realized_volatility,
+  round(wealth / max(wealth) OVER (ORDER BY date ROWS BETWEEN {LONG - 1} PRECEDING AND CURRENT ROW) - 1, $digits) AS drawdown
 FROM x WINDOW w AS (ORDER BY date ROWS BETWEEN {MIDDLE - 1} PRECEDING AND CURRENT ROW)""",
 )
 def market_features(spark, sf_dir):
@@ -119,7 +121,7 @@ def market_features(spark, sf_dir):
  r AS (SELECT asset, ret, k, row_number() OVER (PARTITION BY asset ORDER BY date) AS own, rets.date FROM rets JOIN d USING (date) WHERE ret IS NOT NULL),
  e AS (SELECT e.date, e.asset, x.ret, e.own - x.own AS back FROM r e JOIN r x ON e.asset = x.asset AND x.own BETWEEN e.own - {LONG - 1} AND e.own WHERE e.own >= {LONG}),
  p AS (SELECT a.date, a.asset AS i, b.asset AS j, corr(a.ret, b.ret) AS c FROM e a JOIN e b ON a.date = b.date AND a.back = b.back AND a.asset < b.asset GROUP BY 1, 2, 3)
-SELECT date, round(avg(c), 6) AS average_correlation FROM p GROUP BY date""",
+SELECT date, round(avg(c), $digits) AS average_correlation FROM p GROUP BY date""",
 )
 def average_correlation(spark, sf_dir):
     return rounded(panel.average_correlation(returns(spark, sf_dir), LONG))
@@ -174,11 +176,16 @@ def complete_dates(spark, sf_dir):
 
 @query(
     "eligible_assets",
-    f"""WITH {RETURNS_SQL}, x AS (SELECT date, asset, count(ret) OVER w AS seen, count(*) OVER w AS n, lag(price) OVER (PARTITION BY asset ORDER BY date) AS last
- FROM rets WINDOW w AS ({_W.format(n=LONG)})) SELECT date, asset, seen FROM x WHERE seen >= 10 AND n - seen <= 0.05 * n AND last > 0""",
+    f"""WITH {RETURNS_SQL}, cal AS (SELECT date, row_number() OVER (ORDER BY date) AS s FROM (SELECT DISTINCT date FROM rets)), n AS (SELECT rets.*, s, lag(price) OVER (PARTITION BY asset ORDER BY date) AS last FROM rets JOIN cal USING (date)),
+ h AS (SELECT a.date, a.asset, a.s, any_value(a.last) AS last, count(b.ret) AS seen, least(a.s - 1, {LONG}) AS win FROM n a LEFT JOIN n b ON b.asset = a.asset AND b.s BETWEEN a.s - {LONG} AND a.s - 1 GROUP BY 1, 2, 3),
+ e AS (SELECT * FROM h WHERE seen >= 10 AND win - seen <= 0.2 * win AND last > 0),
+ d AS (SELECT e.date, k.s FROM e JOIN cal k ON k.s BETWEEN e.s - {LONG} AND e.s - 1 LEFT JOIN n b ON b.asset = e.asset AND b.s = k.s GROUP BY 1, 2 HAVING count(b.ret) = count(*)),
+ j AS (SELECT date, count(*) AS joint FROM d GROUP BY 1 HAVING count(*) >= 10)
+SELECT date, asset, seen, joint FROM e JOIN j USING (date)""",
 )
 def eligible_assets(spark, sf_dir):
-    return panel.eligibility(returns(spark, sf_dir), LONG, 10, 0.05)
+    """Assets with enough of a history, alone and all together. (O-125)"""
+    return panel.eligibility(returns(spark, sf_dir), LONG, 10, 0.2)
 
 
 @query("extreme_returns", f"WITH {RETURNS_SQL} SELECT date, asset, round(ret, 6) AS ret FROM rets WHERE abs(ret) > 0.2")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: SQL whose numbers other queries go on with: written with $digits, which stands for 6 in ``SQL`` and for 15 here.
+EXACT: dict[str, str] = {}
 FLAGSHIP = "order_month_profile"
 
 
@@ -17,7 +19,9 @@ def query(name: str, sql: str | None = None):
     def add(function):
         QUERIES[name] = function
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql.replace("$digits", "6")
+            if "$digits" in sql:
+                EXACT[name] = sql.replace("$digits", "15")
         return function
 
     return add

@@ -59,6 +59,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A folder of a fixed name beside those of ``shared_folder``, for what later runs may find again."""
+    return f"{shared_folder(spark).rsplit('/', 1)[0]}/{name}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: several readers compute it once, and its lineage ends here."""
     path = shared_folder(df.sparkSession)
@@ -66,6 +71,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def content_cached(make: Callable[[], DataFrame], spark: SparkSession, folder: str, content: object) -> DataFrame:
     """The table that ``make`` gives, kept in ``folder`` under a digest of ``content``. (O-17)
 
@@ -73,7 +84,6 @@ def content_cached(make: Callable[[], DataFrame], spark: SparkSession, folder: s
     counts as there when its writer has finished.
     """
     path = f"{folder.rstrip('/')}/{hashlib.sha256(stable_json(content).encode()).hexdigest()[:16]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
