@@ -179,10 +179,10 @@ def metrics_sql(net: str, quality: str = "NULL::DOUBLE") -> str:
 METRICS_SQL = metrics_sql(NET_SQL)
 QUALITY_METRICS_SQL = metrics_sql(net_sql(QUALITY_TARGETS_SQL), "coalesce(quality, 0.5)")
 _DOUBLES = "cumulative cagr mean_return annual_mean volatility downside sharpe sortino max_drawdown calmar var95 cvar95 var99 cvar99 annual_turnover mean_turnover total_cost hhi effective active largest target_change quality".split()
-_SHOWN = f"strategy, underwater, rebalances, solver_failures, fallbacks, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}"
+SHOWN = f"strategy, underwater, rebalances, solver_failures, fallbacks, {', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}"
 
 
-@query("portfolio_metrics", f"WITH {METRICS_SQL} SELECT {_SHOWN} FROM met")
+@query("portfolio_metrics", f"WITH {METRICS_SQL} SELECT {SHOWN} FROM met")
 def portfolio_metrics(spark, sf_dir):
     targets, net = _net(spark, sf_dir)
     return rounded(ops.metrics(net, targets))
@@ -224,7 +224,7 @@ def _quality_metrics(spark, sf_dir):
     return ops.metrics(written(ops.net_returns(gross, turn, F.lit(BPS))), targets, quality)
 
 
-@query("quality_backtests", f"WITH {QUALITY_METRICS_SQL} SELECT {_SHOWN} FROM met")
+@query("quality_backtests", f"WITH {QUALITY_METRICS_SQL} SELECT {SHOWN} FROM met")
 def quality_backtests(spark, sf_dir):
     """From facts and prices to quality, penalised weights and metrics: a backtest for each strength. (O-43, O-139, O-144, O-147)"""
     return rounded(_quality_metrics(spark, sf_dir))

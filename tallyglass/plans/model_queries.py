@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyglass.operators import backtest as ops
 from tallyglass.operators import forecast, panel, risk
 from tallyglass.operators.experiment import audit
 from tallyglass.operators.facts import RATIOS
-from tallyglass.plans.backtest_queries import CAP, UNIVERSE_SQL, _universe
+from tallyglass.plans.backtest_queries import BPS, CAP, RIDGE, SHOWN, UNIVERSE_SQL, _paths, _universe, capped_sql, metrics_sql, net_sql
 from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_sql
 from tallyglass.plans.panel_queries import LONG, MARKET_SQL, MIDDLE, SHORT, returns, rounded
 from tallyglass.plans.registry import EXACT, query
-from tallyglass.sources.sinks import written
+from tallyglass.sources.sinks import kept_folder, written
 from tallyglass.sources.views import RETURNS_SQL
 
 _DENSE = "d AS (SELECT date FROM rets WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT asset) FROM rets))"
@@ -106,7 +107,10 @@ def _formation_panel(spark, sf_dir):
     market = panel.market_features(panel.market_returns(r), 3, LONG).select("date", "market", F.col("realized_volatility").alias("volatility")).filter("volatility IS NOT NULL")
     dense = r.join(panel.complete_dates(r), "date", "left_semi").join(market, "date").select(F.col("date").alias("at"), "asset", "ret", "market", "volatility")
     forms = panel.first_of_period(r, "QUARTER").select(F.col("formation").alias("date"))
-    window = dense.join(forms, (F.col("at") < F.col("date")) & (F.col("at") >= F.add_months("date", -3 * LONG)))
+    # a day meets the quarters whose window may hold it: its own and those of the window's length after it
+    quarter = lambda c: F.year(c) * 4 + F.quarter(c)
+    met = dense.withColumn("_q", F.explode(F.sequence(quarter("at"), quarter("at") + LONG))).join(forms.withColumn("_q", quarter("date")), "_q").drop("_q")
+    window = met.filter((F.col("at") < F.col("date")) & (F.col("at") >= F.add_months("date", -3 * LONG)))
     full = window.groupBy("date").agg(F.count_distinct("at").alias("n")).filter(F.col("n") >= 2 * LONG).select("date")
     held = window.join(full, "date", "left_semi")
     feasible = held.groupBy("date").agg(F.count_distinct("asset").alias("n")).filter(F.col("n") * CAP >= 1).select("date")  # O-137
@@ -233,26 +237,35 @@ def feature_panel_checks(spark, sf_dir):
     )
 
 
-TREES, RATE, FIRST_YEAR = 5, 0.4, 1996
+#: The first year with forecasts, and the rows that must have matured before it (the months of nations are few).
+FIRST_YEAR, LEAST = 1998, 50
+#: Candidates: depths of the trees, strengths of the forecast's penalty; the strength of the quality penalty.
+DEPTHS, ETAS, STRENGTH = (4, 6), (0.0, 0.25, 0.5, 1.0), 0.5
 
 
-def _predicted(spark, sf_dir, name="full"):
-    p = written(_feature_panel(spark, sf_dir))
-    return p, *forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), FEATURE_SETS[name], trees=TREES, rate=RATE)
+def _predicted(p, name="full", depth=DEPTHS[0]):
+    """Forecasts and importances by the trees of a feature set; fits are kept beside the shared folder, so queries that need the same one make it once."""
+    kept = kept_folder(p.sparkSession, "models")
+    return forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), FEATURE_SETS[name], depth, least=LEAST, model_dir=kept)
+
+
+def _variances(p, depth=DEPTHS[0]):
+    """date, asset, depth, cutoff, last_label_end, variance: the forecasts of a depth as variances."""
+    trailing = f"downside_{MIDDLE}"
+    joined = _predicted(p, depth=depth)[0].join(p.select("date", "asset", trailing), ["date", "asset"])
+    return forecast.as_variance(joined, trailing).select("date", "asset", F.lit(depth).alias("depth"), "year", "cutoff", "last_label_end", "predicted", "variance")
 
 
 @query("risk_forecasts")
 def risk_forecasts(spark, sf_dir):
-    """Walk-forward boosted trees on the whole feature panel, as variances. (O-158, O-159)"""
-    p, predicted, _ = _predicted(spark, sf_dir)
-    joined = predicted.join(p.select("date", "asset", f"downside_{MIDDLE}"), ["date", "asset"])
-    return rounded(forecast.as_variance(joined, f"downside_{MIDDLE}").drop(f"downside_{MIDDLE}"))
+    """Walk-forward boosted trees on the whole feature panel, as variances, with what each was fitted on. (O-158, O-159)"""
+    return rounded(_variances(written(_feature_panel(spark, sf_dir))))
 
 
 @query("forecast_importance")
 def forecast_importance(spark, sf_dir):
     """What each year's trees rest on. (O-160)"""
-    return rounded(_predicted(spark, sf_dir)[2])
+    return rounded(_predicted(written(_feature_panel(spark, sf_dir)))[1])
 
 
 @query("feature_ablation")
@@ -260,13 +273,131 @@ def feature_ablation(spark, sf_dir):
     """Forecast errors by feature set. (O-161, O-162)"""
     p = written(_feature_panel(spark, sf_dir))
     out = None
-    for name, columns in FEATURE_SETS.items():
-        predicted, _ = forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), columns, trees=TREES, rate=RATE)
+    for name in FEATURE_SETS:
+        predicted, _ = _predicted(p, name)
         row = forecast.diagnostics(predicted.join(p.select("date", "asset", "target"), ["date", "asset"])).select(F.lit(name).alias("features"), "*")
         out = row if out is None else out.unionByName(row)
     return rounded(out)
 
 
+def _candidates(spark, sf_dir):
+    """(returns, rows of all assets, formations and candidates, forecasts): the candidate axis of one plan. (O-140, O-164)
+
+    A forecast meets the formation of its own date; that its fit knew nothing later is what ``forecast.leaks`` tells.
+    The control of no strength is there once.
+    """
+    r = written(returns(spark, sf_dir))
+    universe = written(_universe(r).filter(F.year("date") >= FIRST_YEAR))
+    quality = nation_fundamentals(spark, sf_dir, universe).select("date", "asset", "quality")
+    known = written(universe.join(quality, ["date", "asset"], "left").withColumn("quality", F.coalesce("quality", F.lit(0.5))))
+    p = written(_feature_panel(spark, sf_dir))
+    variances = _variances(p, DEPTHS[0])
+    for depth in DEPTHS[1:]:
+        variances = variances.unionByName(_variances(p, depth))
+    axis = [(d, e) for d in DEPTHS for e in ETAS if e or d == DEPTHS[0]]
+    listed = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), F.lit(e).alias("eta")) for d, e in axis)))
+    return r, known.select("*", listed.alias("_c")).select(*known.columns, "_c.*"), written(variances)
+
+
+def _backtest(r, rows, penalty, name):
+    """Targets, net returns and metrics of strategies that stand below each other in ``rows``."""
+    priced = rows.withColumn("_p", RIDGE + penalty)
+    targets = written(ops.diagonal_minimum_variance(priced, F.col("variance"), F.col("_p"), name, CAP))
+    gross, turn = _paths(r, targets)
+    net = written(ops.net_returns(gross, turn, F.lit(BPS)))
+    return targets, net, ops.metrics(net, targets, rows.select("date", "asset", "quality").distinct())
+
+
+def _required(forecasts, eta):
+    """The forecast's penalty; a forecast that is missing where it counts ends the run."""
+    bad = forecasts.isNull() | F.isnan(forecasts) | (forecasts < 0)
+    return F.when(eta == 0, 0.0).when(bad, F.raise_error(F.lit("an asset has no forecast of its risk")).cast("double")).otherwise(eta * forecasts)
+
+
+def _grid(spark, sf_dir):
+    r, rows, variances = _candidates(spark, sf_dir)
+    met = rows.join(variances.select("date", "asset", "depth", F.col("variance").alias("forecast")), ["date", "asset", "depth"], "left")
+    penalty = ops.quality_penalty(F.col("variance"), F.col("quality"), F.lit(STRENGTH)) + _required(F.col("forecast"), F.col("eta"))
+    return _backtest(r, met, penalty, F.concat_ws(";", F.col("depth").cast("string"), F.col("eta").cast("string")))
+
+
+@query("forecast_grid")
+def forecast_grid(spark, sf_dir):
+    """Depth x strength: from panel to forecasts to penalised weights to net returns, metrics and risk score, for seven candidates. (O-103, O-140, O-164)
+
+    Ties go to the least intervention: the lower strength, then the lower depth.
+    """
+    table = written(_grid(spark, sf_dir)[2])
+    scored = ops.risk_scores(table).join(table, "strategy")
+    parts = F.split("strategy", ";")
+    named = scored.select(parts[0].cast("int").alias("depth"), parts[1].cast("double").alias("eta"), "risk_score", "volatility", "cvar95", "max_drawdown", "annual_turnover", "hhi", "sharpe", "cagr", "quality")
+    w = Window.orderBy(F.round("risk_score", 9), "eta", "depth")  # one row for each candidate
+    return rounded(named.withColumn("selected", F.row_number().over(w) == 1))
+
+
+@query("forecast_portfolios")
+def forecast_portfolios(spark, sf_dir):
+    """Daily accounting of each candidate. (O-140, O-141)"""
+    return rounded(_grid(spark, sf_dir)[1])
+
+
+@query("forecast_checks")
+def forecast_checks(spark, sf_dir):
+    """Rows of forecast portfolios that break the order of time or an invariant, and whether no strength is no change. (O-140, O-146, O-167)"""
+    targets, net, _ = _grid(spark, sf_dir)
+    _, rows, variances = _candidates(spark, sf_dir)
+    first = DEPTHS[0]
+    used = rows.filter((F.col("depth") == first) & (F.col("eta") == 0))
+    checks = {f"depth_{d}_{k}": df for d in DEPTHS for k, df in forecast.leaks(variances.filter(F.col("depth") == d), used).items()}
+    zero = targets.filter(F.col("strategy") == f"{first};0.0")
+    penalty = RIDGE + ops.quality_penalty(F.col("variance"), F.col("quality"), F.lit(STRENGTH))
+    plain = ops.diagonal_minimum_variance(used.withColumn("_p", penalty), F.col("variance"), F.col("_p"), F.lit("x"), CAP)
+    both = zero.select("date", "asset", F.col("weight").alias("a")).join(plain.select("date", "asset", F.col("weight").alias("b")), ["date", "asset"], "full")
+    checks["zero_strength_changes"] = both.filter("a IS NULL OR b IS NULL OR abs(a - b) > 1e-11")
+    broken = ops.violations(net, targets, CAP, BPS / 1e4).select("name", "n", (F.col("n") == 0).alias("passed"))
+    return audit(checks).unionByName(broken)
+
+
+#: Controls: (name, quality penalty's score, whether the trailing downside is a penalty too).
+CONTROLS = {"plain": ("1.0", 0), "neutral": ("0.5", 0), "quality": ("quality", 0), "quality_downside": ("quality", 1)}
+CONTROL_SQL = (
+    f"{UNIVERSE_SQL}, {nation_quality_sql('u')}, uq AS (SELECT u.*, coalesce(quality, 0.5) AS quality, median(variance) OVER (PARTITION BY u.date) AS mid FROM u LEFT JOIN (SELECT date, asset, quality FROM nq) USING (date, asset)), raw AS ("
+    + " UNION ALL ".join(f"SELECT date, asset, history_end, '{k}' AS strategy, 1 / (variance + {RIDGE} + {STRENGTH} * mid * (1 - {q}) + {d} * downside) AS x FROM uq" for k, (q, d) in CONTROLS.items())
+    + f"), {capped_sql('SELECT * FROM raw')}"
+)
+
+
+def _controls(known):
+    """The rows of the controls, told apart by ``strategy``: score and eta are what their penalties take."""
+    sides = [F.struct(F.lit(k).alias("strategy"), F.expr(q).cast("double").alias("score"), F.lit(float(d)).alias("eta"), F.col("downside").alias("risk")) for k, (q, d) in CONTROLS.items()]
+    return known.select("*", F.explode(F.array(*sides)).alias("_c")).select(*known.columns, "_c.*")
+
+
+def _controlled(r, rows):
+    penalty = ops.quality_penalty(F.col("variance"), F.col("score"), F.lit(STRENGTH)) + F.col("eta") * F.col("risk")
+    return _backtest(r, rows, penalty, F.col("strategy"))[2]
+
+
+@query("penalty_controls", f"WITH {metrics_sql(net_sql(CONTROL_SQL), 'coalesce(quality, 0.5)')} SELECT {SHOWN} FROM met")
+def penalty_controls(spark, sf_dir):
+    """No penalty, a neutral score, the quality score, and the trailing downside beside it: what each adds. (O-163)"""
+    r = written(returns(spark, sf_dir))
+    universe = written(_universe(r))
+    quality = nation_fundamentals(spark, sf_dir, universe).select("date", "asset", "quality")
+    known = written(universe.join(quality, ["date", "asset"], "left").withColumn("quality", F.coalesce("quality", F.lit(0.5))))
+    return rounded(_controlled(r, _controls(known)))
+
+
+@query("forecast_controls")
+def forecast_controls(spark, sf_dir):
+    """The controls and the forecasts at the same strength, on the same formations. (O-140, O-163)"""
+    r, rows, variances = _candidates(spark, sf_dir)
+    known = rows.filter((F.col("depth") == DEPTHS[0]) & (F.col("eta") == 0)).drop("depth", "eta")
+    first = variances.filter(F.col("depth") == DEPTHS[0]).select("date", "asset", F.col("variance").alias("risk"))
+    forecasts = known.join(first, ["date", "asset"], "left").select(*known.columns, F.lit("quality_forecast").alias("strategy"), F.col("quality").alias("score"), F.lit(1.0).alias("eta"), _required(F.col("risk"), F.lit(1.0)).alias("risk"))
+    return rounded(_controlled(r, _controls(known).unionByName(forecasts)))
+
+
 @query(
     "naive_diagnostics",
     f"""WITH {FEATURES_SQL}, s AS (SELECT date, asset, target, lag(target, 4) OVER (PARTITION BY asset ORDER BY date) AS predicted FROM tg), m AS (SELECT * FROM s WHERE target IS NOT NULL AND predicted IS NOT NULL),
