@@ -31,7 +31,12 @@ def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``saved_at`` that nothing reads any more."""
+    """Delete a table of ``saved_at`` that nothing reads any more, and let go of the shuffles behind finished ones.
+
+    Executors delete a shuffle's files when the driver's collector finds that nothing refers to it; a driver
+    with memory to spare may not collect for long, so it is asked to.
+    """
+    spark._jvm.System.gc()
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 

@@ -155,11 +155,15 @@ def candidates(sets: DataFrame, bound: Bound) -> DataFrame:
         need = F.ceil(n * bound.num / bound.den).cast("long")
         return (1 + F.floor((need - F.ceil(need * bound.num / bound.den)) * bound.slack)).cast("long")
 
-    postings = sets.select("rep", "n", F.explode("sent").alias("shingle"))
-    often = postings.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # Counts go by 32 bits of the shingle, which halves what they take. Shingles that share them are counted together: then
+    # one of a single set may stay, which ties it to nothing, and the order by counts is the same in all sets.
+    short = F.hash("shingle")
+    postings = sets.select("rep", F.explode("sent").alias("shingle"))
+    often = postings.groupBy(short.alias("short")).agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     # dealt by set before they are listed: single rows are smaller than partial lists
-    kept = postings.join(often, "shingle").select("rep", F.col("n").cast("int"), F.col("df").cast("int"), "shingle").repartition("rep")
-    shared = kept.groupBy("rep").agg(F.max("n").cast("long").alias("n"), F.collect_list(F.struct("df", "shingle")).alias("shared"))
+    kept = postings.join(often, short == F.col("short")).select("rep", "df", "shingle").repartition("rep")
+    lists = kept.groupBy("rep").agg(F.collect_list(F.struct("df", "shingle")).alias("shared"))
+    shared = lists.join(sets.select("rep", "n"), "rep")
     enough = shared.filter(F.size("shared") >= least(F.col("n")))
     return enough.select("rep", "n", F.expr("transform(array_sort(shared), x -> x.shingle)").alias("shared"), least(F.col("n")).alias("level")).select(
         "rep", "n", F.expr("slice(shared, 1, CAST(size(shared) - level + 1 AS INT))").alias("shared")
