@@ -6,7 +6,8 @@ import hashlib
 from dataclasses import asdict, dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.sources.sinks import stable_json
@@ -39,15 +40,50 @@ def differences(frozen: Specification, now: Specification) -> list[str]:
     return out
 
 
+#: The base of the polynomial and its modulus (a prime, so that products of two residues fit 38 digits).
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
 def fingerprint(df: DataFrame, order: list[str]) -> str:
-    """A digest of rows, column names and column order. (O-169)
+    """A digest of rows in the order of ``order``, column names and column order. (O-169)
 
-    Row hashes are summed in the tasks; row order enters by the ``order`` columns alone.
+    ``order`` must order the rows; of equal ones the row's own hash decides. The digest is that of a polynomial:
+    sum of row hash x base^position, modulo a prime. Positions come from ranges that are sorted
+    apart: sizes of the ranges before one shift its polynomial, so parts merge in any partitioning, and a swap of two rows
+    changes the whole. A task gives three numbers; the driver merges as many as there are ranges.
     """
     names = stable_json(df.dtypes)
-    row = F.xxhash64(*order, *(F.col(c) for c in df.columns))
-    got = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha256(f"{names}{got['n']}:{got['s']}".encode()).hexdigest()
+    row = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(_PRIME))
+    hashed = df.select(*(F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)), row.alias("_h"))
+    keys = [f"_o{i}" for i in range(len(order))] + ["_h"]
+    sorted_ = hashed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "_h")
+
+    def fold(batches):
+        part, n, total, power = None, 0, 0, 1
+        for b in batches:
+            for p, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                part, total, power, n = p, (total + h * power) % _PRIME, power * _BASE % _PRIME, n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], names=["part", "n", "total"])
+
+    n, total = 0, 0
+    for r in sorted_.mapInArrow(fold, "part int, n long, total long").orderBy("part").collect():
+        total = (total + r["total"] * pow(_BASE, n, _PRIME)) % _PRIME
+        n += r["n"]
+    return hashlib.sha256(f"{names}{n}:{total}".encode()).hexdigest()
+
+
+def ordered_fingerprints(df: DataFrame, group: str, order: list[str], row: Column | None = None) -> DataFrame:
+    """``group``, n, digest: for each group a digest of its rows in order, all in one job. (O-169)
+
+    sum of row hash (31 bits) x position, exact in decimals, so parts merge in any partitioning: a swap of two different rows
+    changes it, partitions do not. ``row`` gives the hash of a row as a long, else one of all columns is taken.
+    """
+    hashed = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)) if row is None else row, F.lit((1 << 31) - 1))
+    rows = df.select(F.col(group), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), hashed.alias("_h"))
+    at = F.row_number().over(Window.partitionBy(group).orderBy(*(f"_o{i}" for i in range(len(order))), "_h"))
+    terms = rows.select(group, (F.col("_h").cast("decimal(10,0)") * at.cast("decimal(10,0)")).alias("t"))
+    return terms.groupBy(group).agg(F.count("*").alias("n"), F.sum("t").cast("string").alias("digest"))
 
 
 def equal_results(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-11) -> bool:

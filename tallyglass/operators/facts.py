@@ -42,11 +42,15 @@ def with_duration(facts: DataFrame) -> DataFrame:
     return facts.withColumn("duration", F.date_diff("end", "start"))
 
 
-def valid(facts: DataFrame) -> DataFrame:
-    """Known forms, present keys, finite values, no end after filing, and yearly flows only. (O-21, O-23, O-24)"""
+def _is_valid() -> Column:
     flow = ~F.col("metric").isin(*FLOWS) | (F.col("duration").between(*YEAR) & F.col("form").isin(*ANNUAL_FORMS))
     there = F.col("end").isNotNull() & F.col("filed").isNotNull() & F.col("accn").isNotNull()
-    return facts.filter(F.col("form").isin(*FORMS) & there & finite(F.col("value")).isNotNull() & (F.col("end") <= F.col("filed")) & flow)
+    return F.col("form").isin(*FORMS) & there & finite(F.col("value")).isNotNull() & (F.col("end") <= F.col("filed")) & flow
+
+
+def valid(facts: DataFrame) -> DataFrame:
+    """Known forms, present keys, finite values, no end after filing, and yearly flows only. (O-21, O-23, O-24)"""
+    return facts.filter(_is_valid())
 
 
 def before_cutoff(facts: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -73,13 +77,30 @@ def prepared(facts: DataFrame) -> DataFrame:
     return available(unambiguous(valid(with_duration(facts))))
 
 
-def rejections(facts: DataFrame) -> DataFrame:
-    """How many rows are invalid, and how many have an ambiguous key. (O-25)"""
+def sifted(facts: DataFrame) -> DataFrame:
+    """Each key of the valid facts with the rows and different values that it has, and all invalid rows as one row. (O-25)
+
+    One pass: the aggregation that ``prepared`` needs carries its own rejections. Invalid rows lose their keys before the
+    shuffle, so a task sends one row for all of its own. (Counting them on the side, by accumulators, would
+    count a task twice that is run again after its executor is lost.)
+    """
     f = with_duration(facts)
-    good = valid(f)
-    invalid = f.agg(F.count("*").alias("n")).crossJoin(good.agg(F.count("*").alias("g"))).select(F.lit("invalid").alias("reason"), (F.col("n") - F.col("g")).alias("n"))  # one row each
-    per_key = good.groupBy(*KEYS).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_distinct("value").alias("n"))
-    return invalid.unionByName(per_key.filter("lo <> hi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("ambiguous").alias("reason"), "n"))
+    ok = F.coalesce(_is_valid(), F.lit(False))
+    rows = f.select(ok.alias("ok"), *(F.when(ok, F.col(c)).alias(c) for c in (*KEYS, "metric", "priority", "form", "duration", "value")))
+    kept = [F.min(c).alias(c) for c in ("metric", "priority", "form", "duration", "value")]
+    return rows.groupBy("ok", *KEYS).agg(*kept, F.max("value").alias("_high"), F.count("*").alias("_rows"), F.size(F.collect_set("value")).alias("_values"))
+
+
+def prepared_from(keys: DataFrame) -> DataFrame:
+    """The prepared facts of a ``sifted`` table. (O-23, O-24, O-27, O-61)"""
+    return available(keys.filter("ok AND value = _high").drop("ok", "_high", "_rows", "_values"))
+
+
+def rejections(keys: DataFrame) -> DataFrame:
+    """reason, n of a ``sifted`` table: rows that are invalid, and values under keys that have several. (O-25)"""
+    several = F.when(F.col("ok") & (F.col("value") != F.col("_high")), F.col("_values"))
+    counts = keys.agg(F.coalesce(F.sum(F.when(~F.col("ok"), F.col("_rows"))), F.lit(0)).alias("invalid"), F.coalesce(F.sum(several), F.lit(0)).cast("long").alias("ambiguous"))
+    return counts.unpivot([], ["invalid", "ambiguous"], "reason", "n")
 
 
 def _order() -> Column:

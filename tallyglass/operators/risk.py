@@ -9,35 +9,119 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyglass.sources.sinks import written
+
 HORIZON = 21
 
 
 # DataFrame operators
 
 
-def ledoit_wolf(returns: DataFrame) -> DataFrame:
-    """i, j, cov, shrinkage: shrunk covariance of complete returns (date, asset, ret), by pair sums. (O-126)
+#: Assets of a block of the Gram matrix, and days that one task adds up.
+BLOCK, DAYS = 256, 2_048
+
+
+def gram(x: DataFrame, block: int = BLOCK, days: int = DAYS) -> DataFrame:
+    """i, j, s, s4, n of complete rows (date, asset, x): sums over dates of x_i x_j and of its square, for all pairs.
+
+    Assets are numbered and dealt into blocks; a day of a block is one vector. Each pair of blocks meets on
+    its days, some of them to a task, which adds up outer products day by day and sends one matrix; these are summed by pair
+    of blocks. So pairs are shuffled once for each ``days`` of the history, not once a date, and a task holds one
+    block x block matrix. ``n`` is the number of dates.
+    """
+    spark = x.sparkSession
+    numbered = x.select("asset").distinct().select("asset", (F.row_number().over(Window.orderBy("asset")) - 1).alias("_no"))  # a row for each asset
+    dates = x.select("date").distinct().select("date", F.floor((F.row_number().over(Window.orderBy("date")) - 1) / days).cast("int").alias("part"))  # a row for each date
+    placed = x.join(numbered, "asset").join(dates, "date").select("date", "part", (F.col("_no") / block).cast("int").alias("b"), F.struct("_no", "x").alias("e"))
+    vectors = placed.groupBy("date", "part", "b").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["x"]).alias("v"))
+    blocks = numbered.agg((F.floor(F.max("_no") / block) + 1).cast("int")).scalar()
+    # the pairs (a, b) that a block takes part in; a pair of a block with itself has one side
+    pairs = vectors.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o")).select("date", "part", F.least("b", "o").alias("a"), F.greatest("b", "o").alias("c"), "b", "v")
+    ordered = pairs.repartition("a", "c", "part").sortWithinPartitions("a", "c", "part", "date", "b")
+
+    def add(batches):
+        now, sums, before = None, None, None
+
+        def matrix():
+            (a, c, part), (s, s4, n) = now, sums
+            return pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([c], pa.int32()), pa.array([len(s)], pa.int32()), pa.array([n], pa.int64()), pa.array([s.ravel()], pa.list_(pa.float64())), pa.array([s4.ravel()], pa.list_(pa.float64()))], names=["a", "c", "rows", "n", "s", "s4"])
+
+        for batch in batches:
+            column = batch.column("v")
+            flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+            for k, (date, part, a, c, b) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("date", "part", "a", "c", "b")))):
+                v = flat[at[k] : at[k + 1]].copy()
+                if a != c and b == a:
+                    before = (date, v)
+                    continue
+                left = v if a == c else before[1]
+                if now != (a, c, part):
+                    if sums:
+                        yield matrix()
+                    now, sums = (a, c, part), [np.zeros((len(left), len(v))), np.zeros((len(left), len(v))), 0]
+                outer = np.outer(left, v)
+                sums[0] += outer
+                sums[1] += outer * outer
+                sums[2] += 1
+        if sums:
+            yield matrix()
+
+    schema = "a int, c int, rows int, n long, s array<double>, s4 array<double>"
+
+    def total(batches):
+        now, sums = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, c, rows, n = (batch.column(x)[k].as_py() for x in ("a", "c", "rows", "n"))
+                s, s4 = (batch.column(x)[k].values.to_numpy() for x in ("s", "s4"))
+                if now != (a, c):
+                    if sums:
+                        yield from cells(now, sums)
+                    now, sums = (a, c), [rows, 0, np.zeros(len(s)), np.zeros(len(s))]
+                sums[1] += n
+                sums[2] += s
+                sums[3] += s4
+        if sums:
+            yield from cells(now, sums)
+
+    def cells(pair, sums):
+        (a, c), (rows, n, s, s4) = pair, sums
+        wide = len(s) // rows
+        i, j = np.divmod(np.arange(len(s), dtype=np.int64), wide)
+        sides = [(i + a * block, j + c * block)] + ([] if a == c else [(j + c * block, i + a * block)])
+        for left, right in sides:
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(s), pa.array(s4), pa.array(np.full(len(s), n))], names=["i", "j", "s", "s4", "n"])
+
+    parts = ordered.mapInArrow(add, schema).repartition("a", "c").sortWithinPartitions("a", "c")
+    sums = parts.mapInArrow(total, "i long, j long, s double, s4 double, n long")
+    names = [numbered.select(F.col("_no").cast("long").alias(k), F.col("asset").alias(f"asset_{k}")) for k in ("i", "j")]
+    return sums.join(names[0], "i").join(names[1], "j").select(F.col("asset_i").alias("i"), F.col("asset_j").alias("j"), "s", "s4", "n")
+
+
+def ledoit_wolf(returns: DataFrame, block: int = BLOCK, days: int = DAYS) -> DataFrame:
+    """i, j, cov, shrinkage: shrunk covariance of complete returns (date, asset, ret), from block Gram matrices. (O-126)
 
     S = population covariance, mu = tr(S) / p, d2 = |S - mu I|^2 / p, and b2 the mean
     squared distance of the rows' outer products from S; the shrinkage is min(b2, d2) / d2.
     Pairs of assets are the result's own size.
     """
-    dates = returns.groupBy("date").agg(F.count("ret").alias("k"))
-    assets = returns.agg(F.count_distinct("asset").alias("p"))
-    rows = returns.join(dates.crossJoin(assets).filter("k = p").select("date"), "date")  # one row
-    mean = rows.groupBy("asset").agg(F.avg("ret").alias("m"))
-    x = rows.join(mean, "asset").select("date", "asset", (F.col("ret") - F.col("m")).alias("x"))
-    pairs = x.select("date", F.col("asset").alias("i"), F.col("x").alias("a")).join(x.select("date", F.col("asset").alias("j"), F.col("x").alias("b")), "date")
-    s = pairs.groupBy("i", "j").agg(F.avg(F.col("a") * F.col("b")).alias("s"), F.avg(F.pow(F.col("a") * F.col("b"), F.lit(2.0))).alias("s4"), F.count("*").alias("n"))
-    trace = s.agg((F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))) / F.count_if(F.col("i") == F.col("j"))).alias("mu"), F.count_if(F.col("i") == F.col("j")).alias("p"))
-    eye = F.when(F.col("i") == F.col("j"), F.col("mu")).otherwise(0.0)
-    with_mu = s.crossJoin(trace)  # one row
-    parts = with_mu.groupBy("p").agg(F.sum(F.pow(F.col("s") - eye, F.lit(2.0))).alias("d2"), F.sum((F.col("s4") - F.col("s") * F.col("s")) / F.col("n")).alias("b2"))
-    shrink = parts.select(F.when(F.col("d2") > 0, F.least("b2", "d2") / F.col("d2")).otherwise(0.0).alias("shrinkage"))
-    return with_mu.crossJoin(shrink).select("i", "j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * eye).alias("cov"), "shrinkage")  # one row
+    assets = returns.agg(F.count_distinct("asset")).scalar()
+    dates = returns.groupBy("date").agg(F.count("ret").alias("k")).filter(F.col("k") == assets).select("date")
+    rows = returns.join(dates, "date").select("date", "asset", "ret")
+    x = rows.select("date", "asset", (F.col("ret") - F.avg("ret").over(Window.partitionBy("asset"))).alias("x"))
+    s = written(gram(x, block, days).select("i", "j", (F.col("s") / F.col("n")).alias("s"), (F.col("s4") / F.col("n")).alias("s4"), "n"))
+    own = F.col("i") == F.col("j")
+    mu = s.filter(own).agg(F.avg("s")).scalar()
+    eye = F.when(own, mu).otherwise(0.0)
+    d2 = F.sum(F.pow(F.col("s") - eye, F.lit(2.0)))
+    b2 = F.sum((F.col("s4") - F.col("s") * F.col("s")) / F.col("n"))
+    shrink = s.agg(F.when(d2 > 0, F.least(b2, d2) / d2).otherwise(0.0)).scalar()
+    told = s.select("i", "j", "s", eye.alias("eye"), shrink.alias("shrinkage"))
+    return told.select("i", "j", ((1 - F.col("shrinkage")) * F.col("s") + F.col("shrinkage") * F.col("eye")).alias("cov"), "shrinkage")
 
 
 def weighted_covariance(returns: DataFrame, weights: DataFrame) -> DataFrame:

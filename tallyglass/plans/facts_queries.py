@@ -9,6 +9,8 @@ from tallyglass.operators import facts as ops
 from tallyglass.operators import panel
 from tallyglass.plans.panel_queries import rounded
 from tallyglass.plans.registry import query
+from tallyglass.sources import readers
+from tallyglass.sources.sinks import written
 from tallyglass.sources.views import FACTS_SQL, facts, table
 
 _KEYS = ", ".join(f'"{k}"' for k in ops.KEYS)
@@ -67,7 +69,8 @@ def prepared_facts(spark, sf_dir):
 UNION ALL SELECT 'ambiguous', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(DISTINCT value) AS n FROM f2 GROUP BY {_KEYS} HAVING min(value) <> max(value))""",
 )
 def fact_rejections(spark, sf_dir):
-    return ops.rejections(facts(spark, sf_dir))
+    """What the preparation turned away, from the very table that the prepared facts are read from. (O-25)"""
+    return ops.rejections(written(ops.sifted(facts(spark, sf_dir))))
 
 
 @query(
@@ -250,6 +253,16 @@ def json_structure(spark, sf_dir):
     return fields.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("x").rlike("^-?[0-9]+$")).alias("integers"))
 
 
+@query(
+    "json_paths",
+    """WITH v AS (SELECT unnest(json_keys(props)) AS path, props FROM events), t AS (SELECT path, json_type(props, '$.' || path) AS t FROM v)
+SELECT path, 1 AS depth, CASE WHEN t IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' WHEN t = 'VARCHAR' THEN 'STRING' ELSE t END AS type, count(*) AS n FROM t GROUP BY 1, 2, 3""",
+)
+def json_paths(spark, sf_dir):
+    """Every path of nested documents with its types, to any depth. (O-7)"""
+    return readers.json_paths(table(spark, sf_dir, "events").select("props"), "props")
+
+
 @query(
     "json_errors",
     """WITH d AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 1, length(props) - 1) ELSE props END AS doc FROM events)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import facts as facts_ops
 from tallyglass.plans.panel_queries import rounded
+from tallyglass.operators import experiment
 from tallyglass.plans.registry import query
 from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, table
 
@@ -245,6 +246,18 @@ def fingerprints_by_nation(spark, sf_dir):
     return g.select("c_nationkey", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("fingerprint"))
 
 
+@query(
+    "ordered_fingerprints",
+    """WITH h AS (SELECT c_nationkey, ('0x' || substr(sha256(c_custkey || ':' || c_name || ':' || c_mktsegment), 1, 12))::BIGINT % 2147483647 AS h, c_mktsegment, c_custkey FROM customer),
+ r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_custkey) AS k FROM h) SELECT c_nationkey, count(*) AS n, sum(h::HUGEINT * k)::VARCHAR AS digest FROM r GROUP BY 1""",
+)
+def ordered_fingerprints(spark, sf_dir):
+    """Fingerprints in which the order of rows enters, by nation. (O-169)"""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name")
+    digest = F.sha2(F.concat_ws(":", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), 256)
+    return experiment.ordered_fingerprints(c, "c_nationkey", ["c_mktsegment", "c_custkey"], F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"))
+
+
 @query(
     "checked_join",
     """SELECT count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS unmatched, (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS repeated FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""",

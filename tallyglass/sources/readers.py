@@ -14,6 +14,7 @@ OHLCV = T.StructType([*PRICE.fields, *(T.StructField(n, T.DoubleType()) for n in
 
 _FACT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 #: A filing archive's document: taxonomy -> concept -> units -> facts.
+# The field names of the filing format.
 COMPANY_FACTS = f"cik bigint, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<{_FACT}>>>>>, _bad string"
 
 
@@ -62,6 +63,29 @@ def flat_facts(docs: DataFrame) -> DataFrame:
     )
 
 
+def json_paths(docs: DataFrame, column: str, depth: int = 12) -> DataFrame:
+    """path, depth, type, n: every field of nested documents by its path, whatever their schema. (O-7)
+
+    Documents become variants, whose fields are exploded level by level; an element of a list has the path of the list with
+    []. ``n`` counts the values of a type at a path (a list's elements each). What cannot be read, and null, has no fields.
+    Counts merge by path, so what is shuffled are the paths of a task, not the documents. Levels below ``depth`` end the run.
+    """
+    spark = docs.sparkSession
+    level = docs.select(F.lit("").alias("path"), F.try_parse_json(F.col(column)).alias("v")).filter("v IS NOT NULL")
+    counts = None
+    for d in range(1, depth + 1):
+        inner = spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key"), F.col("value").alias("w"))
+        dot = F.when(F.col("path") == "", "").otherwise(".")
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", dot, "key"))
+        level = level.lateralJoin(inner).select(path.alias("path"), F.col("w").alias("v"))
+        kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        here = level.select("path", F.lit(d).alias("depth"), kind.alias("type"))
+        counts = here if counts is None else counts.unionByName(here)
+        if level.filter(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")).isEmpty():
+            return counts.groupBy("path", "depth", "type").agg(F.count("*").alias("n"))
+    raise ValueError(f"documents go deeper than {depth} levels")
+
+
 def metric_facts(flat: DataFrame, tags: DataFrame, issuers: DataFrame, taxonomy: str = "us-gaap", unit: str = "USD") -> DataFrame:
     """Facts of the wanted metrics by issuer: ``tags`` (metric, concept, priority), ``issuers`` (ticker, cik). (O-5, D7)
 

@@ -329,6 +329,9 @@ def test_covariances_equal_numpy(spark):
     want, k = risk.shrunk(x)
     got = {(r["i"], r["j"]): r for r in risk.ledoit_wolf(df).collect()}
     assert all(got[i, j]["cov"] == pytest.approx(want[i, j]) and got[i, j]["shrinkage"] == pytest.approx(k) for i in range(4) for j in range(4))
+    for block, some in ((1, 7), (3, 30), (2, 11)):
+        blocks = {(r["i"], r["j"]): r for r in risk.ledoit_wolf(df, block, some).collect()}
+        assert blocks.keys() == got.keys() and all(blocks[k]["cov"] == pytest.approx(got[k]["cov"]) for k in got)
     w = rng.uniform(0.1, 1, 30)
     weights = spark.createDataFrame([(d, float(v)) for d, v in zip(days(30), w)], "date date, w double")
     want = np.cov(x.T, aweights=w)
