@@ -381,7 +381,7 @@ def test_trees_learn_and_do_not_see_the_future(spark):
     data = [(D(2009, 1 + k % 12, 1), k % 20, D(2009, 1 + k % 12, 28), *(None if math.isnan(v) else float(v) for v in x[k]), float(y[k])) for k in range(600)]
     data += [(D(2010, 1, 1), k, D(2010, 1, 28), 1.0 if k % 2 else -1.0, 0.0, 0.0, None) for k in range(20)]
     p = spark.createDataFrame(data, "date date, asset int, label_end date, a double, b double, c double, target double").withColumn("never", F.lit(None).cast("double"))
-    out, importance = forecast.walk_forward(p, forecast.cutoffs(p, 2010), ["a", "b", "c", "never"], 3, 10, 0.3)
+    out, importance = forecast.walk_forward(p, forecast.cutoffs(p, 2010), ["a", "b", "c", "never"], 3, 10, 0.3, least=100)
     assert all(abs(r["predicted"] - (1 if r["asset"] % 2 else -1)) < 0.3 for r in out.collect())
     told = {r["feature"]: r["importance"] for r in importance.collect()}
     assert max(told, key=told.get) == "a" and told["never"] == 0 and sum(told.values()) == pytest.approx(1)
@@ -394,7 +394,7 @@ def test_trees_learn_and_do_not_see_the_future(spark):
 
     def run(r):
         p = spark.createDataFrame(r, schema)
-        return {(x["date"], x["asset"]): x["predicted"] for x in forecast.walk_forward(p, forecast.cutoffs(p, 2012), ["f"], 2, 5)[0].collect()}
+        return {(x["date"], x["asset"]): x["predicted"] for x in forecast.walk_forward(p, forecast.cutoffs(p, 2012), ["f"], 2, 5, least=100)[0].collect()}
 
     assert run(rows) == run(late) and len(run(rows)) == 240
 
@@ -429,6 +429,121 @@ def test_filing_documents(spark, tmp_path):
     assert readers.first_existing(["", "/nowhere", str(tmp_path)]) == str(tmp_path)
 
 
+def test_paths_of_nested_documents(spark):
+    docs = [
+        '{"cik": 7, "facts": {"us-gaap": {"Assets": {"label": "a", "units": {"USD": [{"val": 1, "form": "10-K"}, {"val": 2.5, "form": "10-Q"}]}}}}}',
+        '{"cik": "8", "facts": {"us-gaap": {}}}',
+        "{broken",
+        None,
+        "3",
+    ]
+    got = {(r["path"], r["depth"], r["type"]): r["n"] for r in readers.json_paths(spark.createDataFrame([(d,) for d in docs], "doc string"), "doc").collect()}
+    assert got.pop(("cik", 1, "BIGINT")) == 1 and got.pop(("cik", 1, "STRING")) == 1
+    deep = "facts.us-gaap.Assets.units.USD[].val"
+    assert sum(n for (path, depth, kind), n in got.items() if path == deep) == 2 and {d for p, d, _ in got if p == deep} == {7}
+    assert got["facts", 1, "OBJECT"] == 2 and got["facts.us-gaap.Assets.units.USD[].form", 7, "STRING"] == 2
+    with pytest.raises(ValueError):
+        readers.json_paths(spark.createDataFrame([(docs[0],)], "doc string"), "doc", depth=3)
+
+
+def test_fingerprints_follow_the_order_of_rows(spark):
+    rows = [(k, k % 3, float(k * k % 7)) for k in range(200)]
+    df = lambda r: spark.createDataFrame(r, "k int, g int, x double")
+    swapped = [(k, g, rows[{10: 13, 13: 10}.get(k, k)][2]) for k, g, _ in rows]
+    first = experiment.fingerprint(df(rows), ["k"])
+    assert first == experiment.fingerprint(df(rows[::-1]).repartition(5), ["k"]) == experiment.fingerprint(df(rows).coalesce(1), ["k"])
+    assert first != experiment.fingerprint(df(swapped), ["k"])
+    assert first != experiment.fingerprint(df(rows), ["x", "k"])
+    by = lambda r, n: {x["g"]: x["digest"] for x in experiment.ordered_fingerprints(df(r).repartition(n), "g", ["k"]).collect()}
+    one, other = by(rows, 1), by(swapped, 4)
+    assert by(rows, 7) == one and {g for g in one if one[g] != other[g]} == {1}
+
+
+def test_rejections_come_from_the_preparation(spark):
+    e, f = D(2019, 12, 31), D(2020, 2, 3)
+    rows = [fact(1.0, e, f), fact(2.0, e, f), fact(2.0, e, f), fact(3.0, e, f, accn="b"), fact(float("nan"), e, f, accn="c"), fact(1.0, f, e, accn="d"), fact(1.0, e, f, None, accn="e")]
+    df = spark.createDataFrame(rows, FACT)
+    keys = facts.sifted(df).cache()
+    assert {r["reason"]: r["n"] for r in facts.rejections(keys).collect()} == {"invalid": 3, "ambiguous": 2}
+    order = sorted(facts.prepared(df).columns)
+    assert sorted(map(str, facts.prepared_from(keys).select(order).collect())) == sorted(map(str, facts.prepared(df).select(order).collect()))
+    assert {r["n"] for r in facts.rejections(facts.sifted(spark.createDataFrame([], FACT))).collect()} == {0}
+
+
+def test_eligibility_counts_joint_sessions(spark):
+    rng = np.random.default_rng(31)
+    dates = days(150)
+    there = {(k, a): rng.random() > (0.02 if a < 4 else 0.12) for k in range(150) for a in range(6)}
+    rows = [(dates[k], a, 10.0 + a, 0.01 if rng.random() > 0.05 else None) for (k, a), t in there.items() if t]
+    ret = {(r[0], r[1]): r[3] for r in rows}
+    n, least, missing = 70, 45, 0.15
+    got = {(r["date"], r["asset"]): (r["seen"], r["joint"]) for r in panel.eligibility(spark.createDataFrame(rows, "date date, asset int, price double, ret double"), n, least, missing).collect()}
+    want = {}
+    for k in range(150):
+        window = dates[max(0, k - n) : k]
+        fit = {}
+        for a in range(6):
+            seen = sum(ret.get((d, a)) is not None for d in window)
+            if (dates[k], a) in ret and seen >= least and len(window) - seen <= missing * len(window) and any((d, a) in ret for d in dates[:k]):
+                fit[a] = seen
+        joint = sum(all(ret.get((d, a)) is not None for a in fit) for d in window)
+        if fit and joint >= least:
+            want |= {(dates[k], a): (s, joint) for a, s in fit.items()}
+    assert got == want and want
+
+
+def test_stress_is_filtered_in_order_and_weighs_variances(spark):
+    rng = np.random.default_rng(32)
+    x = np.where(np.arange(60) // 15 % 2, rng.normal(0, 0.06, 60), rng.normal(0, 0.02, 60))
+    dates = days(60)
+    market = spark.createDataFrame([(d, float(v)) for d, v in zip(dates, x)], "date date, market double")
+    filtered = risk.filtered_stress(market, F.lit(0.02), F.lit(0.06), 0.9, 0.8)
+    got = {r["date"]: r["stress"] for r in filtered.collect()}
+    p, want = 0.5, {}
+    for d, v in zip(dates, x):
+        ahead = p * 0.8 + (1 - p) * 0.1
+        hot, cold = (w * math.exp(-v * v / (2 * s * s)) / s for w, s in ((ahead, 0.06), (1 - ahead, 0.02)))
+        p = want[d] = hot / (hot + cold)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+    r = rng.normal(0, 0.1, 60)
+    returns = spark.createDataFrame([(d, 3, float(v)) for d, v in zip(dates, r)], "date date, asset int, ret double")
+    ahead = spark.createDataFrame([(d, 0.3) for d in dates], "date date, stress_probability double")
+    told = {x["date"]: x["regime_variance"] for x in risk.regime_variance(returns, filtered, ahead, 12).collect()}
+    for k, d in enumerate(dates):
+        if k < 12:
+            assert told[d] is None
+            continue
+        w, y = np.array([want[e] for e in dates[k - 12 : k]]), r[k - 12 : k]
+        own = lambda w: (w @ (y * y)) / w.sum() - ((w @ y) / w.sum()) ** 2  # noqa: B023, E731
+        assert told[d] == pytest.approx(0.3 * own(w) + 0.7 * own(1 - w))
+
+
+def test_models_come_back_and_short_years_end_the_run(spark, tmp_path):
+    rng = np.random.default_rng(33)
+    rows = [(D(2010 + m // 12, m % 12 + 1, 1), a, D(2010 + m // 12, m % 12 + 1, 28), float(rng.normal()), float(rng.normal())) for m in range(30) for a in range(8)]
+    p = spark.createDataFrame(rows, "date date, asset int, label_end date, f double, target double")
+    run = lambda frame, **kw: {(r["date"], r["asset"]): tuple(r) for r in forecast.walk_forward(frame, forecast.cutoffs(frame, 2011), ["f"], 2, 4, least=90, model_dir=str(tmp_path), **kw)[0].collect()}
+    first = run(p)
+    kept = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*") if f.is_file()}
+    assert len(list(tmp_path.iterdir())) == 2  # 2011 and 2012
+    assert run(p.repartition(5)) == first and {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*") if f.is_file()} == kept
+    later = p.withColumn("target", F.when(F.col("date") == D(2011, 5, 1), 5.0).otherwise(F.col("target")))
+    again = run(later)
+    assert len(list(tmp_path.iterdir())) == 3  # what 2011 learns from has not changed
+    assert {k: v for k, v in again.items() if k[0].year == 2011} == {k: v for k, v in first.items() if k[0].year == 2011}
+    assert all(r[3] == D(r[2], 1, 1) and r[4] < r[3] for r in first.values())  # cutoff and last label
+    with pytest.raises(ValueError, match="2011: 96 rows"):
+        forecast.walk_forward(p, forecast.cutoffs(p, 2011), ["f"], 2, 2, least=97)
+
+
+def test_leaks_of_forecasts_are_found(spark):
+    d = D(2020, 1, 1)
+    universe = spark.createDataFrame([(d, 1, D(2019, 12, 31)), (d, 2, d), (d, 3, D(2019, 12, 31)), (d, 4, D(2019, 12, 31))], "date date, asset int, history_end date")
+    predicted = spark.createDataFrame([(d, 1, d, D(2019, 12, 1), 0.1), (d, 2, d, d, 0.1), (d, 3, D(2020, 2, 1), D(2019, 1, 1), -0.1), (d, 3, d, D(2019, 1, 1), 0.1)], "date date, asset int, cutoff date, last_label_end date, variance double")
+    got = {k: df.count() for k, df in forecast.leaks(predicted, universe).items()}
+    assert got == {"fitted_after_formation": 1, "label_not_matured": 1, "history_not_prior": 1, "no_forecast": 2, "repeated_forecasts": 1}
+
+
 def test_results_and_specifications(spark, tmp_path, two_assets):
     sinks.write_result({"returns": two_assets.withColumn("strategy", F.lit("s"))}, str(tmp_path / "r"))
     back = sinks.read_result(spark, str(tmp_path / "r"), "returns", strategy="s")
