@@ -5,7 +5,9 @@ dictionary built from the archive's own records, then each record as a Zstandard
 frame of its own, so that any record can be read without the others. Files are
 written by Spark's text writer: a record's frame is a row, and the line separator
 is an empty skippable frame, which readers of Zstandard skip. So archives can lie in
-any store that Spark writes to.
+any store that Spark writes to. An archive ends at a number of bytes or of frames, whichever
+comes first. The writer begins files at a number of rows; an archive that ends by bytes is
+filled up to it with empty rows, that is with separators.
 
 Payloads that were seen before become ``revisit`` records without a payload; they
 name the record with the smallest id.
@@ -33,13 +35,12 @@ SKIP = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 VERSION = b"WARC/1.1"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Bytes of records that a task keeps until an archive's dictionary is built.
-ARCHIVE_BYTES = 8 << 20
-#: Bytes of an archive's records its dictionary is built from, at most, and the dictionary's own size.
-SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 16 << 10
-PER_RECORD = 4096
+#: Bytes of an archive's records: a task keeps them until the dictionary is built. A longer record is an archive of its own.
+ARCHIVE_BYTES = 32 << 20
+#: Bytes that a dictionary is built from at most, the length of a piece of them, and the dictionary's own size.
+SAMPLE_BYTES, PIECE_BYTES, DICTIONARY_BYTES = 1 << 20, 4096, 16 << 10
 #: Frames of an archive, the dictionary's included, at most: a longer partition goes on in another file.
-ARCHIVE_FRAMES = 10_000
+ARCHIVE_FRAMES = 4_096
 
 
 def record(fields: list[tuple[bytes, bytes]], block: bytes) -> bytes:
@@ -68,50 +69,44 @@ def with_digest(pages: DataFrame) -> DataFrame:
 
 
 def build_dictionary(records: list[bytes]):
-    """A dictionary from evenly spaced records, or none where they are too few for one."""
+    """A dictionary from evenly spaced pieces of all records, taken in turn from wherever in a record they stand.
+
+    Where they are too few or too different to train on, the last of them are the dictionary as they are.
+    """
     import zstandard
 
-    step = max(1, len(records) * PER_RECORD // SAMPLE_BYTES)
-    sample = [r[:PER_RECORD] for r in records[::step]]
-    if len(sample) < 8:
-        return None
+    pieces = [(r, at) for r in records for at in range(0, len(r), PIECE_BYTES)]
+    step = -(-len(pieces) * PIECE_BYTES // SAMPLE_BYTES)
+    picked = (k * step + k % step for k in range(-(-len(pieces) // step)))
+    sample = [r[at : at + PIECE_BYTES] for r, at in (pieces[min(k, len(pieces) - 1)] for k in picked)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample, k=256, d=8, level=3)
-    except zstandard.ZstdError:  # the records have nothing in common
-        return None
-
-
-def compressed(records, archive_bytes: int, most: int = ARCHIVE_FRAMES):
-    """The frames of archives of ``most`` frames, one after the other."""
-    records = iter(records)
-    for first in records:
-        yield from one_archive(itertools.chain([first], itertools.islice(records, most - 2)), archive_bytes)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(sample)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def one_archive(records, archive_bytes: int):
-    """The frames of one archive: the dictionary's, then each record's.
-
-    The dictionary is built from the first ``archive_bytes`` of records; later ones use it
-    as they come, so no more than that is kept.
-    """
-    import zstandard
-
+def compressed(records, archive_bytes: int = ARCHIVE_BYTES, most: int = ARCHIVE_FRAMES):
+    """The frames of archives of ``archive_bytes`` of records and ``most`` frames, one after the other; all but the last are filled up to ``most``."""
     held, size = [], 0
-    records = iter(records)
     for r in records:
+        if held and (size + len(r) > archive_bytes or len(held) == most - 1):
+            yield from one_archive(held)
+            yield from itertools.repeat(b"", most - 1 - len(held))
+            held, size = [], 0
         held.append(r)
         size += len(r)
-        if size >= archive_bytes:
-            break
-    if not held:
-        return
-    built = build_dictionary(held)
-    content = built.as_bytes() if built else b""
+    if held:
+        yield from one_archive(held)
+
+
+def one_archive(records: list[bytes]):
+    """The frames of one archive: the dictionary's, built from all of its records, then each record's."""
+    import zstandard
+
+    built = build_dictionary(records)
+    content = built.as_bytes()
     yield struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content
     packer = zstandard.ZstdCompressor(level=3, dict_data=built, write_content_size=True)
-    for r in held:
-        yield packer.compress(r)
-    del held
     for r in records:
         yield packer.compress(r)
 
@@ -150,8 +145,8 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
     page_id is the response and the others revisit it. Which do is found on ids and
     digests alone; payloads move once at most, dealt by id and digest, so neither one
     host nor one payload fills an archive. Each partition is one archive, or several of
-    ``archive_frames`` frames, where Spark's writer begins a new file as well; so an archive
-    has a bounded number of records and can be read as one row.
+    ``archive_bytes`` of records and ``archive_frames`` frames at most, where Spark's writer begins a new file as well; so
+    an archive can be read as one row, whatever the size of pages.
     """
     rows = with_digest(pages)
     ids = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "sha1")

@@ -294,6 +294,45 @@ def test_archives_have_a_leading_dictionary_and_single_records():
     assert int.from_bytes(data[0][:4], "little") == warc.DICTIONARY_MAGIC and len(data) == 201
     archive = warc.SKIP.encode().join(data)
     assert list(warc.frames(archive)) == records
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_few_records_have_a_dictionary_too(n):
+    records = [warc.record([(b"WARC-Type", b"response"), (b"WARC-Record-ID", b"<urn:page:%d>" % k)], b"some words and a number %d" % k) for k in range(n)]
+    data = list(warc.compressed(records))
+    size = int.from_bytes(data[0][4:8], "little")
+    assert size > 0 and len(data[0]) == size + 8 and len(data) == n + 1
+    assert list(warc.frames(warc.SKIP.encode().join(data))) == records
+    if n > 1:  # records lean on the dictionary
+        import zstandard
+
+        assert sum(map(len, data[1:])) < sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
+
+
+def test_dictionaries_know_what_stands_late_in_records():
+    rng = random.Random(4)
+    late = bytes(rng.randrange(256) for _ in range(600))
+    records = [bytes(rng.randrange(256) for _ in range(30_000)) + late for _ in range(40)]
+    built = warc.build_dictionary(records)
+    assert any(late[k : k + 64] in built.as_bytes() for k in range(0, 536, 8))
+
+
+def test_archives_end_at_bytes(spark, tmp_path):
+    """Files of large pages stay small: an archive ends before its records exceed the bytes, a longer page is alone."""
+    rng = random.Random(5)
+    html = lambda n: "".join(rng.choice("abcdefgh <>/") for _ in range(n))
+    pages = spark.createDataFrame([(k, "u", html(250_000 if k == 7 else 40_000)) for k in range(30)], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "a"), archive_bytes=100_000, archive_frames=50)
+    files = [f for f in (tmp_path / "a").iterdir() if f.name.startswith("part")]
+    assert len(files) >= 15
+    seen = 0
+    for f in files:
+        content = f.read_bytes()
+        assert int.from_bytes(content[:4], "little") == warc.DICTIONARY_MAGIC
+        records = list(warc.frames(content))
+        assert len(records) == 1 or sum(map(len, records)) <= 100_000
+        seen += len(records)
+    assert seen == 30 == warc.read(spark, str(tmp_path / "a")).count()
     dictionary = zstandard.ZstdCompressionDict(data[0][8:])
     assert zstandard.ZstdDecompressor(dict_data=dictionary).decompress(data[77]) == records[76]
     assert sum(map(len, data[1:])) < len(b"".join(records)) / 3
