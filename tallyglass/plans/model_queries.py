@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import backtest as ops
 from tallyglass.operators import forecast, panel, risk
-from tallyglass.operators.experiment import audit
+from tallyglass.operators.experiment import audit, fingerprint
 from tallyglass.operators.facts import RATIOS
 from tallyglass.plans.backtest_queries import BPS, CAP, RIDGE, SHOWN, UNIVERSE_SQL, _paths, _universe, capped_sql, metrics_sql, net_sql
 from tallyglass.plans.facts_queries import nation_fundamentals, nation_quality_sql
 from tallyglass.plans.panel_queries import LONG, MARKET_SQL, MIDDLE, SHORT, returns, rounded
 from tallyglass.plans.registry import EXACT, query
-from tallyglass.sources.sinks import kept_folder, written
+from tallyglass.sources.sinks import kept_by_date, kept_folder, written
 from tallyglass.sources.views import RETURNS_SQL
 
 _DENSE = "d AS (SELECT date FROM rets WHERE ret IS NOT NULL GROUP BY date HAVING count(*) = (SELECT count(DISTINCT asset) FROM rets))"
@@ -120,8 +120,14 @@ def _formation_panel(spark, sf_dir):
 
 @query("regime_allocations")
 def regime_allocations(spark, sf_dir):
-    """Minimum-variance weights from shrunk, regime and penalised covariances. (O-126 to O-135)"""
-    return rounded(risk.allocate(_formation_panel(spark, sf_dir), CAP))
+    """Minimum-variance weights from shrunk, regime and penalised covariances. (O-126 to O-135)
+
+    Formations are kept by date under the content of their windows, so that a new one costs one fit. (O-134)
+    """
+    windows = written(_formation_panel(spark, sf_dir))
+    content = {"windows": fingerprint(windows, ["date", "at", "asset"]), "cap": CAP}
+    make = lambda dates: risk.allocate(windows.join(dates, "date", "left_semi"), CAP)
+    return rounded(kept_by_date(make, windows.select("date"), kept_folder(spark, "allocations"), content))
 
 
 def _features(spark, sf_dir):

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_result(tables: dict[str, DataFrame], path: str) -> None:
@@ -87,3 +88,26 @@ def content_cached(make: Callable[[], DataFrame], spark: SparkSession, folder: s
     if not exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def kept_by_date(make: Callable[[DataFrame], DataFrame], dates: DataFrame, folder: str, content: object) -> DataFrame:
+    """The rows that ``make`` gives for ``dates`` (date), of which only absent dates are computed. (O-134)
+
+    Rows are kept below ``folder`` under a digest of ``content`` (all that they depend on but the dates), partitioned by
+    date. A manifest lists the dates that are complete, those without rows too; it is written after the rows, so what a failed run left
+    behind is computed again and replaced. ``make`` gets the absent dates and returns their rows, with a column date.
+    """
+    spark = dates.sparkSession
+    top = f"{folder.rstrip('/')}/{hashlib.sha256(stable_json(content).encode()).hexdigest()[:16]}"
+    wanted = dates.select("date").distinct()
+    there = exists(spark, f"{top}/manifest/_SUCCESS")
+    absent = written(wanted.join(spark.read.schema(wanted.schema).parquet(f"{top}/manifest"), "date", "left_anti") if there else wanted)
+    rows = make(absent)
+    if not absent.isEmpty():
+        new = rows.select("*", F.col("date").alias("_date"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_date").parquet(f"{top}/rows")
+        absent.coalesce(1).write.mode("append").parquet(f"{top}/manifest")
+    if not exists(spark, f"{top}/rows"):
+        return rows
+    kept = spark.read.schema(rows.schema.add("_date", "date")).parquet(f"{top}/rows")
+    return kept.join(wanted.withColumnRenamed("date", "_date"), "_date", "left_semi").drop("_date")

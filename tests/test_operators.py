@@ -536,6 +536,24 @@ def test_models_come_back_and_short_years_end_the_run(spark, tmp_path):
         forecast.walk_forward(p, forecast.cutoffs(p, 2011), ["f"], 2, 2, least=97)
 
 
+def test_only_absent_dates_are_computed(spark, tmp_path):
+    asked = []
+
+    def make(dates):
+        got = sorted(r["date"] for r in dates.collect())
+        asked.append(got)
+        return dates.filter(F.col("date") != D(2020, 1, 2)).withColumn("x", F.dayofmonth("date") * 10)
+
+    frame = lambda *d: spark.createDataFrame([(x,) for x in d], "date date")
+    run = lambda content, *d: {r["date"]: r["x"] for r in sinks.kept_by_date(make, frame(*d), str(tmp_path), content).collect()}
+    a, b, c = D(2020, 1, 1), D(2020, 1, 2), D(2020, 1, 3)  # nothing is known of the second
+    assert run("v1", a, b, a) == {a: 10} == run("v1", a, b)
+    assert run("v1", a, b, c) == {a: 10, c: 30} and run("v1", c) == {c: 30}
+    assert asked == [[a, b], [], [c], []]
+    assert run("v2", c) == {c: 30} and asked[-1] == [c]
+    assert run("v3", b) == {} and run("v3", b) == {} and asked[-1] == []
+
+
 def test_leaks_of_forecasts_are_found(spark):
     d = D(2020, 1, 1)
     universe = spark.createDataFrame([(d, 1, D(2019, 12, 31)), (d, 2, d), (d, 3, D(2019, 12, 31)), (d, 4, D(2019, 12, 31))], "date date, asset int, history_end date")
