@@ -29,13 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of documents that links of 0.8 Jaccard similarity of five-word shingles tie together, the first stays.
 
     The first is that with the smallest id, a null id last; of equal rows one stays. Texts
-    without words are tied to nothing and stay.
+    without words are tied to nothing and stay. Very long texts count whole, and are not shuffled unless they may go.
     """
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; null texts hold none, an empty benchmark leaves all."""
+    """Documents that hold a benchmark item go; null texts hold none, an empty benchmark leaves all. Repeated rows go or stay together."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,7 +49,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences; a null or empty text is one piece of one token."""
+    """Token pieces with their places in sequences; a null or empty text is one piece of one token, each repeated row has its own."""
     return packing.pack_documents(docs)
 
 
