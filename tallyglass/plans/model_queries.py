@@ -227,7 +227,13 @@ def feature_panel(spark, sf_dir):
     return rounded(_feature_panel(spark, sf_dir), 5)
 
 
-@query("feature_panel_checks")
+@query(
+    "feature_panel_checks",
+    f"""WITH RECURSIVE {PANEL_WITH}, p0 AS ({PANEL_SQL}), c AS (SELECT (SELECT count(*) FROM (SELECT 1 FROM p0 GROUP BY date, asset HAVING count(*) > 1)) AS repeated_keys, count(*) FILTER (history_end IS NULL OR history_end >= date) AS history_not_prior,
+ count(*) FILTER (information_date >= date) AS information_not_prior, count(*) FILTER (latest_used_available > information_date) AS filing_not_available, count(*) FILTER (label_end < date) AS label_before_date,
+ count(*) FILTER (information_date IS NULL) AS no_snapshot FROM p0)
+SELECT name, n, n = 0 AS passed FROM (UNPIVOT c ON COLUMNS(*) INTO NAME name VALUE n)""",
+)
 def feature_panel_checks(spark, sf_dir):
     """Rows that break a guard of the panel: keys, order of dates, missing snapshots. (O-154)"""
     p = written(_feature_panel(spark, sf_dir))
