@@ -86,10 +86,15 @@ def ordered_fingerprints(df: DataFrame, group: str, order: list[str], row: Colum
     return terms.groupBy(group).agg(F.count("*").alias("n"), F.sum("t").cast("string").alias("digest"))
 
 
+def changed(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-11) -> DataFrame:
+    """The keys on which two results differ, or that one of them lacks. (O-167)"""
+    joined = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
+    return joined.filter(F.col("_a").isNull() | F.col("_b").isNull() | (F.abs(F.col("_a") - F.col("_b")) > tolerance)).select(*keys)
+
+
 def equal_results(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-11) -> bool:
     """Whether two results agree on every key; a zero strength must change nothing. (O-167)"""
-    joined = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
-    return not joined.filter(F.col("_a").isNull() | F.col("_b").isNull() | (F.abs(F.col("_a") - F.col("_b")) > tolerance)).limit(1).count()
+    return changed(a, b, keys, value, tolerance).isEmpty()
 
 
 class Manifest:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import backtest as ops
 from tallyglass.operators import experiment
-from tallyglass.plans.backtest_queries import METRICS_SQL, NET_SQL, SHOWN, _net
-from tallyglass.plans.panel_queries import rounded
+from tallyglass.plans.backtest_queries import CAP, GRID, METRICS_SQL, NET_SQL, QUALITY_TARGETS_SQL, SHOWN, TARGETS_SQL, _net, _quality_targets, _targets
+from tallyglass.plans.panel_queries import returns, rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources import readers, sinks
 from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, table
@@ -84,3 +84,35 @@ def cached_totals(spark, sf_dir):
     joined = orders.join(customers, F.col("c_custkey") == F.col("o_custkey"))
     make = lambda: joined.groupBy("segment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return sinks.content_cached(make, spark, sinks.kept_folder(spark, "totals"), content)
+
+
+@query(
+    "zero_strength_control",
+    f"""WITH a AS (WITH {QUALITY_TARGETS_SQL} SELECT date, asset, weight FROM targets WHERE strategy = '0.0'), b AS (WITH {TARGETS_SQL} SELECT date, asset, weight FROM targets WHERE strategy = 'diagonal')
+SELECT 'zero_strength_changes' AS name, count(*) FILTER (a.weight IS NULL OR b.weight IS NULL OR abs(a.weight - b.weight) > 1e-11) AS n, count(*) FILTER (a.weight IS NULL OR b.weight IS NULL OR abs(a.weight - b.weight) > 1e-11) = 0 AS passed
+FROM a FULL JOIN b ON a.date = b.date AND a.asset = b.asset""",
+)
+def zero_strength_control(spark, sf_dir):
+    """A quality penalty of no strength must leave the plain weights as they are. (O-167, O-170)"""
+    r = sinks.written(returns(spark, sf_dir))
+    zero = _quality_targets(spark, sf_dir, r)[0].filter("strategy = '0.0'").select("date", "asset", "weight")
+    plain = _targets(r).filter("strategy = 'diagonal'").select("date", "asset", "weight")
+    return experiment.audit({"zero_strength_changes": experiment.changed(zero, plain, ["date", "asset"], "weight")})
+
+
+_COUNTS = {"orders": "o_orderkey", "lineitem": "l_orderkey", "customer": "c_custkey"}
+
+
+@query(
+    "specification_differences",
+    "WITH n AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*)::VARCHAR AS rows, count(*) FILTER (o_orderstatus <> 'F')::VARCHAR AS later FROM {t}" if t == "orders" else f"SELECT '{t}', count(*)::VARCHAR, count(*)::VARCHAR FROM {t}" for t in _COUNTS)
+    + """) SELECT 'selected' AS part UNION ALL SELECT 'selected.strength' UNION ALL SELECT 'sources' WHERE EXISTS (SELECT 1 FROM n WHERE rows <> later)""",
+)
+def specification_differences(spark, sf_dir):
+    """A frozen specification against one with another strength, of no grid, and with fewer orders: what a run would be refused for. (O-165, O-166)"""
+    rows = {t: table(spark, sf_dir, t).count() for t in _COUNTS}
+    later = rows | {"orders": table(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").count()}
+    told = lambda counts, strength: experiment.Specification({"cap": CAP}, {"strength": list(GRID)}, {"strength": strength}, ["quality"], {k: str(v) for k, v in counts.items()}, list(_COUNTS))
+    found = experiment.differences(told(rows, GRID[0]), told(later, 0.75))
+    return spark.createDataFrame([(x,) for x in found], "part string")
