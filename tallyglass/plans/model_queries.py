@@ -251,6 +251,8 @@ def feature_panel_checks(spark, sf_dir):
 
 #: The first year with forecasts, and the rows that must have matured before it (the months of nations are few).
 FIRST_YEAR, LEAST = 1998, 50
+#: Trees of a fit here: the library's default is 300, of which each is a handful of Spark jobs whatever the rows.
+TREES = 60
 #: Candidates: depths of the trees, strengths of the forecast's penalty; the strength of the quality penalty.
 DEPTHS, ETAS, STRENGTH = (4, 6), (0.0, 0.25, 0.5, 1.0), 0.5
 
@@ -258,7 +260,7 @@ DEPTHS, ETAS, STRENGTH = (4, 6), (0.0, 0.25, 0.5, 1.0), 0.5
 def _predicted(p, name="full", depth=DEPTHS[0]):
     """Forecasts and importances by the trees of a feature set; fits are kept beside the shared folder, so queries that need the same one make it once."""
     kept = kept_folder(p.sparkSession, "models")
-    return forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), FEATURE_SETS[name], depth, least=LEAST, model_dir=kept)
+    return forecast.walk_forward(p, forecast.cutoffs(p, FIRST_YEAR), FEATURE_SETS[name], depth, TREES, least=LEAST, model_dir=kept)
 
 
 def _variances(p, depth=DEPTHS[0]):
