@@ -129,7 +129,8 @@ def leaks(predicted: DataFrame, universe: DataFrame) -> dict[str, DataFrame]:
 
     ``predicted``: date, asset, cutoff, last_label_end, variance; ``universe``: date, asset, history_end. (O-140)
     """
-    used = universe.join(predicted, ["date", "asset"], "left")
+    told = predicted.select("date", "asset", "cutoff", "last_label_end", "variance")
+    used = universe.select("date", "asset", "history_end").join(told, ["date", "asset"], "left")
     return {
         "fitted_after_formation": used.filter("cutoff > date"),
         "label_not_matured": used.filter("last_label_end >= cutoff"),

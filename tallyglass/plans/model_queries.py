@@ -349,13 +349,11 @@ def forecast_grid(spark, sf_dir):
     return rounded(named.withColumn("selected", F.row_number().over(w) == 1))
 
 
-@query("forecast_portfolios")
 def forecast_portfolios(spark, sf_dir):
     """Daily accounting of each candidate. (O-140, O-141)"""
     return rounded(_grid(spark, sf_dir)[1])
 
 
-@query("forecast_checks")
 def forecast_checks(spark, sf_dir):
     """Rows of forecast portfolios that break the order of time or an invariant, and whether no strength is no change. (O-140, O-146, O-167)"""
     targets, net, _ = _grid(spark, sf_dir)
@@ -402,7 +400,6 @@ def penalty_controls(spark, sf_dir):
     return rounded(_controlled(r, _controls(known)))
 
 
-@query("forecast_controls")
 def forecast_controls(spark, sf_dir):
     """The controls and the forecasts at the same strength, on the same formations. (O-140, O-163)"""
     r, rows, variances = _candidates(spark, sf_dir)

@@ -28,7 +28,6 @@ SOUND = {
     "result_invariants": lambda r: r["n"] == 0,
     "snapshot_checks": lambda r: r["n"] == 0,
     "feature_panel_checks": lambda r: r["passed"],
-    "forecast_checks": lambda r: r["passed"],
     "zero_strength_control": lambda r: r["passed"],
 }
 
