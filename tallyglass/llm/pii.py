@@ -14,8 +14,15 @@ counts only if meeting so often by chance is no likelier than ``chance`` (a boun
 Poisson tail with n(entity) n(term) / N lines expected), so an entity of one line has terms too.
 
 A pair meets in n(entity) lines at most, so only a term with n(term) <= N (n(entity) / N) **
-generalise_at can reach the threshold; bit tables of fixed size tell the tasks which words to
-count and to pair, and exact joins drop the rest.
+generalise_at can reach the threshold; a bit table whose size follows their number tells the
+tasks which words to count, and exact joins drop the rest.
+
+Lines of the same entities and terms are one line with a number, so copies cost no more than
+one of them. Entities of the very same lines have the same counts with every term, so they are
+one class; pairs are of class and term, met by joins on the line after the bound above. A line
+of many addresses that stand nowhere else is thus one class, not addresses x terms.
+
+A generalised term becomes the class of its shape (``shape``): a name, capitals or a word.
 
 Defined cases: a null text is empty and has no spans. Repeated rows each get their own
 spans; ids are passed through. An empty table gives an empty result.
@@ -33,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import Bits, fresh, gathered_bits, saved, slices, word_hash, word_hashes
+from tallyglass.llm.common import Bits, bits_for, fresh, gathered_bits, saved, slices, word_hash, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 TERM_KINDS = ("term", "term_removed")
@@ -48,8 +55,8 @@ WORD = re.compile(r"[^\W\d_]{2,}")
 DIGIT = re.compile(r"[0-9]")
 
 CHANCE, GENERALISE_AT, REMOVE_AT = 0.001, 0.75, 0.95
-#: Pairs of entity and term that a task hands on at once.
-PAIRS = 200_000
+#: A class of entities with more disclosing terms than these meets a document's own terms, not the whole list.
+LISTED = 256
 
 
 def luhn(digits: str) -> bool:
@@ -127,10 +134,12 @@ def signed(x: int) -> int:
 def passages(text: str, spans) -> list[tuple[int, int, list]]:
     """(start, end, spans in it) of the lines that hold spans."""
     out: dict[tuple[int, int], list] = {}
+    a, z = 0, -1
     for s in spans:
-        a = text.rfind("\n", 0, s[1]) + 1
-        z = text.find("\n", s[2])
-        out.setdefault((a, z if z >= 0 else len(text)), []).append(s)
+        if not a <= s[1] < s[2] <= z:  # else in the line of the span before
+            a, z = text.rfind("\n", 0, s[1]) + 1, text.find("\n", s[2])
+            z = z if z >= 0 else len(text)
+        out.setdefault((a, z), []).append(s)
     return [(a, z, v) for (a, z), v in out.items()]
 
 
@@ -198,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """n(term): the lines of all ``docs`` that have each term of ``terms`` (term)."""
-    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(terms, "term", 20).table)
+    bits = docs.sparkSession.sparkContext.broadcast(gathered_bits(terms, "term", bits_for(terms.count())).table)
 
     def run(batches):
         table = Bits.of(bits.value)
@@ -223,68 +232,86 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
-def met(scanned: DataFrame, wanted: DataFrame) -> DataFrame:
-    """entity, term: one row for each line with both, for the terms of ``wanted`` (term) and a few more."""
-    bits = scanned.sparkSession.sparkContext.broadcast(gathered_bits(wanted, "term").table)
+def lines_of(scanned: DataFrame) -> DataFrame:
+    """line, m, entities, terms: the different lines with entities, and how many lines each stands for."""
+    each = scanned.filter("base_spans <> ''").select(F.explode("passages").alias("p"))
+    return each.groupBy(F.xxhash64("p.entities", "p.terms").alias("line")).agg(F.count("*").alias("m"), F.first("p.entities").alias("entities"), F.first("p.terms").alias("terms"))
 
-    def run(batches):
-        known = Bits.of(bits.value)
-        for b in batches:
-            for lines in b.column("passages").to_pylist():
-                for line in lines:
-                    t = np.array(line["terms"], np.int64)
-                    t, e = t[known.has(t.view(np.uint64))], np.array(line["entities"], np.int64)
-                    step = max(1, PAIRS // max(1, len(t)))
-                    for at in range(0, len(e) if len(t) else 0, step):
-                        some = e[at : at + step]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(t))), pa.array(np.tile(t, len(some)))], names=["entity", "term"])
 
-    return scanned.filter("base_spans <> ''").select("passages").mapInArrow(run, "entity long, term long")
+def classes_of(lines: DataFrame) -> DataFrame:
+    """entity, n_entity, kin: entities with the same ``kin`` stand in the very same ``lines``."""
+    each = lines.select("line", "m", F.explode("entities").alias("entity"))
+    found = each.groupBy("entity").agg(F.sum("m").alias("n_entity"), *(F.bit_xor(F.xxhash64("line", F.lit(k))).alias(f"x{k}") for k in (1, 2)))
+    return found.select("entity", "n_entity", F.xxhash64("n_entity", "x1", "x2").alias("kin"))
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """entity, term, share for each pair of a term that tells too much about an entity."""
-    lines = scanned.select(F.explode("passages").alias("p"))
-    entities = saved(lines.select(F.explode("p.entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
-    total = float(scanned.agg(F.sum("n_lines")).first()[0] or 1)
-    most = entities.agg(F.max("n_entity")).first()[0] or 1
-    near = saved(lines.select(F.explode("p.terms").alias("term")).distinct())
+def told_by_class(docs: DataFrame, lines: DataFrame, kin: DataFrame, total: float, chance: float, generalise_at: float) -> DataFrame:
+    """kin, term, share for each pair of a term that tells too much about the entities of a class."""
+    most = kin.agg(F.max("n_entity")).first()[0] or 1
+    near = saved(lines.select(F.explode("terms").alias("term")).distinct())
     counts = saved(term_counts(docs, near).filter(F.col("n_term") <= total * (most / total) ** generalise_at * (1 + 1e-9)))
-    pairs = met(scanned, counts).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    told = pairs.join(counts, "term").join(entities, "entity").withColumn("n_term", F.greatest("n_term", "n_both"))
+    here = lines.select("line", "m", F.explode("entities").alias("entity")).join(kin, "entity").select("line", "m", "kin", "n_entity").distinct()
+    there = lines.select("line", F.explode("terms").alias("term")).join(counts, "term")
+    reach = F.col("n_term") <= F.lit(total) * F.pow(F.col("n_entity") / F.lit(total), F.lit(generalise_at)) * (1 + 1e-9)
+    met = here.join(there, "line").filter(reach)
+    pairs = met.groupBy("kin", "term").agg(F.sum("m").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    told = pairs.withColumn("n_term", F.greatest("n_term", "n_both"))
     expected = F.col("n_entity") * F.col("n_term") / F.lit(total)
     share = F.log2(F.col("n_both") / expected) / F.log2(F.lit(total) / F.col("n_entity"))
     # log of a bound of the chance of n_both lines or more: the Poisson term (Stirling below n!) and a geometric series
     k = F.col("n_both")
     tail = k * (1 + F.log(expected / k)) - expected - 0.5 * F.log(2 * math.pi * k) - F.log(1 - expected / (k + 1))
     sure = (F.col("n_both") > expected) & (tail <= math.log(chance))
-    return told.filter((F.col("n_entity") < total) & sure).select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
+    return told.filter((F.col("n_entity") < total) & sure).select("kin", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
+
+
+def _counted(scanned: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+    """``lines_of``, their ``classes_of`` and the number of all lines."""
+    lines = saved(lines_of(scanned))
+    return lines, saved(classes_of(lines)), float(scanned.agg(F.sum("n_lines")).first()[0] or 1)
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT) -> DataFrame:
+    """entity, term, share for each pair of a term that tells too much about an entity."""
+    lines, kin, total = _counted(scanned)
+    return told_by_class(docs, lines, kin, total, chance, generalise_at).join(kin, "kin").select("entity", "term", "share")
 
 
 def _parsed(listed: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in listed.split(",") if s)]
 
 
-def _told(marked: DataFrame, pairs: DataFrame) -> DataFrame:
-    """row, term, share of the disclosing ``pairs`` whose entity and term both stand in a document of ``marked``."""
-    bits = marked.sparkSession.sparkContext.broadcast(gathered_bits(pairs, "term").table)
+def _told(marked: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, term, share of the disclosing ``pairs`` of the classes that a document has: ``owners`` (row, kin).
+
+    A class of few pairs brings its whole list, whether the document has the terms or not. A
+    class of more than ``LISTED`` meets the document's own terms first.
+    """
+    sizes = pairs.groupBy("kin").agg(F.count("*").alias("n"))
+    sized = saved(owners.join(sizes, "kin"))
+    out = sized.filter(F.col("n") <= LISTED).select("row", "kin").join(pairs, "kin").select("row", "term", "share")
+    wide = sized.filter(F.col("n") > LISTED).select("row", "kin")
+    if wide.limit(1).count():
+        listed = pairs.join(sizes.filter(F.col("n") > LISTED).select("kin"), "kin", "left_semi")
+        own = _own_terms(marked.join(wide.select("row").distinct(), "row", "left_semi"), listed)
+        out = out.unionByName(wide.join(own, "row").join(listed, ["kin", "term"]).select("row", "term", "share"))
+    return out.groupBy("row", "term").agg(F.max("share").alias("share"))
+
+
+def _own_terms(marked: DataFrame, listed: DataFrame) -> DataFrame:
+    """row, term: the different terms of each document that are among those of ``listed``, and a few more."""
+    known = saved(listed.select("term").distinct())
+    bits = marked.sparkSession.sparkContext.broadcast(gathered_bits(known, "term", bits_for(known.count())).table)
 
     def run(batches):
-        known = Bits.of(bits.value)
+        table = Bits.of(bits.value)
         for b in slices(batches):
             for row, listed, text in zip(b.column("row").to_pylist(), b.column("base_spans").to_pylist(), b.column("marked").to_pylist()):
-                spans = _parsed(listed)
-                t = np.array(sorted({t for t, _, _ in terms(text, 0, len(text), spans)}), np.int64)
-                t = t[known.has(t.view(np.uint64))]
-                e = np.array(sorted({entity(k, text[x:y]) for k, x, y in spans}), np.int64)
-                step = max(1, PAIRS // max(1, len(t)))
-                for at in range(0, len(e) if len(t) else 0, step):
-                    some = e[at : at + step]
-                    n = len(some) * len(t)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row, np.int64)), pa.array(np.repeat(some, len(t))), pa.array(np.tile(t, len(some)))], names=["row", "entity", "term"])
+                t = np.array(sorted({t for t, _, _ in terms(text, 0, len(text), _parsed(listed))}), np.int64)
+                t = t[table.has(t.view(np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), row, np.int64)), pa.array(t)], names=["row", "term"])
 
-    both = marked.select("row", "base_spans", "marked").mapInArrow(run, "row long, entity long, term long")
-    return both.join(pairs, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    return marked.select("row", "base_spans", "marked").mapInArrow(run, "row long, term long").distinct()
 
 
 def spans(docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, scanned: DataFrame | None = None) -> DataFrame:
@@ -294,9 +321,12 @@ def spans(docs: DataFrame, chance: float = CHANCE, generalise_at: float = GENERA
     kind ``term`` (to generalise) and ``term_removed``.
     """
     scanned = saved(scan(docs)) if scanned is None else scanned
-    pairs = saved(disclosing(docs, scanned, chance, generalise_at))
+    lines, kin, total = _counted(scanned)
+    pairs = saved(told_by_class(docs, lines, kin, total, chance, generalise_at))
     marked = scanned.filter("base_spans <> ''").drop("passages", "n_lines")
-    told = _told(marked, pairs).withColumn("removed", F.col("share") >= remove_at)
+    inside = scanned.filter("base_spans <> ''").select("row", F.explode("passages").alias("p")).select("row", F.explode("p.entities").alias("entity"))
+    owners = inside.join(kin, "entity").select("row", "kin").distinct()
+    told = _told(marked, owners, pairs).withColumn("removed", F.col("share") >= remove_at)
     each = told.groupBy("row").agg(F.collect_list(F.struct("term", "removed")).alias("told"))
     names = ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base_spans"]
 
@@ -319,17 +349,25 @@ def find(docs: DataFrame) -> DataFrame:
     return spans(docs.select("doc_id", "text"))
 
 
-#: What stands for a span: of base kinds, and of generalised terms.
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "term_removed": ""}
+#: What stands for a span of a base kind, and for a removed term.
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term_removed": ""}
+
+
+def shape(term: str) -> str:
+    """The class that a generalised term becomes: capitals only, a capital first, or any other word (scripts without case too)."""
+    return "[CAPITALS]" if term.isupper() else "[NAME]" if term[:1].isupper() else "[WORD]"
 
 
 def rewrite(text: str, listed: str) -> str:
-    """``text`` with the spans of a ``spans`` string replaced; overlapping spans are merged under the first."""
+    """``text`` with the spans of a ``spans`` string replaced; overlapping spans are merged under the first.
+
+    Base spans become their kind, generalised terms the class of their ``shape``; removed terms go.
+    """
     parsed = sorted((int(a), -int(z), k) for k, a, z in (s.split(":") for s in listed.split(",") if s))
     out, at = [], 0
     for a, z, k in parsed:
         if a >= at:
-            out += [text[at:a], MASKS[k]]
+            out += [text[at:a], shape(text[a:-z]) if k == "term" else MASKS[k]]
             at = -z
         else:
             at = max(at, -z)

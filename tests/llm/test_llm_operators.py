@@ -509,6 +509,44 @@ def test_disclosing_terms_equal_the_plain_counts(spark):
     assert all(abs(got[k] - x) < 1e-9 for k, x in want.items())
 
 
+def test_a_line_of_ten_thousand_addresses_is_one_class(spark):
+    rng = random.Random(31)
+    names = [f"w{''.join(rng.choices('abcdefghij', k=9))}" for _ in range(300)]
+    line = " ".join(f"u{k}@x.org {names[k % 300]}" for k in range(10_000))
+    rows = [(1, line + "\n" + prose(rng, 10), "en"), (2, f"again {line}"[6:] + "\nother " + names[0], "en")]
+    rows += [(10 + k, "\n".join(prose(rng, 20) for _ in range(10)), "en") for k in range(200)]
+    docs = frame(spark, rows)
+    lines, kin, total = pii._counted(pii.scan(docs))
+    assert total == 2004 and [r["m"] for r in lines.collect()] == [2]
+    assert kin.count() == 10_000 and kin.select("kin").distinct().count() == 1
+    assert pii.told_by_class(docs, lines, kin, total, pii.CHANCE, pii.GENERALISE_AT).count() <= 300  # pairs, not 10,000 x 300
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert found[1]["n_email"] == found[2]["n_email"] == 10_000
+    text = dict((i, t) for i, t, _ in rows)
+    for i in (1, 2):
+        told = {text[i][int(a) : int(z)] for kind, a, z in (s.split(":") for s in found[i]["spans"].split(",")) if kind in pii.TERM_KINDS}
+        assert set(names) - {names[0]} <= told and not told & set(WORDS)
+
+
+def test_classes_of_many_pairs_meet_the_documents_own_terms(spark, monkeypatch):
+    rng = random.Random(32)
+    odd_words = ["Zorbliq", "Vexomir", "Quandel", "Trumbix", "Plorvane"]
+    rows = []
+    for k in range(120):
+        here = rng.sample(odd_words, 2) if k % 5 == 0 else []
+        rows.append((k, "\n".join([f"{prose(rng, 6)} {' '.join(here)} {'ask h@x.org' if here else ''} {prose(rng, 3)}", *(prose(rng, 9) for _ in range(4))]), "en"))
+    docs = frame(spark, rows)
+    want = {tuple(r) for r in pii.find(docs).select("doc_id", "spans").collect()}
+    assert any("term" in s for _, s in want)
+    monkeypatch.setattr(pii, "LISTED", 1)
+    assert {tuple(r) for r in pii.find(docs).select("doc_id", "spans").collect()} == want
+
+
+def test_generalised_terms_become_the_class_of_their_shape():
+    assert pii.rewrite("Anna NATO went x@y.zz", "email:15:21,term:0:4,term:5:9,term:10:14") == "[NAME] [CAPITALS] [WORD] [EMAIL]"
+    assert pii.rewrite("Anna went", "term_removed:0:4") == " went"
+
+
 def test_pii_of_odd_rows(odd, none):
     assert pii.find(odd).count() == 12
     out = pii.sanitise(odd)
