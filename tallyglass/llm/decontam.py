@@ -17,8 +17,10 @@ may share those only lets more through to the alignment.
    much: so a text meets an item's q-gram about 1 / ``edit_rate`` times at most.
 3. Those bands are verified by an alignment that visits the band's cells alone.
 
-The items are the query set. Steps 2 and 3 take them in blocks of ``BLOCK_BYTES``, each of which
-is searched for in the texts that step 1 left.
+The items are the query set. If their texts are ``BLOCK_BYTES`` at most, steps 2 and 3 know them all
+by a broadcast. More items are dealt into blocks of about that size by hash, in one plan whatever
+their number: a bit table of q-grams with their block says which blocks a text of step 1 may hold an
+item of, and it goes to those alone; a block that many texts go to is copied to several tasks.
 
 Defined cases: null texts match nothing; items of fewer than q characters (or null) cannot be
 evidence and match nothing; of several matches of an item in a text that with the fewest
@@ -38,11 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import MOST_BITS, Bits, apart, code_points, fresh, gathered_bits, kept, saved, text_chunks
+from tallyglass.llm.common import MOST_BITS, Bits, apart, code_points, fresh, gathered_bits, kept, mix64, saved, slices, text_chunks
 
 Q = 8
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
+#: Bytes of texts for which a block of items is copied to one more task.
+SLOT_BYTES = 256 << 20
 #: Pairs of equal q-grams of a text and the items that are looked at together.
 ENTRIES = 2_000_000
 #: Bits of the table of all q-grams for each of them.
@@ -256,25 +260,42 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text IS NOT NULL")
 
 
-def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of ``docs`` (any columns, with text) that may hold an item: the pre-test."""
+def _pretest(items: DataFrame, edit_rate: float) -> tuple[int, int, int] | None:
+    """(log2 of the bits of a table of all q-grams, hits, positions) of the pre-test; None if no item is long enough."""
 
     def lengths(batches):
         for b in batches:
             n = {len(item_text(t)) for t in b.column("text").to_pylist()}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(n), pa.int64())], names=["n"])
 
+    sizes = [r[0] for r in items.mapInArrow(lengths, "n long").distinct().collect() if r[0] >= Q]  # at most as many as the longest item has characters
+    if not sizes:
+        return None
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 1
+    return min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * total)))), *window(sizes, edit_rate)
+
+
+def dense_texts(hit: np.ndarray, need: int, reach: int, at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which texts have ``need`` hits within ``reach`` positions; a region that runs over a border counts for both texts."""
+    total = np.zeros(len(hit) + 1, np.int32)
+    np.cumsum(hit, out=total[1:])
+    dense = np.flatnonzero(total[np.minimum(np.arange(len(hit)) + reach, len(hit))] - total[:-1] >= need)
+    edges = np.concatenate([dense, np.minimum(dense + reach, len(at) - 1)])
+    return np.unique(np.searchsorted(begin, at[edges], "right") - 1)
+
+
+def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
+    """The rows of ``docs`` (any columns, with text) that may hold an item: the pre-test."""
+
     def all_grams(batch):
         for t in batch.column(0).to_pylist():
             yield grams(item_text(t))
 
     items = _items(benchmark)
-    sizes = [r[0] for r in items.mapInArrow(lengths, "n long").distinct().collect() if r[0] >= Q]  # at most as many as the longest item has characters
-    if not sizes:
+    test = _pretest(items, edit_rate)
+    if test is None:
         return docs.limit(0)
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 1
-    log2 = min(MOST_BITS, max(20, math.ceil(math.log2(BITS_EACH * total))))
-    need, reach = window(sizes, edit_rate)
+    log2, need, reach = test
     sent = docs.sparkSession.sparkContext.broadcast(gathered_bits(items, "text", log2, numbers=all_grams).table)
 
     def run(batches):
@@ -283,44 +304,93 @@ def suspects(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE
             keep = np.zeros(b.num_rows, bool)
             for first, _, offsets, data in text_chunks(b):
                 clean, at, lead = normalised(data)
-                hit = bits.has(grams(clean))
-                total = np.zeros(len(hit) + 1, np.int32)
-                np.cumsum(hit, out=total[1:])
-                dense = np.flatnonzero(total[np.minimum(np.arange(len(hit)) + reach, len(hit))] - total[:-1] >= need)
-                if len(dense):
-                    begin = np.searchsorted(lead, offsets[:-1])  # a region that runs over a border counts for both texts
-                    for edge in (dense, np.minimum(dense + reach, len(at) - 1)):
-                        keep[first + np.unique(np.searchsorted(begin, at[edge], "right") - 1)] = True
+                keep[first + dense_texts(bits.has(grams(clean)), need, reach, at, np.searchsorted(lead, offsets[:-1]))] = True
             yield from kept(b, keep)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def blocks_of(benchmark: DataFrame, size: int = BLOCK_BYTES):
-    """The items in blocks of about ``size`` bytes of text, one at a time on the driver."""
-    held, n = [], 0
-    for r in _items(benchmark).toLocalIterator():
-        held.append((r[0], r[1]))
-        n += len(r[1].encode())
-        if n >= size:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 MATCHES = "doc_id long, key long, item_id long, edits int, start int, end int"
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float, block_bytes: int) -> DataFrame:
     """``matches`` with ``key``, a hash of the text."""
+    items = _items(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = saved(suspects(rows, benchmark, edit_rate).withColumn("key", F.xxhash64("text")))
-    out = None
-    for items in blocks_of(benchmark, block_bytes):
-        part = rows.mapInArrow(_searcher(docs.sparkSession, items, edit_rate), MATCHES)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= block_bytes:
+        return rows.mapInArrow(_searcher(docs.sparkSession, [tuple(r) for r in items.collect()], edit_rate), MATCHES)
+    return _matches_by_blocks(rows, items, edit_rate, math.ceil(size / block_bytes))
+
+
+def _matches_by_blocks(rows: DataFrame, items: DataFrame, edit_rate: float, blocks: int) -> DataFrame:
+    """``MATCHES`` of ``rows`` (doc_id, text, key) with the ``items``, dealt into ``blocks``.
+
+    Each block and slot is a task's run of rows, its items first, then the texts: the task
+    builds the index when the first text comes and keeps no text.
+    """
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    texts = saved(_sent_to(rows, items, edit_rate, blocks))
+    slots = texts.groupBy("block").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(SLOT_BYTES)).cast("int").alias("slots"))
+    slots = saved(slots.withColumn("slots", F.greatest("slots", F.lit(1))))
+    copies = items.join(slots, "block").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    copies = copies.select("block", "slot", F.lit(0).alias("kind"), F.col("item_id").alias("id"), F.lit(0).cast("long").alias("key"), "text")
+    searched_in = texts.join(slots, "block").withColumn("slot", F.pmod(F.xxhash64("doc_id", "key"), F.col("slots")).cast("int"))
+    searched_in = searched_in.select("block", "slot", F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "key", "text")
+    dealt = copies.unionByName(searched_in).repartition("block", "slot").sortWithinPartitions("block", "slot", "kind")
+
+    def run(batches):
+        now, held, index = None, [], None
+        for b in batches:
+            marks = np.stack([b.column(c).to_numpy() for c in ("block", "slot", "kind")])
+            edges = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(0))).tolist() if b.num_rows else []
+            for first, last in zip(edges, [*edges[1:], b.num_rows]):
+                block, slot, kind = marks[:, first].tolist()
+                some = b.slice(first, last - first)
+                if (block, slot) != now:
+                    now, held, index = (block, slot), [], None
+                if kind == 0:
+                    held += zip(some.column("id").to_pylist(), some.column("text").to_pylist())
+                else:
+                    index = index or Index(held, edit_rate)
+                    yield from found_in(index, some, "id")
+
+    return dealt.mapInArrow(run, MATCHES)
+
+
+def _sent_to(rows: DataFrame, items: DataFrame, edit_rate: float, blocks: int) -> DataFrame:
+    """doc_id, key, text, block: each of ``rows`` with the blocks of ``items`` (text, block) that it may hold an item of."""
+    schema = "doc_id long, key long, text string, block int"
+    test = _pretest(items, edit_rate)
+    if test is None:
+        return rows.select("doc_id", "key", "text", F.lit(0).alias("block")).limit(0)
+    log2, need, reach = test
+
+    def of_block(g: np.ndarray, block: int) -> np.ndarray:
+        return mix64(g ^ (np.uint64(block + 1) * _GOLD))
+
+    def all_grams(batch):
+        both = batch.column(0)
+        for t, block in zip(both.field("text").to_pylist(), both.field("block").to_pylist()):
+            yield of_block(grams(item_text(t)), block)
+
+    table = gathered_bits(items.select(F.struct("text", "block").alias("both")), "both", log2, numbers=all_grams).table
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        bits = Bits.of(sent.value)
+        for b in slices(batches):
+            for first, _, offsets, data in text_chunks(b):
+                clean, at, lead = normalised(data)
+                g, begin = grams(clean), np.searchsorted(lead, offsets[:-1])
+                for block in range(blocks):
+                    which = dense_texts(bits.has(of_block(g, block)), need, reach, at, begin)
+                    if len(which):
+                        some = b.take(pa.array(first + which))
+                        yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "key", "text")), pa.array(np.full(len(which), block, np.int32))], names=["doc_id", "key", "text", "block"])
+
+    return rows.select("doc_id", "key", "text").mapInArrow(run, schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -336,6 +406,17 @@ def built(name: str, sent, edit_rate: float) -> Index:
     return _BUILT[name]
 
 
+def found_in(index: Index, b: pa.RecordBatch, name: str = "doc_id"):
+    """``MATCHES`` of the texts of a batch, whose ids are its column ``name``."""
+    rows = []
+    ids, keys = b.column(name).to_pylist(), b.column("key").to_pylist()
+    for first, _, offsets, data in text_chunks(b):
+        rows += [(ids[first + t], keys[first + t], *found) for t, *found in search(index, data, offsets)]
+    if rows:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "key", "item_id", "edits", "start", "end"])
+
+
 def _searcher(spark, items, edit_rate: float):
     sent = spark.sparkContext.broadcast(items)
     name = uuid.uuid4().hex
@@ -343,13 +424,7 @@ def _searcher(spark, items, edit_rate: float):
     def run(batches):
         index = built(name, sent, edit_rate)
         for b in batches:
-            rows = []
-            ids, keys = b.column("doc_id").to_pylist(), b.column("key").to_pylist()
-            for first, _, offsets, data in text_chunks(b):
-                rows += [(ids[first + t], keys[first + t], *found) for t, *found in search(index, data, offsets)]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "key", "item_id", "edits", "start", "end"])
+            yield from found_in(index, b)
 
     return run
 

@@ -829,6 +829,42 @@ def test_banded_alignment_equals_the_whole_table(item, text, k):
         assert edits == near and edit_distance_within(text[a:z], item) <= max(edits, 0) + abs(len(item) - (z - a))
 
 
+def test_fifty_blocks_of_items_are_one_plan_and_planted_passages_are_found(spark):
+    rng = random.Random(40)
+    items = [(i, prose(rng, rng.randrange(15, 60))) for i in range(300)]
+    docs, planted = [], set()
+    for k in range(400):
+        text = prose(rng, 120)
+        if k % 4 == 0:
+            for i in rng.sample(range(300), 2):
+                passage = list(items[i][1])
+                for _ in range(int(len(passage) * 0.04)):  # within the budget of edits
+                    passage[rng.randrange(len(passage))] = rng.choice("qxz")
+                text += ". " + "".join(passage) + ". " + prose(rng, 20)
+                planted.add((k, i))
+        docs.append((k, text, "en"))
+    docs = frame(spark, docs)
+    benchmark = spark.createDataFrame([*items, (900, None), (901, ""), (902, "short")], "item_id long, text string")
+    size = sum(len(t) for _, t in items)
+    whole = decontam.matches(docs, benchmark)
+    blocks = decontam.matches(docs, benchmark, block_bytes=size // 49)
+    want = {tuple(r) for r in whole.collect()}
+    assert planted <= {(r[0], r[1]) for r in want}  # recall 1 on what is planted
+    assert {tuple(r) for r in blocks.collect()} == want
+    plan = [decontam.matches(docs, benchmark, block_bytes=size // n)._jdf.queryExecution().simpleString() for n in (4, 49)]
+    assert plan[0].count("MapInArrow") == plan[1].count("MapInArrow") and "Union" in plan[1]
+
+
+def test_a_block_that_many_texts_go_to_is_copied_to_several_tasks(spark, monkeypatch):
+    rng = random.Random(41)
+    items = [(i, prose(rng, 30)) for i in range(20)]
+    docs = frame(spark, [(k, f"{prose(rng, 20)}. {items[k % 2][1]}. {prose(rng, 20)}" if k % 3 else prose(rng, 40), "en") for k in range(150)])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in decontam.matches(docs, benchmark).collect()}
+    monkeypatch.setattr(decontam, "SLOT_BYTES", 2_000)
+    assert len(want) >= 100 and {tuple(r) for r in decontam.matches(docs, benchmark, block_bytes=500).collect()} == want
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "a null id here"), (2, None)], "item_id long, text string")
     assert [r["doc_id"] for r in decontam.matches(odd, bench).collect()] == [None]
