@@ -14,7 +14,8 @@ within its level by further bits of the hash, and in the lowest level follows th
 distribution's tail, c**2 / 2, to any depth. So a draw costs one hash and hardly ever a
 logarithm. The order of a and the sample's identity are packed in one number (upper bits
 the order, lower bits a hash of term and t), whose minimum finds both; each text needs one
-pass of plain sums and minima, within whole-stage code.
+pass of plain sums and minima, within whole-stage code. Each term is told ``BLOCK`` samples at
+a time: code for all of them at once would be larger than what a core keeps at hand.
 
 A fingerprint has ``BYTES`` bytes for each sample and is told as hexadecimal digits; the
 likeness of two is the share of equal samples, less the share that meets by chance.
@@ -37,6 +38,8 @@ from pyspark.sql import functions as F
 from tallyglass.llm.common import saved
 
 SAMPLES, BYTES = 64, 2
+#: Samples that one row draws; a term has a row for each block of them.
+BLOCK = 8
 LEVELS = 128
 #: Stands for a null id within the operator.
 NO_ID = -(1 << 63)
@@ -70,9 +73,9 @@ class Draws:
         self.low = numbers([edge[0], *edge[:-1]])
         self.step = numbers([0.0, *(b - a for a, b in zip(edge, edge[1:]))])
 
-    def sample(self, term: Column, log_weight: Column, k: int) -> Column:
-        """The packed draw of a term (a 64-bit hash) with a weight for sample k; the smallest wins."""
-        h = F.xxhash64(term, F.lit(k))
+    def sample(self, term: Column, log_weight: Column, k: Column) -> Column:
+        """The packed draw of a term (a 64-bit hash) with a weight for sample k (int); the smallest wins."""
+        h = F.xxhash64(term, k)
         part = lambda shift, mask: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(mask))
         unit = F.lit(2.0**-16)
         spoke = part(48, LEVELS - 1).cast("int")
@@ -88,7 +91,7 @@ class Draws:
 
 
 def fingerprints(texts: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys``, fingerprint (binary) and last, of each row of ``texts`` (keys, text, number).
+    """``keys``, fingerprint (binary) and last, of each row of ``texts`` (keys, text, number); ``samples`` is a multiple of ``BLOCK``.
 
     Rows with ``number`` are no texts but hexadecimal numbers, which come back as ``last``: so
     digests can travel along with their texts, which are read once. Texts without words are
@@ -98,10 +101,13 @@ def fingerprints(texts: DataFrame, *keys: str, samples: int = SAMPLES) -> DataFr
     words = texts.select(*keys, "number", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).filter("w <> ''")
     term = F.when(F.col("number"), F.conv("w", 16, 10).cast("long")).otherwise(F.xxhash64("w"))
     weighted = words.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n")).select(*keys, "term", F.log(F.col("n").cast("double")).alias("lw"))
-    lowest = (F.min(draws.sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(samples))
-    least = weighted.groupBy(*keys).agg(*lowest, F.max("term").alias("last"))
-    digits = [F.lpad(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 8 * BYTES) - 1))), 2 * BYTES, "0") for k in range(samples)]
-    return least.select(*keys, F.unhex(F.concat(*digits)).alias("fingerprint"), "last")
+    blocks = F.explode(F.array(*(F.lit(k) for k in range(0, samples, BLOCK)))).alias("block")
+    lowest = (F.min(draws.sample(F.col("term"), F.col("lw"), F.col("block") + F.lit(i))).alias(f"s{i}") for i in range(BLOCK))
+    least = weighted.select(*keys, "term", "lw", blocks).groupBy(*keys, "block").agg(*lowest, F.max("term").alias("last"))
+    digits = [F.lpad(F.hex(F.col(f"s{i}").bitwiseAND(F.lit((1 << 8 * BYTES) - 1))), 2 * BYTES, "0") for i in range(BLOCK)]
+    parts = least.select(*keys, F.struct("block", F.concat(*digits).alias("digits")).alias("part"), "last")
+    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("last").alias("last"))  # samples / BLOCK parts
+    return whole.select(*keys, F.unhex(F.array_join("parts.digits", "")).alias("fingerprint"), "last")
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
