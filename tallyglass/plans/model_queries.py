@@ -329,10 +329,11 @@ def _required(forecasts, eta):
 
 
 def _grid(spark, sf_dir):
+    """(targets, net returns, metrics) of all candidates, and the rows and forecasts that they rest on."""
     r, rows, variances = _candidates(spark, sf_dir)
     met = rows.join(variances.select("date", "asset", "depth", F.col("variance").alias("forecast")), ["date", "asset", "depth"], "left")
     penalty = ops.quality_penalty(F.col("variance"), F.col("quality"), F.lit(STRENGTH)) + _required(F.col("forecast"), F.col("eta"))
-    return _backtest(r, met, penalty, F.concat_ws(";", F.col("depth").cast("string"), F.col("eta").cast("string")))
+    return *_backtest(r, met, penalty, F.concat_ws(";", F.col("depth").cast("string"), F.col("eta").cast("string"))), rows, variances
 
 
 @query("forecast_grid")
@@ -349,15 +350,16 @@ def forecast_grid(spark, sf_dir):
     return rounded(named.withColumn("selected", F.row_number().over(w) == 1))
 
 
+@query("forecast_portfolios")
 def forecast_portfolios(spark, sf_dir):
     """Daily accounting of each candidate. (O-140, O-141)"""
     return rounded(_grid(spark, sf_dir)[1])
 
 
+@query("forecast_checks")
 def forecast_checks(spark, sf_dir):
     """Rows of forecast portfolios that break the order of time or an invariant, and whether no strength is no change. (O-140, O-146, O-167)"""
-    targets, net, _ = _grid(spark, sf_dir)
-    _, rows, variances = _candidates(spark, sf_dir)
+    targets, net, _, rows, variances = _grid(spark, sf_dir)
     first = DEPTHS[0]
     used = rows.filter((F.col("depth") == first) & (F.col("eta") == 0))
     checks = {f"depth_{d}_{k}": df for d in DEPTHS for k, df in forecast.leaks(variances.filter(F.col("depth") == d), used).items()}
@@ -400,6 +402,7 @@ def penalty_controls(spark, sf_dir):
     return rounded(_controlled(r, _controls(known)))
 
 
+@query("forecast_controls")
 def forecast_controls(spark, sf_dir):
     """The controls and the forecasts at the same strength, on the same formations. (O-140, O-163)"""
     r, rows, variances = _candidates(spark, sf_dir)
