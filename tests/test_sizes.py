@@ -51,7 +51,7 @@ def test_facts_dealt_by_issuer_are_not_shuffled_again(spark):
     issuers = facts_queries._issuers(spark, SF)
     prepared = facts.prepared(told)
     dealt = r"Exchange hashpartitioning\((?!l_orderkey|o_orderkey)[^)]*\), ENSURE"
-    for df in (prepared, facts.picks(facts.visible(prepared, forms)), facts.snapshots(prepared, issuers, forms), facts.filing_history(prepared, forms)):
+    for df in (prepared, facts.picks(facts.visible(prepared, forms)), facts.snapshots(prepared, issuers, forms), facts.filing_history(prepared, forms), facts.sifted(told)):
         assert not re.search(dealt, plan(df))
 
 
@@ -61,6 +61,6 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
     assert views.parts(spark, SF) == max(spark.sparkContext.defaultParallelism, 1 + lines // 100)
 
 
-@pytest.mark.parametrize("name", ["facts_before_cutoff", "asof_picks", "revenue_growth", "fundamental_snapshots"])
+@pytest.mark.parametrize("name", ["fact_rejections", "facts_before_cutoff", "asof_picks", "revenue_growth", "fundamental_snapshots"])
 def test_queries_of_facts_shuffle_lines_not_facts(spark, name):
     assert not re.search(r"Exchange hashpartitioning\((ok#\d+, )?issuer#\d+L?, [a-z_]\w*#", plan(QUERIES[name](spark, SF)))
