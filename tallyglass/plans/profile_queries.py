@@ -9,7 +9,7 @@ from tallyglass.operators import facts as facts_ops
 from tallyglass.plans.panel_queries import rounded
 from tallyglass.operators import experiment
 from tallyglass.plans.registry import query
-from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, table
+from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, parts, table
 
 
 @query(
@@ -103,7 +103,12 @@ def duplicate_lines(spark, sf_dir):
 )
 def repeated_publications(spark, sf_dir):
     """Periods that were published more than once, and whether values changed. (O-62, O-63)"""
-    g = facts(spark, sf_dir).groupBy("issuer", "metric", "end").agg(F.count("*").alias("n"), F.count_distinct("accn").alias("accessions"), F.count_distinct("filed").alias("filings"), F.count_distinct("value").alias("distinct_values"), F.min("filed").alias("a"), F.max("filed").alias("b"))
+    f = facts(spark, sf_dir, parts(spark, sf_dir)).select("issuer", "metric", "end", "accn", "filed", "value")
+    told = {"accessions": "accn", "filings": "filed", "distinct_values": "value"}
+    # the first row of each value is counted: several count_distincts would copy every row for each, and shuffle the copies
+    first = lambda c: (F.row_number().over(Window.partitionBy("issuer", "metric", "end", c).orderBy(F.lit(1))) == 1) & F.col(c).isNotNull()
+    marked = f.select("*", *(first(c).alias(f"_{k}") for k, c in told.items()))
+    g = marked.groupBy("issuer", "metric", "end").agg(F.count("*").alias("n"), *(F.count_if(f"_{k}").alias(k) for k in told), F.min("filed").alias("a"), F.max("filed").alias("b"))
     return g.filter("accessions > 1 OR filings > 1").select("issuer", "metric", "end", "n", "accessions", "filings", "distinct_values", ((F.col("distinct_values") > 1) & (F.col("b") > F.col("a"))).alias("restated"))
 
 

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tallyglass.operators import facts
-from tallyglass.plans import facts_queries
+from tallyglass.plans import facts_queries, profile_queries  # noqa: F401
 from tallyglass.plans.registry import QUERIES
 from tallyglass.sources import views
 
@@ -61,6 +61,6 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
     assert views.parts(spark, SF) == max(spark.sparkContext.defaultParallelism, 1 + lines // 100)
 
 
-@pytest.mark.parametrize("name", ["fact_rejections", "facts_before_cutoff", "asof_picks", "revenue_growth", "fundamental_snapshots"])
+@pytest.mark.parametrize("name", ["repeated_publications", "fact_rejections", "facts_before_cutoff", "asof_picks", "revenue_growth", "fundamental_snapshots"])
 def test_queries_of_facts_shuffle_lines_not_facts(spark, name):
     assert not re.search(r"Exchange hashpartitioning\((ok#\d+, )?issuer#\d+L?, [a-z_]\w*#", plan(QUERIES[name](spark, SF)))
