@@ -10,7 +10,7 @@ from tallyglass.plans.backtest_queries import CAP, GRID, METRICS_SQL, NET_SQL, Q
 from tallyglass.plans.panel_queries import returns, rounded
 from tallyglass.plans.registry import query
 from tallyglass.sources import readers, sinks
-from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, table
+from tallyglass.sources.views import BARS_SQL, FACTS_SQL, bars, facts, parts, table
 
 #: The splits' first dates; the last one is open.
 SPLITS = {"train": "1995-01-01", "validation": "1998-01-01", "test": "2000-01-01"}
@@ -30,19 +30,24 @@ def price_splits(spark, sf_dir):
     return rounded(readers.prices(spark, paths))
 
 
+def _filings(told_by):
+    """path, value: each issuer's facts as one nested document."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    told = F.struct(text("start").alias("start"), text("end").alias("end"), F.col("value").alias("val"), F.col("accn").cast("string").alias("accn"), F.year("end").alias("fy"), "form", text("filed").alias("filed"))
+    of_concept = told_by.groupBy("issuer", "concept", "metric").agg(F.collect_list(told).alias("rows"))
+    entry = F.struct("concept", F.struct(F.col("metric").alias("label"), F.create_map(F.lit("USD"), F.col("rows")).alias("units")))
+    of_issuer = of_concept.groupBy("issuer").agg(F.map_from_entries(F.collect_list(entry)).alias("concepts"))
+    document = F.to_json(F.struct(F.col("issuer").alias("cik"), F.lit("issuer").alias("entityName"), F.create_map(F.lit("us-gaap"), F.col("concepts")).alias("facts")))
+    return of_issuer.select(F.concat(F.lit("CIK"), F.col("issuer").cast("string"), F.lit(".json")).alias("path"), document.alias("value"))
+
+
 @query(
     "filings_flat",
     f"""WITH {FACTS_SQL} SELECT issuer AS cik, concept, metric AS label, 'USD' AS unit, start, "end", value, accn::VARCHAR AS accn, form, filed, year("end")::INT AS fy FROM facts0""",
 )
 def filings_flat(spark, sf_dir):
     """Each issuer's facts as one nested document of a filing archive, and flat again by its schema. (O-5, O-6)"""
-    text = lambda c: F.date_format(c, "yyyy-MM-dd")
-    told = F.struct(text("start").alias("start"), text("end").alias("end"), F.col("value").alias("val"), F.col("accn").cast("string").alias("accn"), F.year("end").alias("fy"), "form", text("filed").alias("filed"))
-    of_concept = facts(spark, sf_dir).groupBy("issuer", "concept", "metric").agg(F.collect_list(told).alias("rows"))
-    entry = F.struct("concept", F.struct(F.col("metric").alias("label"), F.create_map(F.lit("USD"), F.col("rows")).alias("units")))
-    of_issuer = of_concept.groupBy("issuer").agg(F.map_from_entries(F.collect_list(entry)).alias("concepts"))
-    document = F.to_json(F.struct(F.col("issuer").alias("cik"), F.lit("issuer").alias("entityName"), F.create_map(F.lit("us-gaap"), F.col("concepts")).alias("facts")))
-    raw = sinks.written(of_issuer.select(F.concat(F.lit("CIK"), F.col("issuer").cast("string"), F.lit(".json")).alias("path"), document.alias("value")))
+    raw = sinks.written(_filings(facts(spark, sf_dir, parts(spark, sf_dir))))
     flat = readers.flat_facts(readers.parsed(raw, F.col("value")))
     return flat.select("cik", "concept", "label", "unit", "start", "end", "value", "accn", "form", "filed", "fy")
 

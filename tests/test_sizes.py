@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tallyglass.operators import facts
-from tallyglass.plans import facts_queries, profile_queries  # noqa: F401
+from tallyglass.plans import facts_queries, profile_queries, storage_queries  # noqa: F401
 from tallyglass.plans.registry import QUERIES
 from tallyglass.sources import views
 
@@ -64,3 +64,7 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["repeated_publications", "fact_rejections", "facts_before_cutoff", "asof_picks", "revenue_growth", "fundamental_snapshots"])
 def test_queries_of_facts_shuffle_lines_not_facts(spark, name):
     assert not re.search(r"Exchange hashpartitioning\((ok#\d+, )?issuer#\d+L?, [a-z_]\w*#", plan(QUERIES[name](spark, SF)))
+
+
+def test_documents_of_filings_shuffle_lines_not_facts(spark):
+    assert not re.search(r"Exchange hashpartitioning\(issuer#\d+L?, \w+#", plan(storage_queries._filings(views.facts(spark, SF, 4))))
