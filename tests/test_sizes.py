@@ -68,3 +68,22 @@ def test_queries_of_facts_shuffle_lines_not_facts(spark, name):
 
 def test_documents_of_filings_shuffle_lines_not_facts(spark):
     assert not re.search(r"Exchange hashpartitioning\(issuer#\d+L?, \w+#", plan(storage_queries._filings(views.facts(spark, SF, 4))))
+
+
+def test_the_rules_of_time_are_checked_in_one_pass(spark):
+    d = lambda *x: dt.date(*x)
+    rows = [(1, d(2020, 1, 2), d(2020, 1, 1), d(2019, 5, 1), d(2019, 5, 2)), (1, d(2020, 1, 2), d(2020, 1, 2), d(2020, 1, 2), d(2020, 1, 3)), (2, d(2020, 1, 2), d(2020, 1, 1), None, None)]
+    panel_ = spark.createDataFrame(rows, "issuer long, date date, information date, latest_used_filed date, latest_used_available date")
+    assert {r["name"]: r["n"] for r in facts.leaks(panel_).collect()} == {"repeated_keys": 1, "used_before_available": 1, "information_not_prior": 1, "filed_not_prior": 1}
+    assert [r["n"] for r in facts.leaks(panel_.filter("false")).collect()] == [0, 0, 0, 0]
+    assert len(re.findall(r"explode\(sequence", facts.leaks(facts_queries._snapshots(spark, SF, filings=False))._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_facts_are_not_dealt_to_months_without_formations(spark):
+    rows = [(i, "assets", "assets_0", 1.0, d, d, d, i, 0, "10-K") for i, d in enumerate([dt.date(1996, 1, 1), dt.date(1996, 3, 31), dt.date(1996, 12, 31)])]
+    told = facts.prepared(spark.createDataFrame(rows, "issuer long, metric string, concept string, value double, start date, end date, filed date, accn long, priority int, form string"))
+    forms = spark.createDataFrame([(dt.date(y, m, 3), dt.date(y, m, 2)) for y in range(1995, 2000) for m in (1, 4, 7, 10)], "date date, information date")
+    got = {(r["issuer"], r["date"]) for r in facts.visible(told, forms).collect()}
+    assert got == {(r["issuer"], f["date"]) for r in told.collect() for f in forms.collect() if r["available"] <= f["information"] and r["end"] >= f["date"] - dt.timedelta(facts.MAX_AGE)}
+    dealt = facts.visible(told, forms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "month(" not in dealt and "explode(sequence" in dealt
