@@ -87,3 +87,33 @@ def test_facts_are_not_dealt_to_months_without_formations(spark):
     assert got == {(r["issuer"], f["date"]) for r in told.collect() for f in forms.collect() if r["available"] <= f["information"] and r["end"] >= f["date"] - dt.timedelta(facts.MAX_AGE)}
     dealt = facts.visible(told, forms)._jdf.queryExecution().optimizedPlan().toString()
     assert "month(" not in dealt and "explode(sequence" in dealt
+
+
+def test_means_of_quality_equal_those_of_its_issuers_and_no_rank_goes_back(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    value = lambda: r.choice([None, 0.0, 1.0, -2.0, r.gauss(0, 1), r.gauss(0, 1)])
+    rows = [(i, (None, 1, 2, 3)[i % 4], dt.date(2020, m, 1), *((None,) * 9 if i % 4 == 3 else (value() for _ in facts.RATIOS)), (i % 10) / 10, float(i), dt.date(2020, 1, 1 + i % 20)) for i in range(300) for m in (1, 4)]
+    df = spark.createDataFrame(rows, "issuer long, asset int, date date, " + ", ".join(f"{k} double" for k in facts.RATIOS) + ", missing double, known_filings double, latest date")
+    told = facts.mean_quality(df, "asset", ["roa", "known_filings"], ["latest"])
+    assert not re.search(r"Exchange hashpartitioning\((issuer|asset)", plan(told)) and "issuer" not in plan(told)
+    got = {(x["date"], x["asset"]): x.asDict() for x in told.collect()}
+    want = facts.quality(df).groupBy("date", "asset").agg(*(F.avg(c).alias(c) for c in ("roa", "known_filings", "score", "coverage")), F.max("latest").alias("latest")).collect()
+    assert len(got) == len(want) == 8
+    for x in want:
+        for c, v in x.asDict().items():
+            assert got[x["date"], x["asset"]][c] == (pytest.approx(v, abs=1e-12) if isinstance(v, float) else v), c
+
+
+def test_snapshots_meet_their_ranks_in_partitions_that_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(facts, "ROWS", 10, raising=False)
+    df = spark.createDataFrame([(i, dt.date(2020, 1, 1), *(float(i),) * 9, 0.0) for i in range(300)], "issuer long, date date, " + ", ".join(f"{k} double" for k in facts.RATIOS) + ", missing double")
+    assert plan(facts.quality(df)).count("hashpartitioning(issuer#") >= 2 and re.search(r"hashpartitioning\(issuer#\d+L, date#\d+, 31\)", plan(facts.quality(df)))
+
+
+def test_quality_alone_takes_no_history_of_filings(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(facts, "filing_history", lambda *a: asked.append(a))
+    forms = spark.createDataFrame([(dt.date(1997, 1, 2),)], "date date")
+    assert {r["quality"] > 0 for r in facts_queries.nation_quality(spark, SF, forms).collect()} == {True} and asked == []
