@@ -117,3 +117,26 @@ def test_quality_alone_takes_no_history_of_filings(spark, monkeypatch):
     monkeypatch.setattr(facts, "filing_history", lambda *a: asked.append(a))
     forms = spark.createDataFrame([(dt.date(1997, 1, 2),)], "date date")
     assert {r["quality"] > 0 for r in facts_queries.nation_quality(spark, SF, forms).collect()} == {True} and asked == []
+
+
+def test_the_history_of_filings_is_added_up_apart_from_snapshots(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    asked, whole = [], facts.snapshots
+    monkeypatch.setattr(facts, "snapshots", lambda *a, **k: asked.append([*a[3:], *k.values()]) or whole(*a, **k))
+    forms = spark.createDataFrame([(dt.date(y, m, 2),) for y in (1992, 1994, 1997) for m in (1, 7)], "date date")
+    got = {(r["date"], r["asset"]): r for r in facts_queries.nation_fundamentals(spark, SF, forms).collect()}
+    assert asked == [[False]]
+    n = views.parts(spark, SF)
+    issuers = facts_queries._issuers(spark, SF, F.col("c_nationkey").cast("int").alias("asset"))
+    told = whole(facts.prepared(views.facts(spark, SF, n)), issuers, forms.withColumn("information", F.date_sub("date", 1)))
+    want = told.groupBy("date", "asset").agg(F.avg("known_filings").alias("known_filings"), F.avg("amended").alias("amended"), F.avg("missing").alias("missing")).collect()
+    assert len(got) == len(want) and any(r["known_filings"] for r in want) and any(r["known_filings"] == 0 and r["amended"] is None for r in want)
+    for r in want:
+        for c in ("known_filings", "amended", "missing"):
+            assert got[r["date"], r["asset"]][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-12)), c
+
+
+def test_filings_are_grouped_without_another_sort_of_facts(spark):
+    forms = spark.createDataFrame([(dt.date(1997, 1, 2), dt.date(1997, 1, 1))], "date date, information date")
+    assert "min(struct(" not in plan(facts.filing_history(facts.prepared(views.facts(spark, SF, 4)), forms))
