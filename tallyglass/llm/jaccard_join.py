@@ -19,7 +19,7 @@ which the join uses three times:
    are found and counted, also between sets that are in a group already.
 
 Lists are merged as sorted runs, by a merge tree; its members and counts are those of a heap.
-A world beyond ``world_shingles`` is dealt into blocks and searched by pairs of blocks,
+A world beyond ``world_shingles`` is dealt into blocks by size and searched by pairs of blocks whose sizes can link,
 so a task's memory is bounded and no link is lost. Links are found, not sampled: the
 result equals brute force up to 64-bit hash collisions. Equal texts are not expanded into
 pairs: they are one set with a number of documents, and links are counted by these numbers.
@@ -33,6 +33,8 @@ empty table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -279,20 +281,35 @@ def search_world(values: np.ndarray, sizes: np.ndarray, bound: Bound, fresh: np.
     return groups.roots(np.arange(n)), links
 
 
-def deal(worlds: DataFrame, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
+#: Block numbers of size classes that are dealt by hash begin here, with room for so many blocks of each.
+_HEAVY, _ROOM = 1 << 40, 1 << 20
+
+
+def deal(worlds: DataFrame, bound: Bound, world_shingles: int = WORLD_SHINGLES) -> DataFrame:
     """``worlds`` (world, rep, check, n, m) with the tasks that each set takes part in.
 
-    Worlds that are too large are dealt into blocks by hash and searched by pairs of
-    blocks. Only ids and sizes are looked at; the shingles come to the tasks afterwards.
+    Worlds that are too large are dealt into blocks by size and searched by pairs of blocks. Sizes of linked sets differ by the
+    similarity at most, so in classes of that width linked sets are in the same class or the next: a block is a run of small
+    classes, or a part by hash of one large class, and a set meets only the blocks with a class beside its own. Only ids and
+    sizes are looked at; the shingles come to the tasks afterwards.
     """
-    sizes = worlds.groupBy("world").agg(F.sum("n").alias("weight"))
-    blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("weight") / F.lit(world_shingles))).cast("int")
-    dealt = worlds.join(sizes.select("world", blocks.alias("blocks")), "world")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("block", block).withColumn("other", other)
+    half = world_shingles / 2
+    width = max(math.log(bound.den / bound.num), 1e-6) * (1 + 1e-6)  # a little wider, so that rounding parts no links
+    classed = worlds.withColumn("class", F.floor(F.log("n") / width))
+    weights = classed.groupBy("world", "class").agg(F.sum("n").alias("weight"))
+    by = Window.partitionBy("world")  # a row for each class
+    whole, light = F.sum("weight").over(by) <= world_shingles, F.col("weight") <= half
+    run = F.floor((F.sum("weight").over(by.orderBy("class")) - F.col("weight")) / (half / 2))
+    first = F.when(whole, 0).when(light, run).otherwise(_HEAVY + F.col("class") * _ROOM)
+    parts = F.when(whole | light, 1).otherwise(F.ceil(F.col("weight") / half))
+    placed = weights.select("world", "class", first.cast("long").alias("first"), parts.cast("long").alias("parts"), (~whole).alias("many"))
+    block = F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias("other")
+    blocks = placed.select("world", "class", block).groupBy("world", "other").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    own = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
+    dealt = classed.join(placed, ["world", "class"]).select("world", "class", "rep", "check", "m", "many", own)
+    dealt = dealt.join(blocks, "world").filter(F.col("class").between(F.col("low") - 1, F.col("high") + 1))
     key = F.struct("world", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    return dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), key.alias("key"), (F.col("blocks") > 1).alias("many"), "block", "rep", "check", "m")
+    return dealt.select(F.xxhash64("world", F.least("block", "other"), F.greatest("block", "other")).alias("task"), key.alias("key"), "many", "block", "rep", "check", "m")
 
 
 def search_worlds(dealt: DataFrame, bound: Bound) -> DataFrame:
@@ -392,7 +409,7 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int, slack: float = 1.0
     forget(spark, sets_place)
     worlds = components(found.select("rep", F.explode("shared").alias("shingle")), "rep", "shingle")
     worlds = saved(worlds.select(F.col("node").alias("rep"), F.col("label").alias("world")).join(sets.select("rep", "check", "id", "n", "m"), "rep"))
-    members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, world_shingles), ["rep", "check"]).drop("check")
+    members = full_sets(docs, worlds.select("id"), width).join(deal(worlds, bound, world_shingles), ["rep", "check"]).drop("check")
     linked = saved(search_worlds(members, bound))
     lows = linked.join(sets.select("rep", "low"), "rep").groupBy("grp").agg(F.min("low").alias("component"), F.count("*").alias("k")).filter("k > 1")
     named = linked.join(lows, "grp").select("rep", "component", "grp", "links", F.lit(True).alias("linked"))

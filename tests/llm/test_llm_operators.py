@@ -220,6 +220,30 @@ def test_a_family_over_many_blocks_loses_no_link(spark):
     assert jaccard_join.groups(frame(spark, rows), 3, 80, 100).agg({"n_links": "sum"}).first()[0] == 120 * 119
 
 
+def test_a_large_world_meets_by_size_and_every_pair_that_can_link_meets_once(spark):
+    rng = random.Random(23)
+    sizes = [int(rng.choice([1, 2, 9, 10, 81, 90, 100, 1000])) if rng.random() < 0.2 else int(10 ** rng.uniform(0, 4)) for _ in range(400)] + [300] * 100
+    most = sum(sizes) // 20
+    worlds = spark.createDataFrame([(1, k, k, n, 1) for k, n in enumerate(sizes)] + [(2, 1000 + k, 0, 5, 1) for k in range(3)], "world long, rep long, check long, n long, m long")
+    rows = jaccard_join.deal(worlds, jaccard_join.Bound(90, 100), most).collect()
+    small = [r for r in rows if r["rep"] >= 1000]
+    assert len(small) == 3 and len({r["task"] for r in small}) == 1 and not any(r["many"] for r in small)
+    rows = [r for r in rows if r["rep"] < 1000]
+    assert len(rows) < 5 * len(sizes)  # 40 blocks by hash would take 40 of each
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r["task"], []).append(r)
+    assert max(sum(sizes[r["rep"]] for r in t) for t in tasks.values()) <= 1.5 * most  # parts by hash are not quite even
+    met = {}
+    for t in tasks.values():
+        for x in t:
+            for y in t:
+                if x["rep"] < y["rep"] and (x["key"]["a"] == x["key"]["b"] or x["block"] != y["block"]):
+                    met[x["rep"], y["rep"]] = met.get((x["rep"], y["rep"]), 0) + 1
+    assert set(met.values()) == {1}
+    assert all((x, y) in met for x in range(len(sizes)) for y in range(x + 1, len(sizes)) if 100 * min(sizes[x], sizes[y]) >= 90 * max(sizes[x], sizes[y]))
+
+
 def test_search_of_a_large_family_is_fast():
     import time
 
